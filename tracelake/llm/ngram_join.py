@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import components, semi_join_ids, stored
+from tracelake.llm.common import BROADCAST_ROWS, components, semi_join_ids, stored
 
 PARTS = 32
 CHUNK = 8192  # counts in one row of the sketch
@@ -253,6 +253,7 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs of which ngram_join keeps the document: one of each group of near copies."""
-    found = ngram_join(docs, **options)
-    ids = found.where("not is_kept").select("doc_id")
-    return docs.join(ids, "doc_id", "left_anti")
+    gone = stored(ngram_join(docs, **options).where("not is_kept").select("doc_id").distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti")

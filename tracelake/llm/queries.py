@@ -7,9 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm.common import table
 from tracelake.llm.ngram_join import ngram_join
+from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.token_counts import token_counts
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -18,5 +24,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op6_ngram_join, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_ngram_join, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
