@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.llm.common import table
+from tracelake.llm.lm_scoring import lm_scores
 from tracelake.llm.ngram_join import ngram_join
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.token_counts import token_counts
@@ -24,5 +26,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_ngram_join, op8_token_counts)}
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), _remainder(7) != 2)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_ngram_join, op8_token_counts, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
