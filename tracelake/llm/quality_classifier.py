@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table
-
 PASSAGE = 64
 PAIRS = 32
 HIDDEN = 32
@@ -188,6 +186,3 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out, id_column: str
 
     rows = docs.withColumn("held_out", out).mapInArrow(run, "doc_id long, held_out boolean, score double, n_passages long")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
-
-__all__ = ["fit", "passages", "quality_scores", "table", "train"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import table
 from tracelake.llm.lm_scoring import lm_scores
 from tracelake.llm.ngram_join import ngram_join
+from tracelake.llm.quality_classifier import quality_scores
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.token_counts import token_counts
 
@@ -31,9 +32,13 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(5) == 0)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), _remainder(7) != 2)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_ngram_join, op8_token_counts, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_ngram_join, op8_token_counts, op9_quality_classifier, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
