@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.ann_curves import nearest
 from tracelake.llm.common import stored, table
+from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_report
 from tracelake.llm.lm_scoring import lm_scores
 from tracelake.llm.mixing import mixed, plan, with_leaf
@@ -105,6 +106,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -124,6 +129,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_ann_curves, op3_quality_rules, op4_sentencepiece, op5_line_dedup, op6_ngram_join, op8_token_counts, op9_quality_classifier, op10_lm_scoring)
+    for f in (op1_mixing, op2_ann_curves, op3_quality_rules, op4_sentencepiece, op5_line_dedup, op6_ngram_join, op7_license_scan, op8_token_counts, op9_quality_classifier, op10_lm_scoring)
 }
 ORACLE_SQL: dict[str, str] = {"op1_mixing": ORACLE_MIX}
