@@ -24,6 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 SLICE_BYTES = 1 << 20
@@ -171,7 +172,7 @@ def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids", to: str
 
     The decoded text equals the encoded one, but for U+2581 in a text, which comes back as a space.
     """
-    schema = encoded.schema.add(to, "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches):
         m = model(model_path)
