@@ -2,18 +2,54 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.llm.common import stored, table
+from tracelake.llm.line_dedup import dedup_lines
+from tracelake.llm.mixing import mix
 from tracelake.llm.ngram_join import keep_one
+from tracelake.llm.quality_rules import keep_good
+from tracelake.llm.queries import MIX_DOMAIN, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
+from tracelake.llm.sentencepiece_codec import decode, encode
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules and the log-likelihood ratio keep; trusted are those labelled 1."""
+    return keep_good(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without near copies of lines; n_chars is that of the new text. Documents left empty go."""
+    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word n-grams, similarity 0.8."""
-    return keep_one(docs, n=5, percent=80)
+    return keep_one(docs, n=5, percent=80).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A seeded token-prefix of every source by the target weights, no document twice."""
+    weights = {k: F.expr(v) for k, v in MIX_WEIGHTS.items()}
+    return mix(docs, F.expr(MIX_DOMAIN), weights, MIX_SHARE, epochs=1, seed=MIX_SEED).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of every text, and whether they decode to it again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = decode(encode(docs, path), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
 
 ORACLE_SQL = None
 
