@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,7 +22,7 @@ def connect(folder: str):
 
 def rows_of(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return f"{v:.6f}" if isinstance(v, float) else str(v)
 

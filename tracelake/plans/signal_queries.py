@@ -80,9 +80,9 @@ def _placed(spark, sf_dir):
     return log_ops.attach_logs_to_spans(fixtures.logs(spark, sf_dir, TRACE_LOGS), one), one
 
 
-@query(sql(_PLACED, "select seq, trace_id, span_id, place, cast(offset_ms as bigint) as offset_ms from placed"))
+@query(sql(_PLACED, "select seq, trace_id, span_id, place, round(offset_ms, 6) as offset_ms from placed"))
 def attach_logs_to_spans(spark, sf_dir):
-    return _placed(spark, sf_dir)[0].select("seq", "trace_id", "span_id", "place", F.col("offset_ms").cast("bigint").alias("offset_ms"))
+    return _placed(spark, sf_dir)[0].select("seq", "trace_id", "span_id", "place", F.round("offset_ms", 6).alias("offset_ms"))
 
 
 @query(sql(_PLACED, """select trace_id, span_id, cast(least(199, greatest(0, floor(case when duration_ms > 0 then offset_ms / duration_ms else 0 end * 200))) as integer) as bucket,
@@ -276,10 +276,10 @@ def normalize_ids(spark, sf_dir):
     return rows.select("event_id", scalars.normalize_trace_id(F.col("t")).alias("trace_id"), scalars.parse_trace_target(F.col("p"))["span_id"].alias("span_id"))
 
 
-@query("select event_id, epoch_us(ts) / 1000 as ms, epoch_us(ts) / 1000 as iso_ms, epoch_us(ts) * 1000 as nanos from events")
+@query("select event_id, epoch_us(ts) / 1000 as ms, epoch_us(ts) / 1000 as iso_ms, epoch_us(ts) as micros from events")
 def convert_times(spark, sf_dir):
     rows = fixtures.view(spark, sf_dir, "select event_id, cast(unix_micros(cast(ts as timestamp)) * 1000 as string) as n, cast(ts as string) as iso, MS(ts) as m from {events}")
-    return rows.select("event_id", scalars.nano_to_ms(F.col("n")).alias("ms"), scalars.epoch_to_ms(F.col("iso")).alias("iso_ms"), scalars.ms_to_nano(F.col("m")).cast("bigint").alias("nanos"))
+    return rows.select("event_id", scalars.nano_to_ms(F.col("n")).alias("ms"), scalars.epoch_to_ms(F.col("iso")).alias("iso_ms"), F.round(scalars.ms_to_nano(F.col("m")) / 1000).cast("bigint").alias("micros"))
 
 
 @query("select event_id, event_type = 'error' as is_error, case event_type when 'error' then 17 else 0 end as severity, case event_type when 'error' then 'ERROR' else '' end as level from events")
