@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.store import stored
+
 #: Order in which one copy of a re-exported span wins: the greatest end, then fixed columns.
 _COPY_ORDER = ("end_ms", "start_ms", "service", "name", "kind", "status_code")
 
@@ -120,25 +122,31 @@ def find_spans(spans_with_self: DataFrame, condition: Column, min_ms: float = 0.
 
 
 def depths(spans: DataFrame, levels: int = 64) -> DataFrame:
-    """(trace_id, span_id, depth, is_orphan, root_span_id): place of deduped spans under their trace's roots.
+    """(trace_id, span_id, depth, is_orphan, root_span_id, path): place of deduped spans under their trace's roots.
 
     Spans without a parent in the trace are roots; those with a parent id that is missing are orphans. Each round
-    looks one pointer jump further, so a tree of depth d takes log2(d) joins. Spans whose chain does not reach a
-    root (cycles) are roots of their own, marked as orphans.
+    jumps to the ancestor's ancestor and puts its path in front, so a tree of depth d takes log2(d) joins, and every
+    round is written out, so the plan does not grow. path orders a trace depth first, siblings by start and id.
+    Spans of a cycle keep what levels rounds give them.
     """
-    one = dedupe_spans(spans).select("trace_id", "span_id", "parent_span_id")
+    one = dedupe_spans(spans).select("trace_id", "span_id", "parent_span_id", "start_ms")
     up = one.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_there"))
     state = one.join(up, ["trace_id", "parent_span_id"], "left")
     orphan = has_parent(F.col("parent_span_id")) & F.col("_there").isNull()
-    state = state.select("trace_id", "span_id", F.when(F.col("_there"), F.col("parent_span_id")).alias("up"), F.when(F.col("_there"), 1).otherwise(0).alias("depth"), orphan.alias("is_orphan"))
+    step = F.concat(F.lpad(F.hex(F.floor(F.col("start_ms") * 1000).cast("bigint")), 16, "0"), F.lit(":"), F.col("span_id"), F.lit("/"))
+    there = F.coalesce("_there", F.lit(False))
+    state = stored(state.select("trace_id", "span_id", F.when(there, F.col("parent_span_id")).alias("up"), there.cast("int").alias("depth"), orphan.alias("is_orphan"), F.col("span_id").alias("root_span_id"), step.alias("path")))
     reach = 1
     while reach < levels:
-        far = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
-        state = state.join(far, ["trace_id", "up"], "left")
-        state = state.select("trace_id", "span_id", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.when(F.col("_up").isNotNull(), F.col("_more")).otherwise(0)).alias("depth"), "is_orphan", F.col("_up").isNull().alias("_done"))
-        state = state.drop("_done")
+        far = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"), F.col("path").alias("_path"), F.col("root_span_id").alias("_root"))
+        state = stored(state.join(far, ["trace_id", "up"], "left").select(
+            "trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), "is_orphan",
+            F.coalesce("_root", "root_span_id").alias("root_span_id"), F.concat(F.coalesce("_path", F.lit("")), "path").alias("path"),
+        ))
         reach *= 2
-    return state.select("trace_id", "span_id", "depth", "is_orphan", F.coalesce("up", "span_id").alias("root_span_id"))
+        if not state.where("up is not null").limit(1).count():
+            break
+    return state.drop("up")
 
 
 def time_per_service(spans_with_self: DataFrame) -> DataFrame:

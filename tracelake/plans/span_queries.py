@@ -156,7 +156,7 @@ def find_spans(spark, sf_dir):
   select k.trace_id, k.span_id, t.depth + 1, false, t.root_span_id from one k join tree t on k.trace_id = t.trace_id and k.parent_span_id = t.span_id)
 select trace_id, span_id, cast(depth as integer) as depth, is_orphan, root_span_id from tree""")
 def span_depths(spark, sf_dir):
-    return traces.depths(spans(spark, sf_dir), levels=16)
+    return traces.depths(spans(spark, sf_dir)).drop("path")
 
 
 @query(sql(SELF, "select trace_id, service, round(sum(self_ms), 6) as self_ms, count(*) as n_spans, round(case when sum(sum(self_ms)) over (partition by trace_id) > 0 then sum(self_ms) / sum(sum(self_ms)) over (partition by trace_id) else 0 end, 9) as share from selfs group by trace_id, service"))
