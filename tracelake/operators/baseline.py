@@ -153,3 +153,21 @@ def fanout(entries: DataFrame) -> DataFrame:
     into = entries.where("source is null and operation is null").select(F.col("target").alias("source"), F.col("n_calls").alias("into_calls"))
     edges = entries.where("source is not null and operation is null")
     return edges.join(into, "source", "left").select("source", "target", (F.col("n_calls") / F.col("into_calls")).alias("fanout"))
+
+
+def tail_test(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of each side at or above the pooled 95th value (by floor of 0.95 (n - 1)), and the z of their difference."""
+    pool = Window.partitionBy(*keys)
+    ranked = samples.withColumn("_r", F.row_number().over(pool.orderBy("x", "side"))).withColumn("_n", F.count("*").over(pool))
+    ranked = ranked.withColumn("_cut", F.max(F.when(F.col("_r") == F.floor(0.95 * (F.col("_n") - 1)) + 1, F.col("x"))).over(pool))
+    count = lambda s, c: F.count_if((F.col("side") == s) & c)
+    above = F.col("x") >= F.col("_cut")
+    rows = ranked.groupBy(*keys).agg(count(0, above).alias("k0"), count(0, F.lit(True)).alias("n0"), count(1, above).alias("k1"), count(1, F.lit(True)).alias("n1"))
+    return rows.withColumn("z", proportion_z(*(F.col(c) for c in ("k0", "n0", "k1", "n1"))))
+
+
+def coverage(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: current nodes, how many the baseline lacks, and nodes that only the baseline has."""
+    nodes = lambda df: df.where("source is null and operation is null").select("target").distinct()
+    both = nodes(before).withColumn("b", F.lit(1)).join(nodes(after).withColumn("a", F.lit(1)), "target", "full_outer")
+    return both.agg(F.count("a").alias("n_nodes"), F.count_if(F.col("b").isNull()).alias("n_missing"), F.count_if(F.col("a").isNull()).alias("n_ghosts"))

@@ -174,3 +174,68 @@ def root_attr_keys(summaries: DataFrame, limit: int = 200) -> DataFrame:
 def resolve_trace_prefix(spans: DataFrame, prefix: str) -> DataFrame:
     """Up to 6 trace ids that begin with prefix: one is the answer, more are ambiguous."""
     return spans.where(F.col("trace_id").startswith(prefix.lower())).select("trace_id").distinct().orderBy("trace_id").limit(6)
+
+
+def filter_traces(spans: DataFrame, summaries: DataFrame, on_span: Column | None = None, on_trace: Column | None = None, words: tuple[str, ...] = ()) -> DataFrame:
+    """Summaries of traces with one span that meets all of on_span, that meet on_trace, and hold each word in id or a span name."""
+    checks = {f"_w{k}": F.bool_or(F.contains(F.lower("name"), F.lit(w.lower()))) for k, w in enumerate(words)}
+    checks["_s"] = F.bool_or(F.lit(True) if on_span is None else F.coalesce(on_span, F.lit(False)))
+    found = dedupe_spans(spans).groupBy("trace_id").agg(*(c.alias(n) for n, c in checks.items()))
+    for k, w in enumerate(words):
+        found = found.where(F.col(f"_w{k}") | F.contains("trace_id", F.lit(w.lower())))
+    rows = summaries.join(found.where("_s").select("trace_id"), "trace_id", "left_semi")
+    return rows if on_trace is None else rows.where(on_trace)
+
+
+def subtree(spans: DataFrame, trace_id: str, span_id: str) -> DataFrame:
+    """A span of one trace and its descendants, in depth-first order."""
+    one = spans.where(F.col("trace_id") == trace_id)
+    rows = dedupe_spans(one).join(depths(one), ["trace_id", "span_id"])
+    top = rows.where(F.col("span_id") == span_id).select("trace_id", F.col("path").alias("_top"), F.col("depth").alias("_depth"))
+    rows = rows.join(top, "trace_id").where(F.col("path").startswith(F.col("_top")))
+    return rows.withColumn("depth", F.col("depth") - F.col("_depth")).orderBy("path").drop("path", "_top", "_depth")
+
+
+def trace_errors(spans: DataFrame) -> DataFrame:
+    """Failing spans with up to 3 exception events and up to 10 distinct names of events."""
+    rows = dedupe_spans(spans).where("status_code = 'ERROR'")
+    exceptions = F.slice(F.filter("events", lambda e: e["name"] == "exception"), 1, 3)
+    return rows.withColumn("exceptions", exceptions).withColumn("event_names", F.slice(F.array_sort(F.array_distinct(F.transform("events", lambda e: e["name"]))), 1, 10))
+
+
+def linked_traces(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, linked_trace_id) of span links whose trace is there."""
+    rows = dedupe_spans(spans).select("trace_id", "span_id", F.explode("links").alias("link")).select("trace_id", "span_id", F.col("link.trace_id").alias("linked_trace_id"))
+    return rows.distinct().join(spans.select(F.col("trace_id").alias("linked_trace_id")).distinct(), "linked_trace_id", "left_semi")
+
+
+# Beginnings of attribute keys that help to explain a span.
+USEFUL = ("http.", "url.", "db.", "messaging.", "rpc.", "server.", "error.", "exception.", "gen_ai.operation", "gen_ai.request.model", "gen_ai.usage.", "gen_ai.tool.name")
+
+
+def useful_attrs(attrs: Column, n: int = 10) -> Column:
+    """Up to n attributes whose keys help to explain a span, in key order; contents of prompts are none of them."""
+    keep = F.map_filter(attrs, lambda k, v: k.rlike("^(" + "|".join(p.replace(".", r"\.") for p in USEFUL) + ")"))
+    return F.map_from_entries(F.slice(F.array_sort(F.map_entries(keep)), 1, n))
+
+
+def compare_trace(spans_with_self: DataFrame, summaries: DataFrame, trace_id: str, peers: int = 50) -> DataFrame:
+    """Self time of one trace by service and name beside the median of its peers, the largest excess first.
+
+    Peers: the newest traces of the same root, those without errors first. A group that a peer lacks counts as 0.
+    """
+    mine = summaries.where(F.col("trace_id") == trace_id).select(F.col("root_service").alias("_s"), F.col("root_name").alias("_n"))
+    others = summaries.where(F.col("trace_id") != trace_id).join(F.broadcast(mine), (F.col("root_service") == F.col("_s")) & (F.col("root_name") == F.col("_n")))  # one row
+    others = others.orderBy(F.col("n_errors") > 0, F.desc("start_ms"), "trace_id").limit(peers).select("trace_id")
+    number = others.agg(F.count("*").alias("_peers")).withColumn("_k", F.lit(1))
+    groups = lambda df: df.groupBy("trace_id", "service", "name").agg(F.sum("self_ms").alias("self_ms"))
+    theirs = groups(spans_with_self.join(others, "trace_id", "left_semi")).groupBy("service", "name").agg(F.array_sort(F.collect_list("self_ms")).alias("held"))  # at most peers values
+    target = groups(spans_with_self.where(F.col("trace_id") == trace_id)).drop("trace_id")
+    both = target.join(theirs, ["service", "name"], "full_outer").withColumn("_k", F.lit(1)).join(F.broadcast(number), "_k")
+    held = F.coalesce("held", F.array().cast("array<double>"))
+    padded = F.concat(F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.col("_peers").cast("int") - F.size(held))), held)
+    n = F.size(padded)
+    middle = (F.get(padded, F.floor((n - 1) / 2).cast("int")) + F.get(padded, F.floor(n / 2).cast("int"))) / 2
+    state = F.when(F.col("self_ms").isNull(), "missing").when(F.col("held").isNull(), "new").otherwise("both")
+    rows = both.select("service", "name", F.coalesce("self_ms", F.lit(0.0)).alias("self_ms"), F.coalesce(middle, F.lit(0.0)).alias("median_ms"), state.alias("state"))
+    return rows.withColumn("excess_ms", F.col("self_ms") - F.col("median_ms")).orderBy(F.desc("excess_ms"), "service", "name")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.redact import REDACTED, is_sensitive_key, redact_text
 from tracelake.functions.scalars import ID_CLASSES, classify_value, has_id_part
 
 DOMINANT_SHARE = 0.8
@@ -196,3 +197,11 @@ def compare_usage(before: DataFrame, after: DataFrame, grown: float = 2.0, least
     both = old.join(new, keys, "full_outer")
     change = F.when(F.col("n_before").isNull(), "new").when(F.col("n_after").isNull(), "resolved").when((F.col("n_after") >= grown * F.col("n_before")) & (F.col("n_after") >= least), "grown")
     return both.withColumn("change", change).where("change is not null")
+
+
+def sample_values(vals: DataFrame, n: int = 3, size: int = 120) -> DataFrame:
+    """The first n distinct values of each key by time of first appearance, then text; masked, cut to size signs."""
+    order = Window.partitionBy("service", "signal", "key").orderBy("first_ms", "value")
+    rows = vals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    safe = F.when(is_sensitive_key(F.col("key")), F.lit(REDACTED)).otherwise(redact_text(F.col("value")))
+    return rows.select("service", "signal", "key", "rank", F.left(safe, F.lit(size)).alias("sample"))

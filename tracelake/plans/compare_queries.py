@@ -120,3 +120,18 @@ def critical_path(spark, sf_dir):
 @query()
 def log_templates(spark, sf_dir):
     return templates.log_templates(fixtures.logs(spark, sf_dir))
+
+
+@query(sql(_POOL.split(", r as (")[0] + """, q as (select *, row_number() over (partition by service order by x, side) as r, count(*) over (partition by service) as n from s),
+  c as (select *, max(case when r = floor(0.95 * (n - 1)) + 1 then x end) over (partition by service) as cut from q)""",
+  "select service, count(*) filter (side = 0 and x >= cut) as k0, count(*) filter (side = 0) as n0, count(*) filter (side = 1 and x >= cut) as k1, count(*) filter (side = 1) as n1 from c group by 1"))
+def tail_test(spark, sf_dir):
+    one = traces.dedupe_spans(fixtures.spans(spark, sf_dir))
+    rows = one.select("service", F.when(F.col("start_ms") < SPLIT_MS, 0).otherwise(1).alias("side"), F.col("duration_ms").alias("x"))
+    return baseline.tail_test(rows, ["service"]).drop("z")
+
+
+@query(sql(f"{_CALLS}, b as (select distinct target from calls where source is null and end_ms < {SPLIT_MS}), a as (select distinct target from calls where source is null and end_ms >= {SPLIT_MS})",
+           "select (select count(*) from a) as n_nodes, (select count(*) from a where target not in (select target from b)) as n_missing, (select count(*) from b where target not in (select target from a)) as n_ghosts"))
+def coverage(spark, sf_dir):
+    return baseline.coverage(*_sides(spark, sf_dir))

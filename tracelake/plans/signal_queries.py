@@ -304,3 +304,14 @@ def truncate_messages(spark, sf_dir):
   'db.system=' || db_system, 'http.request.method=' || http_method, 'http.route=' || http_route, 'messaging.destination.name=' || msg_destination, 'messaging.system=' || msg_system, 'server.address=' || server_address, 'url.full=' || url_full, 'user.id=' || user_id) as t from one)"""))
 def summarize_attrs(spark, sf_dir):
     return traces.dedupe_spans(fixtures.spans(spark, sf_dir)).select("trace_id", "span_id", scalars.summarize_attrs(F.col("attrs"), 60).alias("summary"))
+
+
+_NICE = " ".join(f"when w <= {s} then {s}" for s in metrics.NICE_STEPS_MS)
+
+
+@query(sql(f"""{P}, g as (select metric, event_type, shard, time_ms, time_ms - lag(time_ms) over (partition by metric, event_type, shard order by time_ms, seq) as gap from points),
+  r as (select *, row_number() over (partition by metric, event_type, shard order by gap nulls last) as at_, count(gap) over (partition by metric, event_type, shard) as n from g),
+  w as (select metric, event_type, shard, greatest((max(time_ms) - min(time_ms)) / 120, coalesce(max(case when at_ = floor(n / 2) + 1 then gap end), 0)) as w from r group by 1, 2, 3)""",
+  f"select metric, event_type, shard, cast(case {_NICE} else {metrics.NICE_STEPS_MS[-1]} end as bigint) as step_ms from w"))
+def auto_step(spark, sf_dir):
+    return metrics.auto_step(_series(spark, sf_dir), _KEYS).select(*_KEYS, "step_ms")

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import identity, traces
+from tracelake.operators import identity, servicemap, traces
 from tracelake.plans import fixtures
 from tracelake.plans.fixtures import LOGS, POINTS, duckdb
 from tracelake.plans.span_queries import ONE, sql
@@ -110,3 +110,18 @@ def stream_series_points(spark, sf_dir):
 def series_points(spark, sf_dir):
     rows = fixtures.points(spark, sf_dir).withColumns({"count": F.lit(None).cast("bigint"), "sum": F.lit(None).cast("double"), "quantiles": F.lit(None).cast("array<struct<quantile:double,value:double>>")})
     return identity.series_points(rows).groupBy("metric", F.element_at("attrs", "type").alias("event_type")).agg(F.count("*").alias("n_points"))
+
+
+@query()
+def stream_service_map(spark, sf_dir):
+    calls = servicemap.calls(fixtures.spans(spark, sf_dir)).where("source is not null")
+    rows = calls.select(F.timestamp_micros((F.col("end_ms") * 1000).cast("bigint")).alias("ts"), "source", "target", "is_error", "ms")
+    return _streamed(spark, _folder(spark), rows, lambda s: streams.stream_service_map(s, "60 days", "30 days", "1 day"))
+
+
+@query(sql(f"logs as ({duckdb(LOGS)})", "select service as key, count(distinct attr_user) as n_distinct from logs group by 1"))
+def stream_distinct(spark, sf_dir):
+    """Two batches' sketches, merged; with so few values the sketch is exact."""
+    rows = fixtures.logs(spark, sf_dir).select(F.col("service").alias("key"), F.element_at("attrs", "user.id").alias("value"), "seq")
+    so_far = streams.merge_distinct(rows.where("seq % 2 = 0"), None)
+    return streams.merge_distinct(rows.where("seq % 2 = 1"), so_far).select("key", F.hll_sketch_estimate("sketch").alias("n_distinct"))

@@ -279,3 +279,30 @@ def node_sources(spark, sf_dir):
 def operation_keys(spark, sf_dir):
     one = traces.dedupe_spans(spans(spark, sf_dir))
     return one.groupBy(scalars.operation_key(F.col("name"), F.col("attrs")).alias("operation")).agg(F.count("*").alias("n_spans"))
+
+
+@query(sql(f"{SUMMARY}, f as (select trace_id from one group by 1 having bool_or(kind = 'CLIENT' and duration_ms >= 500) and bool_or(contains(name, 'line-3')))", f"select {_SUMMARY_COLUMNS} from summary where trace_id in (select trace_id from f) and n_errors > 0"))
+def filter_traces(spark, sf_dir):
+    rows = spans(spark, sf_dir)
+    return _shown(traces.filter_traces(rows, traces.trace_summaries(rows), (F.col("kind") == "CLIENT") & (F.col("duration_ms") >= 500), F.col("n_errors") > 0, ("LINE-3",)))
+
+
+_TARGET = "0" * 30 + "0a"
+
+
+@query(sql(SELF + f""", {SUMMARY.removeprefix(ONE + ", ")}, t as (select * from summary where trace_id = '{_TARGET}'),
+  peers as (select s.trace_id from summary s join t on s.root_service = t.root_service and s.root_name = t.root_name and s.trace_id <> t.trace_id order by s.n_errors > 0, s.start_ms desc, s.trace_id limit 50),
+  g as (select trace_id, service, name, sum(self_ms) as v from selfs group by 1, 2, 3), k as (select distinct service, name from g where trace_id = '{_TARGET}' or trace_id in (select trace_id from peers)),
+  m as (select service, name, quantile_cont(coalesce(v, 0), 0.5) as m, count(v) as c from k cross join peers p left join g using (trace_id, service, name) group by 1, 2)""",
+  f"""select service, name, round(coalesce(v, 0), 6) as self_ms, round(coalesce(m, 0), 6) as median_ms, case when v is null then 'missing' when coalesce(c, 0) = 0 then 'new' else 'both' end as state
+  from k left join m using (service, name) left join (select * from g where trace_id = '{_TARGET}') x using (service, name)"""))
+def compare_trace(spark, sf_dir):
+    rows = spans(spark, sf_dir)
+    found = traces.compare_trace(traces.self_times(rows), traces.trace_summaries(rows), _TARGET)
+    return found.drop("excess_ms").withColumns(r6("self_ms", "median_ms"))
+
+
+@query("with recursive " + ONE + f""", t as (select trace_id, span_id, 0 as depth from one where trace_id = '{_TARGET}' and parent_span_id is null
+  union all select o.trace_id, o.span_id, t.depth + 1 from one o join t on o.trace_id = t.trace_id and o.parent_span_id = t.span_id) select span_id, cast(depth as integer) as depth from t""")
+def subtree(spark, sf_dir):
+    return traces.subtree(spans(spark, sf_dir), _TARGET, "00000000000000a0").select("span_id", "depth")

@@ -157,3 +157,14 @@ def compare_usage(spark, sf_dir):
     early = F.col("time_ms") < 883612800000
     before, after = (usage.values(rows.where(c)).groupBy("service", "signal", "key").agg(F.count("*").alias("n_distinct")) for c in (early, ~early))
     return usage.compare_usage(before, after)
+
+
+@query(sql(_VALUES, "select service, signal, key, cast(row_number() over (partition by service, signal, key order by first_ms, value) as integer) as rank, left(value, 120) as sample from vals qualify rank <= 3"))
+def sample_values(spark, sf_dir):
+    return usage.sample_values(usage.values(_records(spark, sf_dir)))
+
+
+@query()
+def remediation_hints(spark, sf_dir):
+    stats = usage.attribute_stats(_records(spark, sf_dir))
+    return stats.select("service", "signal", "key", usage.remediation_hint(F.col("key"), F.col("class")).alias("hint"))
