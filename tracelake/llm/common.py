@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_recorded: list[str] | None = None
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Within it, the paths of stored tables are added to paths."""
+    global _recorded
+    before, _recorded = _recorded, paths
+    try:
+        yield
+    finally:
+        _recorded = before
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more, and empty the list."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends here and its size is known."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    if _recorded is not None:
+        _recorded.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +73,13 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(ids, column, "left_semi")
 
 
+def anti_join_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose column is null or not in ids, a stored one-column table. Few ids are broadcast, more are shuffled."""
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return df.join(ids, column, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, label), label the smallest node reachable.
 

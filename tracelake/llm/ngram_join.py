@@ -4,11 +4,14 @@ Method: a global rare-first order of n-grams, prefix filtering on it, the length
 filters, a join on prefix n-grams, and one exact verification for each pair.
 
 * Order: n-grams are hashed to 64 bits. A table of counts of fixed size (2**sketch_bits, summed over all
-  documents) gives each its frequency class (the binary logarithm of its bucket's count); the order is
+  documents) gives each its frequency class (four times the binary logarithm of its bucket's count); the order is
   (class, hash). Any total order is right for prefix filtering, this one puts frequent n-grams last.
 * Prefix: of a set of n elements, the first n - ceil(t * n) + 1. Two sets of Jaccard t or more share one.
 * Length filter: t * |x| <= |y|. Positional filter: 1 + min(rest of x, rest of y) must reach the overlap needed.
-  Suffix filter: the sets' counts in 32 hash ranges bound the overlap by the sum of the smaller counts.
+  Suffix filter: each set's counts in about as many hash ranges as it has elements; the sum of the smaller
+  counts bounds the overlap closely, at a byte for an element, so few pairs that don't link reach verification.
+  Before that, a bitmap of the parity of the counts in BITS hash ranges travels with the prefix n-grams: two sets
+  differ in at least as many elements as their bitmaps differ in bits, which the join itself can test.
 * Groups: only the components matter, so within one prefix n-gram every member is first compared with the most
   central member (most shared prefix n-grams). What those links join needs no further pair; of the rest, every
   pair in different components that shares a prefix n-gram and passes the filters is verified. The components
@@ -26,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import BROADCAST_ROWS, components, semi_join_ids, stored
+from tracelake.llm.common import anti_join_ids, components, semi_join_ids, stored
 
-PARTS = 32
+BITS = 512
 CHUNK = 8192  # counts in one row of the sketch
 SLICE_BYTES = 1 << 20  # text hashed at a time
 
@@ -110,33 +113,33 @@ def _frequency_classes(docs: DataFrame, n: int, bits: int) -> np.ndarray:
             h = shingle_hashes(texts, n)
             total += np.bincount((np.concatenate(h) >> shift).astype(np.int64), minlength=1 << bits)
         if total.any():
-            yield pa.record_batch({"chunk": pa.array(range(len(total) // CHUNK), pa.int32()), "counts": pa.array([c.tobytes() for c in total.reshape(-1, CHUNK)], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array(range(len(total) // CHUNK), pa.int32()), "counts": pa.array([c.tobytes() for c in total.astype(np.uint32).reshape(-1, CHUNK)], pa.binary())})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
         if sums:
-            yield pa.record_batch({"chunk": pa.array(sums.keys(), pa.int32()), "counts": pa.array([c.tobytes() for c in sums.values()], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array(sums.keys(), pa.int32()), "counts": pa.array([np.asarray(c, np.int64).tobytes() for c in sums.values()], pa.binary())})
 
     schema = "chunk int, counts binary"
     rows = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect()
     total = np.zeros((1 << bits) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
     for r in rows:
         total[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return np.ceil(np.log2(total.ravel() + 1)).astype(np.uint8)
+    return (4 * np.log2(total.ravel() + 1)).astype(np.uint8)
 
 
 def _signatures(docs: DataFrame, classes: np.ndarray, n: int, percent: int, bits: int) -> DataFrame:
-    """doc_id, key of its words, set size, prefix in the global order, and counts in PARTS hash ranges."""
+    """doc_id, key of its words, set size, prefix in the global order, and bitmap of parities."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     shift = np.uint64(64 - bits)
 
     def run(batches):
         klass = shared.value
         for batch, texts in slices(batches, "text"):
-            keys, sizes, prefixes, parts = [], [], [], []
+            keys, sizes, prefixes, bitmaps = [], [], [], []
             for t, h in zip(texts, shingle_hashes(texts, n), strict=True):
                 h = np.unique(h)
                 k = len(h)
@@ -146,47 +149,74 @@ def _signatures(docs: DataFrame, classes: np.ndarray, n: int, percent: int, bits
                     first = np.argpartition(order, p - 1)[:p] if p < k else np.arange(k)
                     first = first[np.argsort(order[first], kind="stable")]
                     prefixes.append(h[first].view(np.int64))
-                    parts.append(np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=PARTS))
                 else:
                     prefixes.append(np.empty(0, np.int64))
-                    parts.append(np.zeros(PARTS, np.int64))
+                parity = np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                bitmaps.append(np.packbits(parity.astype(bool)).view(np.int64))
                 keys.append(hashlib.blake2b(t, digest_size=16).digest())
                 sizes.append(k)
             ends = np.cumsum([0, *map(len, prefixes)])
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()),
+                "bitmap": pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * (BITS // 64), pa.int32()), pa.array(np.concatenate(bitmaps))),
                 "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes))),
-                "parts": pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1) * PARTS, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32))),
             })
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, prefix array<long>, parts array<int>")
+    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bitmap array<long>, prefix array<long>")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
+def _overlap_needed(percent: int):
+    """Smallest overlap of sets of na and nb elements that reaches the threshold."""
+    return F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+
+
+def _range_counts(h: np.ndarray) -> np.ndarray:
+    """Counts of distinct hashes in a power of two of ranges, a half to all of their number."""
+    bits = max(5, len(h).bit_length() - 1)
+    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def _bodies(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for batch, texts in slices(batches, "text"):
-            sets = [np.unique(h).view(np.int64) for h in shingle_hashes(texts, n)]
-            ends = np.cumsum([0, *map(len, sets)])
-            yield pa.record_batch({"node": batch.column("doc_id"), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))})
+            counts = [_range_counts(np.unique(h)).astype(np.uint16).tobytes() for h in shingle_hashes(texts, n)]
+            yield pa.record_batch({"node": batch.column("doc_id"), "ranges": pa.array(counts, pa.binary()), "words": pa.array(texts, pa.binary())})
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, ranges binary, words binary")
 
 
-def _overlap_needed(percent: int):
-    """Smallest overlap of sets of na and nb elements that reaches the threshold."""
-    return F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of stored pairs (a, b, na, nb), those that link. Each is looked at once, after the suffix filter."""
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    bodies = stored(_bodies(semi_join_ids(docs, ids, "doc_id"), n))
+    side = lambda k, c: bodies.select(F.col("node").alias(k), F.col(c).alias(f"{c}_{k}"))
 
+    def suffix_filter(batches):
+        for batch in batches:
+            keep = []
+            for x, y, k in zip(batch.column("ranges_a").to_pylist(), batch.column("ranges_b").to_pylist(), batch.column("need").to_pylist(), strict=True):
+                u, v = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                while len(u) > len(v):
+                    u = u.reshape(-1, 2).sum(axis=1)
+                while len(v) > len(u):
+                    v = v.reshape(-1, 2).sum(axis=1)
+                keep.append(int(np.minimum(u, v).sum()) >= k)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
+                u, v = (np.unique(h) for h in shingle_hashes([x, y], n))
+                same = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(same * (100 + percent) >= percent * (len(u) + len(v)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of stored pairs (a, b, na, nb), those that link, after the suffix filter; each is looked at once."""
-    side = lambda k: nodes.select(F.col("doc_id").alias(k), F.col("parts").alias(f"p{k}"))
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    left = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(bound >= _overlap_needed(percent)).select("a", "b", "na", "nb"))
-    wanted = stored(left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct())
-    sets = stored(_sets(semi_join_ids(docs, wanted, "doc_id"), n))
-    of = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return left.join(of("a"), "a").join(of("b"), "b").where(both * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
+    near = pairs.select("a", "b", _overlap_needed(percent).cast("long").alias("need"))
+    near = near.join(side("a", "ranges"), "a").join(side("b", "ranges"), "b").select("a", "b", "need", "ranges_a", "ranges_b")
+    left = stored(near.mapInArrow(suffix_filter, "a long, b long").distinct())
+    both = left.join(side("a", "words"), "a").join(side("b", "words"), "b").select("a", "b", "words_a", "words_b")
+    return both.mapInArrow(verify, "a long, b long").distinct()
 
 
 def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 3, percent: int = 90, sketch_bits: int = 18) -> DataFrame:
@@ -202,14 +232,20 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     rows = stored(_signatures(docs, classes, n, percent, sketch_bits))
     known = rows.where("doc_id is not null and n_shingles > 0")
     groups = stored(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    nodes = known.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    copies = known.select("key", "doc_id").join(groups.where("copies > 1"), "key").where("doc_id <> node")
+    nodes = anti_join_ids(known, stored(copies.select("doc_id").distinct()), "doc_id")
 
-    # Prefix n-grams that at least two classes hold.
+    # Prefix n-grams that at least two classes hold. Size and place share a column, for narrower rows.
     by_gram = Window.partitionBy("gram")
-    postings = nodes.select("doc_id", "n_shingles", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "gram"))
-    postings = stored(postings.withColumn("held", F.count("*").over(by_gram)).where("held > 1").drop("held"))
-    shared = postings.groupBy("doc_id").agg(F.count("*").alias("shared"))
-    postings = stored(postings.join(shared, "doc_id").withColumn("alone", F.col("p") - F.col("shared")).drop("p", "shared"))
+    postings = nodes.select("doc_id", "n_shingles", F.posexplode("prefix").alias("pos", "gram"))
+    postings = postings.select("gram", "doc_id", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("packed"))
+    postings = postings.withColumn("held", F.count("*").over(by_gram)).where("held > 1")
+    unpacked = {"n_shingles": F.shiftright("packed", 32), "pos": F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))}
+    postings = stored(postings.withColumns(unpacked).select("gram", "doc_id", "n_shingles", "pos"))
+    # The most central member has the fewest prefix n-grams that it alone holds.
+    prefix = F.col("n_shingles") - F.floor((F.col("n_shingles") * percent + 99) / 100) + 1
+    shared = postings.groupBy("doc_id", "n_shingles").agg((prefix - F.count("*")).alias("alone"))
+    postings = stored(postings.join(shared, ["doc_id", "n_shingles"]))
 
     def candidates(found: DataFrame) -> DataFrame:
         """Length and positional filter on pairs (x, y, nx, ny, ix, iy); the distinct pairs left, a < b."""
@@ -228,19 +264,27 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     star = postings.withColumn("c", center).where("c.doc_id <> doc_id")
     star = star.select(F.col("c.doc_id").alias("x"), F.col("doc_id").alias("y"), F.col("c.n_shingles").alias("nx"), F.col("n_shingles").alias("ny"), F.col("c.pos").alias("ix"), F.col("pos").alias("iy"))
     tested = stored(candidates(star))
-    links = stored(_verified(docs, nodes, tested, n, percent))
+    links = stored(_verified(docs, tested, n, percent))
     labels = components(links)
 
     # Then what may still join different components.
     label = F.coalesce("label", "doc_id")
     open_ = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", label)
     open_ = stored(open_.withColumn("many", F.min("label").over(by_gram) != F.max("label").over(by_gram)).where("many").select("gram", "doc_id", "n_shingles", "pos", "label"))
-    x = open_.select("gram", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("pos").alias("ix"), F.col("label").alias("lx"))
-    y = open_.select("gram", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("pos").alias("iy"), F.col("label").alias("ly"))
-    near = (F.col("nx") * percent <= F.col("ny") * 100) & (F.col("ny") * percent <= F.col("nx") * 100)
-    rest = x.join(y, (x["gram"] == y["gram"]) & (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & near)
+    bits = [F.get("bitmap", F.lit(k)).alias(f"m{k}") for k in range(BITS // 64)]
+    open_ = open_.join(nodes.select("doc_id", *bits).dropDuplicates(["doc_id"]), "doc_id")
+    side = lambda p: open_.select("gram", *(F.col(c).alias(f"{p}_{c}") for c in open_.columns if c != "gram"))
+    x, y = side("x"), side("y")
+    total = F.col("x_n_shingles") + F.col("y_n_shingles")
+    need = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+    apart = sum((F.bit_count(F.col(f"x_m{k}").bitwiseXOR(F.col(f"y_m{k}"))) for k in range(BITS // 64)), F.lit(0))
+    near = (F.col("x_n_shingles") * percent <= F.col("y_n_shingles") * 100) & (F.col("y_n_shingles") * percent <= F.col("x_n_shingles") * 100)
+    other = (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_label") != F.col("y_label"))
+    rest = x.join(y, (x["gram"] == y["gram"]) & other & near & (apart <= total - 2 * need))
+    named = {"doc_id": "", "n_shingles": "n", "pos": "i"}
+    rest = rest.select(*(F.col(f"{p}_{c}").alias(f"{v}{p}") for p in "xy" for c, v in named.items()))
     rest = stored(candidates(rest).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    labels = components(links.union(_verified(docs, nodes, rest, n, percent)))
+    labels = components(links.union(_verified(docs, rest, n, percent)))
 
     # Links between nodes, then the class of each row.
     final = groups.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
@@ -253,7 +297,5 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs of which ngram_join keeps the document: one of each group of near copies."""
-    gone = stored(ngram_join(docs, **options).where("not is_kept").select("doc_id").distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = ngram_join(docs, **options).where("not is_kept").select("doc_id").distinct()
+    return anti_join_ids(docs, stored(gone), "doc_id")
