@@ -219,7 +219,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return both.mapInArrow(verify, "a long, b long").distinct()
 
 
-def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 3, percent: int = 90, sketch_bits: int = 18) -> DataFrame:
+def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 3, percent: int = 90, sketch_bits: int = 20) -> DataFrame:
     """Documents linked when 100 * |intersection| >= percent * |union| of their word n-gram sets.
 
     Returns doc_id, n_shingles, component_id and is_kept (one document of each component: the smallest id),
