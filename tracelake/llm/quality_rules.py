@@ -16,22 +16,25 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import BROADCAST_ROWS, semi_join_ids, stored, words
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # a power of two
 #: Mean log ratio below which a document is unlike the trusted ones. Trusted text scores about 0 or a little more.
 THRESHOLD = -0.3
 MIN_WORDS = 50
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 
 
-def _with_features(df: DataFrame) -> DataFrame:
-    """df with buckets: the hashed unigrams and bigrams of its text, in one array."""
+def _buckets(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, bucket): the hashed unigrams and bigrams of df's text, a row each; a text without any has one null.
+
+    Neighbours are exploded together and hashed afterwards, as plain columns: hashing inside the arrays is slower.
+    """
     df = df.withColumn("tokens", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKENS), F.lit(0)))
-    following = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0)))
-    hashed = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
-    one = F.transform("tokens", lambda t: hashed(t))
-    df = df.withColumn("pairs", F.arrays_zip(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("x"), following.alias("y")))
-    two = F.transform("pairs", lambda p: hashed(p["x"], p["y"]))
-    return df.withColumn("buckets", F.concat(one, two)).drop("tokens", "pairs")
+    both = F.arrays_zip(F.col("tokens").alias("x"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("y"))
+    df = df.select(*keys, F.explode_outer(both).alias("t"))
+    hashed = lambda *c: F.xxhash64(*c).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    one = F.when(F.col("t.x").isNotNull(), hashed(F.col("t.x")))
+    two = F.when(F.col("t.y").isNotNull(), hashed(F.col("t.x"), F.col("t.y")))
+    return df.select(*keys, F.explode(F.array(one, two)).alias("bucket"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     marked = docs.join(ids.withColumn("good", F.lit(1)), "doc_id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
-    rows = _with_features(marked).select("good", F.explode("buckets").alias("bucket"))
+    rows = _buckets(marked, "good").where("bucket is not null")
     # A bucket's counts are summed in each task before they move.
     counts = stored(rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")))
     total = counts.agg(F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good")).first()
@@ -99,8 +102,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id"
     weights = F.broadcast(stored(log_ratios(docs, trusted.select("doc_id"))))  # BUCKETS rows at most
     base = plain_counts(docs.withColumn("row", F.monotonically_increasing_id()))
     keys = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = _with_features(base).select(*keys, F.explode_outer("buckets").alias("bucket"))
-    scored = grams.join(weights, "bucket", "left").groupBy(*keys).agg((F.coalesce(F.sum("weight"), F.lit(0.0)) / F.greatest(F.count("bucket"), F.lit(1))).alias("score"))
+    scored = _buckets(base, *keys).join(weights, "bucket", "left").groupBy(*keys).agg((F.coalesce(F.sum("weight"), F.lit(0.0)) / F.greatest(F.count("bucket"), F.lit(1))).alias("score"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).drop("row")
 
