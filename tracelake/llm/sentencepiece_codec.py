@@ -16,8 +16,8 @@ to the library's for every text (the tests compare them). Signs without a piece
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-SLICE_BYTES = 1 << 20
-CACHE_WORDS = 250_000
-CACHE_PAIRS = 1_000_000
+SLICE_BYTES = 4 << 20
+SLICE_ROWS = 256
+CACHE_WORDS = 600_000
+CACHE_PAIRS = 400_000
 
 
 class Model:
@@ -50,16 +51,21 @@ class Model:
                 self.ids[p] = i
                 self.bytes.append(p.replace(MARK, " ").encode())
         self.score = [m.get_score(i) for i in range(n)]
-        self.longest = max(map(len, self.ids))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("this model's pieces cross words")
         lengths: dict[str, set[int]] = {}
         for p in self.ids:
-            lengths.setdefault(p[-1], set()).add(len(p))
-        #: For each sign, the lengths of the pieces that end with it, longest first.
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        #: For the last three signs, the lengths of the pieces of three or more that end with them, longest first.
         self.lengths = {c: sorted(k, reverse=True) for c, k in lengths.items()}
+        #: All pieces' bytes in one array, and where each lies in it.
+        self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        self.start = np.cumsum(self.size) - self.size
         self.cut = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: Ids of known words, as bytes of 32-bit integers.
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -88,7 +94,7 @@ class Model:
 
     def encode_words(self, words: list[str]) -> None:
         """Put the encoding of each of the sorted words into the table."""
-        ids, lengths, stays = self.ids, self.lengths, self._stays
+        ids, lengths, pairs, stays = self.ids, self.lengths, self.pairs, self._stays
         last: list[str] = [""]  # last piece of each prefix; "" after a sign without a piece
         previous = ""
         for w in words:
@@ -98,10 +104,15 @@ class Model:
             del last[k + 1 :]
             for i in range(k + 1, len(w) + 1):
                 found = ""
-                for size in lengths.get(w[i - 1], ()):
-                    if size <= i:
-                        p = w[i - size : i]
-                        if p in ids and stays(last[i - size], p):
+                sizes = (*lengths.get(w[i - 3 : i], ()), 2, 1) if i > 2 else (2, 1) if i == 2 else (1,)
+                for size in sizes:
+                    if size > i:
+                        continue
+                    p = w[i - size : i]
+                    if p in ids:
+                        before = last[i - size]
+                        known = pairs.get((before, p))
+                        if stays(before, p) if known is None else known:
                             found = p
                             break
                 last.append(found)
@@ -115,10 +126,12 @@ class Model:
                 else:
                     out += [self.of_byte[b] for b in reversed(w[i - 1].encode("utf-8", "replace"))]
                     i -= 1
-            self.words[w] = tuple(reversed(out))
+            out.reverse()
+            self.words[w] = array("i", out).tobytes()
             previous = w
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*cut) - self.words.keys()
         if len(self.words) + len(new) > CACHE_WORDS:
@@ -126,12 +139,16 @@ class Model:
             new = set().union(*cut)
         self.encode_words(sorted(new))
         get = self.words.__getitem__
-        return [list(chain.from_iterable(map(get, c))) for c in cut]
+        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of a list of ids; bytes that are no UTF-8 become U+FFFD, and the mark put in front goes."""
-        get = self.bytes.__getitem__
-        return b"".join(map(get, ids)).decode("utf-8", "replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        """Texts of lists of ids, given one after another; bytes that are no UTF-8 become U+FFFD, and the mark put in front goes."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.start[ids] - (end - size), size)
+        text = self.blob[at].tobytes()
+        stop = np.concatenate(([0], end))[np.cumsum(count)].tolist()
+        return [text[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip([0, *stop[:-1]], stop, strict=True)]
 
 
 @cache
@@ -157,7 +174,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
                     continue
                 ids = m.encode([t or "" for t in texts[a : i + 1]])
                 ends = np.cumsum([0, *map(len, ids)])
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])))
+                flat = pa.array(np.concatenate(ids))
                 none = pa.array([t is None for t in texts[a : i + 1]])
                 part = batch.slice(a, i + 1 - a)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "text": part.column("text"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=none)})
@@ -177,8 +194,12 @@ def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids", to: str
     def run(batches):
         m = model(model_path)
         for batch in batches:
-            lists = batch.column(ids_column)
-            out = [m.decode(v.values.to_numpy().tolist()) if v.is_valid else None for v in lists]
+            out: list[str | None] = []
+            for a in range(0, batch.num_rows, SLICE_ROWS):
+                lists = batch.column(ids_column).slice(a, SLICE_ROWS)
+                count = np.diff(lists.offsets.to_numpy())
+                texts = m.decode(lists.flatten().to_numpy(), count) if len(lists) else []
+                out += [t if v else None for t, v in zip(texts, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, to])
 
     return encoded.mapInArrow(run, schema)
