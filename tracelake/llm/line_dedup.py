@@ -9,7 +9,9 @@ Method, in DataFrame functions only:
 * Banding: lines that share a band are candidates. Each is compared with the band's most common line first; then,
   after the links found so are joined, whatever shares a band across two components is compared too. So the groups
   are those of all candidate pairs, without writing out the pairs of a large group.
-* Verification: exact Jaccard similarity of the sets of all SHINGLE-character shingles of the two lines.
+* Before verification, a bitmap of the parities of a line's shingles in BITS hash ranges: two sets differ in at least
+  as many shingles as their bitmaps differ in bits, so most pairs that are not near copies never meet as texts.
+* Verification: Jaccard similarity of the sets of all SHINGLE-character shingles (by 64-bit hash) of the two lines.
 * Distributed union-find joins the links; of each component the line of the smallest (doc_id, line number) stays.
 """
 
@@ -24,6 +26,7 @@ SHINGLE = 8
 ANCHOR = 20
 BANDS = 8
 PERCENT = 80
+BITS = 1024  # enough to tell 0.77 from 0.8 for lines of 600 characters
 
 _ANCHORS = "(?s)(?<![A-Za-z0-9À-ɏ])(?=(.{1,%d}))" % ANCHOR
 _SHINGLES = "(?s)(?=(.{%d}))" % SHINGLE
@@ -47,17 +50,35 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 
 def _shingles(line):
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1))))
+    """Distinct hashes of a line's shingles; a line shorter than a shingle is one."""
+    hashed = F.transform(F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1)), lambda s: F.xxhash64(s))
+    return F.when(F.char_length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(hashed))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of stored pairs (a, b) of class numbers, those of Jaccard percent / 100 or more."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _candidates(docs: DataFrame, classes: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, line) and bitmaps (id, size, m0, m1, ...) of the classes that share a band with another."""
+    ids = postings.select("id").distinct()
     wanted = stored(classes.join(ids, "id").select("id", "doc_id", "n", "h", "g"))
-    few = wanted.count() <= BROADCAST_ROWS
-    side = F.broadcast(wanted) if few else wanted
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = _lines(docs).join(side, ["doc_id", "n"]).where((F.xxhash64("line") == F.col("h")) & (F.xxhash64("line", F.lit(1)) == F.col("g")))
     texts = stored(texts.select("id", "line").dropDuplicates(["id"]))
+    hashed = texts.select("id", F.explode(_shingles(F.col("line"))).alias("x"))
+    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
+    word = F.shiftright("x", 6).bitwiseAND(F.lit(BITS // 64 - 1))
+    marks = [F.bit_xor(F.when(word == k, bit).otherwise(0)).alias(f"m{k}") for k in range(BITS // 64)]
+    return texts, stored(hashed.groupBy("id").agg(F.count("*").alias("size"), *marks))
+
+
+def _may_link(x: str, y: str, percent: int):
+    """Whether the sizes and bitmaps of two sides, their columns named with the prefixes x and y, allow a link."""
+    nx, ny = F.col(f"{x}size"), F.col(f"{y}size")
+    need = F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
+    apart = sum((F.bit_count(F.col(f"{x}m{k}").bitwiseXOR(F.col(f"{y}m{k}"))) for k in range(BITS // 64)), F.lit(0))
+    return (nx * percent <= ny * 100) & (ny * percent <= nx * 100) & (apart <= nx + ny - 2 * need)
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of stored pairs (a, b) of class numbers, those of Jaccard percent / 100 or more."""
     of = lambda k: texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
     both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
@@ -67,25 +88,28 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
 def _groups(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Classes of lines with more than one line or a link: h, g, and the (first_doc, first_n) that stays."""
     by_class = ["h", "g"]
-    classes = lines.groupBy(*by_class).agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("copies"))
-    classes = stored(classes.select(*by_class, "first.doc_id", "first.n", "copies", F.monotonically_increasing_id().alias("id")))
-    # One line of each class gives its bands.
-    banded = lines.join(classes.select("doc_id", "n", *by_class, "id", "copies"), ["doc_id", "n", *by_class])
+    classes = lines.groupBy(*by_class).agg(F.min(F.struct("doc_id", "n", "bands")).alias("first"), F.count("*").alias("copies"))
+    classes = stored(classes.select(*by_class, "first.doc_id", "first.n", "first.bands", "copies", F.monotonically_increasing_id().alias("id")))
     by_band = Window.partitionBy("band")
-    postings = banded.select("id", "copies", F.explode("bands").alias("band"))
+    postings = classes.select("id", "copies", F.explode("bands").alias("band"))
     postings = postings.withColumn("many", F.min("id").over(by_band) != F.max("id").over(by_band)).where("many").drop("many")
     postings = stored(postings.withColumn("center", F.max(F.struct("copies", "id")).over(by_band)["id"]))
+    texts, bitmaps = _candidates(docs, classes, postings)
+    side = lambda key, p: bitmaps.select(F.col("id").alias(key), *(F.col(c).alias(f"{p}{c}") for c in bitmaps.columns if c != "id"))
     order = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    tested = stored(postings.where("center <> id").select(*order("center", "id")).distinct())
-    links = stored(_verified(docs, classes, tested, percent))
+    star = postings.where("center <> id").select(*order("center", "id")).distinct()
+    tested = stored(star.join(side("a", "x_"), "a").join(side("b", "y_"), "b").where(_may_link("x_", "y_", percent)).select("a", "b"))
+    links = stored(_verified(texts, tested, percent))
     labels = components(links)
     open_ = postings.select("band", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = stored(open_.withColumn("many", F.min("label").over(by_band) != F.max("label").over(by_band)).where("many").drop("many"))
-    x = open_.select("band", F.col("id").alias("a"), F.col("label").alias("la"))
-    y = open_.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
+    open_ = open_.withColumn("many", F.min("label").over(by_band) != F.max("label").over(by_band)).where("many").drop("many")
+    open_ = stored(open_.join(bitmaps, "id"))
+    part = lambda p: open_.select("band", *(F.col(c).alias(f"{p}{c}") for c in open_.columns if c != "band"))
+    x, y = part("x_"), part("y_")
+    rest = x.join(y, (x["band"] == y["band"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_label") != F.col("y_label")) & _may_link("x_", "y_", percent))
+    rest = rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
     rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
-    labels = components(links.union(_verified(docs, classes, rest, percent)))
+    labels = components(links.union(_verified(texts, rest, percent)))
     # First line of each component, then back to the classes.
     linked = stored(classes.join(labels.withColumnRenamed("node", "id"), "id").select(*by_class, "doc_id", "n", "label"))
     firsts = linked.groupBy("label").agg(F.min(F.struct("doc_id", "n")).alias("first"))
