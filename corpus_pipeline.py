@@ -1,12 +1,18 @@
-"""The corpus pipeline: stages over documents, each written and reread as the next one's input."""
+"""The corpus pipeline: stages over documents, each written and reread as the next one's input.
+
+A stage's result must be written before the next stage is called: that call deletes the intermediate tables that the
+earlier stage left in the shared folder, so that they don't add up over the pipeline.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stored, table
+from tracelake.llm.common import drop_tables, recorded, stored, table
 from tracelake.llm.line_dedup import dedup_lines
 from tracelake.llm.mixing import mix
 from tracelake.llm.ngram_join import keep_one
@@ -15,27 +21,45 @@ from tracelake.llm.queries import MIX_DOMAIN, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
 from tracelake.llm.sentencepiece_codec import decode, encode
 
 
+_left: list[str] = []  # intermediate tables of the stage before
+
+
+def _stage(function):
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _left)
+        with recorded(_left):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules and the log-likelihood ratio keep; trusted are those labelled 1."""
     return keep_good(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")).select(*docs.columns)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without near copies of lines; n_chars is that of the new text. Documents left empty go."""
     return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word n-grams, similarity 0.8."""
     return keep_one(docs, n=5, percent=80).select(*docs.columns)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A seeded token-prefix of every source by the target weights, no document twice."""
     weights = {k: F.expr(v) for k, v in MIX_WEIGHTS.items()}
     return mix(docs, F.expr(MIX_DOMAIN), weights, MIX_SHARE, epochs=1, seed=MIX_SEED).select(*docs.columns)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every text, and whether they decode to it again."""
     path = public_tokenizers.path("piece_bpe_32k.model")
