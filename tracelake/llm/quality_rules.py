@@ -109,5 +109,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id"
 
 def keep_good(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns; docs has doc_id and text."""
-    good = quality_rules(docs, trusted, **options).where("kept and doc_id is not null")
-    return semi_join_ids(docs, stored(good.select("doc_id").distinct()), "doc_id")
+    # Written first: a filter on the verdict would be pushed below it and repeat the work on arrays many times over.
+    verdict = stored(quality_rules(docs, trusted, **options).select("doc_id", "kept"))
+    good = verdict.where("kept and doc_id is not null").select("doc_id").distinct()
+    return semi_join_ids(docs, stored(good), "doc_id")
