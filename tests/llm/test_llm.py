@@ -171,6 +171,42 @@ def test_line_dedup(spark, docs, texts, odd, empty):
     assert line_dedup.line_report(empty).count() == 0 and line_dedup.dedup_lines(empty).count() == 0
 
 
+def near_pairs():
+    """(kind, line, near copy): no two of a pair equal, all of Jaccard 0.8 or more over 8-character shingles."""
+    r = np.random.default_rng(5)
+    word = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/"), n))
+    text = lambda n: " ".join(word(int(k)) for k in r.integers(2, 9, n))[:n].strip().ljust(n, "x")
+    change = lambda x, k: x[:k] + ("#" if x[k] != "#" else "-") + x[k + 1 :]
+    for make, kind in ((text, "words"), (word, "unbroken")):
+        for n in (*range(11, 40), 60, 100, 200, 600):
+            for _ in range(4):
+                x = make(n)
+                yield f"{kind}, one sign more", x, x + "#"
+                yield f"{kind}, last sign", x, change(x, n - 1)
+                for k in r.integers(0, n, max(1, n // 80)):
+                    x, y = make(n), change(x, int(k))
+                    yield f"{kind}, one sign within", change(y, int(k)), y
+                y = make(n)
+                for k in r.permutation(n)[: max(1, n // 90)]:
+                    y, x = change(y, int(k)), y
+                yield f"{kind}, several signs", x, y
+
+
+def test_line_dedup_recall(spark):
+    """Of pairs that are no exact copies, short and unbroken lines included, nearly all are found, and none that is not near."""
+    of = lambda x: {x[k : k + 8] for k in range(len(x) - 7)}
+    found = {}
+    for kind, x, y in near_pairs():
+        if x != y and 5 * len(of(x) & of(y)) >= 4 * len(of(x) | of(y)):
+            found[len(found)] = (kind, x, y)
+    assert len(found) > 300 and {len(x) for _, x, _ in found.values()} >= {11, 16, 19, 25, 33, 100, 600}
+    rows = [(2 * k + j, v[1 + j]) for k, v in found.items() for j in (0, 1)]
+    got = {r["doc_id"] for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_dropped = 1").collect()}
+    missed = [found[k] for k in found if 2 * k + 1 not in got]
+    assert len(missed) <= 0.005 * len(found), missed
+    assert not [x for _, x, _ in missed if len(x) < 25]
+
+
 def test_mixing_oracle(spark):
     assert difference(spark, connect(FOLDER), "op1_mixing", queries.op1_mixing, queries.ORACLE_SQL["op1_mixing"], FOLDER) == ""
 
