@@ -290,6 +290,13 @@ def test_lm_base(spark, docs, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_learns_from_all(spark, docs):
+    """The rounds together train on every token of every training document, once."""
+    learn = docs.where(queries._remainder(7) != 2).select("doc_id", "text")
+    lexicon = lm_scoring.lexicon_of(lm_scoring.stored(lm_scoring._token_counts(learn)), lm_scoring.FREQUENT)
+    assert lm_scoring.fit(learn, lexicon, lm_scoring.SHARE, lm_scoring.ROUNDS)[1] == lexicon.total
+
+
 def test_lm_sums_to_one():
     """All classes, core words and counted tail words together have at most probability 1 in any state."""
     words, counts = [b" ", b"aa", b"bb", b"cc"], np.array([10, 8, 4, 2])

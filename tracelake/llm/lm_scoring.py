@@ -11,10 +11,10 @@ and the trained weights. A token's probability is P(class | state) * P(token | c
 
 Training is truncated backpropagation over windows of WINDOW tokens. The hidden state is carried from window to
 window and set to zero where a document begins; scoring does the same, so each document gets the log-likelihood
-of all its tokens. Training is spread over shards: in each round every shard takes steps on its own part of the
-training share from common weights, and the weighted mean of the shards' weights starts the next round. The share
-is a fixed fraction of the training documents (1 of SHARE by hash), so it grows with the input, and so does the
-number of shards. Output biases start at the counted frequencies, so an untrained model is a class unigram model.
+of all its tokens. Training is spread over shards: the rounds split all training documents by hash, in each round
+every shard takes steps on its own part of the round's documents from common weights, and the weighted mean of the
+shards' weights starts the next round. So each training document is learned from once, and the number of shards
+grows with the input. Output biases start at the counted frequencies, so an untrained model is a class unigram model.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ CLASSES = 64
 TAILS = 32
 HIDDEN = 24
 FREQUENT = 150_000
-SHARE = 8
+SHARE = 1  # all training documents
 ROUNDS = 3
 WINDOW = 32
 LANES = 64
@@ -307,18 +307,19 @@ def train(lexicon: Lexicon, p, docs, rate: float) -> tuple[dict[str, np.ndarray]
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         step += 1
         seen += len(c)
+        pace = rate * len(c) / (LANES * WINDOW)  # where few lanes are left, one document must not weigh as much as all lanes
         for k, g in grad.items():
             if k == "x":  # rows not in this window stay as they are
                 rows = ids[order][first]
                 g = g[rows] * scale
                 m1[k][rows] = 0.9 * m1[k][rows] + 0.1 * g
                 m2[k][rows] = 0.99 * m2[k][rows] + 0.01 * g * g
-                p[k][rows] -= rate * m1[k][rows] / (np.sqrt(m2[k][rows]) + 1e-6)
+                p[k][rows] -= pace * m1[k][rows] / (np.sqrt(m2[k][rows]) + 1e-6)
             else:
                 g = g * scale
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
-                p[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+                p[k] -= pace * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
     return p, seen
 
 
@@ -345,12 +346,13 @@ def _mean_weights(batches):
         yield pa.record_batch({"weights": pa.array([_dump({a: v / n for a, v in total.items()})], pa.binary()), "n": pa.array([n], pa.int64())})
 
 
-def fit(docs: DataFrame, lexicon: Lexicon, share: int, rounds: int):
-    """Train on 1 of share of docs (doc_id, text), split by hash into rounds and shards."""
+def fit(docs: DataFrame, lexicon: Lexicon, share: int, rounds: int) -> tuple[dict[str, np.ndarray], int]:
+    """Train on 1 of share of docs (doc_id, text), split by hash into rounds and shards: the weights and the tokens learned from."""
     sc = docs.sparkSession.sparkContext
     p = lexicon.initial()
+    learned = 0
     if lexicon.core == 0:
-        return p
+        return p, learned
     shards = max(1, round(lexicon.total / share / rounds / SHARD_TOKENS))
     mark = F.pmod(F.xxhash64(F.lit("lm"), F.col("doc_id")), F.lit(share * rounds))
     words = sc.broadcast(lexicon)
@@ -376,7 +378,8 @@ def fit(docs: DataFrame, lexicon: Lexicon, share: int, rounds: int):
         rows = means.repartition(1).mapInArrow(_mean_weights, "weights binary, n long").collect()
         if rows:
             p = {a: v.astype(np.float32) for a, v in _load(rows[0]["weights"]).items()}
-    return p
+            learned += rows[0]["n"]
+    return p, learned
 
 
 def lexicon_of(counts: DataFrame, frequent: int) -> Lexicon:
@@ -410,7 +413,7 @@ def lm_scores(docs: DataFrame, training, id_column: str = "doc_id", text_column:
     learn = docs.where(F.coalesce(training, F.lit(False)))
     counts = stored(_token_counts(learn))
     lexicon = lexicon_of(counts, frequent)
-    shared = sc.broadcast((lexicon, fit(learn, lexicon, share, rounds)))
+    shared = sc.broadcast((lexicon, fit(learn, lexicon, share, rounds)[0]))
 
     def run(batches):
         lex, p = shared.value
