@@ -29,30 +29,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import anti_join_ids, components, semi_join_ids, stored
+from tracelake.llm.common import BROADCAST_ROWS, anti_join_ids, components, semi_join_ids, stored
 
 BITS = 512
 CHUNK = 8192  # counts in one row of the sketch
-SLICE_BYTES = 1 << 20  # text hashed at a time
+SLICE_BYTES = 1 << 19  # text hashed at a time; a longer text is a slice of its own
 
 _RANDOM = np.random.default_rng(20240607)
 _TABLE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: list[np.ndarray] = []
+_powers: list[np.ndarray] = []  # for slices of the usual size: 16 bytes for each byte of a slice
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        out = []
-        for step in (_BASE, _INVERSE):
-            p = np.full(size, step, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
+    """Powers of the base and of its inverse modulo 2**64, at least n of each. Only tables of the usual size are kept."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    size = max(n, 3 * SLICE_BYTES // 2)
+    out = []
+    for step in (_BASE, _INVERSE):
+        p = np.full(size, step, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if size == 3 * SLICE_BYTES // 2:
         _powers[:] = out
-    return _powers[0], _powers[1]
+    return out[0], out[1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -157,12 +159,12 @@ def _signatures(docs: DataFrame, classes: np.ndarray, n: int, percent: int, bits
                 sizes.append(k)
             ends = np.cumsum([0, *map(len, prefixes)])
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()),
+                "doc_id": batch.column("doc_id"), "node": batch.column("node"), "key": pa.array(keys, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()),
                 "bitmap": pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * (BITS // 64), pa.int32()), pa.array(np.concatenate(bitmaps))),
                 "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes))),
             })
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, bitmap array<long>, prefix array<long>")
+    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, key binary, n_shingles long, bitmap array<long>, prefix array<long>")
 
 
 def _overlap_needed(percent: int):
@@ -176,20 +178,26 @@ def _range_counts(h: np.ndarray) -> np.ndarray:
     return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
-def _bodies(docs: DataFrame, n: int) -> DataFrame:
+def _of_docs(docs: DataFrame, ids: DataFrame, make, column: str) -> DataFrame:
+    """(node, column): make(normalized texts) of the docs whose node is in the stored ids."""
+
     def run(batches):
         for batch, texts in slices(batches, "text"):
-            counts = [_range_counts(np.unique(h)).astype(np.uint16).tobytes() for h in shingle_hashes(texts, n)]
-            yield pa.record_batch({"node": batch.column("doc_id"), "ranges": pa.array(counts, pa.binary()), "words": pa.array(texts, pa.binary())})
+            yield pa.record_batch({"node": batch.column("node"), column: pa.array(make(texts), pa.binary())})
+
+    return semi_join_ids(docs, ids, "node").select("node", "text").mapInArrow(run, f"node long, {column} binary")
+
 
-    return docs.mapInArrow(run, "node long, ranges binary, words binary")
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of stored pairs (a, b, na, nb), those that link. Each is looked at once, after the suffix filter."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    bodies = stored(_bodies(semi_join_ids(docs, ids, "doc_id"), n))
-    side = lambda k, c: bodies.select(F.col("node").alias(k), F.col(c).alias(f"{c}_{k}"))
+    """Of stored distinct pairs (a, b, na, nb), those that link. docs: node, text.
+
+    Counts by hash range are made for all nodes of the pairs; words, which are many times larger, only for the
+    nodes of the pairs that the suffix filter leaves. Each of these is looked at once.
+    """
 
     def suffix_filter(batches):
         for batch in batches:
@@ -206,17 +214,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     def verify(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
-                u, v = (np.unique(h) for h in shingle_hashes([x, y], n))
+            for x, y in zip(batch.column("words_a"), batch.column("words_b"), strict=True):
+                u, v = (np.unique(h) for h in shingle_hashes([x.as_py(), y.as_py()], n))
                 same = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(same * (100 + percent) >= percent * (len(u) + len(v)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.select("a", "b", _overlap_needed(percent).cast("long").alias("need"))
-    near = near.join(side("a", "ranges"), "a").join(side("b", "ranges"), "b").select("a", "b", "need", "ranges_a", "ranges_b")
-    left = stored(near.mapInArrow(suffix_filter, "a long, b long").distinct())
-    both = left.join(side("a", "words"), "a").join(side("b", "words"), "b").select("a", "b", "words_a", "words_b")
-    return both.mapInArrow(verify, "a long, b long").distinct()
+    def ranges(texts):
+        return [_range_counts(np.unique(h)).astype(np.uint16).tobytes() for h in shingle_hashes(texts, n)]
+
+    def both(rows: DataFrame, held: DataFrame, column: str) -> DataFrame:
+        side = lambda k: held.select(F.col("node").alias(k), F.col(column).alias(f"{column}_{k}"))
+        return rows.join(side("a"), "a").join(side("b"), "b")
+
+    need = pairs.select("a", "b", _overlap_needed(percent).cast("long").alias("need"))
+    counted = both(need, stored(_of_docs(docs, _ids_of(pairs), ranges, "ranges")), "ranges")
+    left = stored(counted.select("a", "b", "need", "ranges_a", "ranges_b").mapInArrow(suffix_filter, "a long, b long"))
+    worded = both(left, _of_docs(docs, _ids_of(left), list, "words"), "words")
+    return worded.select("a", "b", "words_a", "words_b").mapInArrow(verify, "a long, b long")
 
 
 def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 3, percent: int = 90, sketch_bits: int = 20) -> DataFrame:
@@ -224,28 +239,37 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     Returns doc_id, n_shingles, component_id and is_kept (one document of each component: the smallest id),
     one row for each row of docs. Text that is null or has no word has an empty set and links with nothing.
-    A repeated doc_id is one node, so the groups of its rows' texts may join; a null doc_id joins no group and has a null component.
-    Other columns are ignored, whatever their names. An empty table gives an empty result.
+    Rows that repeat a doc_id are one document with several texts: what any of them links with is in its group.
+    A null doc_id joins no group and has a null component. Very long texts are taken whole. Other columns are
+    ignored, whatever their names. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    # A node is a text: its doc_id, or for ids that repeat a number of its own, from the least upwards.
+    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeated = twice.count()
+    docs = docs.withColumn("node", F.col("doc_id"))
+    if repeated:
+        again = (F.broadcast(twice) if repeated <= BROADCAST_ROWS else twice).withColumn("again", F.lit(True))
+        docs = docs.join(again, "doc_id", "left")
+        docs = stored(docs.select("doc_id", "text", F.when(F.col("again"), F.monotonically_increasing_id() + F.lit(-(2**63))).otherwise(F.col("node")).alias("node")))
     classes = _frequency_classes(docs, n, sketch_bits)
     rows = stored(_signatures(docs, classes, n, percent, sketch_bits))
     known = rows.where("doc_id is not null and n_shingles > 0")
-    groups = stored(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    copies = known.select("key", "doc_id").join(groups.where("copies > 1"), "key").where("doc_id <> node")
-    nodes = anti_join_ids(known, stored(copies.select("doc_id").distinct()), "doc_id")
+    groups = stored(known.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("copies")))
+    copies = known.select("key", F.col("node").alias("own")).join(groups.where("copies > 1"), "key").where("own <> node")
+    nodes = anti_join_ids(known, stored(copies.select(F.col("own").alias("node")).distinct()), "node").select("node", "n_shingles", "bitmap", "prefix")
 
     # Prefix n-grams that at least two classes hold. Size and place share a column, for narrower rows.
     by_gram = Window.partitionBy("gram")
-    postings = nodes.select("doc_id", "n_shingles", F.posexplode("prefix").alias("pos", "gram"))
-    postings = postings.select("gram", "doc_id", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("packed"))
+    postings = nodes.select("node", "n_shingles", F.posexplode("prefix").alias("pos", "gram"))
+    postings = postings.select("gram", "node", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("packed"))
     postings = postings.withColumn("held", F.count("*").over(by_gram)).where("held > 1")
     unpacked = {"n_shingles": F.shiftright("packed", 32), "pos": F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF))}
-    postings = stored(postings.withColumns(unpacked).select("gram", "doc_id", "n_shingles", "pos"))
+    postings = stored(postings.withColumns(unpacked).select("gram", "node", "n_shingles", "pos"))
     # The most central member has the fewest prefix n-grams that it alone holds.
     prefix = F.col("n_shingles") - F.floor((F.col("n_shingles") * percent + 99) / 100) + 1
-    shared = postings.groupBy("doc_id", "n_shingles").agg((prefix - F.count("*")).alias("alone"))
-    postings = stored(postings.join(shared, ["doc_id", "n_shingles"]))
+    shared = postings.groupBy("node", "n_shingles").agg((prefix - F.count("*")).alias("alone"))
+    postings = stored(postings.join(shared, ["node", "n_shingles"]))
 
     def candidates(found: DataFrame) -> DataFrame:
         """Length and positional filter on pairs (x, y, nx, ny, ix, iy); the distinct pairs left, a < b."""
@@ -260,42 +284,61 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         return found.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("nx", "ny").alias("na"), pick("ny", "nx").alias("nb")).distinct()
 
     # First every member against the most central one of its n-gram.
-    center = F.min(F.struct("alone", "doc_id", "n_shingles", "pos")).over(by_gram)
-    star = postings.withColumn("c", center).where("c.doc_id <> doc_id")
-    star = star.select(F.col("c.doc_id").alias("x"), F.col("doc_id").alias("y"), F.col("c.n_shingles").alias("nx"), F.col("n_shingles").alias("ny"), F.col("c.pos").alias("ix"), F.col("pos").alias("iy"))
+    center = F.min(F.struct("alone", "node", "n_shingles", "pos")).over(by_gram)
+    star = postings.withColumn("c", center).where("c.node <> node")
+    star = star.select(F.col("c.node").alias("x"), F.col("node").alias("y"), F.col("c.n_shingles").alias("nx"), F.col("n_shingles").alias("ny"), F.col("c.pos").alias("ix"), F.col("pos").alias("iy"))
     tested = stored(candidates(star))
-    links = stored(_verified(docs, tested, n, percent))
+    texts = docs.select("node", "text")
+    links = stored(_verified(texts, tested, n, percent))
     labels = components(links)
 
     # Then what may still join different components.
-    label = F.coalesce("label", "doc_id")
-    open_ = postings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", label)
-    open_ = stored(open_.withColumn("many", F.min("label").over(by_gram) != F.max("label").over(by_gram)).where("many").select("gram", "doc_id", "n_shingles", "pos", "label"))
+    label = F.coalesce("label", "node")
+    open_ = postings.join(labels, "node", "left").withColumn("label", label)
+    open_ = stored(open_.withColumn("many", F.min("label").over(by_gram) != F.max("label").over(by_gram)).where("many").select("gram", "node", "n_shingles", "pos", "label"))
     bits = [F.get("bitmap", F.lit(k)).alias(f"m{k}") for k in range(BITS // 64)]
-    open_ = open_.join(nodes.select("doc_id", *bits).dropDuplicates(["doc_id"]), "doc_id")
+    open_ = open_.join(nodes.select("node", *bits), "node")
     side = lambda p: open_.select("gram", *(F.col(c).alias(f"{p}_{c}") for c in open_.columns if c != "gram"))
     x, y = side("x"), side("y")
     total = F.col("x_n_shingles") + F.col("y_n_shingles")
     need = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
     apart = sum((F.bit_count(F.col(f"x_m{k}").bitwiseXOR(F.col(f"y_m{k}"))) for k in range(BITS // 64)), F.lit(0))
     near = (F.col("x_n_shingles") * percent <= F.col("y_n_shingles") * 100) & (F.col("y_n_shingles") * percent <= F.col("x_n_shingles") * 100)
-    other = (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_label") != F.col("y_label"))
+    other = (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label"))
     rest = x.join(y, (x["gram"] == y["gram"]) & other & near & (apart <= total - 2 * need))
-    named = {"doc_id": "", "n_shingles": "n", "pos": "i"}
+    named = {"node": "", "n_shingles": "n", "pos": "i"}
     rest = rest.select(*(F.col(f"{p}_{c}").alias(f"{v}{p}") for p in "xy" for c, v in named.items()))
     rest = stored(candidates(rest).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    labels = components(links.union(_verified(docs, rest, n, percent)))
+    links = links.union(_verified(texts, rest, n, percent))
+
+    if repeated:  # the texts of one doc_id belong together
+        own = known.join(again, "doc_id").join(groups.withColumnRenamed("node", "a"), "key").select("doc_id", "a")
+        links = links.union(own.join(own.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b"))
+    labels = components(links)
 
     # Links between nodes, then the class of each row.
     final = groups.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     keyed = rows.select("doc_id", "key", "n_shingles")
     hot = keyed.where("n_shingles > 0 and doc_id is not null").join(final, "key").select("doc_id", "n_shingles", "component_id")
+    if repeated:  # a label may be the number of a text
+        hot = stored(hot)
+        least = hot.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        hot = hot.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     rest = keyed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", alone.alias("component_id"))
     return hot.union(rest).withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which ngram_join keeps the document: one of each group of near copies."""
+    """The rows of docs of which ngram_join keeps the document: one of each group of near copies.
+
+    Of rows that repeat a doc_id the one with the smallest text stays. Rows without an id all stay.
+    """
     gone = ngram_join(docs, **options).where("not is_kept").select("doc_id").distinct()
-    return anti_join_ids(docs, stored(gone), "doc_id")
+    left = anti_join_ids(docs, stored(gone), "doc_id")
+    twice = stored(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.limit(1).count():
+        return left
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    one = semi_join_ids(left, twice, "doc_id").select(F.struct(*left.columns).alias("row"), number.alias("number")).where("number = 1").select("row.*")
+    return anti_join_ids(left, twice, "doc_id").unionByName(one)
