@@ -3,11 +3,16 @@
 Method: rank-synchronous array merging. The distinct pre-tokens of a batch are held as one ragged numpy array
 of symbols. In every round each sequence finds the lowest rank among its adjacent pairs and all its pairs of
 that rank merge at once, over all sequences together; a sequence without a pair that merges is done, and what
-is counted is the symbols left. Each worker keeps the counts of pre-tokens that it has seen, up to a bound.
+is counted is the symbols left. Each task keeps the counts of pre-tokens that it has seen, up to a bound.
+
+Before that, a sequence is cut wherever two adjacent bytes stand together in no entry of the vocabulary, since
+no merge can cross there. A piece of more than LONG symbols even so (an unbroken word of that size) takes its
+merges from a heap of ranks over linked symbols instead, so that time does not grow with its square.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import cache
 
@@ -19,8 +24,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 400_000
-SLICE_BYTES = 4 << 20
+CACHE_ENTRIES = 200_000
+SLICE_BYTES = 1 << 20
+LONG = 512
 _NONE = np.int64(1 << 40)
 
 
@@ -45,7 +51,14 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.bytes = np.array([vocab[c] for c in _byte_letters()], np.int64)
+        letters = _byte_letters()
+        self.bytes = np.array([vocab[c] for c in letters], np.int64)
+        of = {c: k for k, c in enumerate(letters)}
+        #: Whether two bytes stand next to each other in any entry.
+        self.together = np.zeros((256, 256), bool)
+        for a, b in pairs:
+            self.together[of[a[-1]], of[b[0]]] = True
+        self.ranks = {(a, b): k for k, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True))}
         self.special = [t["content"] for t in data.get("added_tokens", [])]
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -66,9 +79,49 @@ class Vocabulary:
         """Symbols left of each pre-token."""
         raw = [t.encode("utf-8", "replace") for t in tokens]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        count = np.zeros(len(raw), np.int64)
-        s = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
-        seq = np.repeat(np.arange(len(raw)), size)
+        code = np.frombuffer(b"".join(raw), np.uint8)
+        whole = np.repeat(np.arange(len(raw)), size)
+        if not len(code):
+            return np.zeros(len(raw), np.int64)
+        # Pieces that no merge joins, and the token of each.
+        first = np.append(True, (whole[1:] != whole[:-1]) | ~self.together[code[:-1], code[1:]])
+        start = np.flatnonzero(first)
+        owner, length = whole[start], np.diff(np.append(start, len(code)))
+        s = self.bytes[code]
+        counts = np.zeros(len(start), np.int64)
+        for k in np.flatnonzero(length > LONG):
+            counts[k] = self._merge_long(s[start[k] : start[k] + length[k]].tolist())
+        short = np.repeat(length <= LONG, length)
+        counts += self._merge_pieces(s[short], np.repeat(np.arange(len(start)), length)[short], len(start))
+        return np.bincount(owner, counts, len(raw)).astype(np.int64)
+
+    def _merge_long(self, s: list[int]) -> int:
+        """Symbols left of one long sequence: the lowest rank first, of equal ranks the leftmost."""
+        n = len(s)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        ranks, merged = self.ranks, self.merged
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get((s[i], s[i + 1]))) is not None]
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if s[i] < 0 or j < 0 or ranks.get((s[i], s[j])) != r:
+                continue
+            s[i], s[j] = int(merged[r]), -1
+            after[i] = k = after[j]
+            left -= 1
+            if k >= 0:
+                before[k] = i
+                if (r := ranks.get((s[i], s[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := ranks.get((s[h], s[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return left
+
+    def _merge_pieces(self, s: np.ndarray, seq: np.ndarray, n: int) -> np.ndarray:
+        """Symbols left of each of n sequences, given one after another with their numbers."""
+        count = np.zeros(n, np.int64)
         while len(s):
             rank = self._ranks(s, np.append(seq[1:] == seq[:-1], False)[: len(s)])
             start = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
@@ -120,7 +173,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text, a row for each row of docs.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids stay as they are; other columns
-    are ignored. The vocabulary file must be readable at the same path on every executor.
+    are ignored. Very long texts, also those without a break, are counted whole. The vocabulary file must be
+    readable at the same path on every executor.
     """
 
     def run(batches):
@@ -135,6 +189,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id
                     out += vocab.counts(texts[a : i + 1])
                     a, size = i + 1, 0
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": pa.array(out, pa.int64())})
+        vocab.known.clear()
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
