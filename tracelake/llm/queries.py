@@ -15,7 +15,7 @@ from tracelake.llm.mixing import mixed, plan, with_leaf
 from tracelake.llm.ngram_join import ngram_join
 from tracelake.llm.quality_classifier import quality_scores
 from tracelake.llm.quality_rules import quality_rules
-from tracelake.llm.sentencepiece_codec import decode, encode
+from tracelake.llm.sentencepiece_codec import round_trip
 from tracelake.llm.token_counts import token_counts
 
 
@@ -93,9 +93,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of pieces and a hash of the ids of every text, and whether they decode to the text again."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    rows = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

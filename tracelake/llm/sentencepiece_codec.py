@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 256
-CACHE_WORDS = 600_000
-CACHE_PAIRS = 400_000
+CACHE_BYTES = 48 << 20  # of known words and their ids, for each running task; the tables go with the task
+CACHE_PAIRS = 200_000
 
 
 class Model:
@@ -64,8 +64,13 @@ class Model:
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.cut = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
-        #: Ids of known words, as bytes of 32-bit integers.
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the tables that fill as texts are encoded."""
+        #: Ids of known words, as bytes of 32-bit integers, and about how much memory they take.
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -128,14 +133,16 @@ class Model:
                     i -= 1
             out.reverse()
             self.words[w] = array("i", out).tobytes()
+            self.held += 200 + 2 * len(w) + 4 * len(out)
             previous = w
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*cut) - self.words.keys()
-        if len(self.words) + len(new) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.words.clear()
+            self.held = 0
             new = set().union(*cut)
         self.encode_words(sorted(new))
         get = self.words.__getitem__
@@ -145,7 +152,8 @@ class Model:
         """Texts of lists of ids, given one after another; bytes that are no UTF-8 become U+FFFD, and the mark put in front goes."""
         size = self.size[ids]
         end = np.cumsum(size)
-        at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.start[ids] - (end - size), size)
+        at = np.repeat(self.start[ids] - (end - size), size)
+        at += np.arange(len(at))
         text = self.blob[at].tobytes()
         stop = np.concatenate(([0], end))[np.cumsum(count)].tolist()
         return [text[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip([0, *stop[:-1]], stop, strict=True)]
@@ -156,32 +164,61 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+def _encoded(m: Model, batch: pa.RecordBatch):
+    """(slice of batch, its texts, ids of each) for about SLICE_BYTES of text at a time, a longer text for itself."""
+    column = batch.column("text")
+    a, size, texts = 0, 0, []
+    for i in range(batch.num_rows):
+        texts.append(column[i].as_py())
+        size += len(texts[-1] or "")
+        if size >= SLICE_BYTES or i + 1 == batch.num_rows:
+            yield batch.slice(a, i + 1 - a), texts, m.encode([t or "" for t in texts])
+            a, size, texts = i + 1, 0, []
+
+
+def _ids_column(texts: list[str | None], ids: list[np.ndarray]) -> pa.Array:
+    ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)), mask=pa.array([t is None for t in texts]))
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, text and ids (array of int) of every whole text, one row for each row of docs.
 
-    A null text has null ids, an empty one has none. Repeated rows and null ids stay; other columns are ignored.
-    The model file must be readable at the same path on every executor.
+    A null text has null ids, an empty one has none; a very long text is encoded whole, its words apart. Repeated
+    rows and null ids stay; other columns are ignored. The model file must be readable at the same path on every
+    executor.
     """
 
     def run(batches):
         m = model(model_path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            a, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size < SLICE_BYTES and i + 1 < len(texts):
-                    continue
-                ids = m.encode([t or "" for t in texts[a : i + 1]])
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = pa.array(np.concatenate(ids))
-                none = pa.array([t is None for t in texts[a : i + 1]])
-                part = batch.slice(a, i + 1 - a)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "text": part.column("text"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=none)})
-                a, size = i + 1, 0
-
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+            for part, texts, ids in _encoded(m, batch):
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "text": part.column("text"), "ids": _ids_column(texts, ids)})
+        m.forget()
+
+    return _rows(docs, id_column, text_column).mapInArrow(run, "doc_id long, text string, ids array<int>")
+
+
+def round_trip(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, ids and round_trip (whether the ids decode to the text again; null for a null text), in one pass over docs.
+
+    The same as decode(encode(docs)) and a comparison, without sending texts back and forth.
+    """
+
+    def run(batches):
+        m = model(model_path)
+        for batch in batches:
+            for part, texts, ids in _encoded(m, batch):
+                back = m.decode(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+                same = pa.array([None if t is None else t == b for t, b in zip(texts, back, strict=True)], pa.bool_())
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": _ids_column(texts, ids), "round_trip": same})
+        m.forget()
+
+    return _rows(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str, ids_column: str = "ids", to: str = "decoded") -> DataFrame:
