@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -56,6 +57,17 @@ def test_token_counts(spark, docs, texts, odd, empty):
     assert token_counts.token_counts(empty, BPE).count() == 0
 
 
+def test_token_counts_of_long_words():
+    """Unbroken words of a hundred thousand signs: as the library counts them, without growing with their square."""
+    t, r = Tokenizer.from_file(BPE), np.random.default_rng(2)
+    for signs in ("abcdefghijklmnopqrstuvwxyz", "ab", "a", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "éÖ日"):
+        for n in (700, 100_000):
+            text = "".join(r.choice(list(signs), n))
+            began = time.time()
+            assert token_counts.vocabulary(BPE).counts([text]) == [len(t.encode(text, add_special_tokens=False).ids)]
+            assert time.time() - began < 20
+
+
 @pytest.mark.parametrize("text", ["aaaaaaaaaaaaaaa", "a<|endoftext|>b", "  x   y\n\n z", "it's 'tis we'll 123,456.78!!", "日本語 ñandú 😀😀", "\u0000  x"])
 def test_token_counts_of(text):
     t = Tokenizer.from_file(BPE)
@@ -70,6 +82,10 @@ def test_sentencepiece(spark, docs, texts, odd, empty):
         assert r["ids"] == (None if r["text"] is None else lib.encode(r["text"]))
         assert r["decoded"] == (None if r["text"] is None else r["text"].replace("▁", " "))
     assert sentencepiece_codec.encode(empty, PIECES).count() == 0
+    key = lambda r: (r["doc_id"] or 0, str(r["ids"]))
+    one = sorted(sentencepiece_codec.round_trip(odd, PIECES).collect(), key=key)
+    two = sorted(sentencepiece_codec.decode(sentencepiece_codec.encode(odd, PIECES), PIECES).collect(), key=key)
+    assert [(r["doc_id"], r["ids"], r["round_trip"]) for r in one] == [(r["doc_id"], r["ids"], None if r["text"] is None else r["text"] == r["decoded"]) for r in two]
 
 
 def shingles(text, n=3):
@@ -114,6 +130,30 @@ def test_ngram_join_chain_and_odd(spark, odd, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_repeated_ids(spark):
+    """Rows of one doc_id are one document: what any of its texts links with is in its group."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (9, "other words stand here"), (5, a), (-4, b), (11, None), (11, "other words stand here"), (12, " ".join(f"c{k}" for k in range(9)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_join(table).collect()}
+    assert got == {(3, -4), (5, -4), (7, -4), (-4, -4), (9, 9), (11, 9), (11, 11), (12, 12)}
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(table).collect() if r["text"])
+    assert kept == [(-4, b), (9, "other words stand here"), (12, rows[-1][1])]
+    again = spark.createDataFrame([(1, a), (1, a), (1, b)], "doc_id long, text string")
+    assert ngram_join.keep_one(again).count() == 1
+
+
+def test_ngram_join_hot_gram(spark):
+    """Many texts that share n-grams and differ otherwise, and many near copies of one."""
+    r = np.random.default_rng(3)
+    common = [f"x{k}" for k in range(4)]
+    rows = [(k, " ".join([*common, *(f"w{j}" for j in r.integers(0, 400, 36))])) for k in range(150)]
+    base = [f"y{k}" for k in range(80)]
+    rows += [(1000 + k, " ".join([*base[:k], f"z{k}", *base[k + 1 :]])) for k in range(80)]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups({i: shingles(t) for i, t in rows}, 90)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -294,7 +334,7 @@ def test_lm_learns_from_all(spark, docs):
     """The rounds together train on every token of every training document, once."""
     learn = docs.where(queries._remainder(7) != 2).select("doc_id", "text")
     lexicon = lm_scoring.lexicon_of(lm_scoring.stored(lm_scoring._token_counts(learn)), lm_scoring.FREQUENT)
-    assert lm_scoring.fit(learn, lexicon, lm_scoring.SHARE, lm_scoring.ROUNDS)[1] == lexicon.total
+    assert lm_scoring.fit(learn, lexicon, lm_scoring.ROUNDS)[1] == lexicon.total
 
 
 def test_lm_sums_to_one():
@@ -307,6 +347,73 @@ def test_lm_sums_to_one():
     assert 0 < total < 1
 
 
+def small_model(seed=0):
+    """A lexicon of a few words, weights away from their start in double precision, and documents."""
+    r = np.random.default_rng(seed)
+    counts = np.array([30, 20, 17, 11, 9, 8, 5, 3, 2])
+    words = [b" ", *(f"w{k}".encode() for k in range(8))]
+    tails = np.full((lm_scoring.TAILS, 2), 3.0)
+    lex = lm_scoring.Lexicon(words, counts, tails, 400, 120)
+    # Few classes, so that they hold several words each.
+    lex.klass[: lex.core] = np.minimum(np.arange(lex.core) // 3, 2)
+    lex.bounds = np.searchsorted(lex.klass[: lex.core], np.arange(lm_scoring.CLASSES + 1)).tolist()
+    p = {k: v.astype(np.float64) + r.standard_normal(v.shape) * 0.3 for k, v in lex.initial().items()}
+    docs = [lex.encode(" ".join(r.choice([f"w{k}" for k in range(8)] + ["odd", "new"], n)))[:2] for n in (7, 4, 1, 5, 0)]
+    return lex, p, docs
+
+
+def plain_score(lex, p, at, klass):
+    """Natural log probability of classes and core words, one token after the other, from the model's definition."""
+    d, h, total = lm_scoring.HIDDEN, np.zeros(lm_scoring.HIDDEN), 0.0
+    x = lex.core + lm_scoring.TAILS
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for a, c in zip(at, klass, strict=True):
+        g, u = p["x"][x] + p["b"], h @ p["u"]
+        z, r = sig(g[:d] + u[:d]), sig(g[d : 2 * d] + u[d : 2 * d])
+        h = z * h + (1 - z) * np.tanh(g[2 * d :] + r * u[2 * d :])
+        y = np.exp(h @ p["o"] + p["ob"])
+        total += np.log(y[c] / y.sum())
+        if c < lm_scoring.CLASSES:
+            y = np.exp(p["i"][lex.bounds[c] : lex.bounds[c + 1]] @ h + p["ib"][lex.bounds[c] : lex.bounds[c + 1]])
+            total += np.log(y[a - lex.bounds[c]] / y.sum())
+        x = a if c < lm_scoring.CLASSES else lex.core + c - lm_scoring.CLASSES
+    return total
+
+
+def test_lm_forward(monkeypatch):
+    """Lanes, windows and the carried state change nothing: each document's score is that of the plain recurrence."""
+    lex, p, docs = small_model()
+    want = [plain_score(lex, p, at, c) / math.log(10) for at, c in docs]
+    for lanes, window in ((1, 3), (2, 2), (512, 96)):
+        monkeypatch.setattr(lm_scoring, "SCORE_LANES", lanes)
+        monkeypatch.setattr(lm_scoring, "SCORE_WINDOW", window)
+        assert lm_scoring.score_docs(lex, p, docs) == pytest.approx(want, rel=1e-5)
+
+
+def test_lm_gradients():
+    """Backpropagation against differences of the loss, for every kind of weight."""
+    lex, p, docs = small_model(1)
+    grid = lm_scoring._grid(lex, docs, 2)
+    start = np.random.default_rng(4).standard_normal((grid[0].shape[1], lm_scoring.HIDDEN))
+    run = lambda q: lm_scoring.gradients(lex, q, *grid, start.copy())
+    loss, grad, rows, n = run(p)
+    assert n == sum(len(at) for at, _ in docs)
+    r = np.random.default_rng(6)
+    for k, v in p.items():
+        full = grad[k]
+        if k == "x":
+            full = np.zeros_like(v)
+            full[rows] = grad[k]
+        for _ in range(12):
+            at = tuple(int(r.integers(0, m)) for m in v.shape)
+            if k == "x":
+                at = (int(r.choice(rows)), at[1])
+            up, down = ({**p, k: v.copy()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert full[at] == pytest.approx((run(up)[0] - run(down)[0]) / 2e-5, abs=1e-7, rel=1e-4), k
+
+
 def test_lm_odd(spark, odd, empty):
     got = lm_scoring.lm_scores(odd, F.col("doc_id") > 3).collect()
     assert len(got) == odd.count() and all(math.isfinite(r["score"]) for r in got)
