@@ -18,7 +18,7 @@ from tracelake.llm.mixing import mix
 from tracelake.llm.ngram_join import keep_one
 from tracelake.llm.quality_rules import keep_good
 from tracelake.llm.queries import MIX_DOMAIN, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
-from tracelake.llm.sentencepiece_codec import decode, encode
+from tracelake.llm.sentencepiece_codec import round_trip
 
 
 _left: list[str] = []  # intermediate tables of the stage before
@@ -62,9 +62,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every text, and whether they decode to it again."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    both = decode(encode(docs, path), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    rows = round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [
