@@ -1,21 +1,25 @@
 """Line dedup: near copies of lines over all documents, of which each group keeps one.
 
-Method, in DataFrame functions only:
+Method, in DataFrame functions only. A shingle is a run of SHINGLE UTF-16 units of a line.
 
 * Lines are told apart by two 64-bit hashes; equal lines are one class from the start.
-* Signature: MinHash of all SHINGLE-character shingles of a line, hashed and sorted into a ring. Each of BANDS fixed
-  points of the ring gives a band: the ROWS hashes that follow it (a bottom-k MinHash begun at that point). So two
-  lines of Jaccard similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8, 0.9999 at
-  0.87. Points with no hash before the next point give that point's band again, which is written once.
+* Signature of a line of over RING characters: MinHash with one permutation. Each shingle's hash falls into one of
+  BANDS * ROWS bins, and a bin keeps its smallest hash; ROWS bins make a band. Two lines of Jaccard similarity s share a
+  band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.997 at 0.8, 0.9998 at 0.87. The shingles are exploded, hashed and
+  folded into their bins as plain columns, before anything is shuffled; equal lines share their rows of minima.
+* Lines of up to 1.25 * RING characters have too few shingles for as many bins. Their hashes are sorted into a ring; each
+  of RING_BANDS fixed points of it gives a band: the RING_ROWS hashes that follow it. Points with no hash before the next
+  point give that point's band again, which is written once. Lines in between have both kinds, since a near copy may be
+  longer. (Only a line that repeats itself can be a near copy of one much shorter; that pair is not found across RING.)
 * Lines of at most SHORT shingles are banded exactly: of n shingles a line shares m = ceil(0.8 n) or more with any near
   copy, so the two smallest hashes shared are among its n - m + 2 smallest; each two of these make a band. Lines just
-  under SHORT have both kinds, since a near copy may be longer.
-* Banding: lines that share a band are candidates. Each is compared with the band's most common line first; then,
-  after the links found so are joined, whatever shares a band across two components is compared too. So the groups
-  are those of all candidate pairs, without writing out the pairs of a large group.
-* Before verification, a bitmap of the parities of a line's shingles in BITS hash ranges: two sets differ in at least
-  as many shingles as their bitmaps differ in bits, so most pairs that are not near copies never meet as texts.
-* Verification: Jaccard similarity of the sets of all SHINGLE-character shingles (by 64-bit hash) of the two lines.
+  under SHORT have both kinds.
+* Banding: lines that share a band are candidates. Each is compared with the band's most common line; then, after the links
+  found so are joined, whatever shares a band across two components is compared too. So the groups are those of all
+  candidate pairs, without writing out the pairs of a large group.
+* Before verification, a bitmap of the parities of a line's shingles in BITS hash ranges: two sets differ in at least as
+  many shingles as their bitmaps differ in bits, so most pairs that are not near copies never meet as texts.
+* Verification: Jaccard similarity of the sets of all shingles (by 64-bit hash) of the two lines.
 * Distributed union-find joins the links; of each component the line of the smallest (doc_id, line number) stays.
 """
 
@@ -27,57 +31,80 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import BROADCAST_ROWS, components, stored
 
 SHINGLE = 8
-BANDS = 12
-ROWS = 4
+RING = 48  # characters
+BANDS = 8  # a power of two
+ROWS = 3
+RING_BANDS = 12
+RING_ROWS = 4
 SHORT = 24
 PERCENT = 80
 BITS = 1024  # enough to tell 0.77 from 0.8 for lines of 600 characters
 
 _SHINGLES = "(?s)(?=(.{%d}))" % SHINGLE
+_WORD = r"[^\x20\x09-\x0D]"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, line) of the lines with a word, n from 0; documents without id are left out."""
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+def _lines(docs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, doc_id, n, line) of the lines with a word, n from 0; documents without id are left out."""
+    lines = docs.where("doc_id is not null and text is not null").select(*keys, "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.where(F.col("line").rlike(_WORD))
 
 
 def _shingles(line):
     """Distinct hashes of a line's shingles; a line shorter than a shingle is one."""
-    hashed = F.transform(F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1)), lambda s: F.xxhash64(s))
-    return F.when(F.char_length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(hashed))
+    hashed = F.transform(F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1)), lambda s: F.xxhash64(F.encode(s, "UTF-16BE")))
+    return F.when(F.char_length(line) < SHINGLE, F.array(F.xxhash64(F.encode(line, "UTF-16BE")))).otherwise(F.array_distinct(hashed))
 
 
-def _bands(lines: DataFrame, percent: int) -> DataFrame:
-    """lines with their hashes, length and bands. Short lines' bands hold any near copy if percent is over 50."""
+def _exploded(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, x): the hash of every shingle of the lines, a row each, repeated ones too. All of it is generated code."""
+    units = F.octet_length("units") / 2
+    lines = lines.select(*keys, F.encode("line", "UTF-16BE").alias("units"))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), (units - SHINGLE).cast("int")))
+    return lines.select(*keys, "units", F.explode(places).alias("i")).select(*keys, F.xxhash64(F.substr("units", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("x"))
+
+
+def _long_bands(lines: DataFrame) -> DataFrame:
+    """(h, band) of lines of over RING characters."""
+    rows = _exploded(lines.where(F.char_length("line") > RING).select(F.xxhash64("line").alias("h"), "line"), "h")
+    row = F.shiftright(F.shiftright("x", 3).bitwiseAND(F.lit(0xFFFF)) * ROWS, 16)
+    rows = rows.select("h", F.col("x").bitwiseAND(F.lit(BANDS - 1)).alias("b"), row.alias("r"), F.shiftrightunsigned("x", 20).alias("v"))
+    minima = [F.min(F.when(F.col("r") == k, F.col("v"))).alias(f"v{k}") for k in range(ROWS)]
+    return rows.groupBy("h", "b").agg(*minima).select("h", F.xxhash64("b", *(F.coalesce(f"v{k}", F.lit(-1)) for k in range(ROWS))).alias("band"))
+
+
+def _ring_bands(lines: DataFrame, percent: int) -> DataFrame:
+    """(h, band) of lines of up to 1.25 * RING characters. Short lines' bands hold any near copy if percent is over 50."""
+    lines = lines.where(F.char_length("line") <= RING * 100 // percent).select(F.xxhash64("line").alias("h"), "line")
     lines = lines.withColumn("s", F.sort_array(_shingles(F.col("line")))).withColumn("n_s", F.size("s"))
     n = F.col("n_s")
-    # Where on the ring of hashes each point's next hash stands: the first hash of each of BANDS ranges.
-    part = lambda i: F.shiftright(F.shiftrightunsigned(F.element_at("s", i), 32) * BANDS, 32)
+    # Where on the ring of hashes each point's next hash stands: the first hash of each of RING_BANDS ranges.
+    part = lambda i: F.shiftright(F.shiftrightunsigned(F.element_at("s", i), 32) * RING_BANDS, 32)
     first = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, True).otherwise(part(i) != part(F.greatest(i - 1, F.lit(1)))))
-    lines = lines.withColumn("first", F.when(n * 100 > SHORT * percent, first)).withColumn("ring", F.when(F.col("first").isNotNull(), F.concat("s", F.slice("s", 1, ROWS - 1))))
-    long = F.transform("first", lambda i: F.xxhash64(F.slice("ring", i, ROWS)))
+    lines = lines.withColumn("first", F.when(n * 100 > SHORT * percent, first)).withColumn("ring", F.when(F.col("first").isNotNull(), F.concat("s", F.slice("s", 1, RING_ROWS - 1))))
+    long = F.transform("first", lambda i: F.xxhash64(F.slice("ring", i, RING_ROWS)))
     few = F.slice("s", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 2)
     lines = lines.withColumn("few", F.when(n <= SHORT, few))
     two = F.flatten(F.transform("few", lambda x, i: F.transform(F.slice("few", i + 2, SHORT), lambda y: F.xxhash64(x, y))))
     short = F.when(n == 1, F.transform("s", lambda x: F.xxhash64(x))).otherwise(two)
     none = F.array().cast("array<bigint>")
-    bands = F.array_distinct(F.concat(F.coalesce(long, none), F.coalesce(short, none)))
-    return lines.select("doc_id", "n", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.char_length("line").alias("chars"), bands.alias("bands"))
+    return lines.select("h", F.explode(F.array_distinct(F.concat(F.coalesce(long, none), F.coalesce(short, none)))).alias("band"))
+
 
+def _candidates(docs: DataFrame, firsts: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, line) and bitmaps (id, size, m0, m1, ...) of the lines that share a band with another.
 
-def _candidates(docs: DataFrame, classes: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts (id, line) and bitmaps (id, size, m0, m1, ...) of the classes that share a band with another."""
-    ids = postings.select("id").distinct()
-    wanted = stored(classes.join(ids, "id").select("id", "doc_id", "n", "h", "g"))
+    Dealing out the texts by id serves all the groupings, so no shingle is shuffled.
+    """
+    wanted = stored(firsts.drop("copies").join(postings.select("id").distinct(), "id"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = _lines(docs).join(side, ["doc_id", "n"]).where((F.xxhash64("line") == F.col("h")) & (F.xxhash64("line", F.lit(1)) == F.col("g")))
+    texts = _lines(docs).join(side, ["doc_id", "n"]).where(F.xxhash64("line") == F.col("id"))
     texts = stored(texts.select("id", "line").dropDuplicates(["id"]))
-    hashed = texts.select("id", F.explode(_shingles(F.col("line"))).alias("x"))
-    bit = F.expr("shiftleft(1L, cast(x & 63 as int))")
-    word = F.shiftright("x", 6).bitwiseAND(F.lit(BITS // 64 - 1))
-    marks = [F.bit_xor(F.when(word == k, bit).otherwise(0)).alias(f"m{k}") for k in range(BITS // 64)]
-    return texts, stored(hashed.groupBy("id").agg(F.count("*").alias("size"), *marks))
+    word = F.shiftright("x", 6).bitwiseAND(F.lit(BITS // 64 - 1)).cast("int").alias("w")
+    shingles = _exploded(texts.repartition("id"), "id").groupBy("id", "x").agg(F.lit(1).alias("one"))
+    parts = shingles.groupBy("id", word).agg(F.count("*").alias("k"), F.bit_xor(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits"))
+    marks = [F.coalesce(F.max(F.when(F.col("w") == k, F.col("bits"))), F.lit(0)).alias(f"m{k}") for k in range(BITS // 64)]
+    return texts, stored(parts.groupBy("id").agg(F.sum("k").alias("size"), *marks))
 
 
 def _may_link(x: str, y: str, percent: int):
@@ -89,27 +116,32 @@ def _may_link(x: str, y: str, percent: int):
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of stored pairs (a, b) of class numbers, those of Jaccard percent / 100 or more."""
-    of = lambda k: texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", _shingles(F.col("line_a")).alias("x"), _shingles(F.col("line_b")).alias("y"))
+    """Of stored pairs (c, m) of lines' ids, those of Jaccard percent / 100 or more, as (a, b). A pair is one row throughout."""
+    side = lambda k: texts.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}"))
+    both = pairs.join(side("c"), "c").join(side("m"), "m")
+    both = both.select("c", "m", _shingles(F.col("line_c")).alias("x"), _shingles(F.col("line_m")).alias("y"))
     both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("same") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
+    return both.where(F.col("same") * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
 
 
 def _groups(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Classes of lines with more than one line or a link: h, g, and the (first_doc, first_n) that stays."""
     by_class = ["h", "g"]
-    classes = lines.groupBy(*by_class).agg(F.min(F.struct("doc_id", "n", "bands")).alias("first"), F.count("*").alias("copies"))
-    classes = stored(classes.select(*by_class, "first.doc_id", "first.n", "first.bands", "copies", F.monotonically_increasing_id().alias("id")))
+    classes = lines.groupBy(*by_class).agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("copies"))
+    classes = stored(classes.select(*by_class, "first.doc_id", "first.n", "copies"))
+    # A node is a line's first hash. Should two lines share it, the smaller one of them takes part.
+    firsts = classes.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc_id", "n", "copies")).alias("first")).select("id", "first.*")
     by_band = Window.partitionBy("band")
-    postings = classes.select("id", "copies", F.explode("bands").alias("band"))
-    postings = postings.withColumn("many", F.min("id").over(by_band) != F.max("id").over(by_band)).where("many").drop("many")
-    postings = stored(postings.withColumn("center", F.max(F.struct("copies", "id")).over(by_band)["id"]))
-    texts, bitmaps = _candidates(docs, classes, postings)
+    both = _lines(docs)
+    postings = _long_bands(both).union(_ring_bands(both, percent).distinct()).select("band", F.col("h").alias("id"))
+    postings = postings.withColumn("many", F.min("id").over(by_band) != F.max("id").over(by_band))
+    postings = stored(postings.where("many").select("band", "id"))
+    center = F.max(F.struct("copies", "id")).over(by_band)["id"]
+    postings = stored(postings.join(firsts.select("id", "copies"), "id").select("band", "id", center.alias("center")))
+    texts, bitmaps = _candidates(docs, firsts, postings)
     side = lambda key, p: bitmaps.select(F.col("id").alias(key), *(F.col(c).alias(f"{p}{c}") for c in bitmaps.columns if c != "id"))
-    order = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    star = postings.where("center <> id").select(*order("center", "id")).distinct()
-    tested = stored(star.join(side("a", "x_"), "a").join(side("b", "y_"), "b").where(_may_link("x_", "y_", percent)).select("a", "b"))
+    star = postings.where("center <> id").select(F.col("center").alias("c"), F.col("id").alias("m")).distinct()
+    tested = stored(star.join(side("c", "x_"), "c").join(side("m", "y_"), "m").where(_may_link("x_", "y_", percent)).select("c", "m"))
     links = stored(_verified(texts, tested, percent))
     labels = components(links)
     open_ = postings.select("band", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -118,15 +150,18 @@ def _groups(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     part = lambda p: open_.select("band", *(F.col(c).alias(f"{p}{c}") for c in open_.columns if c != "band"))
     x, y = part("x_"), part("y_")
     rest = x.join(y, (x["band"] == y["band"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_label") != F.col("y_label")) & _may_link("x_", "y_", percent))
-    rest = rest.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
-    rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
+    rest = rest.select(F.col("x_id").alias("c"), F.col("y_id").alias("m")).distinct()
+    known = tested.select(F.least("c", "m").alias("c"), F.greatest("c", "m").alias("m"))
+    rest = stored(rest.join(known, ["c", "m"], "left_anti"))
     labels = components(links.union(_verified(texts, rest, percent)))
     # First line of each component, then back to the classes.
-    linked = stored(classes.join(labels.withColumnRenamed("node", "id"), "id").select(*by_class, "doc_id", "n", "label"))
-    firsts = linked.groupBy("label").agg(F.min(F.struct("doc_id", "n")).alias("first"))
-    linked_ids = linked.join(firsts, "label").select(*by_class, F.col("first.doc_id").alias("first_doc"), F.col("first.n").alias("first_n"))
-    single = classes.where("copies > 1").join(labels.select(F.col("node").alias("id")), "id", "left_anti")
-    return stored(linked_ids.union(single.select(*by_class, F.col("doc_id").alias("first_doc"), F.col("n").alias("first_n"))))
+    linked = stored(firsts.drop("copies").join(labels.withColumnRenamed("node", "id"), "id"))
+    least = linked.groupBy("label").agg(F.min(F.struct("doc_id", "n")).alias("first"))
+    linked = stored(linked.join(least, "label").select("doc_id", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.n").alias("first_n")))
+    if linked.count() <= BROADCAST_ROWS:
+        linked = F.broadcast(linked)
+    found = classes.join(linked, ["doc_id", "n"], "left").where("copies > 1 or first_doc is not null")
+    return stored(found.select(*by_class, F.coalesce("first_doc", "doc_id").alias("first_doc"), F.coalesce("first_n", "n").alias("first_n")))
 
 
 def dropped_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +172,8 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     and a line of theirs is never dropped for the same line of a repeated row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = stored(_bands(_lines(docs), percent))
+    lines = _lines(docs).select("doc_id", "n", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.char_length("line").alias("chars"))
+    lines = stored(lines)
     groups = _groups(docs, lines, percent)
     gone = lines.select("doc_id", "n", "h", "g").join(groups, ["h", "g"]).where("first_doc <> doc_id or first_n <> n").select("doc_id", "n")
     return lines.select("doc_id", "n", "chars"), stored(gone.distinct())
