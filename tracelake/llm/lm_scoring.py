@@ -31,18 +31,19 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import stored
 
 CORE = 2047
-CLASSES = 64
-TAILS = 32
-HIDDEN = 24
+CLASSES = 32
+TAILS = 16
+HIDDEN = 16
 FREQUENT = 150_000
-SHARE = 1  # all training documents
 ROUNDS = 3
 WINDOW = 32
-LANES = 64
+LANES = 256
 SCORE_LANES = 512
-SCORE_WINDOW = 128  # the state is carried on, so only the size of the arrays depends on it
-SHARD_TOKENS = 1_500_000
+SCORE_WINDOW = 96  # the state is carried on, so only the size of the arrays depends on it
+SHARD_TOKENS = 4_000_000
 SLICE_BYTES = 4 << 20
+LONG_BYTES = 12_000  # longer texts of a task wait for each other: one of them alone would take a step for each token
+LONG_HELD = 16 << 20  # bytes of text that wait at most, besides one more text
 END = " "  # no word holds a space
 _OUT = CLASSES + TAILS
 
@@ -97,11 +98,8 @@ class Lexicon:
         cut = (np.cumsum(root) - root) / max(root.sum(), 1e-9)
         self.klass = np.full(len(words), -1, np.int32)
         self.klass[:core] = np.minimum((cut * CLASSES).astype(np.int32), CLASSES - 1)
-        self.place = np.zeros(len(words), np.int32)
-        for c in range(CLASSES):
-            at = np.flatnonzero(self.klass[:core] == c)
-            self.place[at] = np.arange(len(at))
-        self.width = int(self.place.max()) + 1 if core else 1
+        #: Core words are in order of their classes: class c holds those from bounds[c] up to bounds[c + 1].
+        self.bounds = np.searchsorted(self.klass[:core], np.arange(CLASSES + 1)).tolist()
         for i in range(core, len(words)):
             self.klass[i] = CLASSES + tail_class(words[i])
         self.core = core
@@ -117,17 +115,16 @@ class Lexicon:
         out = np.zeros(_OUT)
         np.add.at(out, self.klass[: self.core], self.counts[: self.core])
         out[CLASSES:] = self.tail_sums[:, 0]
-        inner = np.full((CLASSES, self.width), -30.0)
-        inner[self.klass[: self.core], self.place[: self.core]] = np.log(self.counts[: self.core] + 0.1)
+        inner = np.log(self.counts[: self.core] + 0.1)
         w = lambda *s: (r.standard_normal(s) * 0.1).astype(f)
-        return {"x": w(n_in, 3 * HIDDEN), "u": w(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, f), "o": np.zeros((HIDDEN, _OUT), f), "ob": np.log(out + 0.5).astype(f), "i": np.zeros((CLASSES, HIDDEN, self.width), f), "ib": inner.astype(f)}
+        return {"x": w(n_in, 3 * HIDDEN), "u": w(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, f), "o": np.zeros((HIDDEN, _OUT), f), "ob": np.log(out + 0.5).astype(f), "i": np.zeros((self.core, HIDDEN), f), "ib": inner.astype(f)}
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Indexes in the frequent list (-1 if not in it) and input/output classes of a text's tokens and its end."""
         words = tokens(text)
         words.append(END.encode())
         get = self.ids
-        at = np.fromiter(map(get.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(get.__getitem__, words), np.int32, len(words))
         missing = [words[i] for i in np.flatnonzero(at < 0)]
         klass = self.klass[at]
         if missing:
@@ -136,7 +133,8 @@ class Lexicon:
 
 
 def _sigmoid(x):
-    y = np.exp(-x)
+    y = np.negative(x)
+    np.exp(y, out=y)
     y += 1
     return np.reciprocal(y, out=y)
 
@@ -158,13 +156,13 @@ def _lanes(docs: list[tuple[np.ndarray, np.ndarray]], n_lanes: int):
 
 
 def _grid(lexicon: Lexicon, docs, n_lanes: int):
-    """Arrays by step and lane: input id (that of the previous token), class, place, document, reset, and lanes alive."""
+    """Arrays by step and lane: input id (that of the previous token), class, core word, document, reset, and lanes alive."""
     lanes = _lanes(docs, n_lanes)
     size = [sum(len(docs[k][0]) for k in lane) for lane in lanes]
     steps = size[0]
     start = lexicon.core + TAILS
     shape = (steps, len(lanes))
-    x, klass, place, doc = (np.zeros(shape, np.int32) for _ in range(4))
+    x, klass, word, doc = (np.zeros(shape, np.int32) for _ in range(4))
     fresh = np.zeros(shape, bool)
     doc[:] = -1
     for j, lane in enumerate(lanes):
@@ -175,50 +173,56 @@ def _grid(lexicon: Lexicon, docs, n_lanes: int):
             inputs = np.where(at >= 0, lexicon.input[at], lexicon.core + c - CLASSES)
             x[t, j], x[t + 1 : t + n, j] = start, inputs[:-1]
             klass[t : t + n, j] = c
-            place[t : t + n, j] = np.where(c < CLASSES, lexicon.place[at], 0)
+            word[t : t + n, j] = at
             doc[t : t + n, j] = k
             fresh[t, j] = True
             t += n
     alive = (doc >= 0).sum(axis=1)
-    return x, klass, place, doc, fresh, alive
+    return x, klass, word, doc, fresh, alive
 
 
 def _forward(p, x, fresh, alive, h, keep=None):
-    """Hidden states after each step of a window; keep, if given, gets what backpropagation needs."""
+    """Hidden states after each step of a window; keep, if given, gets what backpropagation needs, by step and lane."""
     d = HIDDEN
-    gx = p["x"][x] + p["b"]
-    out = np.zeros((*x.shape, d), np.float32)
+    gx = (p["x"] + p["b"])[x]
+    out = np.zeros((*x.shape, d), gx.dtype)
+    if keep is not None:
+        keep["prev"], keep["un"], keep["n"], keep["zr"] = (np.zeros((*x.shape, k), gx.dtype) for k in (d, d, d, 2 * d))
     for t in range(len(x)):
         m = alive[t]
         if not m:
             break
-        prev = np.where(fresh[t, :m, None], np.float32(0), h[:m])
+        prev = h[:m].copy()
+        prev[fresh[t, :m]] = 0
         u = prev @ p["u"]
         g = gx[t, :m]
         zr = _sigmoid(g[:, : 2 * d] + u[:, : 2 * d])
         z, r = zr[:, :d], zr[:, d:]
-        n = np.tanh(g[:, 2 * d :] + r * u[:, 2 * d :])
-        now = n + z * (prev - n)
+        n = r * u[:, 2 * d :]
+        n += g[:, 2 * d :]
+        np.tanh(n, out=n)
+        now = prev - n
+        now *= z
+        now += n
         out[t, :m] = now
         if keep is not None:
-            keep.append((prev, u[:, 2 * d :], z, r, n))
+            keep["prev"][t, :m], keep["un"][t, :m], keep["n"][t, :m], keep["zr"][t, :m] = prev, u[:, 2 * d :], n, zr
         h[:m] = now
     return out
 
 
-def _class_logs(p, states):
-    y = states @ p["o"] + p["ob"]
-    y -= y.max(axis=1, keepdims=True)
-    e = np.exp(y)
-    s = e.sum(axis=1, keepdims=True)
-    return y - np.log(s), e / s
+def _by_class(c: np.ndarray):
+    """(class, places of the tokens of that core class) for the core classes that occur in c."""
+    order = np.argsort(c, kind="stable")
+    ends = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+    return [(g, order[ends[g] : ends[g + 1]]) for g in range(CLASSES) if ends[g] < ends[g + 1]]
 
 
 def score_docs(lexicon: Lexicon, p, docs) -> np.ndarray:
     """log10 P(classes and core words) of each document; tail words' own share comes from their counts."""
     if not docs:
         return np.zeros(0)
-    x, klass, place, doc, fresh, alive = _grid(lexicon, docs, SCORE_LANES)
+    x, klass, word, doc, fresh, alive = _grid(lexicon, docs, SCORE_LANES)
     total = np.zeros(len(docs))
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
     for a in range(0, len(x), SCORE_WINDOW):
@@ -226,100 +230,126 @@ def score_docs(lexicon: Lexicon, p, docs) -> np.ndarray:
         m = int(alive[a])
         states = _forward(p, x[a:b, :m], fresh[a:b, :m], alive[a:b], h)
         at = np.flatnonzero(doc[a:b, :m].ravel() >= 0)
-        s, c, w, k = states.reshape(-1, HIDDEN)[at], klass[a:b, :m].ravel()[at], place[a:b, :m].ravel()[at], doc[a:b, :m].ravel()[at]
+        s, c, w, k = states.reshape(-1, HIDDEN)[at], klass[a:b, :m].ravel()[at], word[a:b, :m].ravel()[at], doc[a:b, :m].ravel()[at]
         y = s @ p["o"]
         y += p["ob"]
         y -= y.max(axis=1, keepdims=True)
         got = y[np.arange(len(c)), c].astype(np.float64)
         got -= np.log(np.exp(y, out=y).sum(axis=1))
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            q = order[ends[g] : ends[g + 1]]
-            if len(q):
-                y = s[q] @ p["i"][g]
-                y += p["ib"][g]
+        for g, q in _by_class(c):
+            lo, hi = lexicon.bounds[g], lexicon.bounds[g + 1]
+            if hi - lo > 1:  # a class of one word says nothing more
+                y = s[q] @ p["i"][lo:hi].T
+                y += p["ib"][lo:hi]
                 y -= y.max(axis=1, keepdims=True)
-                own = y[np.arange(len(q)), w[q]]
+                own = y[np.arange(len(q)), w[q] - lo]
                 got[q] += own - np.log(np.exp(y, out=y).sum(axis=1))
         total += np.bincount(k, got, len(docs))
     return total / np.log(10)
 
 
+def gradients(lexicon: Lexicon, p, x, klass, word, doc, fresh, alive, h):
+    """Loss (mean of -ln P over a window's tokens), its gradients, the input ids that occur, and the number of tokens.
+
+    The arrays are those of one window of _grid, lanes alive first; h is the state carried in and is moved on.
+    Backpropagation ends at the window's beginning. The gradient of "x" has a row for each input id that occurs.
+    """
+    d, m = HIDDEN, x.shape[1]
+    kept: dict[str, np.ndarray] = {}
+    states = _forward(p, x, fresh, alive, h, kept)
+    at = np.flatnonzero(doc.ravel() >= 0)
+    s, c, w = states.reshape(-1, d)[at], klass.ravel()[at], word.ravel()[at]
+    n, loss = len(c), 0.0
+    q = s @ p["o"]
+    q += p["ob"]
+    q -= q.max(axis=1, keepdims=True)
+    loss -= float(q[np.arange(n), c].sum())
+    np.exp(q, out=q)
+    total = q.sum(axis=1, keepdims=True)
+    loss += float(np.log(total).sum())
+    q /= total
+    q[np.arange(n), c] -= 1
+    q /= n
+    grad = {"o": s.T @ q, "ob": q.sum(axis=0), "i": np.zeros_like(p["i"]), "ib": np.zeros_like(p["ib"]), "u": np.zeros_like(p["u"])}
+    ds = q @ p["o"].T
+    for g, r in _by_class(c):
+        lo, hi = lexicon.bounds[g], lexicon.bounds[g + 1]
+        if hi - lo > 1:
+            own = s[r]
+            y = own @ p["i"][lo:hi].T
+            y += p["ib"][lo:hi]
+            y -= y.max(axis=1, keepdims=True)
+            places = (np.arange(len(r)), w[r] - lo)
+            loss -= float(y[places].sum())
+            np.exp(y, out=y)
+            total = y.sum(axis=1, keepdims=True)
+            loss += float(np.log(total).sum())
+            y /= total
+            y[places] -= 1
+            y /= n
+            grad["i"][lo:hi], grad["ib"][lo:hi] = y.T @ own, y.sum(axis=0)
+            ds[r] += y @ p["i"][lo:hi]
+    dstates = np.zeros((states.shape[0] * m, d), states.dtype)
+    dstates[at] = ds
+    dstates = dstates.reshape(-1, m, d)
+    # What a state's gradient is multiplied by, for all steps at once; the loop only carries it from step to step.
+    z, r, new = kept["zr"][..., :d], kept["zr"][..., d:], kept["n"]
+    to = np.empty((*x.shape, 3, d), states.dtype)
+    to[..., 0, :] = (kept["prev"] - new) * z * (1 - z)
+    to[..., 2, :] = (1 - z) * (1 - new * new)
+    to[..., 1, :] = to[..., 2, :] * kept["un"] * r * (1 - r)
+    to_u = to.copy()
+    to_u[..., 2, :] *= r
+    back = np.zeros((m, d), states.dtype)
+    ut = np.ascontiguousarray(p["u"].T)
+    for t in range(len(x) - 1, -1, -1):
+        k = int(alive[t])
+        dh = dstates[t, :k]
+        dh += back[:k]
+        more = (to_u[t, :k] * dh[:, None, :]).reshape(k, 3 * d) @ ut
+        more += dh * z[t, :k]
+        more[fresh[t, :k]] = 0
+        back[:k] = more
+    grad["u"] = kept["prev"].reshape(-1, d).T @ (to_u * dstates[:, :, None, :]).reshape(-1, 3 * d)
+    dgx = to
+    dgx *= dstates[:, :, None, :]
+    flat = dgx.reshape(-1, 3 * d)
+    grad["b"] = flat.sum(axis=0)
+    ids = x.ravel()
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+    grad["x"] = np.add.reduceat(flat[order], first, axis=0)
+    return loss / n, grad, ids[order][first], n
+
+
 def train(lexicon: Lexicon, p, docs, rate: float) -> tuple[dict[str, np.ndarray], int]:
     """One pass of truncated backpropagation with Adam over docs; the weights and the number of tokens."""
     p = {k: v.copy() for k, v in p.items()}
     if not docs:
         return p, 0
-    x, klass, place, doc, fresh, alive = _grid(lexicon, docs, LANES)
+    x, klass, word, doc, fresh, alive = _grid(lexicon, docs, LANES)
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
-    d, step, seen = HIDDEN, 0, 0
+    step, seen = 0, 0
     for a in range(0, len(x), WINDOW):
-        b = min(a + WINDOW, len(x))
         m = int(alive[a])
-        kept: list = []
-        states = _forward(p, x[a:b, :m], fresh[a:b, :m], alive[a:b], h, kept)
-        at = np.flatnonzero(doc[a:b, :m].ravel() >= 0)
-        s, c, w = states.reshape(-1, d)[at], klass[a:b, :m].ravel()[at], place[a:b, :m].ravel()[at]
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        _, q = _class_logs(p, s)
-        q[np.arange(len(c)), c] -= 1
-        q /= len(c)
-        grad["o"], grad["ob"] = s.T @ q, q.sum(axis=0)
-        ds = q @ p["o"].T
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            r = order[ends[g] : ends[g + 1]]
-            if len(r):
-                y = s[r] @ p["i"][g] + p["ib"][g]
-                y = np.exp(y - y.max(axis=1, keepdims=True))
-                y /= y.sum(axis=1, keepdims=True)
-                y[np.arange(len(r)), w[r]] -= 1
-                y /= len(c)
-                grad["i"][g], grad["ib"][g] = s[r].T @ y, y.sum(axis=0)
-                ds[r] += y @ p["i"][g].T
-        dstates = np.zeros((b - a) * m * d, np.float32).reshape(-1, d)
-        dstates[at] = ds
-        dstates = dstates.reshape(b - a, m, d)
-        dgx = np.zeros((b - a, m, 3 * d), np.float32)
-        back = np.zeros((m, d), np.float32)
-        for t in range(len(kept) - 1, -1, -1):
-            prev, un, z, r, n = kept[t]
-            k = len(prev)
-            dh = dstates[t, :k] + back[:k]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (prev - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            dgx[t, :k, :d], dgx[t, :k, d : 2 * d], dgx[t, :k, 2 * d :] = dz, dr, dn
-            du = np.concatenate((dz, dr, dn * r), axis=1)
-            grad["u"] += prev.T @ du
-            back[:k] = np.where(fresh[a + t, :k, None], np.float32(0), dh * z + du @ p["u"].T)
-            back[k:] = 0
-        flat = dgx.reshape(-1, 3 * d)
-        grad["b"] = flat.sum(axis=0)
-        ids = x[a:b, :m].ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-        grad["x"][ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
+        part = (v[a : a + WINDOW, :m] for v in (x, klass, word, doc, fresh))
+        _, grad, rows, n = gradients(lexicon, p, *part, alive[a : a + WINDOW], h)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         step += 1
-        seen += len(c)
-        pace = rate * len(c) / (LANES * WINDOW)  # where few lanes are left, one document must not weigh as much as all lanes
+        seen += n
+        pace = rate * n / (LANES * WINDOW)  # where few lanes are left, one document must not weigh as much as all lanes
         for k, g in grad.items():
+            g *= scale
             if k == "x":  # rows not in this window stay as they are
-                rows = ids[order][first]
-                g = g[rows] * scale
-                m1[k][rows] = 0.9 * m1[k][rows] + 0.1 * g
-                m2[k][rows] = 0.99 * m2[k][rows] + 0.01 * g * g
-                p[k][rows] -= pace * m1[k][rows] / (np.sqrt(m2[k][rows]) + 1e-6)
+                one, two = 0.9 * m1[k][rows] + 0.1 * g, 0.99 * m2[k][rows] + 0.01 * g * g
+                m1[k][rows], m2[k][rows] = one, two
+                p[k][rows] -= pace * one / (np.sqrt(two) + 1e-6)
             else:
-                g = g * scale
-                m1[k] = 0.9 * m1[k] + 0.1 * g
-                m2[k] = 0.99 * m2[k] + 0.01 * g * g
-                p[k] -= pace * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+                m1[k] += 0.1 * (g - m1[k])
+                m2[k] += 0.01 * (g * g - m2[k])
+                p[k] -= (pace / (1 - 0.9**step)) * m1[k] / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
     return p, seen
 
 
@@ -346,15 +376,23 @@ def _mean_weights(batches):
         yield pa.record_batch({"weights": pa.array([_dump({a: v / n for a, v in total.items()})], pa.binary()), "n": pa.array([n], pa.int64())})
 
 
-def fit(docs: DataFrame, lexicon: Lexicon, share: int, rounds: int) -> tuple[dict[str, np.ndarray], int]:
-    """Train on 1 of share of docs (doc_id, text), split by hash into rounds and shards: the weights and the tokens learned from."""
+def _partition_keys(spark, n: int) -> list[int]:
+    """A key for each of n partitions that Spark's hash partitioning puts there, so that no two shards meet in one."""
+    place = F.pmod(F.hash(F.col("id")), F.lit(n)).alias("place")
+    rows = spark.range(40 * n + 100).groupBy(place).agg(F.min("id").alias("key")).collect()  # n rows at most
+    return [r["key"] for r in rows]
+
+
+def fit(docs: DataFrame, lexicon: Lexicon, rounds: int) -> tuple[dict[str, np.ndarray], int]:
+    """Train on all docs (doc_id, text), split by hash into rounds and shards: the weights and the tokens learned from."""
     sc = docs.sparkSession.sparkContext
     p = lexicon.initial()
     learned = 0
     if lexicon.core == 0:
         return p, learned
-    shards = max(1, round(lexicon.total / share / rounds / SHARD_TOKENS))
-    mark = F.pmod(F.xxhash64(F.lit("lm"), F.col("doc_id")), F.lit(share * rounds))
+    shards = max(1, round(lexicon.total / rounds / SHARD_TOKENS))
+    keys = F.array(*map(F.lit, _partition_keys(docs.sparkSession, shards)))
+    mark = F.pmod(F.xxhash64(F.lit("lm"), F.col("doc_id")), F.lit(rounds))
     words = sc.broadcast(lexicon)
     for k in range(rounds):
         start = sc.broadcast(p)
@@ -362,17 +400,15 @@ def fit(docs: DataFrame, lexicon: Lexicon, share: int, rounds: int) -> tuple[dic
 
         def run(batches, start=start, rate=rate):
             lex = words.value
-            docs, texts = [], []
+            docs = []
             for batch in batches:
-                texts += batch.column("text").to_pylist()
-            for t in texts:
-                at, klass, _ = lex.encode(t)
-                docs.append((at, klass))
+                docs += [lex.encode(t)[:2] for t in batch.column("text").to_pylist()]
             q, n = train(lex, start.value, docs, rate)
             if n:
                 yield pa.record_batch({"weights": pa.array([_dump(q)], pa.binary()), "n": pa.array([n], pa.int64())})
 
-        part = docs.where(mark == k * share).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+        shard = F.get(keys, F.pmod(F.xxhash64("doc_id"), F.size(keys)).cast("int"))
+        part = docs.where(mark == k).select("text", shard.alias("shard"))
         trained = part.repartition(shards, "shard").select("text").mapInArrow(run, "weights binary, n long")
         means = trained.repartition(max(1, shards // 64)).mapInArrow(_mean_weights, "weights binary, n long")
         rows = means.repartition(1).mapInArrow(_mean_weights, "weights binary, n long").collect()
@@ -400,51 +436,67 @@ def lexicon_of(counts: DataFrame, frequent: int) -> Lexicon:
     return Lexicon(words, number, tails, sums["n"] or 0, sums["v"] or 0)
 
 
-def lm_scores(docs: DataFrame, training, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, training, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """Log probability of every whole text under the trained model, beside that of an add-one unigram model.
 
     training is a condition on doc_id: the rows to learn from. Returns doc_id, held_out (not learned from), n_tokens,
     n_known, train_tokens, base_score and score, one row for each row of docs. A null text is empty: its end token
     alone is scored. A null doc_id is held out. Without any training row the counts are all 0 and the model is the
-    untrained one. Repeated rows are scored each; other columns are ignored.
+    untrained one. Words beyond the frequent list are counted by a join. Very long texts are scored whole, those of
+    a task together. Repeated rows are scored each; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     learn = docs.where(F.coalesce(training, F.lit(False)))
     counts = stored(_token_counts(learn))
     lexicon = lexicon_of(counts, frequent)
-    shared = sc.broadcast((lexicon, fit(learn, lexicon, share, rounds)[0]))
+    shared = sc.broadcast((lexicon, fit(learn, lexicon, rounds)[0]))
 
     def run(batches):
         lex, p = shared.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n, known, base, score, missing = [], [], [], [], []
-            a, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size < SLICE_BYTES and i + 1 < len(texts):
-                    continue
-                held = [lex.encode(t) for t in texts[a : i + 1]]
-                logs = score_docs(lex, p, [(at, c) for at, c, _ in held])
-                for (at, c, rare), log in zip(held, logs.tolist(), strict=True):
-                    seen = at[at >= 0]
-                    tails = c[c >= CLASSES] - CLASSES
-                    own = at[(at >= 0) & (c >= CLASSES)]
-                    n.append(len(at))
-                    known.append(int((lex.counts[seen] > 0).sum()))
-                    base.append(float(lex.word_log[seen].sum() + len(at) * lex.base_log))
-                    score.append(float(log + lex.tail_log[tails].sum() + lex.word_log[own].sum()))
-                    missing.append(rare)
-                a, size = i + 1, 0
-            flat = [w for m in missing for w in m]
-            ends = np.cumsum([0, *map(len, missing)])
-            yield pa.record_batch({
-                "row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n": pa.array(known, pa.int64()),
-                "base": pa.array(base, pa.float64()), "own": pa.array(score, pa.float64()),
+
+        def scored(rows):
+            """rows: of (row, doc_id, held_out, text)."""
+            held = [lex.encode(r[3]) for r in rows]
+            logs = score_docs(lex, p, [(at, c) for at, c, _ in held])
+            n, known, base, score = [], [], [], []
+            for (at, c, _), log in zip(held, logs.tolist(), strict=True):
+                seen = at[at >= 0]
+                tails = c[c >= CLASSES] - CLASSES
+                own = at[(at >= 0) & (c >= CLASSES)]
+                n.append(len(at))
+                known.append(int((lex.counts[seen] > 0).sum()))
+                base.append(float(lex.word_log[seen].sum() + len(at) * lex.base_log))
+                score.append(float(log + lex.tail_log[tails].sum() + lex.word_log[own].sum()))
+            flat = [w for *_, rare in held for w in rare]
+            ends = np.cumsum([0, *(len(rare) for *_, rare in held)])
+            return pa.record_batch({
+                "row": pa.array([r[0] for r in rows], pa.int64()), "doc_id": pa.array([r[1] for r in rows], pa.int64()), "held_out": pa.array([r[2] for r in rows], pa.bool_()),
+                "n_tokens": pa.array(n, pa.int64()), "n": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "own": pa.array(score, pa.float64()),
                 "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string())),
             })
 
+        short, size, long, waiting = [], 0, [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out")), batch.column("text"), strict=True):
+                row = (*row[:3], row[3].as_py())
+                k = len(row[3] or "")
+                if k > LONG_BYTES:
+                    long.append(row)
+                    waiting += k
+                else:
+                    short.append(row)
+                    size += k
+                if waiting >= LONG_HELD:
+                    yield scored(long)
+                    long, waiting = [], 0
+                if size >= SLICE_BYTES:
+                    yield scored(short)
+                    short, size = [], 0
+        for rows in (short, long):
+            if rows:
+                yield scored(rows)
+
     held_out = ~F.coalesce(training, F.lit(False))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", held_out.alias("held_out"))
     scored = stored(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n long, base double, own double, rare array<string>"))
