@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +132,87 @@ def test_csv_guard(spark):
     logs = spark.createDataFrame([("=1+1", {"a": "-x"}), ("fine", {"b": "y"})], "body string, attrs map<string,string>")
     rows = {tuple(r) for r in logfiles.csv_table(logs, ["body"]).collect()}
     assert rows == {("'=1+1", "'-x", None), ("fine", None, "y")}
+
+
+def _normal_p(z):
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def _share_test(k0, n0, k1, n1):
+    """p of the difference of two shares: pooled normal score, or Fisher's test where an expected count is under 5."""
+    pooled = (k0 + k1) / (n0 + n1)
+    if min(n0, n1) * min(pooled, 1 - pooled) >= 5:
+        return _normal_p((k1 / n1 - k0 / n0) / math.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / n1)))
+    each = {x: math.comb(n0, x) * math.comb(n1, k0 + k1 - x) for x in range(max(0, k0 + k1 - n1), min(n0, k0 + k1) + 1)}
+    return min(1.0, sum(v for v in each.values() if v <= each[k0] * (1 + 1e-7)) / math.comb(n0 + n1, k0 + k1))
+
+
+def _rank_test(x, y):
+    """z of the rank sum with ties and continuity, positive if y is larger."""
+    both = sorted([*x, *y])
+    rank = {v: (both.index(v) + 1 + len(both) - both[::-1].index(v)) / 2 for v in set(both)}
+    u = sum(rank[v] for v in y) - len(y) * (len(y) + 1) / 2
+    n, mean = len(both), len(x) * len(y) / 2
+    ties = sum(both.count(v) ** 3 - both.count(v) for v in set(both))
+    variance = len(x) * len(y) / 12 * (n + 1 - ties / (n * (n - 1)))
+    return 0.0 if variance <= 0 else math.copysign(max(0.0, abs(u - mean) - 0.5), u - mean) / math.sqrt(variance)
+
+
+def test_compare_baseline(spark):
+    """Verdicts against the same rules written plainly: shifts, a slower tail only, errors, more calls for each call, and too few."""
+    r = random.Random(4)
+    data = {  # target: (durations before, errors before), (after)
+        "svc:same": (([10 + r.random() for _ in range(80)], 2), ([10 + r.random() for _ in range(80)], 2)),
+        "svc:slow": (([10 + r.random() for _ in range(60)], 0), ([40 + r.random() for _ in range(60)], 0)),
+        "svc:tail": (([10.0] * 200, 0), ([10.0] * 170 + [90.0] * 30, 0)),
+        "svc:fast": (([50 + r.random() for _ in range(40)], 0), ([20 + r.random() for _ in range(40)], 0)),
+        "svc:small": (([10 + r.random() for _ in range(90)], 0), ([12 + r.random() for _ in range(90)], 0)),  # significant, below the floor
+        "svc:errors": (([10.0] * 100, 1), ([10.0] * 100, 30)),
+        "svc:few": (([10.0] * 19, 0), ([90.0] * 500, 0)),
+        "svc:gone": (([10.0] * 25, 0), ([], 0)),
+        "svc:gone-few": (([10.0] * 5, 0), ([], 0)),
+        "svc:fresh": (([], 0), ([10.0] * 25, 0)),
+    }
+    rows = [(s, None, t, "op", ms, k < e, f"{t}{k}") for t, sides in data.items() for s, (v, e) in enumerate(sides) for k, ms in enumerate(v)]
+    rows += [(s, "svc:same", "db:x", "op", 5.0, False, f"d{k}") for s, n in ((0, 80), (1, 240)) for k in range(n)]  # 1, then 3 calls for each call
+    table = spark.createDataFrame([(*x, float(x[0])) for x in rows], "side int, source string, target string, operation string, ms double, is_error boolean, trace_id string, end_ms double")
+    before, after = (baseline.capture_baseline(table.where(F.col("side") == s)) for s in (0, 1))
+    got = {(x["source"], x["target"], x["operation"]): x for x in baseline.compare_baseline(before, after).collect()}
+    tests, entries = [], {}
+    for (source, target, _, *_) in {(x[1], x[2], 0) for x in rows}:
+        v = [sorted(round(x[4], 2) for x in rows if x[:3] == (s, source, target)) for s in (0, 1)]
+        e = [sum(x[5] for x in rows if x[:3] == (s, source, target)) for s in (0, 1)]
+        for op in (None, "op"):
+            entries[source, target, op] = (v, e)
+            if min(map(len, v)) >= 20:
+                cut = sorted(v[0] + v[1])[int(0.95 * (len(v[0]) + len(v[1]) - 1))]
+                reach = [sum(x >= cut for x in w) for w in v]
+                tests += [(_normal_p(_rank_test(*v)), (source, target, op), "p50_q"), (_share_test(reach[0], len(v[0]), reach[1], len(v[1])), (source, target, op), "p95_q"), (_share_test(e[0], len(v[0]), e[1], len(v[1])), (source, target, op), "error_q")]
+    least = 1.0
+    for place, (p, key, name) in reversed(list(enumerate(sorted(tests, key=lambda t: t[0])))):
+        least = min(least, p * len(tests) / (place + 1))
+        assert got[key][name] == pytest.approx(least, rel=1e-6, abs=1e-12), (key, name)
+    want = {"same": "unchanged", "slow": "regressed", "tail": "regressed", "fast": "improved", "small": "unchanged", "errors": "regressed", "few": "insufficient", "gone": "removed", "gone-few": "insufficient", "fresh": "new"}
+    assert got.keys() == entries.keys()
+    assert {k[1][4:]: x["verdict"] for k, x in got.items() if k[0] is None and k[2] is None} == want
+    assert got["svc:same", "db:x", None]["verdict"] == "regressed" and got["svc:same", "db:x", None]["fanout_change"] == pytest.approx(2)
+
+
+def test_untracked_operations(spark):
+    """An operation that the earlier capture had no room for is untracked, not new."""
+    rows = [(0.0, f"op{k}", 30 - k) for k in range(4)] + [(1.0, f"op{k}", 30) for k in range(4)]
+    table = spark.createDataFrame([(e, None, "svc:a", o, 5.0, False, f"t{k}") for e, o, n in rows for k in range(n)], "end_ms double, source string, target string, operation string, ms double, is_error boolean, trace_id string")
+    before = baseline.capture_baseline(table, until_ms=F.lit(1.0), operations=2)
+    after = baseline.capture_baseline(table, since_ms=F.lit(1.0), operations=3)
+    got = {x["operation"]: x["verdict"] for x in baseline.compare_baseline(before, after).collect()}
+    assert got == {None: "unchanged", "op0": "unchanged", "op1": "unchanged", "op2": "untracked"}
+
+
+def test_thin_samples(spark):
+    """All durations up to the cap, evenly spaced ones beyond it, in order."""
+    rows = spark.range(5000).select(F.lit(None).cast("string").alias("source"), F.lit("svc:a").alias("target"), F.lit(None).cast("string").alias("operation"), (F.col("id") % 2500).cast("double").alias("ms"))
+    entries = rows.groupBy(*baseline.KEYS).agg(F.count("*").alias("n_calls"))
+    got = baseline.thin_samples(rows, baseline.KEYS, entries).first()["samples"]
+    assert len(got) == baseline.MOST_SAMPLES and got == sorted(got) and got == [float((2 * j + 1) * 5 // 2 // 2) for j in range(1000)]
+    few = rows.limit(30)
+    assert len(baseline.thin_samples(few, baseline.KEYS, entries.withColumn("n_calls", F.lit(30))).first()["samples"]) == 30

@@ -11,16 +11,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from tracelake.operators.store import stored
+
 KEYS = ["source", "target", "operation"]
-MAX_SAMPLES = 1000
-MIN_CALLS = 10
+#: A capture keeps about SAMPLES durations in all, and of each entry between the two bounds where it has as many.
+SAMPLES, LEAST_SAMPLES, MOST_SAMPLES = 200_000, 100, 1000
+ALPHA = 0.05
+
+
+def thin_samples(rows: DataFrame, keys: list[str], entries: DataFrame) -> DataFrame:
+    """(keys, samples): an entry's durations in order; of more than the cap, evenly spaced ones. entries: keys and n_calls.
+
+    The cap is SAMPLES divided by the number of entries, within its bounds. Rows are counted by duration first, so a
+    task sees an entry's distinct durations, each with its place in the order and the number of samples that fall there.
+    """
+    number = entries.agg(F.count("*").alias("_entries")).withColumn("_one", F.lit(1))
+    cap = F.least(F.lit(MOST_SAMPLES), F.greatest(F.lit(LEAST_SAMPLES), F.floor(F.lit(SAMPLES) / F.greatest(F.col("_entries"), F.lit(1)))))
+    named = [F.coalesce(F.col(k), F.lit("\x00")).alias(f"_{k}") for k in keys]
+    counts = rows.groupBy(*named, F.round("ms", 2).alias("ms")).agg(F.count("*").alias("_n"))
+    sizes = entries.select(*named, F.col("n_calls").alias("_all"), F.lit(1).alias("_one")).join(F.broadcast(number), "_one")  # one row
+    sizes = sizes.withColumn("_cap", F.least(cap, F.col("_all"))).drop("_one", "_entries")
+    counts = counts.join(sizes, [f"_{k}" for k in keys])
+    upto = F.sum("_n").over(Window.partitionBy(*(f"_{k}" for k in keys)).orderBy("ms"))
+    # Sample j stands at the place (j + 0.5) * all / cap: so many lie before place x.
+    before = lambda x: F.greatest(F.lit(0), F.least(F.col("_cap"), F.ceil(F.col("_cap") * x / F.col("_all") - 0.5)))
+    counts = counts.withColumn("_upto", upto).withColumn("_take", (before(F.col("_upto")) - before(F.col("_upto") - F.col("_n"))).cast("int")).where("_take > 0")
+    held = counts.groupBy(*(f"_{k}" for k in keys)).agg(F.array_sort(F.collect_list(F.struct("ms", "_take"))).alias("held"))  # at most the cap
+    plain = [F.when(F.col(f"_{k}") != "\x00", F.col(f"_{k}")).alias(k) for k in keys]
+    return held.select(*plain, F.flatten(F.transform("held", lambda x: F.array_repeat(x["ms"], x["_take"]))).alias("samples"))
 
 
 def capture_baseline(calls: DataFrame, since_ms: Column | None = None, until_ms: Column | None = None, operations: int = 50) -> DataFrame:
     """Entries for (target), (source, target) and each with the operation: calls, errors, quantiles, samples, examples.
 
-    calls: rows of servicemap.calls. An entry's samples are evenly spaced quantiles (at most MAX_SAMPLES, two
-    decimals), so no entry grows with its calls. Of a scope's operations the most called are kept.
+    calls: rows of servicemap.calls. Of a scope's operations the most called are kept; is_truncated says of the scope's
+    own entry that there were more. Samples are those of thin_samples, so no entry grows with its calls.
     """
     rows = calls
     if since_ms is not None:
@@ -29,15 +54,17 @@ def capture_baseline(calls: DataFrame, since_ms: Column | None = None, until_ms:
         rows = rows.where(F.col("end_ms") < until_ms)
     none = F.lit(None).cast("string")
     rows = rows.withColumn("operation", F.explode(F.array(none, F.col("operation"))))
-    # Durations repeat, so their exact quantiles are taken from counts per duration.
     found = rows.groupBy(*KEYS).agg(
         F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), F.percentile("ms", F.lit(0.5)).alias("p50_ms"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"),
-        F.percentile("ms", F.array(*(F.lit(k / 99) for k in range(100)))).alias("samples"),
         F.max_by("trace_id", F.struct("ms", "trace_id")).alias("slowest"), F.max_by("trace_id", F.when(F.col("is_error"), F.struct("end_ms", "trace_id"))).alias("last_error"),
     )
-    order = Window.partitionBy("source", "target").orderBy(F.col("operation").isNotNull(), F.desc("n_calls"), "operation")
-    found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= operations + 1).drop("_n")
-    return found.withColumn("samples", F.transform("samples", lambda x: F.round(x, 2)))
+    scope = Window.partitionBy("source", "target")
+    order = scope.orderBy(F.col("operation").isNotNull(), F.desc("n_calls"), "operation")
+    found = found.withColumn("_n", F.row_number().over(order)).withColumn("is_truncated", F.col("operation").isNull() & (F.count("operation").over(scope) > operations))
+    found = stored(found.where(F.col("_n") <= operations + 1).drop("_n"))
+    samples = thin_samples(rows, KEYS, found)
+    match = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in KEYS]
+    return found.alias("l").join(samples.alias("r"), match[0] & match[1] & match[2], "left").select("l.*", "r.samples")
 
 
 def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,36 +133,56 @@ def bh_adjust(df: DataFrame, p: str, to: str = "q") -> DataFrame:
     return rows.withColumn(to, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(later))).drop("_r", "_n")
 
 
-def compare_baseline(before: DataFrame, after: DataFrame, alpha: float = 0.05, floor_ms: float = 1.0, floor_share: float = 0.1, floor_rate: float = 0.01) -> DataFrame:
-    """Each entry's change and verdict: new, removed, insufficient, regressed, improved or unchanged.
+def _sign(c: Column) -> Column:
+    return F.coalesce(F.signum(c), F.lit(0.0))
+
 
-    Latency changes count if the U test is significant after adjustment and p50 or p95 moved by floor_ms and
-    floor_share; error rates if their test is and the rate moved by floor_rate.
+def compare_baseline(before: DataFrame, after: DataFrame, min_calls: int = 20, min_ms: float = 5.0, min_percent: float = 20.0, min_points: float = 2.0, min_fanout: float = 1.0) -> DataFrame:
+    """Each entry's changes and verdict: new, untracked, removed, insufficient, regressed, improved or unchanged.
+
+    Where both sides have min_calls, three tests are made: p50 by ranks of the samples, p95 by how often each side reaches
+    the pooled p95 (tail_test), errors by their shares. Their p are adjusted together. A quantile has changed if its
+    test is significant and it moved that way by min_ms and min_percent; the error rate if its test is and it moved by
+    min_points hundredths; calls for each call into the source if they moved by min_fanout. One regressed figure makes
+    a regressed entry. An operation that only the later side has is untracked where the earlier one left some out.
     """
-    part = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in (*KEYS, "n_calls", "n_errors", "p50_ms", "p95_ms", "samples")))
+    columns = ("n_calls", "n_errors", "p50_ms", "p95_ms", "samples", "is_truncated")
+    part = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in (*KEYS, *columns)))
     match = [F.col(f"b_{k}").eqNullSafe(F.col(f"a_{k}")) for k in KEYS]
     both = part(before, "b").join(part(after, "a"), match[0] & match[1] & match[2], "full_outer")
     both = both.withColumns({k: F.coalesce(f"b_{k}", f"a_{k}") for k in KEYS}).drop(*(f"{p}_{k}" for p in "ab" for k in KEYS))
-    key = F.concat_ws("\x1f", *(F.coalesce(F.col(k), F.lit("\x00")) for k in KEYS))
-    both = both.withColumn("key", key)
-    sides = [both.select("key", F.lit(s).alias("side"), F.explode(f"{c}_samples").alias("x")) for s, c in ((0, "b"), (1, "a"))]
-    tested = mann_whitney(sides[0].unionByName(sides[1]), ["key"]).select("key", F.col("z").alias("latency_z"))
-    counted = proportion_test(both.where("b_n_calls > 0 and a_n_calls > 0"), "b_n_errors", "b_n_calls", "a_n_errors", "a_n_calls").select("key", F.col("z").alias("error_z"), F.col("p").alias("error_p"))
-    tested = tested.withColumn("latency_p", two_sided_p(F.col("latency_z")))
-    q = tested.select("key", F.lit("l").alias("t"), F.col("latency_p").alias("p")).unionByName(counted.select("key", F.lit("e").alias("t"), F.col("error_p").alias("p")))
-    q = bh_adjust(q, "p").groupBy("key").agg(F.max(F.when(F.col("t") == "l", F.col("q"))).alias("latency_q"), F.max(F.when(F.col("t") == "e", F.col("q"))).alias("error_q"))
-    rows = both.join(tested, "key", "left").join(counted, "key", "left").join(q, "key", "left")
-    moved = lambda c: (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) >= floor_ms) & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) >= floor_share * F.col(f"b_{c}"))
-    slower = (F.col("latency_q") < alpha) & (moved("p50_ms") | moved("p95_ms"))
+    both = stored(both.withColumn("key", F.concat_ws("\x1f", *(F.coalesce(F.col(k), F.lit("\x00")) for k in KEYS))))
+    enough = both.where(F.least("b_n_calls", "a_n_calls") >= min_calls).where("b_n_calls is not null and a_n_calls is not null")
+    sides = [enough.select("key", F.lit(s).alias("side"), F.explode(f"{c}_samples").alias("x")) for s, c in ((0, "b"), (1, "a"))]
+    samples = stored(sides[0].unionByName(sides[1]))
+    ranks = mann_whitney(samples, ["key"]).select("key", F.lit("p50").alias("test"), F.col("z").alias("way"), two_sided_p(F.col("z")).alias("p"))
+    shares = lambda df, name, k0, n0, k1, n1: proportion_test(df, k0, n0, k1, n1).select("key", F.lit(name).alias("test"), (F.col(k1) / F.col(n1) - F.col(k0) / F.col(n0)).alias("way"), "p")
+    tails = shares(tail_test(samples, ["key"]), "p95", "k0", "n0", "k1", "n1")
+    errors = shares(enough, "error", "b_n_errors", "b_n_calls", "a_n_errors", "a_n_calls")
+    tests = bh_adjust(stored(ranks.unionByName(tails).unionByName(errors)), "p")
+    pick = lambda t, c: F.max(F.when(F.col("test") == t, F.col(c)))
+    tests = tests.groupBy("key").agg(*(pick(t, c).alias(f"{t}_{c}") for t in ("p50", "p95", "error") for c in ("way", "q")))
+    into = both.where("source is null and operation is null").select(F.col("target").alias("source"), F.col("b_n_calls").alias("b_into"), F.col("a_n_calls").alias("a_into"))
+    scopes = both.where("operation is null").select(F.coalesce("source", F.lit("\x00")).alias("_source"), "target", F.col("b_is_truncated").alias("_hidden"))
+    rows = both.drop("b_samples", "a_samples").join(tests, "key", "left").join(into, "source", "left").withColumn("_source", F.coalesce("source", F.lit("\x00"))).join(scopes, ["_source", "target"], "left")
+
+    change = lambda c: F.col(f"a_{c}") - F.col(f"b_{c}")
+    moved = lambda c: (F.abs(change(c)) >= min_ms) & ((F.col(f"b_{c}") <= 0) | (F.abs(change(c)) / F.col(f"b_{c}") * 100 >= min_percent))
+
+    def quantile(t: str) -> Column:
+        way = _sign(F.col(f"{t}_way"))
+        return F.when((F.col(f"{t}_q") < ALPHA) & (way == _sign(change(f"{t}_ms"))) & moved(f"{t}_ms"), way)
+
     rate = F.col("a_n_errors") / F.col("a_n_calls") - F.col("b_n_errors") / F.col("b_n_calls")
-    failing = (F.col("error_q") < alpha) & (F.abs(rate) >= floor_rate)
-    worse = (slower & (F.col("latency_z") > 0)) | (failing & (rate > 0))
-    better = (slower & (F.col("latency_z") < 0)) | (failing & (rate < 0))
+    fan = F.when(F.col("source").isNotNull(), F.col("a_n_calls") / F.col("a_into") - F.col("b_n_calls") / F.col("b_into"))
+    ways = [quantile("p50"), quantile("p95"), F.when((F.col("error_q") < ALPHA) & (F.abs(rate) * 100 >= min_points), _sign(F.col("error_way"))), F.when(F.col("p50_q").isNotNull() & (F.abs(fan) >= min_fanout), _sign(fan))]
+    any_ = lambda w: F.greatest(*(F.coalesce(x == w, F.lit(False)) for x in ways))
     verdict = (
-        F.when(F.col("b_n_calls").isNull(), "new").when(F.col("a_n_calls").isNull(), "removed").when(F.least("a_n_calls", "b_n_calls") < MIN_CALLS, "insufficient")
-        .when(F.coalesce(worse, F.lit(False)), "regressed").when(F.coalesce(better, F.lit(False)), "improved").otherwise("unchanged")
+        F.when(F.col("b_n_calls").isNull(), F.when(F.col("operation").isNotNull() & F.coalesce("_hidden", F.lit(False)), "untracked").otherwise("new"))
+        .when(F.col("a_n_calls").isNull(), F.when(F.col("b_n_calls") >= min_calls, "removed").otherwise("insufficient"))
+        .when(F.least("a_n_calls", "b_n_calls") < min_calls, "insufficient").when(any_(1), "regressed").when(any_(-1), "improved").otherwise("unchanged")
     )
-    return rows.select(*KEYS, "b_n_calls", "a_n_calls", (F.col("a_p50_ms") - F.col("b_p50_ms")).alias("p50_change"), (F.col("a_p95_ms") - F.col("b_p95_ms")).alias("p95_change"), rate.alias("rate_change"), "latency_z", "latency_q", "error_q", verdict.alias("verdict"))
+    return rows.select(*KEYS, "b_n_calls", "a_n_calls", change("p50_ms").alias("p50_change"), change("p95_ms").alias("p95_change"), rate.alias("rate_change"), fan.alias("fanout_change"), "p50_q", "p95_q", "error_q", verdict.alias("verdict"))
 
 
 def comparison_summary(compared: DataFrame) -> DataFrame:
