@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import math
 import random
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import redact, scalars
 from tracelake.operators import baseline, metrics, servicemap, templates, traces, tree
-from tracelake.sources import logfiles
+from tracelake.sources import logfiles, otlp
 
 SPAN = "trace_id string, span_id string, parent_span_id string, service string, instance_id string, name string, kind string, start_ms double, end_ms double, duration_ms double, status_code string, attrs map<string,string>, code_file string, code_line bigint"
 
@@ -216,3 +218,46 @@ def test_thin_samples(spark):
     assert len(got) == baseline.MOST_SAMPLES and got == sorted(got) and got == [float((2 * j + 1) * 5 // 2 // 2) for j in range(1000)]
     few = rows.limit(30)
     assert len(baseline.thin_samples(few, baseline.KEYS, entries.withColumn("n_calls", F.lit(30))).first()["samples"]) == 30
+
+
+def test_otlp_survives_bad_records(spark, tmp_path):
+    """Base64 ids, a key that occurs twice, numbers that are none, too many attributes, and lines that are no request."""
+    text = lambda k, v: {"key": k, "value": {"stringValue": v}}
+    trace, span = bytes(range(1, 17)), bytes(range(1, 9))
+    spans = [
+        {"traceId": base64.b64encode(trace).decode(), "spanId": base64.b64encode(span).decode(), "name": "a", "startTimeUnixNano": "1000000", "endTimeUnixNano": "3500000", "attributes": [text("k", "1"), text("j", "x"), text("k", "2")]},
+        {"traceId": trace.hex(), "spanId": span[::-1].hex(), "name": "b", "startTimeUnixNano": "soon", "endTimeUnixNano": "5"},
+        {"traceId": "no id at all", "spanId": "??", "name": "c", "startTimeUnixNano": "1", "endTimeUnixNano": "2"},
+        {"traceId": trace.hex(), "spanId": span.hex(), "name": "d", "attributes": [text(f"k{k}", "v") for k in range(300)]},
+    ]
+    points = [{"timeUnixNano": "7000000", "asInt": "many"}, {"timeUnixNano": "7000000", "asInt": "12"}]
+    lines = [
+        json.dumps({"resourceSpans": [{"resource": {"attributes": [text("service.name", "s")]}, "scopeSpans": [{"spans": spans}]}]}),
+        json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "m", "gauge": {"dataPoints": points}}]}]}]}),
+        "{broken",
+        '{"other": 1}',
+    ]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    got, _, series, bad = otlp.read_otlp_jsonl(spark, str(tmp_path / "x.jsonl"))
+    rows = {r["name"]: r for r in got.collect()}
+    assert rows.keys() == {"a", "b", "c"}
+    assert (rows["a"]["trace_id"], rows["a"]["span_id"]) == (trace.hex(), span.hex())
+    assert rows["a"]["attrs"] == {"j": "x", "k": "2"} and rows["a"]["duration_ms"] == 2.5
+    assert rows["b"]["start_ms"] is None and rows["b"]["trace_id"] == trace.hex()
+    assert rows["c"]["trace_id"] is None and rows["c"]["span_id"] is None
+    assert sorted((r["value"] is None, r["value"]) for r in series.collect()) == [(False, 12.0), (True, None)]
+    assert sorted(r["reason"] for r in bad.collect()) == ["no JSON", "no export request", "too many attributes"]
+
+
+MASKED = [
+    ("7", "<NUM>"), ("310ms", "<NUM>ms"), ("99.5%", "<NUM>%"), ("+12", "<NUM>"), ("8)", "<NUM>)"), ("(retry", "(retry"), ("order:17", "order:<NUM>"), ("n=6,", "n=<NUM>,"),
+    ("192.168.1.20", "<IP>"), ("192.168.1.20:99", "<IP>"), ("/192.168.1.20:99", "/<IP>"), ("/carts/17/items", "/carts/<ID>/items"), ("/find?x=2", "/find?<QUERY>"), ("http://a.example/1", "<URL>"),
+    ("0b7f6f0e-52a1-4a76-9c3b-7e0e4c1d2f3a", "<UUID>"), ("bob@mail.example", "<EMAIL>"), ("9c41aa02bd77", "<HEX>"), ("2024-02-03T04:05:06Z", "<TS>"), ("Zx81kQ_mm20aaBBcc99dd", "<TOKEN>"), ("v3", "v3"), ("done:", "done:"), ("plain", "plain"),
+]
+
+
+def test_mask_tokens(spark):
+    rows = spark.createDataFrame(MASKED, "x string, want string").select("x", "want", templates.mask_tokens(F.col("x")).alias("got")).collect()
+    assert {r["x"]: r["got"] for r in rows} == {r["x"]: [r["want"]] for r in rows}
+    one = spark.range(1).select(templates.mask_tokens(F.lit('said "two words" at\t5  \n')).alias("a"), templates.mask_tokens(F.lit(" ".join(f"w{k}" for k in range(90)))).alias("b"), templates.mask_tokens(F.lit("b" * 3000 + " end")).alias("c")).first()
+    assert one["a"] == ["said", "<STR>", "at", "<NUM>"] and len(one["b"]) == 64 and one["c"] == ["b" * 2048]

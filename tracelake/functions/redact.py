@@ -40,11 +40,10 @@ def _key_pattern(extra: tuple[str, ...]) -> str:
 
 def redact_text(text: Column, extra_keys: tuple[str, ...] = ()) -> Column:
     """Text with secrets masked: known formats first, then the values of key=value and key: value pairs."""
-    quoted = re.escape(REDACTED).replace("\\[", "[").replace("\\]", "]")
     for pattern, mask in PATTERNS:
         text = F.regexp_replace(text, pattern, mask)
     pair = rf"(?i)(^|[?&;,\s{{(\"'])({_key_pattern(extra_keys)})([\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[^\s;,&\"'}}]{{1,65536}}"
-    return F.regexp_replace(text, pair, "$1$2$3" + quoted)
+    return F.regexp_replace(text, pair, "$1$2$3" + REDACTED)
 
 
 def is_sensitive_key(key: Column, extra_keys: tuple[str, ...] = ()) -> Column:

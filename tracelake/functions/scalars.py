@@ -21,8 +21,9 @@ def normalize_span_id(text: Column) -> Column:
 
 
 def to_hex_id(text: Column, size: int) -> Column:
-    """An id that comes as hexadecimal digits of the right length, or else as base64."""
-    return F.when(text.rlike(f"^[0-9a-fA-F]{{{size}}}$"), F.lower(text)).otherwise(F.lower(F.hex(F.unbase64(text))))
+    """An id that comes as hexadecimal digits of the right length, or else as base64; null for anything else."""
+    bytes_ = F.try_to_binary(text, F.lit("base64"))
+    return F.when(text.rlike(f"^[0-9a-fA-F]{{{size}}}$"), F.lower(text)).when(F.octet_length(bytes_) * 2 == size, F.lower(F.hex(bytes_)))
 
 
 def parse_trace_target(text: Column) -> Column:
@@ -34,8 +35,8 @@ def parse_trace_target(text: Column) -> Column:
 
 
 def nano_to_ms(nanos: Column) -> Column:
-    """Milliseconds of a count of nanoseconds (text or number), the part below a millisecond kept."""
-    n = nanos.cast("decimal(20,0)")
+    """Milliseconds of a count of nanoseconds (text or number), the part below a millisecond kept; null for other text."""
+    n = nanos.try_cast("decimal(20,0)")
     return F.floor(n / 1_000_000).cast("double") + (n % 1_000_000).cast("double") / 1_000_000
 
 
@@ -177,17 +178,17 @@ EMAIL = r'^[^\s"<>@]{1,64}@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$'
 ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 
 
-def _is_hex(s: Column, size: int) -> Column:
+def is_hex(s: Column, size: int) -> Column:
     return s.rlike(f"^(0[xX])?[0-9a-fA-F]{{{size},}}$") & F.regexp_replace(s, "^0[xX]", "").rlike("[0-9]")
 
 
-def _is_token(s: Column) -> Column:
+def is_token(s: Column) -> Column:
     return s.rlike("^[A-Za-z0-9_+/=.-]{20,}$") & s.rlike("[0-9]") & s.rlike("[A-Z]") & s.rlike("[a-z]")
 
 
 def is_id_segment(s: Column) -> Column:
     """A path segment that differs from entity to entity."""
-    return s.rlike("^[0-9]+$") | s.rlike(f"^{UUID}$") | _is_hex(s, 8) | _is_token(s) | s.rlike(EMAIL)
+    return s.rlike("^[0-9]+$") | s.rlike(f"^{UUID}$") | is_hex(s, 8) | is_token(s) | s.rlike(EMAIL)
 
 
 def has_id_part(name: Column) -> Column:
@@ -209,7 +210,7 @@ def classify_value(value: Column) -> Column:
         .when(s.rlike(r"[\s   ]"), F.when(F.char_length(value) >= 24, "freeText").otherwise("other"))
         .when(s.rlike(IP), "ip").when(s.rlike(EMAIL), "email")
         .when(url & s.rlike(r"\?.*="), "urlQuery").when(url, F.when(F.exists(F.split(path, "/"), lambda p: (p != "") & is_id_segment(p)), "pathId").otherwise("other"))
-        .when(s.rlike("^[0-9]{6,}$"), "numericId").when(_is_hex(s, 16), "hexId").when(_is_token(s), "token").otherwise("other")
+        .when(s.rlike("^[0-9]{6,}$"), "numericId").when(is_hex(s, 16), "hexId").when(is_token(s), "token").otherwise("other")
     )
 
 

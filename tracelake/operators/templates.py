@@ -6,29 +6,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalars import EMAIL, ISO_TIME, UUID
+from tracelake.functions.redact import redact_text
+from tracelake.functions.scalars import EMAIL, IP, UUID, classify_value, is_hex, is_id_segment, is_token
 
 MAX_TOKENS = 64
 SIMILARITY = 0.4
 
 
-def _mask(token: Column) -> Column:
-    """A token with its value masked; a key= before it and marks around it stay."""
-    head = F.regexp_extract(token, r"""^([\[({<"']*(?:[A-Za-z_][\w.-]*[=:])?["'(\[]*)""", 1)
-    core = F.substr(token, F.char_length(head) + 1)
-    tail = F.regexp_extract(core, r"""([\])}>"',;:.!?]*)$""", 1)
-    core = F.left(core, F.char_length(core) - F.char_length(tail))
-    kind = (
-        F.when(core.rlike(f"^{UUID}$"), "<UUID>").when(core.rlike(ISO_TIME), "<TIME>").when(core.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]+)?$"), "<IP>").when(core.rlike(EMAIL), "<EMAIL>")
-        .when(core.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), "<URL>").when(core.rlike(r"^[+-]?[0-9][0-9,]*(\.[0-9]+)?%?$"), "<NUM>").when(core.rlike("^(0[xX])?[0-9a-fA-F]{8,}$") & core.rlike("[0-9]"), "<HEX>")
-        .when(core.rlike("^/"), F.regexp_replace(core, r"/[0-9]+(?=/|$)", "/<ID>")).otherwise(core)
+# What may stand around a token's value, numbers with a unit, schemes, and quoted text.
+_HEAD, _TAIL = r"""^[(\[{<"']*""", r"""[)\]}>"',;.:!?]*$"""
+_NUMBER = r"(?i)^[-+]?[0-9]+(\.[0-9]+)?([a-z%µ]{1,3})?$"
+_SCHEME = r"(?i)^[a-z][a-z0-9+.-]{0,15}://"
+_QUOTED = r'"[^"\n]{0,200}"'
+
+
+def _path(text: Column) -> Column:
+    """A path with its segments that are addresses or ids masked, and its query."""
+    segments = F.transform(F.split(F.regexp_replace(text, r"\?.*$", ""), "/"), lambda x: F.when(x == "", x).when(x.rlike(IP), "<IP>").when(is_id_segment(x), "<ID>").otherwise(x))
+    return F.concat(F.array_join(segments, "/"), F.when(F.contains(text, F.lit("?")), "?<QUERY>").otherwise(""))
+
+
+def _value(text: Column) -> Column:
+    return (
+        F.when(text.rlike(_NUMBER), F.concat(F.lit("<NUM>"), F.regexp_extract(text, _NUMBER, 2))).when(text.rlike(f"^{UUID}$"), "<UUID>").when(classify_value(text) == "timestamp", "<TS>")
+        .when(text.rlike(IP), "<IP>").when(text.rlike(EMAIL), "<EMAIL>").when(text.rlike(_SCHEME), "<URL>").when(text.startswith("/"), _path(text))
+        .when(is_hex(text, 8), "<HEX>").when(is_token(text), "<TOKEN>").otherwise(text)
     )
-    return F.concat(head, kind, tail)
+
+
+def _mask(token: Column) -> Column:
+    """A token with its value masked; a key= or key: before it and marks around it stay. Only tokens with a digit or one of @/=: can vary."""
+    head = F.regexp_extract(token, _HEAD, 0)
+    rest = F.substr(token, F.char_length(head) + 1)
+    tail = F.regexp_extract(rest, _TAIL, 0)
+    core = F.left(rest, F.char_length(rest) - F.char_length(tail))
+    key = F.when(~core.rlike(_SCHEME), F.regexp_extract(core, "^[^=:]+[=:](?=.)", 0)).otherwise("")
+    whole = _value(core)
+    masked = F.when((whole != core) | (key == ""), whole).otherwise(F.concat(key, _value(F.substr(core, F.char_length(key) + 1))))
+    return F.when(token.rlike("[0-9@/=:]"), F.concat(head, masked, tail)).otherwise(token)
 
 
 def mask_tokens(body: Column) -> Column:
-    """The body's first 64 tokens, masked."""
-    return F.transform(F.slice(F.array_remove(F.split(F.left(body, F.lit(2048)), r"\s+"), ""), 1, MAX_TOKENS), _mask)
+    """The first 64 tokens of the body's first 2048 signs, masked; text in double quotes is one token."""
+    text = F.regexp_replace(F.left(body, F.lit(2048)), _QUOTED, "<STR>")
+    return F.transform(F.slice(F.array_remove(F.split(text, r"[\x00-\x20]+"), ""), 1, MAX_TOKENS), _mask)
 
 
 def _join(group: pd.DataFrame) -> pd.DataFrame:
@@ -53,13 +74,13 @@ def _join(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def log_templates(logs: DataFrame) -> DataFrame:
-    """Templates per service: text, logs, bytes, times and a sample.
+    """Templates per service: text, logs, bytes, times and a sample without secrets.
 
     Equal masked bodies are counted in Spark first; only distinct patterns, in order of first appearance, reach the
     grouping by number of tokens and first token (any first token with a digit is one group).
     """
     rows = logs.withColumn("tokens", mask_tokens(F.col("body"))).withColumn("pattern", F.array_join("tokens", " "))
-    counted = rows.groupBy("service", "pattern").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"), F.min("body").alias("sample"), F.first(F.size("tokens")).alias("size"), F.first(F.get("tokens", F.lit(0))).alias("head"))
+    counted = rows.groupBy("service", "pattern").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"), F.min("body").alias("sample"), F.any_value(F.size("tokens")).alias("size"), F.any_value(F.get("tokens", F.lit(0))).alias("head"))
     counted = counted.where("size > 0").withColumn("head", F.when(F.col("head").rlike("[0-9]"), "<*>").otherwise(F.col("head")))
     schema = "service string, template string, n_logs long, bytes long, first_ms double, last_ms double, sample string"
-    return counted.groupBy("service", "size", "head").applyInPandas(_join, schema)
+    return counted.groupBy("service", "size", "head").applyInPandas(_join, schema).withColumn("sample", redact_text(F.col("sample")))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import identity, servicemap, traces
 from tracelake.plans import fixtures
-from tracelake.plans.fixtures import LOGS, POINTS, duckdb
-from tracelake.plans.span_queries import ONE, sql
+from tracelake.plans.fixtures import LOGS, POINTS, SPANS, duckdb
+from tracelake.plans.span_queries import _CALLS, ONE, sql
 from tracelake.sources import logfiles, otlp
 from tracelake.streaming import operators as streams
 
@@ -68,35 +68,51 @@ def logs_csv(spark, sf_dir):
 
 
 def _streamed(spark, folder: str, batch, make, mode: str = "append"):
-    """Rows that a streaming operator gives over batch, read as a stream of files until all is taken."""
+    """Rows that a streaming operator gives over batch, read as a stream of files until all is taken.
+
+    In mode complete the windows that the watermark has not closed yet are in the result too.
+    """
     source, sink, state = (f"{folder}/{x}" for x in ("in", "out", "state"))
     batch.write.parquet(source)
     stream = spark.readStream.schema(batch.schema).parquet(source)
     out = make(stream)
-    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    writer = out.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(sink))
+    else:
+        writer = writer.format("parquet").option("path", sink)
+    writer.start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
 
+def _from_ms(rows):
+    return rows.withColumn("from_ms", F.unix_millis("from_ts")).drop("from_ts")
+
+
 def _spans_with_time(spark, sf_dir):
     return fixtures.spans(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.col("end_ms") * 1000).cast("bigint"))).drop("attrs")
 
 
-@query()
+_RAW = f"spans as ({duckdb(SPANS)})"
+
+
+@query(sql(_RAW, "select distinct trace_id, span_id from spans"))
 def stream_dedupe_spans(spark, sf_dir):
     rows = _spans_with_time(spark, sf_dir).select("trace_id", "span_id", "ts")
     return _streamed(spark, _folder(spark), rows, lambda s: streams.stream_dedupe_spans(s, "20000 days").select("trace_id", "span_id"))
 
 
-@query()
+@query(sql(f"logs as ({duckdb(LOGS)})", "select service, 'logs' as signal, cast(floor(time_ms / 3600000) as bigint) * 3600000 as from_ms, count(*) as n_records, cast(sum(strlen(body)) as bigint) as bytes from logs group by 1, 2, 3"))
 def stream_volume(spark, sf_dir):
     rows = fixtures.logs(spark, sf_dir).select(streams.event_time(F.col("time_ms"), F.lit(1.8e12)).alias("ts"), "service", F.lit("logs").alias("signal"), F.octet_length("body").cast("bigint").alias("bytes"))
-    return _streamed(spark, _folder(spark), rows, lambda s: streams.stream_volume(s, "60 minutes", "1 hour"))
+    return _streamed(spark, _folder(spark), rows, lambda s: _from_ms(streams.stream_volume(s, "60 minutes", "1 hour")), "complete")
 
 
-@query()
+@query(sql(_RAW, "select trace_id, count(*) as n_spans, count(*) filter (status_code = 'ERROR') as n_errors, round(min(start_ms), 3) as start_ms, round(max(end_ms), 3) as end_ms from spans group by 1"))
 def stream_trace_sessions(spark, sf_dir):
     rows = _spans_with_time(spark, sf_dir).select("trace_id", "ts", "status_code", "start_ms", "end_ms")
-    return _streamed(spark, _folder(spark), rows, lambda s: streams.stream_trace_sessions(s, "1 day", "1 day"))
+    found = _streamed(spark, _folder(spark), rows, lambda s: streams.stream_trace_sessions(s, "1 day", "1 day"), "complete")
+    return found.withColumns({c: F.round(c, 3) for c in ("start_ms", "end_ms")})
 
 
 @query(sql(f"points as ({duckdb(POINTS)})", "select metric, event_type, shard, count(*) as n_points from points group by 1, 2, 3"))
@@ -112,11 +128,16 @@ def series_points(spark, sf_dir):
     return identity.series_points(rows).groupBy("metric", F.element_at("attrs", "type").alias("event_type")).agg(F.count("*").alias("n_points"))
 
 
-@query()
+_MONTH = 30 * 86_400_000
+
+
+@query(sql(f"{_CALLS}, w as (select *, unnest([0, 1]) as back from calls where source is not null)",
+           f"select (cast(floor(end_ms / {_MONTH}) as bigint) - back) * {_MONTH} as from_ms, source, target, count(*) as n_calls, count(*) filter (is_error) as n_errors from w group by 1, 2, 3"))
 def stream_service_map(spark, sf_dir):
     calls = servicemap.calls(fixtures.spans(spark, sf_dir)).where("source is not null")
     rows = calls.select(F.timestamp_micros((F.col("end_ms") * 1000).cast("bigint")).alias("ts"), "source", "target", "is_error", "ms")
-    return _streamed(spark, _folder(spark), rows, lambda s: streams.stream_service_map(s, "60 days", "30 days", "1 day"))
+    found = _streamed(spark, _folder(spark), rows, lambda s: _from_ms(streams.stream_service_map(s, "60 days", "30 days", "1 day")), "complete")
+    return found.drop("p95_ms")  # of a sketch, so not the same in every engine
 
 
 @query(sql(f"logs as ({duckdb(LOGS)})", "select service as key, count(distinct attr_user) as n_distinct from logs group by 1"))
