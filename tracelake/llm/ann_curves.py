@@ -3,9 +3,14 @@
 Equal vectors are one class from the start, represented by its smallest id. Each of CURVES orderings projects the
 normalised vectors on DIMS random orthogonal directions, shifts them by a random part of a cell, and takes the
 place of the cell on a Hilbert curve as key. Spark range-partitions the keys and sorts them; the ranks within a
-curve cut it into windows of WINDOW neighbouring keys, so that no window grows, however many keys are equal. A
-query is compared with its own window and the two beside it, by exact cosine in double precision; the windows'
-best are merged over the curves, and the classes found are expanded to ids again.
+curve cut it into blocks of neighbouring keys, so that no block grows, however many keys are equal. A query is
+compared with all blocks within its window, by exact cosine in double precision; the blocks' best are merged over
+the curves, and the classes found are expanded to ids again.
+
+The window is fitted to the table: for PROBES vectors (those first by hash) the exact neighbours are found by one
+scan, and the window is the rank distance within which RECALL of them lie on at least one curve, WINDOW at least.
+So a table of any size or kind has that recall, within the error of the probes, and pays for it in work: where
+vectors have clusters the window stays small; without any structure it is a share of the table.
 """
 
 from __future__ import annotations
@@ -17,11 +22,15 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import stored
 
-CURVES = 40
+CURVES = 24
 DIMS = 12
 BITS = 4
 WINDOW = 256
+BLOCK = 8192  # rows of a block at most; a wider window takes more blocks
+PROBES = 100
+RECALL = 0.96
 SALTS = 32
+SCORES = 1 << 21  # scores held at once
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -88,15 +97,60 @@ def _classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return few.where("n = 1").select("rep", "vector"), few.select("rep", "vec_id")
 
 
-def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: int = WINDOW) -> DataFrame:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a list column of one length, in double precision."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fitted_window(classes: DataFrame, places: DataFrame, k: int, probes: int = PROBES, recall: float = RECALL) -> int:
+    """Rank distance within which a share of recall of the probes' k nearest classes lie on some curve.
+
+    classes: rep, vector. places: curve, rep, place. The probes are a bounded number of rows, compared with all rows.
+    """
+    some = classes.orderBy(F.xxhash64("rep"), "rep").limit(probes).collect()
+    by_size: dict[int, list] = {}
+    for r in some:
+        by_size.setdefault(len(r["vector"]), []).append(r)
+    held = {d: (np.array([r["rep"] for r in rows]), _unit(np.array([r["vector"] for r in rows], np.float64))) for d, rows in by_size.items()}
+
+    def best(batches):
+        for batch in batches:
+            size = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
+            for d, (ids, q) in held.items():
+                part = batch.filter(pa.array(size == d))
+                if part.num_rows:
+                    rep = part.column("rep").to_numpy(zero_copy_only=False)
+                    score = np.where(ids[:, None] == rep, -np.inf, q @ _unit(_matrix(part.column("vector"))).T)
+                    n = min(k, len(rep))
+                    at = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                    yield pa.record_batch({"probe": pa.array(np.repeat(ids, n)), "rep": pa.array(rep[at].ravel()), "score": pa.array(np.take_along_axis(score, at, axis=1).ravel())})
+
+    found = classes.mapInArrow(best, "probe long, rep long, score double").where(F.col("score") > -2)
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "rep")
+    pairs = stored(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("probe", "rep"))
+    pairs = F.broadcast(pairs)  # probes * k rows at most
+    mine = places.join(pairs, "rep").select("curve", "probe", "rep", "place")
+    theirs = places.join(F.broadcast(pairs.select("probe").distinct()), F.col("rep") == F.col("probe")).select("curve", "probe", F.col("place").alias("own"))
+    far = mine.join(theirs, ["curve", "probe"]).groupBy("probe", "rep").agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("far"))
+    return int(far.agg(F.percentile("far", F.lit(recall))).first()[0] or 0)
+
+
+def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 5, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: int | None = None) -> DataFrame:
     """The k nearest rows found for each row that meets is_query, by cosine: query_id, rank, vec_id, score.
 
     Nearest first, ties to the smaller id; a query is no candidate of its own. Vectors that are null, zero, or hold
     a null or a component that is not finite take no part, nor do rows without an id; vectors of different sizes
     are searched apart. Rows that repeat an id count as one where the vectors are equal. With fewer candidates
-    than k, all that are found are returned. Every row is indexed; only is_query limits the queries.
+    than k, all that are found are returned. Every row is indexed; only is_query limits the queries. window fixes
+    the rank distance searched instead of fitting it.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("ask"))
+    kind = "array<float>" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast(kind).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("ask"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id", "vector").agg(F.max("ask").alias("ask"))
     classes, members = _classes(rows.select("vec_id", "vector"), k)
     asked = stored(rows.where("ask").select("vec_id", "vector").join(classes, "vector").select("vec_id", "rep"))
@@ -104,13 +158,11 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
 
     def keys(batches):
         for batch in batches:
-            lists = batch.column("vector").to_pylist()
-            size = np.array([len(v) for v in lists])
+            size = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
             reps = batch.column("rep").to_numpy(zero_copy_only=False)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                x = np.array([lists[i] for i in at])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(_matrix(batch.column("vector").take(pa.array(at))))
                 for c in range(curves):
                     q, shift = _curve(c, int(d), dims, bits)
                     cells = (x @ q * np.sqrt(d) / 6 + 0.5) * (1 << bits) + shift - 0.5
@@ -126,11 +178,15 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
     sums = ranked.groupBy("curve", part).agg(F.count("*").alias("n"), F.min("at").alias("first"))
     earlier = F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")
     sums = sums.select("curve", "part", "first", earlier.alias("earlier"))
-    placed = ranked.withColumn("part", part).join(sums, ["curve", "part"])
-    placed = placed.select("curve", "rep", F.floor((F.col("at") - F.col("first") + F.col("earlier")) / window).alias("block"))
+    places = ranked.withColumn("part", part).join(F.broadcast(sums), ["curve", "part"])  # curves times partitions
+    places = stored(places.select("curve", "rep", (F.col("at") - F.col("first") + F.col("earlier")).alias("place")))
+    wide = max(WINDOW, fitted_window(classes, places, k)) if window is None else window
+    block = min(wide, BLOCK)
+    reach = -(-wide // block)
+    placed = places.select("curve", "rep", F.floor(F.col("place") / block).alias("block"))
     placed = placed.join(classes, "rep").join(queries, "rep", "left").select("curve", "block", "rep", "vector", F.coalesce("ask", F.lit(False)).alias("ask"))
-    # A row lies in its own window; a query also asks in the windows beside it.
-    beside = F.when(F.col("ask"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    # A row lies in its own block; a query also asks in those within the window.
+    beside = F.when(F.col("ask"), F.sequence(F.lit(-reach), F.lit(reach))).otherwise(F.array(F.lit(0)))
     spread = placed.withColumn("by", F.explode(beside)).select("curve", (F.col("block") + F.col("by")).alias("block"), "rep", "vector", "ask", (F.col("by") == 0).alias("there"))
 
     def search(group: pa.Table) -> pa.Table:
@@ -139,19 +195,27 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
         ask = group.column("ask").to_numpy(zero_copy_only=False)
         out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if ask.any() and there.any():
-            x = np.array(group.column("vector").to_pylist())
-            norm = np.sqrt((x * x).sum(axis=1))
+            x = _unit(_matrix(group.column("vector")))
             t, q = np.flatnonzero(there), np.flatnonzero(ask)
             t = t[np.argsort(rep[t])]
-            score = np.einsum("qd,td->qt", x[q], x[t]) / (norm[q][:, None] * norm[t])
-            best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-            out = [np.repeat(rep[q], best.shape[1]), rep[t][best].ravel(), np.take_along_axis(score, best, axis=1).ravel()]
+            parts, step, n = [], max(1, SCORES // len(t)), min(k + 1, len(t))
+            for a in range(0, len(q), step):
+                score = x[q[a : a + step]] @ x[t].T
+                # Of equal scores at the end of the list any may stay here; classes of like direction are told apart below.
+                best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                parts.append((np.repeat(rep[q[a : a + step]], n), rep[t][best].ravel(), np.take_along_axis(score, best, axis=1).ravel()))
+            out = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table({"query": out[0], "rep": out[1], "score": out[2]})
 
     found = spread.groupBy("curve", "block").applyInArrow(search, "query long, rep long, score double")
     found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
-    found = found.withColumn("n", best).where(F.col("n") <= k + 1).select("query", "rep", "score")
+    found = found.withColumn("n", best).where(F.col("n") <= k + 1).select("query", "rep")
+    # The few found are scored again, each by the same sums, so that a score does not depend on where a pair met.
+    one = lambda key, name: classes.select(F.col("rep").alias(key), F.col("vector").cast("array<double>").alias(name))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    found = found.join(one("query", "x"), "query").join(one("rep", "y"), "rep")
+    found = stored(found.select("query", "rep", (dot("x", "y") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y")))).alias("score")))
     # Each query of a class, against the ids of the classes found.
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"))
     pairs = asked.join(found, "query").join(members, "rep").where("query_id <> vec_id")
