@@ -287,6 +287,25 @@ def test_nearest(spark):
     assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
 
 
+def test_nearest_without_structure(spark, monkeypatch):
+    """Vectors without any clusters: the fitted window grows until nine in ten true neighbours and more are found."""
+    monkeypatch.setattr(ann_curves, "WINDOW", 16)  # so that the table is large beside it
+    x = np.random.default_rng(8).standard_normal((6000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found: dict = {}
+    for r in ann_curves.nearest(table, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 50):
+        s = y @ y[q]
+        assert all(v == pytest.approx(s[i], abs=1e-12) for i, v in found[q].items())
+        s[q] = -9
+        hits += len(found[q].keys() & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 120
+
+
 def test_nearest_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [0.0, 2.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0, 0.0]), (0, [1.0, 0.0])]
     table = spark.createDataFrame([(*r, "s") for r in rows], "vec_id long, embedding array<float>, rep string")
