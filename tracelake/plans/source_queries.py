@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tracelake.operators import identity, servicemap, traces
+from tracelake.operators.store import shared_dir
 from tracelake.plans import fixtures
 from tracelake.plans.fixtures import LOGS, POINTS, SPANS, duckdb
 from tracelake.plans.span_queries import _CALLS, ONE, sql
@@ -29,8 +29,7 @@ def query(text: str | None = None):
 
 
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-")
-    return f"{shared}/sources/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/sources/{uuid.uuid4().hex}"
 
 
 @query(sql(ONE, "select trace_id, span_id, parent_span_id, service, instance_id, name, kind, status_code, round(duration_ms, 6) as duration_ms from one"))
