@@ -209,6 +209,20 @@ def linked_traces(spans: DataFrame) -> DataFrame:
     return rows.distinct().join(spans.select(F.col("trace_id").alias("linked_trace_id")).distinct(), "linked_trace_id", "left_semi")
 
 
+def trace_list(summaries: DataFrame, log_counts: DataFrame, range_ms: float | None = None, attr_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Traces that start at most range_ms before the newest start, with n_logs and one column for each key of root attributes.
+
+    log_counts has one row (trace_id, n_logs) for each trace with logs. Without range_ms all traces are listed. A root
+    that lacks a key has null there.
+    """
+    rows = summaries
+    if range_ms is not None:
+        newest = summaries.agg(F.max("start_ms").alias("_newest")).withColumn("_k", F.lit(1))
+        rows = rows.withColumn("_k", F.lit(1)).join(F.broadcast(newest), "_k").where(F.col("start_ms") >= F.col("_newest") - range_ms).drop("_k", "_newest")
+    rows = rows.join(log_counts, "trace_id", "left").withColumn("n_logs", F.coalesce("n_logs", F.lit(0)))
+    return rows.select("*", *(F.try_element_at("root_attrs", F.lit(k)).alias(k) for k in attr_keys))
+
+
 # Beginnings of attribute keys that help to explain a span.
 USEFUL = ("http.", "url.", "db.", "messaging.", "rpc.", "server.", "error.", "exception.", "gen_ai.operation", "gen_ai.request.model", "gen_ai.usage.", "gen_ai.tool.name")
 

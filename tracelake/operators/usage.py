@@ -77,6 +77,23 @@ def volume_over_time(rows: DataFrame, n: int = 60, width_ms: int = 60_000) -> Da
     return spine.join(found, ["signal", "at"], "left").select("signal", (F.col("at") * F.col("width")).alias("from_ms"), F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
 
 
+def rates_per_minute(rows: DataFrame, window_ms: int = 15 * 60_000, width_ms: int = 60_000) -> DataFrame:
+    """Records and bytes a minute of each signal over the newest window_ms, or over all data if that is less.
+
+    The window begins with a whole bucket of width_ms and ends with the newest record; it counts as a minute at least.
+    Signals without records there have rates of 0; without any records there are no rows.
+    """
+    ends = rows.agg(F.min("time_ms").alias("lo"), F.max("time_ms").alias("hi")).where("lo is not null")
+    first = (F.floor(F.col("hi") / width_ms) - (window_ms // width_ms - 1)) * width_ms
+    ends = ends.withColumn("from_ms", F.greatest("lo", first)).withColumn("minutes", F.greatest(F.lit(1.0), (F.col("hi") - F.col("from_ms")) / 60_000))
+    ends = ends.withColumn("_k", F.lit(1))
+    found = rows.withColumn("_k", F.lit(1)).join(F.broadcast(ends), "_k").where("time_ms >= from_ms")
+    found = found.groupBy("signal").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    spine = ends.withColumn("signal", F.explode(F.array(*map(F.lit, ("traces", "logs", "metrics")))))
+    rate = lambda c: F.coalesce(c, F.lit(0)) / F.col("minutes")
+    return spine.join(found, "signal", "left").select("signal", "minutes", rate("n").alias("records_per_minute"), rate("b").alias("bytes_per_minute"))
+
+
 def values(rows: DataFrame) -> DataFrame:
     """(service, signal, key, value, n, bytes, first_ms): one row for each distinct value, so that hot keys are split."""
     each = rows.select("service", "signal", "time_ms", F.explode("attrs").alias("key", "value")).where("value is not null")

@@ -315,3 +315,14 @@ _NICE = " ".join(f"when w <= {s} then {s}" for s in metrics.NICE_STEPS_MS)
   f"select metric, event_type, shard, cast(case {_NICE} else {metrics.NICE_STEPS_MS[-1]} end as bigint) as step_ms from w"))
 def auto_step(spark, sf_dir):
     return metrics.auto_step(_series(spark, sf_dir), _KEYS).select(*_KEYS, "step_ms")
+
+
+@query("""with daily as (select event_type, date_trunc('day', ts) as day, max(epoch_us(ts) / 1000) as time_ms, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.9) as q90 from events group by 1, 2),
+  each as (select event_type, time_ms, 'q0.5' as field, q50 as value from daily union all select event_type, time_ms, 'q0.9', q90 from daily)
+  select event_type, field, round(arg_max(value, time_ms), 6) as value from each group by 1, 2""")
+def summary_quantiles(spark, sf_dir):
+    """Latest quantiles of every event type, from a summary of each day; its count is no quantile."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("time_ms", F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    daily = events.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.max("time_ms").alias("time_ms"), F.percentile("value", 0.5).alias("q0.5"), F.percentile("value", 0.9).alias("q0.9"), F.count("*").cast("double").alias("count"))
+    series = daily.unpivot(["event_type", "time_ms"], ["`q0.5`", "`q0.9`", "count"], "field", "value")
+    return metrics.summary_quantiles(series, ["event_type"]).withColumns(r6("value"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
-from tracelake.operators import servicemap, traces
-from tracelake.plans.fixtures import SPANS, duckdb, spans
+from tracelake.operators import logs as log_ops, servicemap, traces
+from tracelake.plans.fixtures import SPANS, TRACE_LOGS, duckdb, logs, spans
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -306,3 +306,51 @@ def compare_trace(spark, sf_dir):
   union all select o.trace_id, o.span_id, t.depth + 1 from one o join t on o.trace_id = t.trace_id and o.parent_span_id = t.span_id) select span_id, cast(depth as integer) as depth from t""")
 def subtree(spark, sf_dir):
     return traces.subtree(spans(spark, sf_dir), _TARGET, "00000000000000a0").select("span_id", "depth")
+
+
+_TLOGS = f"tlogs as ({duckdb(TRACE_LOGS)})"
+_RANGE_MS = 365 * 86_400_000
+
+
+@query(sql(f"{SUMMARY}, {_TLOGS}, n as (select trace_id, count(*) as n_logs from tlogs group by 1)",
+           f"""select {_SUMMARY_COLUMNS}, coalesce(n_logs, 0) as n_logs, http_route as route, u.user_id as "user" from summary left join n using (trace_id)
+  join (select trace_id, span_id as root_span_id, user_id from one) u using (trace_id, root_span_id)
+  where start_ms >= (select max(start_ms) from summary) - {_RANGE_MS}"""))
+def trace_list(spark, sf_dir):
+    counts = log_ops.log_counts(logs(spark, sf_dir, TRACE_LOGS), "trace_id")
+    rows = traces.trace_list(_summaries(spark, sf_dir), counts, _RANGE_MS, ("http.route", "user.id"))
+    return rows.select(*_shown(rows).columns, "n_logs", F.col("`http.route`").alias("route"), F.col("`user.id`").alias("user")).withColumns(r6("duration_ms") | whole("start_ms") | {"services": F.array_join("services", ",")})
+
+
+# Pairs (key, column) of the attributes that are useful, in key order.
+_USEFUL = {
+    "db.collection.name": "db_collection", "db.namespace": "db_namespace", "db.operation.name": "db_operation", "db.system": "db_system",
+    "http.request.method": "http_method", "http.route": "http_route", "messaging.destination.name": "msg_destination",
+    "messaging.system": "msg_system", "server.address": "server_address", "url.full": "url_full",
+}
+
+
+@query(sql(ONE, f"select trace_id, span_id, concat_ws(';', {', '.join(f"'{k}=' || {c}" for k, c in _USEFUL.items())}) as attrs from one"))
+def useful_attrs(spark, sf_dir):
+    kept = F.map_entries(traces.useful_attrs(F.col("attrs")))
+    return traces.dedupe_spans(spans(spark, sf_dir)).select("trace_id", "span_id", F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("attrs"))
+
+
+@query(sql(f"{ONE}, k as (select *, cast(duration_ms as bigint) % 15 + 1 as n from one where status_code = 'ERROR')", """
+  select trace_id, span_id, least(3, (n + 1) // 2) as n_exceptions, array_to_string(list_slice(list_sort(list_concat(['exception'],
+    list_transform(range(1, n // 2 + 1), lambda i: 'retry ' || lpad(cast(i as varchar), 2, '0')))), 1, 10), ',') as event_names from k"""))
+def trace_errors(spark, sf_dir):
+    """Failing spans; their events alternate between exceptions and retries, as many as the duration says."""
+    name = lambda i: F.when(i % 2 == 1, "exception").otherwise(F.concat(F.lit("retry "), F.lpad((i / 2).cast("int").cast("string"), 2, "0")))
+    events = F.transform(F.sequence(F.lit(1), (F.col("duration_ms").cast("bigint") % 15 + 1).cast("int")), lambda i: F.struct(name(i).alias("name")))
+    found = traces.trace_errors(spans(spark, sf_dir).withColumn("events", events))
+    return found.select("trace_id", "span_id", F.size("exceptions").cast("bigint").alias("n_exceptions"), F.array_join("event_names", ",").alias("event_names"))
+
+
+@query(sql(f"{ONE}, l as (select trace_id, span_id, lpad(lower(to_hex(cast('0x' || right(trace_id, 12) as bigint) * 2)), 32, '0') as linked_trace_id from one)",
+           "select trace_id, span_id, linked_trace_id from l where linked_trace_id in (select trace_id from one)"))
+def linked_traces(spark, sf_dir):
+    """Links from every span to the trace of twice its trace's number, where there is one."""
+    target = F.lpad(F.lower(F.hex(F.conv(F.right("trace_id", F.lit(12)), 16, 10).cast("bigint") * 2)), 32, "0")
+    linked = traces.linked_traces(spans(spark, sf_dir).withColumn("links", F.array(F.struct(target.alias("trace_id")))))
+    return linked.select("trace_id", "span_id", "linked_trace_id")

@@ -71,6 +71,16 @@ def volume_over_time(spark, sf_dir):
     return usage.volume_over_time(_records(spark, sf_dir))
 
 
+@query(sql(f"""{_RECORDS}, ends as (select min(time_ms) as lo, max(time_ms) as hi from recs),
+  span as (select *, greatest(lo, (floor(hi / 60000) - 14) * 60000) as from_ms from ends),
+  w as (select from_ms, greatest(1.0, (hi - from_ms) / 60000) as minutes from span),
+  c as (select signal, count(*) as n, sum(bytes) as b from recs, w where time_ms >= from_ms group by 1),
+  s as (select unnest(['traces', 'logs', 'metrics']) as signal)""",
+  "select signal, round(minutes, 6) as minutes, round(coalesce(n, 0) / minutes, 6) as records_per_minute, round(coalesce(b, 0) / minutes, 6) as bytes_per_minute from s left join c using (signal), w"))
+def rates_per_minute(spark, sf_dir):
+    return usage.rates_per_minute(_records(spark, sf_dir)).withColumns(r6("minutes", "records_per_minute", "bytes_per_minute"))
+
+
 _VALUES = f"{_RECORDS}, vals as (select service, signal, k as key, v as value, count(*) as n, sum(b) as bytes, min(time_ms) as first_ms from attrs group by 1, 2, 3, 4)"
 _STATS = f"""{_VALUES}, stats as (select s.*, n_distinct / occurrences as ratio, s.bytes / r.bytes as share from
   (select service, signal, key, count(*) as n_distinct, cast(sum(n) as bigint) as occurrences, cast(sum(bytes) as bigint) as bytes from vals group by 1, 2, 3) s
