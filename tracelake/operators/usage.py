@@ -197,12 +197,45 @@ def top_services(rows: DataFrame, n: int = 10) -> DataFrame:
     return rows.groupBy("service").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n_records")).orderBy(F.desc("bytes"), "service").limit(n)
 
 
-def estimate_cost(daily: DataFrame, per_gb: float, per_million_spans: float, per_million_logs: float, days: float = 30.0, multiplier: float = 1.0) -> DataFrame:
-    """Monthly cost lines (item, quantity, monthly) and their total from a row of bytes, n_spans and n_logs a day."""
-    gb = F.col("bytes") * multiplier / 1e9 * days
+def top_operations(spans: DataFrame, n: int = 10) -> DataFrame:
+    """The n operations (service, name) of most bytes; ties to the first by service and name."""
+    sums = spans.groupBy("service", "name").agg(F.sum(span_bytes()).alias("bytes"), F.count("*").alias("n_spans"))
+    return sums.orderBy(F.desc("bytes"), "service", "name").limit(n)
+
+
+def top_metrics(points: DataFrame, n: int = 10) -> DataFrame:
+    """The n metrics of most series, then bytes; ties to the first by name. A series is first folded to one row."""
+    series = points.groupBy("metric", "instance_id", F.array_sort(F.map_entries("attrs")).alias("a")).agg(F.sum(point_bytes()).alias("bytes"))
+    sums = series.groupBy("metric").agg(F.count("*").alias("n_series"), F.sum("bytes").alias("bytes"))
+    return sums.orderBy(F.desc("n_series"), F.desc("bytes"), "metric").limit(n)
+
+
+def daily_usage(rates: DataFrame, points: DataFrame) -> DataFrame:
+    """One row of bytes, n_spans, n_logs a day at the rates of rates_per_minute, and n_series, all series of points."""
+    of = lambda signal: F.coalesce(F.sum(F.when(F.col("signal") == signal, F.col("records_per_minute"))), F.lit(0.0)) * 1440
+    day = rates.agg((F.coalesce(F.sum("bytes_per_minute"), F.lit(0.0)) * 1440).alias("bytes"), of("traces").alias("n_spans"), of("logs").alias("n_logs"), F.lit(1).alias("_k"))
+    series = points.select("metric", "instance_id", F.array_sort(F.map_entries("attrs")).alias("a")).distinct().agg(F.count("*").alias("n_series"), F.lit(1).alias("_k"))
+    return day.join(F.broadcast(series), "_k").drop("_k")
+
+
+def estimate_cost(
+    daily: DataFrame, per_gb: float | None = None, per_million_spans: float | None = None, per_million_logs: float | None = None, days: float = 30.0,
+    multiplier: float = 1.0, per_series: float | None = None, per_gb_retained: float | None = None, retention_days: float | None = None,
+) -> DataFrame:
+    """Monthly cost lines (item, quantity, monthly) and their total from a row of bytes, n_spans, n_logs and n_series a day.
+
+    Only items with a price have a line; retention needs its days too. The multiplier is of traffic and leaves series
+    as they are, which only their price asks for. Without any line there are no rows.
+    """
+    gb = F.col("bytes") * multiplier / 1e9
     million = lambda c: F.col(c) * multiplier * days / 1e6
+    items = [("ingest", lambda: gb * days, per_gb), ("spans", lambda: million("n_spans"), per_million_spans), ("logs", lambda: million("n_logs"), per_million_logs)]
+    items.append(("series", lambda: F.col("n_series").cast("double"), per_series))
+    items.append(("retention", lambda: gb * retention_days, None if retention_days is None else per_gb_retained))
     line = lambda item, q, price: F.struct(F.lit(item).alias("item"), q.alias("quantity"), (q * price).alias("monthly"))
-    lines = F.array(line("ingest", gb, per_gb), line("spans", million("n_spans"), per_million_spans), line("logs", million("n_logs"), per_million_logs))
+    lines = F.array(*(line(item, q(), price) for item, q, price in items if price is not None))
+    if all(price is None for *_, price in items):
+        return daily.select(F.lit("").alias("item"), F.lit(0.0).alias("quantity"), F.lit(0.0).alias("monthly")).where("false")
     total = F.aggregate(lines, F.lit(0.0), lambda s, x: s + x["monthly"])
     return daily.select(F.inline(F.concat(lines, F.array(F.struct(F.lit("total").alias("item"), F.lit(None).cast("double").alias("quantity"), total.alias("monthly"))))))
 

@@ -49,7 +49,7 @@ flat as (
   select service, 'traces' as signal, end_ms as time_ms, span_id || trace_id as id, {_fr('strlen(name)')} + 28 + case when parent_span_id is null then 0 else 10 end + 2 + 18 + case when status_code = 'UNSET' then 0 else 4 end as own from one
   union all select service, 'logs', time_ms, cast(seq as varchar), 9 + 2 + {_fr(_fr('strlen(body)'))} + 28 from logs
   union all select split_part(instance_id, '::', 1), 'metrics', time_ms, metric || seq, 18 from points),
-recs as (select service, signal, time_ms, cast({_fr('own + coalesce(b, 0)')} as bigint) as bytes from flat left join sums using (signal, id))"""
+recs as (select service, signal, id, time_ms, cast({_fr('own + coalesce(b, 0)')} as bigint) as bytes from flat left join sums using (signal, id))"""
 
 
 def _records(spark, sf_dir):
@@ -156,6 +156,42 @@ def estimate_cost(spark, sf_dir):
     return usage.estimate_cost(daily, 0.5, 2.0, 1.5).withColumns(r6("quantity", "monthly"))
 
 
+_PER_DAY = f"""{_RECORDS}, ends as (select min(time_ms) as lo, max(time_ms) as hi from recs),
+  span as (select *, greatest(lo, (floor(hi / 60000) - 14) * 60000) as from_ms from ends),
+  w as (select from_ms, greatest(1.0, (hi - from_ms) / 60000) as minutes from span),
+  ser as (select count(*) as n_series from (select distinct metric, instance_id, event_type, shard from points)),
+  d as (select coalesce(sum(bytes), 0) / any_value(minutes) * 1440 as bytes, count(*) filter (signal = 'traces') / any_value(minutes) * 1440 as n_spans,
+    count(*) filter (signal = 'logs') / any_value(minutes) * 1440 as n_logs, any_value(n_series) as n_series from recs, w, ser where time_ms >= from_ms)"""
+
+
+def _daily(spark, sf_dir):
+    return usage.daily_usage(usage.rates_per_minute(_records(spark, sf_dir)), fixtures.points(spark, sf_dir))
+
+
+@query(sql(_PER_DAY, "select round(bytes, 4) as bytes, round(n_spans, 4) as n_spans, round(n_logs, 4) as n_logs, n_series from d"))
+def daily_usage(spark, sf_dir):
+    return _daily(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("bytes", "n_spans", "n_logs")})
+
+
+@query(sql(f"{_PER_DAY}, i as (select 'ingest' as item, bytes * 2 / 1e9 * 30 as q, 0.5 as price from d union all select 'spans', n_spans * 2 * 30 / 1e6, 2 from d union all select 'series', n_series, 0.05 from d union all select 'retention', bytes * 2 / 1e9 * 90, 0.1 from d)",
+           "select item, round(q, 6) as quantity, round(q * price, 6) as monthly from i union all select 'total', null, round(sum(q * price), 6) from i"))
+def estimate_cost_retained(spark, sf_dir):
+    """Twice the traffic, series and 90 days of retention priced, logs not."""
+    return usage.estimate_cost(_daily(spark, sf_dir), 0.5, 2.0, multiplier=2.0, per_series=0.05, per_gb_retained=0.1, retention_days=90).withColumns(r6("quantity", "monthly"))
+
+
+@query(sql(_RECORDS, """select r.service, name, cast(sum(bytes) as bigint) as bytes, count(*) as n_spans from recs r join one on id = span_id || one.trace_id
+  where signal = 'traces' group by 1, 2 order by 3 desc, 1, 2 limit 10"""))
+def top_operations(spark, sf_dir):
+    return usage.top_operations(traces.dedupe_spans(fixtures.spans(spark, sf_dir)), 10)
+
+
+@query(sql(f"points as ({duckdb(POINTS)})", f"""select metric, count(distinct (instance_id, event_type, shard)) as n_series,
+  cast(sum({_fr("18 + " + _ATTR.replace("strlen(k)", "4").replace("strlen(v)", "strlen(event_type)") + " + " + _ATTR.replace("strlen(k)", "5").replace("strlen(v)", "strlen(shard)"))}) as bigint) as bytes from points group by 1 order by 2 desc, 3 desc, 1 limit 10"""))
+def top_metrics(spark, sf_dir):
+    return usage.top_metrics(fixtures.points(spark, sf_dir), 10)
+
+
 _CMP = f"""{_RECORDS}, h as (select *, time_ms < 883612800000 as early from attrs where signal = 'traces'),
   c as (select service, signal, k as key, nullif(count(distinct v) filter (early), 0) as n_before, nullif(count(distinct v) filter (not early), 0) as n_after from h group by 1, 2, 3),
   d as (select *, case when n_before is null then 'new' when n_after is null then 'resolved' when n_after >= 2 * n_before and n_after >= 20 then 'grown' end as change from c)"""
