@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import textwrap
 import time
 import zlib
 from collections import Counter
@@ -322,6 +323,24 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(empty).count() == 0
 
 
+def test_license_scan_wrapped(spark):
+    """A notice wrapped at any width, with comment marks, is one paragraph of its family; other licences are unknown."""
+    around = "thandre ofor the inan reon was at"
+    texts, want = [], {}
+    for width in (40, 72):
+        for family, text in license_scan.TEMPLATES:
+            wrapped = textwrap.wrap(text, width)
+            if len(wrapped) > 1:
+                want[len(texts)] = family
+                texts.append("\n".join([around, "/*", *(f" * {x}" for x in wrapped), " */", around]))
+    for text in ("Licensed under the ISC License.", license_scan.OTHERS[2], "The driver showed a license and left.", *license_scan.CUES):
+        want[len(texts)] = "unknown" if "Licensed" in text or "Eclipse" in text else None
+        texts.append(f"{around}\n{text}\n{around}")
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {k: {r["family"] for r in rows if r["doc_id"] == k and (r["is_confirmed"] or want[k] in (None, "unknown"))} for k in want}
+    assert {k: (got[k], texts[k]) for k, f in want.items() if got[k] != ({f} if f else set())} == {}
+
+
 def test_quality_classifier(spark, odd, empty):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
