@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import classify_target, operation_key, peer_of
+from tracelake.operators.store import stored
 from tracelake.operators.traces import dedupe_spans, has_parent
 
 MIN_RATE_MS = 10_000
@@ -24,7 +25,8 @@ def calls(spans: DataFrame) -> DataFrame:
 
     An edge between services takes the parent's duration if the parent is a CLIENT or PRODUCER, else the span's own.
     """
-    one = with_target(dedupe_spans(spans))
+    one = dedupe_spans(spans).select("trace_id", "span_id", "parent_span_id", "service", "instance_id", "name", "kind", "duration_ms", "end_ms", "status_code", "attrs", "code_file", "code_line")
+    one = with_target(stored(one))  # read for peers, parents and calls
     parent = one.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("p_service"), F.col("kind").alias("p_kind"), F.col("duration_ms").alias("p_ms"))
     rows = one.join(parent, ["trace_id", "parent_span_id"], "left")
     me, none = F.concat(F.lit("svc:"), F.col("service")), F.lit(None).cast("string")

@@ -15,11 +15,14 @@ from tracelake.operators.store import stored
 _COPY_ORDER = ("end_ms", "start_ms", "service", "name", "kind", "status_code")
 
 
+def _best_copy():
+    return Window.partitionBy("trace_id", "span_id").orderBy(*(F.col(c).desc_nulls_last() for c in _COPY_ORDER))
+
+
 def dedupe_spans(spans: DataFrame) -> DataFrame:
     """One row for each (trace_id, span_id): the copy that ends last. Spans without ids are dropped."""
-    best = Window.partitionBy("trace_id", "span_id").orderBy(*(F.col(c).desc_nulls_last() for c in _COPY_ORDER))
     known = spans.where((F.coalesce("trace_id", F.lit("")) != "") & (F.coalesce("span_id", F.lit("")) != ""))
-    return known.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return known.withColumn("_n", F.row_number().over(_best_copy())).where("_n = 1").drop("_n")
 
 
 def has_parent(column: Column) -> Column:
@@ -32,8 +35,13 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
     Extents come from all copies, the rest from deduped spans. Root: no parent first, then parent not in the
     trace, then any; within a rank the earliest start, then the smallest id.
     """
-    extent = spans.groupBy("trace_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    one = dedupe_spans(spans)
+    copies = Window.partitionBy("trace_id", "span_id")
+    rows = spans.select("trace_id", "span_id", "parent_span_id", "start_ms", "end_ms", "service", "name", "kind", "status_code", "attrs")
+    rows = rows.withColumns({"_lo": F.min("start_ms").over(copies), "_hi": F.max("end_ms").over(copies), "_n": F.row_number().over(_best_copy())})
+    # Rows without a span id count for the extents only.
+    rows = stored(rows.where("_n = 1 and coalesce(trace_id, '') <> ''").drop("_n", "kind", "end_ms"))
+    extent = rows.groupBy("trace_id").agg(F.min("_lo").alias("start_ms"), F.max("_hi").alias("end_ms"))
+    one = rows.where("coalesce(span_id, '') <> ''").drop("_lo", "_hi")
     parents = one.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_there"))
     one = one.join(parents, ["trace_id", "parent_span_id"], "left")
     rank = F.when(~has_parent(F.col("parent_span_id")), 0).when(F.col("_there").isNull(), 1).otherwise(2)
@@ -87,7 +95,7 @@ def traces_over_time(summaries: DataFrame, n: int = 12) -> DataFrame:
 
 def children(spans: DataFrame) -> DataFrame:
     """(trace_id, parent_span_id, span_id) of deduped spans whose parent is in the trace."""
-    one = dedupe_spans(spans)
+    one = stored(dedupe_spans(spans).select("trace_id", "span_id", "parent_span_id"))
     up = one.select("trace_id", F.col("span_id").alias("parent_span_id"))
     return one.select("trace_id", "parent_span_id", "span_id").where("parent_span_id <> span_id").join(up, ["trace_id", "parent_span_id"], "left_semi")
 
@@ -97,7 +105,7 @@ def self_times(spans: DataFrame) -> DataFrame:
 
     The union needs no loop: with children in order of start, each adds what lies beyond the furthest end before it.
     """
-    one = dedupe_spans(spans)
+    one = stored(dedupe_spans(spans))  # read three times
     parent = one.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("start_ms").alias("_ps"), F.col("end_ms").alias("_pe"))
     kids = one.where("parent_span_id <> span_id").select("trace_id", "parent_span_id", "span_id", "start_ms", "end_ms").join(parent, ["trace_id", "parent_span_id"])
     kids = kids.select("trace_id", "parent_span_id", "span_id", F.greatest("start_ms", "_ps").alias("s"), F.least("end_ms", "_pe").alias("e")).where("e > s")
@@ -129,7 +137,7 @@ def depths(spans: DataFrame, levels: int = 64) -> DataFrame:
     round is written out, so the plan does not grow. path orders a trace depth first, siblings by start and id.
     Spans of a cycle keep what levels rounds give them.
     """
-    one = dedupe_spans(spans).select("trace_id", "span_id", "parent_span_id", "start_ms")
+    one = stored(dedupe_spans(spans).select("trace_id", "span_id", "parent_span_id", "start_ms"))
     up = one.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_there"))
     state = one.join(up, ["trace_id", "parent_span_id"], "left")
     orphan = has_parent(F.col("parent_span_id")) & F.col("_there").isNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.operators import traces, usage
+from tracelake.operators.store import stored
 from tracelake.plans import fixtures
 from tracelake.plans.fixtures import LOGS, POINTS, duckdb
 from tracelake.plans.span_queries import ONE, r6, sql
@@ -52,8 +53,8 @@ flat as (
 recs as (select service, signal, id, time_ms, cast({_fr('own + coalesce(b, 0)')} as bigint) as bytes from flat left join sums using (signal, id))"""
 
 
-def _records(spark, sf_dir):
-    one = traces.dedupe_spans(fixtures.spans(spark, sf_dir))
+def _records(spark, sf_dir, one=None):
+    one = traces.dedupe_spans(fixtures.spans(spark, sf_dir)) if one is None else one
     points = fixtures.points(spark, sf_dir).withColumn("service", F.split_part(F.col("instance_id"), F.lit("::"), F.lit(1)))
     return usage.records(one, fixtures.logs(spark, sf_dir), points)
 
@@ -128,10 +129,11 @@ def metric_series_stats(spark, sf_dir):
 
 
 def _findings(spark, sf_dir):
-    rows = _records(spark, sf_dir)
-    vals = usage.values(rows)
+    one = stored(traces.dedupe_spans(fixtures.spans(spark, sf_dir)))
+    rows = _records(spark, sf_dir, one)
+    vals = stored(usage.values(rows))
     found = usage.attribute_findings(usage.attribute_stats(rows, vals), usage.distinct_growth(vals, WIDTH_MS))
-    return found.unionByName(usage.name_findings(usage.span_name_stats(traces.dedupe_spans(fixtures.spans(spark, sf_dir)))))
+    return found.unionByName(usage.name_findings(usage.span_name_stats(one)))
 
 
 @query()
