@@ -261,3 +261,11 @@ def test_mask_tokens(spark):
     assert {r["x"]: r["got"] for r in rows} == {r["x"]: [r["want"]] for r in rows}
     one = spark.range(1).select(templates.mask_tokens(F.lit('said "two words" at\t5  \n')).alias("a"), templates.mask_tokens(F.lit(" ".join(f"w{k}" for k in range(90)))).alias("b"), templates.mask_tokens(F.lit("b" * 3000 + " end")).alias("c")).first()
     assert one["a"] == ["said", "<STR>", "at", "<NUM>"] and len(one["b"]) == 64 and one["c"] == ["b" * 2048]
+
+
+def test_trace_summaries_extents_of_all_copies(spark):
+    """Copies and spans without an id stretch a trace's extent, but are no spans of it."""
+    schema = "trace_id string, span_id string, parent_span_id string, service string, name string, kind string, start_ms double, end_ms double, status_code string, attrs map<string, string>"
+    rows = [("t", "a", None, "s", "n", "SERVER", 5.0, 9.0, "OK", {}), ("t", "a", None, "s", "n", "SERVER", 4.0, 8.0, "OK", {}), ("t", None, None, "s", "n", "SERVER", 1.0, 20.0, "OK", {}), (None, "b", None, "s", "n", "SERVER", 0.0, 1.0, "OK", {})]
+    got = traces.trace_summaries(spark.createDataFrame(rows, schema)).select("trace_id", "start_ms", "end_ms", "n_spans").collect()
+    assert [tuple(r) for r in got] == [("t", 1.0, 20.0, 1)]
