@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.ann_curves import nearest
 from tracelake.llm.common import stored, table
+from tracelake.llm.conversation_repair import damaged, digests, repair_report, repaired
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_report
 from tracelake.llm.lm_scoring import lm_scores
@@ -126,8 +127,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), _remainder(7) != 2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every original conversation's faults after damage, the cheapest repair, and a hash of the repaired rows."""
+    original = table(spark, sf_dir, "conversations")
+    rows = damaged(original)
+    report = stored(repair_report(rows))
+    ids = original.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    out = ids.join(report, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").withColumnRenamed("id", "conv_id")
+    hashes = digests(repaired(rows, report)).withColumnRenamed("conv_id", "id")
+    out = out.join(hashes, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_ann_curves, op3_quality_rules, op4_sentencepiece, op5_line_dedup, op6_ngram_join, op7_license_scan, op8_token_counts, op9_quality_classifier, op10_lm_scoring)
+    for f in (op1_mixing, op2_ann_curves, op3_quality_rules, op4_sentencepiece, op5_line_dedup, op6_ngram_join, op7_license_scan, op8_token_counts, op9_quality_classifier, op10_lm_scoring, op11_conversation_repair)
 }
 ORACLE_SQL: dict[str, str] = {"op1_mixing": ORACLE_MIX}
