@@ -18,6 +18,7 @@ from tracelake.llm.quality_classifier import quality_scores
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.sentencepiece_codec import round_trip
 from tracelake.llm.token_counts import token_counts
+from tracelake.llm.whitening import whiten
 
 
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 1
@@ -140,8 +141,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_ann_curves, op3_quality_rules, op4_sentencepiece, op5_line_dedup, op6_ngram_join, op7_license_scan, op8_token_counts, op9_quality_classifier, op10_lm_scoring, op11_conversation_repair)
+    for f in (op1_mixing, op2_ann_curves, op3_quality_rules, op4_sentencepiece, op5_line_dedup, op6_ngram_join, op7_license_scan, op8_token_counts, op9_quality_classifier, op10_lm_scoring, op11_conversation_repair, op12_embedding_whitening)
 }
 ORACLE_SQL: dict[str, str] = {"op1_mixing": ORACLE_MIX}
