@@ -83,24 +83,37 @@ def anti_join_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(ids, column, "left_anti")
 
 
+#: Rows of a stored table that one file of it is meant for.
+FILE_ROWS = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, label), label the smallest node reachable.
 
-    Every round takes the smallest label among a node and its neighbours and then follows the label's own
-    label, so that chains shorten by halves. Only the number of changed labels reaches the driver.
+    By contraction: in a round every node moves to the first, in an order drawn anew by hash, of itself and its neighbours, and
+    the edges follow; nodes that meet are one from then on. A round leaves under half of the nodes, and a star needs two, a pair
+    one. Then the moves are followed from the last round back, and each end gets the smallest of its nodes. Tables are written in
+    as few files as their rows need; only numbers of edges reach the driver. Null ends are left out.
     """
-    edges = stored(edges.select("a", "b").where("a <> b").distinct())
-    both = stored(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        up = labels.select(F.col("node").alias("next"), F.col("label").alias("above"))
-        new = stored(step.join(up, "next").select("node", "label", F.least("next", "above").alias("next")))
-        changed = new.where("label <> next").count()
-        labels = new.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    edges = stored(edges.distinct())
+    moves: list[DataFrame] = []
+    while n := edges.count():
+        files = 1 + n // FILE_ROWS
+        drawn = lambda c, k=len(moves): F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("to"))
+        ends = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min(drawn("b")).alias("first"))
+        moved = stored(ends.select(F.col("a").alias("node"), F.least("first", drawn("a"))["to"].alias("to")).coalesce(files))
+        moves.append(moved)
+        side = F.broadcast(moved) if n <= BROADCAST_ROWS // 2 else moved  # no more nodes than two for each edge
+        to = lambda c: side.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: E731, B023
+        both = edges.join(to("a"), "a").join(to("b"), "b").where("a_to <> b_to")
+        edges = stored(both.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct().coalesce(files))
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    ends = moves.pop().withColumnRenamed("to", "end")
+    while moves:
+        later = ends.withColumnRenamed("node", "to")
+        ends = moves.pop().join(later, "to", "left").select("node", F.coalesce("end", "to").alias("end"))
+    ends = stored(ends)
+    least = ends.groupBy("end").agg(F.min("node").alias("label"))
+    return ends.join(least, "end").select("node", "label")

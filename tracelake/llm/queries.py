@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.ann_curves import nearest
+from tracelake.llm.binary_codes import near_duplicates
 from tracelake.llm.common import stored, table
 from tracelake.llm.conversation_repair import damaged, digests, repair_report, repaired
 from tracelake.llm.license_scan import license_scan
@@ -145,8 +146,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=16)
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_ann_curves, op3_quality_rules, op4_sentencepiece, op5_line_dedup, op6_ngram_join, op7_license_scan, op8_token_counts, op9_quality_classifier, op10_lm_scoring, op11_conversation_repair, op12_embedding_whitening)
+    for f in (op1_mixing, op2_ann_curves, op3_quality_rules, op4_sentencepiece, op5_line_dedup, op6_ngram_join, op7_license_scan, op8_token_counts, op9_quality_classifier, op10_lm_scoring, op11_conversation_repair, op12_embedding_whitening, op13_embedding_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op1_mixing": ORACLE_MIX}
