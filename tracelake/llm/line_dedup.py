@@ -47,9 +47,13 @@ _SHINGLES = "(?s)(?=(.{%d}))" % SHINGLE
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def _lines(docs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, doc_id, n, line) of the lines with a word, n from 0; documents without id are left out."""
-    lines = docs.where("doc_id is not null and text is not null").select(*keys, "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+#: What tells a line's place: a row is its doc_id and its text's hash t, so rows that share an id stay apart.
+_PLACE = ["doc_id", "n", "t"]
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, t, line) of the lines with a word, n from 0; documents without id are left out."""
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return lines.where(F.col("line").rlike(_WORD))
 
 
@@ -103,7 +107,7 @@ def _candidates(docs: DataFrame, firsts: DataFrame, postings: DataFrame) -> tupl
     """
     wanted = stored(firsts.drop("copies").join(postings.select("id").distinct(), "id"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = _lines(docs).join(side, ["doc_id", "n"]).where(F.xxhash64("line") == F.col("id"))
+    texts = _lines(docs).join(side, _PLACE).where(F.xxhash64("line") == F.col("id"))
     texts = stored(texts.select("id", "line").dropDuplicates(["id"]))
     word = F.shiftright("x", 6).bitwiseAND(F.lit(BITS // 64 - 1)).cast("int").alias("w")
     shingles = _exploded(texts.repartition("id"), "id").groupBy("id", "x").agg(F.lit(1).alias("one"))
@@ -130,12 +134,12 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Classes of lines with more than one line or a link: h, g, and the (first_doc, first_n) that stays."""
+    """Classes of lines with more than one line or a link: h, g, and the place (first) that stays."""
     by_class = ["h", "g"]
-    classes = lines.groupBy(*by_class).agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("copies"))
-    classes = stored(classes.select(*by_class, "first.doc_id", "first.n", "copies"))
+    classes = lines.groupBy(*by_class).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("copies"))
+    classes = stored(classes.select(*by_class, "first.*", "copies"))
     # A node is a line's first hash. Should two lines share it, the smaller one of them takes part.
-    firsts = classes.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc_id", "n", "copies")).alias("first")).select("id", "first.*")
+    firsts = classes.groupBy(F.col("h").alias("id")).agg(F.min(F.struct(*_PLACE, "copies")).alias("first")).select("id", "first.*")
     by_band = Window.partitionBy("band")
     both = _lines(docs)
     postings = _long_bands(both).union(_ring_bands(both, percent).distinct()).select("band", F.col("h").alias("id"))
@@ -161,33 +165,33 @@ def _groups(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     labels = components(links.union(_verified(texts, rest, percent)))
     # First line of each component, then back to the classes.
     linked = stored(firsts.drop("copies").join(labels.withColumnRenamed("node", "id"), "id"))
-    least = linked.groupBy("label").agg(F.min(F.struct("doc_id", "n")).alias("first"))
-    linked = stored(linked.join(least, "label").select("doc_id", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.n").alias("first_n")))
+    least = linked.groupBy("label").agg(F.min(F.struct(*_PLACE)).alias("first"))
+    linked = stored(linked.join(least, "label").select(*_PLACE, "first"))
     if linked.count() <= BROADCAST_ROWS:
         linked = F.broadcast(linked)
-    found = classes.join(linked, ["doc_id", "n"], "left").where("copies > 1 or first_doc is not null")
-    return stored(found.select(*by_class, F.coalesce("first_doc", "doc_id").alias("first_doc"), F.coalesce("first_n", "n").alias("first_n")))
+    found = classes.join(linked, _PLACE, "left").where("copies > 1 or first is not null")
+    return stored(found.select(*by_class, F.coalesce("first", F.struct(*_PLACE)).alias("first")))
 
 
 def dropped_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, chars) of all lines with a word, and (doc_id, n) of those that another line stands for.
+    """(doc_id, n, t, chars) of all lines with a word, and (doc_id, n, t) of those that another line stands for.
 
     docs has doc_id and text. Lines without a word are never dropped and stand for none. Documents whose text or
-    id is null have no lines here. Rows that repeat a doc_id are one document: what goes from one goes from all,
-    and a line of theirs is never dropped for the same line of a repeated row.
+    id is null have no lines here. t is the hash of a row's text: rows that repeat both doc_id and text are one document,
+    of which a line is never dropped for the same line of a repeated row; rows that share only the id are documents of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs).select("doc_id", "n", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.char_length("line").alias("chars"))
+    lines = _lines(docs).select(*_PLACE, F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.char_length("line").alias("chars"))
     lines = stored(lines)
     groups = _groups(docs, lines, percent)
-    gone = lines.select("doc_id", "n", "h", "g").join(groups, ["h", "g"]).where("first_doc <> doc_id or first_n <> n").select("doc_id", "n")
-    return lines.select("doc_id", "n", "chars"), stored(gone.distinct())
+    gone = lines.select(*_PLACE, "h", "g").join(groups, ["h", "g"]).where("first.doc_id <> doc_id or first.n <> n or first.t <> t").select(*_PLACE)
+    return lines.select(*_PLACE, "chars"), stored(gone.distinct())
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines (with a word), n_dropped and kept_chars (of the lines kept), one row for each doc_id of docs."""
     lines, gone = dropped_lines(docs, percent)
-    marked = lines.join(gone.withColumn("gone", F.lit(1)), ["doc_id", "n"], "left")
+    marked = lines.join(gone.withColumn("gone", F.lit(1)), _PLACE, "left")
     sums = marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("gone").alias("n_dropped"), F.sum(F.when(F.col("gone").isNull(), F.col("chars")).otherwise(0)).alias("kept_chars"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_lines", "n_dropped", "kept_chars")}
@@ -198,8 +202,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the dropped lines, all columns kept. A row all of whose lines were dropped goes; others stay."""
     _, gone = dropped_lines(docs, percent)
     count = gone.count()
-    per_doc = gone.groupBy("doc_id").agg(F.collect_list("n").alias("_gone"))  # as many as one document has lines
-    rows = docs.join(F.broadcast(per_doc) if count <= BROADCAST_ROWS else per_doc, "doc_id", "left")
+    per_row = gone.groupBy("doc_id", F.col("t").alias("_t")).agg(F.collect_list("n").alias("_gone"))  # as many as one document has lines
+    rows = docs.withColumn("_t", F.xxhash64("text")).join(F.broadcast(per_row) if count <= BROADCAST_ROWS else per_row, ["doc_id", "_t"], "left")
     split = F.split("text", "\n")
     kept = F.filter(F.arrays_zip(split.alias("line"), F.sequence(F.lit(0), F.size(split) - 1).alias("n")), lambda x: ~F.array_contains("_gone", x["n"]))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
