@@ -1,11 +1,13 @@
 """The corpus pipeline: stages over documents, each written and reread as the next one's input.
 
-A stage's result must be written before the next stage is called: that call deletes the intermediate tables that the
-earlier stage left in the shared folder, so that they don't add up over the pipeline.
+A stage leaves intermediate tables in the shared folder, which its result reads; the result lists them in its attribute left.
+release(result) deletes them once the result is written. A stage that is called also releases the results of earlier calls
+that nothing references any more, so stages may be planned and read in any order while their results are held.
 """
 
 from __future__ import annotations
 
+import weakref
 from functools import wraps
 
 import public_tokenizers
@@ -21,15 +23,27 @@ from tracelake.llm.queries import MIX_DOMAIN, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
 from tracelake.llm.sentencepiece_codec import round_trip
 
 
-_left: list[str] = []  # intermediate tables of the stage before
+_held: list[tuple[weakref.ref, list[str]]] = []  # results and their tables
+
+
+def release(result: DataFrame) -> None:
+    """Delete the intermediate tables of a stage's result, which cannot be read any more then."""
+    drop_tables(result.sparkSession, result.left)
 
 
 def _stage(function):
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _left)
-        with recorded(_left):
-            return function(spark, docs, sf_dir)
+        for held, left in list(_held):
+            if held() is None:
+                drop_tables(spark, left)
+                _held.remove((held, left))
+        left: list[str] = []
+        with recorded(left):
+            out = function(spark, docs, sf_dir)
+        out.left = left
+        _held.append((weakref.ref(out), left))
+        return out
 
     return run_stage
 
@@ -78,9 +92,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, the last one's rows: doc_id, n_pieces, ids, round_trip.
+
+    Nulls, repeated rows and clashing columns follow the stages' operators; ties in mixing go by a hash of the seed and doc_id.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        result = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+            docs = stored(result)
+            release(result)
+    return result
