@@ -129,34 +129,6 @@ def find_spans(spans_with_self: DataFrame, condition: Column, min_ms: float = 0.
     return spans_with_self.where(condition & (F.col("duration_ms") >= min_ms)).orderBy(F.desc(sort), "trace_id", "span_id").limit(limit)
 
 
-def depths(spans: DataFrame, levels: int = 64) -> DataFrame:
-    """(trace_id, span_id, depth, is_orphan, root_span_id, path): place of deduped spans under their trace's roots.
-
-    Spans without a parent in the trace are roots; those with a parent id that is missing are orphans. Each round
-    jumps to the ancestor's ancestor and puts its path in front, so a tree of depth d takes log2(d) joins, and every
-    round is written out, so the plan does not grow. path orders a trace depth first, siblings by start and id.
-    Spans of a cycle keep what levels rounds give them.
-    """
-    one = stored(dedupe_spans(spans).select("trace_id", "span_id", "parent_span_id", "start_ms"))
-    up = one.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_there"))
-    state = one.join(up, ["trace_id", "parent_span_id"], "left")
-    orphan = has_parent(F.col("parent_span_id")) & F.col("_there").isNull()
-    step = F.concat(F.lpad(F.hex(F.floor(F.col("start_ms") * 1000).cast("bigint")), 16, "0"), F.lit(":"), F.col("span_id"), F.lit("/"))
-    there = F.coalesce("_there", F.lit(False))
-    state = stored(state.select("trace_id", "span_id", F.when(there, F.col("parent_span_id")).alias("up"), there.cast("int").alias("depth"), orphan.alias("is_orphan"), F.col("span_id").alias("root_span_id"), step.alias("path")))
-    reach = 1
-    while reach < levels:
-        far = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"), F.col("path").alias("_path"), F.col("root_span_id").alias("_root"))
-        state = stored(state.join(far, ["trace_id", "up"], "left").select(
-            "trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), "is_orphan",
-            F.coalesce("_root", "root_span_id").alias("root_span_id"), F.concat(F.coalesce("_path", F.lit("")), "path").alias("path"),
-        ))
-        reach *= 2
-        if not state.where("up is not null").limit(1).count():
-            break
-    return state.drop("up")
-
-
 def time_per_service(spans_with_self: DataFrame) -> DataFrame:
     """Self time of each service in each trace and its share of the trace's self time."""
     sums = spans_with_self.groupBy("trace_id", "service").agg(F.sum("self_ms").alias("self_ms"), F.count("*").alias("n_spans"))
@@ -195,15 +167,6 @@ def filter_traces(spans: DataFrame, summaries: DataFrame, on_span: Column | None
     return rows if on_trace is None else rows.where(on_trace)
 
 
-def subtree(spans: DataFrame, trace_id: str, span_id: str) -> DataFrame:
-    """A span of one trace and its descendants, in depth-first order."""
-    one = spans.where(F.col("trace_id") == trace_id)
-    rows = dedupe_spans(one).join(depths(one), ["trace_id", "span_id"])
-    top = rows.where(F.col("span_id") == span_id).select("trace_id", F.col("path").alias("_top"), F.col("depth").alias("_depth"))
-    rows = rows.join(top, "trace_id").where(F.col("path").startswith(F.col("_top")))
-    return rows.withColumn("depth", F.col("depth") - F.col("_depth")).orderBy("path").drop("path", "_top", "_depth")
-
-
 def trace_errors(spans: DataFrame) -> DataFrame:
     """Failing spans with up to 3 exception events and up to 10 distinct names of events."""
     rows = dedupe_spans(spans).where("status_code = 'ERROR'")

@@ -111,13 +111,34 @@ def waterfall(spark, sf_dir):
 
 @query(f"""with recursive {ONE}, nxt as (select * from (select k.trace_id, k.parent_span_id, k.span_id, row_number() over (partition by k.trace_id, k.parent_span_id order by k.end_ms desc, k.span_id) as n
     from one k join one p on k.trace_id = p.trace_id and k.parent_span_id = p.span_id where k.start_ms <= p.end_ms) where n = 1),
-  top as (select * from (select o.trace_id, o.span_id, row_number() over (partition by o.trace_id order by o.duration_ms desc, o.span_id) as n from one o left join one p on o.trace_id = p.trace_id and o.parent_span_id = p.span_id where p.span_id is null) where n = 1),
+  top as (select * from (select o.trace_id, o.span_id, row_number() over (partition by o.trace_id order by o.duration_ms desc, o.start_ms, o.span_id) as n from one o left join one p on o.trace_id = p.trace_id and o.parent_span_id = p.span_id where p.span_id is null) where n = 1),
   path as (select trace_id, span_id, 0 as step from top union all select n.trace_id, n.span_id, p.step + 1 from path p join nxt n on n.trace_id = p.trace_id and n.parent_span_id = p.span_id)
-select path.trace_id, path.span_id, cast(step as integer) as step, round(duration_ms, 6) as duration_ms from path join one using (trace_id, span_id)""")
+select path.trace_id, path.span_id, cast(step as integer) as step, round(duration_ms, 6) as duration_ms, max(step) over (partition by path.trace_id) >= 30 as truncated from path join one using (trace_id, span_id) qualify step < 30""")
 def critical_path(spark, sf_dir):
     return tree.critical_path(fixtures.spans(spark, sf_dir)).withColumns(r6("duration_ms"))
 
 
+_DEEP = f"deep as ({fixtures.duckdb(fixtures.DEEP)})"
+_DEEP_TREE = f"""{_DEEP}, tree as (
+  select trace_id, span_id, 0 as depth, parent_span_id is not null as is_orphan, span_id as root_span_id, [span_id] as path from deep where start_ms = 0
+  union all
+  select k.trace_id, k.span_id, t.depth + 1, false, t.root_span_id, list_append(t.path, k.span_id) from deep k join tree t on k.trace_id = t.trace_id and k.parent_span_id = t.span_id and k.start_ms > 0)"""
+
+
+@query(f"with recursive {_DEEP_TREE} select trace_id, span_id, cast(depth as integer) as depth, is_orphan, root_span_id, cast(row_number() over (partition by trace_id order by path) as integer) as place from tree")
+def waterfall_deep(spark, sf_dir):
+    """Hundreds of levels; a trace that is one cycle opens at its first span."""
+    return tree.waterfall(fixtures.view(spark, sf_dir, fixtures.DEEP)).select("trace_id", "span_id", "depth", "is_orphan", "root_span_id", "place")
+
+
+@query(f"""with recursive {_DEEP}, nxt as (select * from (select k.trace_id, k.parent_span_id, k.span_id, row_number() over (partition by k.trace_id, k.parent_span_id order by k.end_ms desc, k.span_id) as n
+    from deep k join deep p on k.trace_id = p.trace_id and k.parent_span_id = p.span_id where k.start_ms <= p.end_ms and k.start_ms > 0) where n = 1),
+  path as (select trace_id, span_id, 0 as step from deep where start_ms = 0 union all select n.trace_id, n.span_id, p.step + 1 from path p join nxt n on n.trace_id = p.trace_id and n.parent_span_id = p.span_id)
+select trace_id, span_id, cast(step as integer) as step, max(step) over (partition by trace_id) >= 30 as truncated from path qualify step < 30""")
+def critical_path_deep(spark, sf_dir):
+    return tree.critical_path(fixtures.view(spark, sf_dir, fixtures.DEEP)).drop("duration_ms")
+
+
 @query()
 def log_templates(spark, sf_dir):
     return templates.log_templates(fixtures.logs(spark, sf_dir))

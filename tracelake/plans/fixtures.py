@@ -46,6 +46,18 @@ from (
     from {lineitem} l join {orders} o on l_orderkey = o_orderkey) x) s
 """
 
+#: Long traces: the orders of 30 customers each, hung from one another; those of every fifth trace close a cycle.
+DEEP = """
+select HEX(trace + 1, 32) as trace_id, HEX(trace * 16777216 + place, 16) as span_id,
+  case when place > 0 then HEX(trace * 16777216 + case when place % 3 = 0 then place - 2 else place - 1 end, 16) when trace % 5 = 0 then HEX(trace * 16777216 + n - 1, 16) end as parent_span_id,
+  concat('svc-', cast(place % 4 as string)) as service, concat('svc-', cast(place % 4 as string), '::i0') as instance_id, concat('op-', cast(place % 7 as string)) as name, 'SERVER' as kind,
+  cast(place * 10 as double) as start_ms, cast(place * 10 + 5000 - (place * 7) % 100 as double) as end_ms, cast(5000 - (place * 7) % 100 as double) as duration_ms,
+  case when place % 11 = 0 then 'ERROR' else 'UNSET' end as status_code
+from (
+  select trace, cast(row_number() over (partition by trace order by o_orderkey) as bigint) - 1 as place, cast(count(*) over (partition by trace) as bigint) as n
+  from (select cast(floor(o_custkey / 30) as bigint) as trace, o_orderkey from {orders}) o) t
+"""
+
 _LOG_COLUMNS = """
   case event_type when 'error' then 17 when 'purchase' then 13 when 'signup' then 9 when 'view' then 5 else 1 end as severity_number,
   concat(event_type, ' user=', cast(user_id as string), ' value=', cast(cast(floor(value) as bigint) as string)) as body,

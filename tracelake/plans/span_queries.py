@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
-from tracelake.operators import logs as log_ops, servicemap, traces
+from tracelake.operators import logs as log_ops, servicemap, traces, tree
 from tracelake.plans.fixtures import SPANS, TRACE_LOGS, duckdb, logs, spans
 
 QUERIES: dict = {}
@@ -156,7 +156,7 @@ def find_spans(spark, sf_dir):
   select k.trace_id, k.span_id, t.depth + 1, false, t.root_span_id from one k join tree t on k.trace_id = t.trace_id and k.parent_span_id = t.span_id)
 select trace_id, span_id, cast(depth as integer) as depth, is_orphan, root_span_id from tree""")
 def span_depths(spark, sf_dir):
-    return traces.depths(spans(spark, sf_dir)).drop("path")
+    return tree.depths(spans(spark, sf_dir))
 
 
 @query(sql(SELF, "select trace_id, service, round(sum(self_ms), 6) as self_ms, count(*) as n_spans, round(case when sum(sum(self_ms)) over (partition by trace_id) > 0 then sum(self_ms) / sum(sum(self_ms)) over (partition by trace_id) else 0 end, 9) as share from selfs group by trace_id, service"))
@@ -305,7 +305,7 @@ def compare_trace(spark, sf_dir):
 @query("with recursive " + ONE + f""", t as (select trace_id, span_id, 0 as depth from one where trace_id = '{_TARGET}' and parent_span_id is null
   union all select o.trace_id, o.span_id, t.depth + 1 from one o join t on o.trace_id = t.trace_id and o.parent_span_id = t.span_id) select span_id, cast(depth as integer) as depth from t""")
 def subtree(spark, sf_dir):
-    return traces.subtree(spans(spark, sf_dir), _TARGET, "00000000000000a0").select("span_id", "depth")
+    return tree.subtree(spans(spark, sf_dir), _TARGET, "00000000000000a0").select("span_id", "depth")
 
 
 _TLOGS = f"tlogs as ({duckdb(TRACE_LOGS)})"
