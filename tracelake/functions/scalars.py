@@ -196,17 +196,21 @@ def has_id_part(name: Column) -> Column:
     return F.exists(parts, lambda p: (p != "") & (is_id_segment(p) | p.rlike(IP)))
 
 
+def is_time(s: Column) -> Column:
+    """An ISO time, or an epoch number of 2000 to 2099 in seconds or a finer unit."""
+    seconds = F.left(s, F.lit(10)).try_cast("bigint")
+    epoch = s.rlike("^([0-9]{10}|[0-9]{13}|[0-9]{16}|[0-9]{19})$") & (seconds >= 946_684_800) & (seconds < 4_102_444_800)
+    return epoch | (s.rlike(ISO_TIME) & F.char_length(s).between(16, 40))
+
+
 def classify_value(value: Column) -> Column:
     """Class of an attribute value's text: what kind of id, address, time or text it is. Rules in order; 256 signs."""
     s = F.left(value, F.lit(256))
-    seconds = F.left(s, F.lit(10)).try_cast("bigint")
-    epoch = s.rlike("^([0-9]{10}|[0-9]{13}|[0-9]{16}|[0-9]{19})$") & (seconds >= 946_684_800) & (seconds < 4_102_444_800)
-    iso = s.rlike(ISO_TIME) & F.char_length(s).between(16, 40)
     scheme = r"^[A-Za-z][A-Za-z0-9+.-]{0,15}://[^/?#]*"
     url = s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]{0,15}://") | s.startswith("/")
     path = F.regexp_replace(F.regexp_replace(s, scheme, ""), "[?#].*$", "")
     return (
-        F.when(F.coalesce(s, F.lit("")) == "", "other").when(s.rlike(f"^{UUID}$"), "uuid").when(epoch | iso, "timestamp")
+        F.when(F.coalesce(s, F.lit("")) == "", "other").when(s.rlike(f"^{UUID}$"), "uuid").when(is_time(s), "timestamp")
         .when(s.rlike(r"[\s   ]"), F.when(F.char_length(value) >= 24, "freeText").otherwise("other"))
         .when(s.rlike(IP), "ip").when(s.rlike(EMAIL), "email")
         .when(url & s.rlike(r"\?.*="), "urlQuery").when(url, F.when(F.exists(F.split(path, "/"), lambda p: (p != "") & is_id_segment(p)), "pathId").otherwise("other"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalars import attr_number, severity_label
+from tracelake.functions import typed
+from tracelake.functions.scalars import severity_label
 
 
 def filter_logs(logs: DataFrame, min_severity: int = 0, text: str = "", attrs: dict[str, str] | None = None, range_ms: float | None = None) -> DataFrame:
@@ -31,12 +32,13 @@ def newest_logs(logs: DataFrame, n: int) -> DataFrame:
 
 
 def sort_logs(logs: DataFrame, column: Column, descending: bool = False) -> DataFrame:
-    """Logs in order of a text column: numbers first, then text, missing last both ways, ties by seq."""
-    number = attr_number(column)
-    way = (lambda c: c.desc_nulls_last()) if descending else (lambda c: c.asc_nulls_last())
-    kind = F.when(column.isNull(), 2).when(number.isNotNull(), 0).otherwise(1)
-    first = F.when(kind == 2, F.lit(1)).otherwise(F.lit(0))
-    return logs.orderBy(first, way(kind), way(number), way(F.when(kind == 1, column)), "seq")
+    """Logs in order of a column of text or typed values: numbers (also as text), text, booleans, structured values; missing ones last both
+    ways, ties by seq."""
+    kind = logs.select(column.alias("v")).schema["v"].dataType.simpleString()
+    key = typed.sort_key(typed.typed(column, kind))
+    rows = logs.withColumn("_key", key)
+    order = F.col("_key").desc() if descending else F.col("_key").asc()
+    return rows.orderBy(F.col("_key.rank") == 4, order, "seq").drop("_key")
 
 
 def log_attr_keys(logs: DataFrame) -> DataFrame:

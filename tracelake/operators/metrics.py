@@ -48,13 +48,18 @@ def aggregate(name: str) -> Column:
 
 
 def rollup_over_time(points: DataFrame, keys: list[str], step_ms: int, *names: str) -> DataFrame:
-    """Buckets of step_ms aligned to 0, from each key's first to its last, empty ones null; at most MAX_BUCKETS a key."""
+    """Buckets of step_ms aligned to 0, from each key's first to its last, empty ones null.
+
+    Of a key with a span of over MAX_BUCKETS buckets only those with points are returned, so that no point is lost and no row is made
+    up without bound.
+    """
     bucket = (F.floor(F.col("time_ms") / step_ms) * step_ms).cast("bigint")
     found = finite(points).groupBy(*keys, bucket.alias("bucket_ms")).agg(*(aggregate(n).alias(n) for n in names))
     ends = found.groupBy(*keys).agg(F.min("bucket_ms").alias("lo"), F.max("bucket_ms").alias("hi"))
-    ends = ends.withColumn("lo", F.greatest("lo", F.col("hi") - (MAX_BUCKETS - 1) * step_ms))
-    spine = ends.select(*keys, F.explode(F.sequence("lo", "hi", F.lit(step_ms).cast("bigint"))).alias("bucket_ms"))
-    return spine.join(found, [*keys, "bucket_ms"], "left")
+    long = F.col("hi") - F.col("lo") >= MAX_BUCKETS * step_ms
+    spine = ends.where(~long).select(*keys, F.explode(F.sequence("lo", "hi", F.lit(step_ms).cast("bigint"))).alias("bucket_ms"))
+    filled = spine.join(found, [*keys, "bucket_ms"], "left")
+    return filled.unionByName(found.join(ends.where(long).select(*keys), keys, "left_semi"))
 
 
 NICE_STEPS_MS = (1_000, 2_000, 5_000, 10_000, 15_000, 30_000, 60_000, 120_000, 300_000, 600_000, 900_000, 1_800_000, 3_600_000, 7_200_000, 14_400_000, 21_600_000, 43_200_000, 86_400_000)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import baseline, servicemap, templates, traces, tree
 from tracelake.operators.store import stored
 from tracelake.plans import fixtures
-from tracelake.plans.span_queries import _CALLS, ONE, r6, sql
+from tracelake.plans.span_queries import _CALLS, ONE, r6, sql, whole
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,9 +139,10 @@ def critical_path_deep(spark, sf_dir):
     return tree.critical_path(fixtures.view(spark, sf_dir, fixtures.DEEP)).drop("duration_ms")
 
 
-@query()
+@query(f"""with logs as ({fixtures.duckdb(fixtures.LOGS)}), p as (select *, split_part(body, ' ', 1) || ' user=<NUM> value=<NUM>' as template from logs)
+select service, template, count(*) as n_logs, cast(sum(strlen(body)) as bigint) as bytes, cast(min(time_ms) as bigint) as first_ms, cast(max(time_ms) as bigint) as last_ms, arg_min(body, (time_ms, body)) as sample from p group by 1, 2""")
 def log_templates(spark, sf_dir):
-    return templates.log_templates(fixtures.logs(spark, sf_dir))
+    return templates.log_templates(fixtures.logs(spark, sf_dir)).withColumns(whole("first_ms", "last_ms"))
 
 
 @query(sql(_POOL.split(", r as (")[0] + """, q as (select *, row_number() over (partition by service order by x, side) as r, count(*) over (partition by service) as n from s),

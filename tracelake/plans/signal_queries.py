@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import redact, scalars
-from tracelake.operators import genai, identity, logs as log_ops, metrics, traces
+from tracelake.operators import genai, identity, logs as log_ops, metrics, ordered, traces
 from tracelake.plans import fixtures
 from tracelake.plans.fixtures import GENAI, HISTOGRAMS, LOGS, POINTS, TRACE_LOGS, duckdb
 from tracelake.plans.span_queries import ONE, r6, sql, whole
@@ -49,10 +49,15 @@ def query_logs(spark, sf_dir):
     return log_ops.newest_logs(log_ops.filter_logs(fixtures.logs(spark, sf_dir), 13), 100).select("seq", "body", "service")
 
 
-@query(sql(L, "select seq, cast(row_number() over (order by try_cast(attr_k as double), seq) as bigint) as place from logs order by try_cast(attr_k as double), seq limit 500"))
+@query(sql(L, """select seq, cast(row_number() over (order by case severity_number when 5 then 0 when 1 then 1 when 17 then 2 when 13 then 3 else 4 end,
+  case when severity_number = 5 then cast(attr_k as double) end, case when severity_number = 1 then body end, case when severity_number = 17 then cast(attr_k as int) % 2 end, seq) as bigint) as place from logs"""))
 def sort_logs(spark, sf_dir):
-    first = log_ops.sort_logs(fixtures.logs(spark, sf_dir), F.element_at("attrs", "k")).limit(500)
-    return first.select("seq", F.expr("row_number() over (order by try_cast(attrs['k'] as double), seq)").cast("bigint").alias("place"))
+    """All logs in the order of a column that holds numbers, texts, booleans and maps."""
+    k = F.element_at("attrs", "k")
+    mixed = F.when(F.col("severity_number") == 5, k.cast("double").cast("variant")).when(F.col("severity_number") == 1, F.col("body").cast("variant")).when(F.col("severity_number") == 17, (k.cast("int") % 2 == 1).cast("variant"))
+    mixed = mixed.when(F.col("severity_number") == 13, F.to_variant_object(F.create_map(F.lit("k"), k)))
+    rows = log_ops.sort_logs(fixtures.logs(spark, sf_dir).withColumn("mixed", mixed), F.col("mixed"))
+    return ordered.running(rows.select("seq", F.monotonically_increasing_id().alias("at")), [], ["at"], place=F.lit(1)).select("seq", "place")
 
 
 @query("select unnest(['k', 'user.id']) as key")
