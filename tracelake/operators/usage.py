@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.redact import REDACTED, is_sensitive_key, redact_text
 from tracelake.functions.scalars import ID_CLASSES, classify_value, has_id_part
+from tracelake.operators.ordered import running
+from tracelake.operators.store import stored
 
 DOMINANT_SHARE = 0.8
 
@@ -55,9 +57,19 @@ def point_bytes() -> Column:
 
 
 def records(spans: DataFrame, logs: DataFrame, points: DataFrame) -> DataFrame:
-    """(service, signal, time_ms, bytes, attrs) of all records of the three signals."""
-    part = lambda df, signal, time, size: df.select("service", F.lit(signal).alias("signal"), F.col(time).alias("time_ms"), size.alias("bytes"), "attrs")
-    return part(spans, "traces", "end_ms", span_bytes()).unionByName(part(logs, "logs", "time_ms", log_bytes())).unionByName(part(points, "metrics", "time_ms", point_bytes()))
+    """(service, signal, scope, metric, time_ms, bytes, attrs, events) of all records of the three signals.
+
+    metric is null but for points; events has the attributes of a span's events, empty where spans come without events.
+    """
+    none = F.array().cast("array<map<string,string>>")
+    events = F.coalesce(F.transform("events", lambda e: e["attrs"]), none) if "events" in spans.columns else none
+
+    def part(df, signal, scope, time, size, metric, events=none):
+        return df.select("service", F.lit(signal).alias("signal"), F.lit(scope).alias("scope"), metric.alias("metric"), F.col(time).alias("time_ms"), size.alias("bytes"), "attrs", events.alias("events"))
+
+    no_metric = F.lit(None).cast("string")
+    out = part(spans, "traces", "span", "end_ms", span_bytes(), no_metric, events).unionByName(part(logs, "logs", "log", "time_ms", log_bytes(), no_metric))
+    return out.unionByName(part(points, "metrics", "metric", "time_ms", point_bytes(), F.col("metric")))
 
 
 def volume(rows: DataFrame) -> DataFrame:
@@ -94,21 +106,45 @@ def rates_per_minute(rows: DataFrame, window_ms: int = 15 * 60_000, width_ms: in
     return spine.join(found, "signal", "left").select("signal", "minutes", rate("n").alias("records_per_minute"), rate("b").alias("bytes_per_minute"))
 
 
+#: What tells an attribute: the same key is apart in spans, their events, logs and each metric.
+KEYS = ["service", "signal", "scope", "metric", "key"]
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(KEYS, value, n, bytes, first_ms), stored: each distinct value, so that hot keys are split; and the records' own bytes, key null.
+
+    One pass over the records serves values, statistics and totals.
+    """
+    pair = lambda scope, e: F.struct(scope.alias("scope"), e["key"].alias("key"), e["value"].alias("value"), attr_bytes(e["key"], e["value"]).alias("bytes"))
+    own = lambda m, scope: F.transform(F.filter(F.map_entries(m), lambda e: e["value"].isNotNull()), lambda e: pair(scope, e))
+    whole = F.array(F.struct(F.col("scope"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.col("bytes").cast("int").alias("bytes")))
+    inner = F.when(F.size("events") > 0, F.flatten(F.transform("events", lambda m: own(m, F.lit("span.event"))))).otherwise(F.slice(whole, 2, 1))
+    each = rows.select("service", "signal", "metric", "time_ms", F.inline(F.concat(whole, own(F.col("attrs"), F.col("scope")), inner)))
+    return stored(each.groupBy(*KEYS, "value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("time_ms").alias("first_ms")))
+
+
 def values(rows: DataFrame) -> DataFrame:
-    """(service, signal, key, value, n, bytes, first_ms): one row for each distinct value, so that hot keys are split."""
-    each = rows.select("service", "signal", "time_ms", F.explode("attrs").alias("key", "value")).where("value is not null")
-    return each.groupBy("service", "signal", "key", "value").agg(F.count("*").alias("n"), F.sum(attr_bytes(F.col("key"), F.col("value"))).alias("bytes"), F.min("time_ms").alias("first_ms"))
+    """(KEYS, value, n, bytes, first_ms): one row for each distinct value of each attribute."""
+    return counted(rows).where("key is not null")
 
 
-def attribute_stats(rows: DataFrame, vals: DataFrame | None = None) -> DataFrame:
-    """Per service, signal and key: distinct values, occurrences, bytes, ratio, share of the signal's bytes, dominant class."""
-    vals = values(rows) if vals is None else vals
-    keys = ["service", "signal", "key"]
-    by_class = vals.withColumn("class", classify_value(F.col("value"))).groupBy(*keys, "class").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    stats = by_class.groupBy(*keys).agg(F.sum("k").alias("n_distinct"), F.sum("n").alias("occurrences"), F.sum("bytes").alias("bytes"), F.max(F.struct("k", "class")).alias("top"))
-    whole = rows.groupBy("service", "signal").agg(F.sum("bytes").alias("whole"))
+def attribute_stats(rows: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
+    """Per attribute (KEYS): distinct values, occurrences, bytes, ratio, share of the service's bytes of the signal, dominant class.
+
+    counts is a table of counted(rows), if there is one already.
+    """
+    counts = counted(rows) if counts is None else counts
+    vals = counts.where("key is not null")
+    by_class = vals.withColumn("class", classify_value(F.col("value"))).groupBy(*KEYS, "class").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    stats = by_class.groupBy(*KEYS).agg(F.sum("k").alias("n_distinct"), F.sum("n").alias("occurrences"), F.sum("bytes").alias("bytes"), F.max(F.struct("k", "class")).alias("top"))
     dominant = F.when(F.col("top.k") >= DOMINANT_SHARE * F.col("n_distinct"), F.col("top.class"))
-    return stats.join(whole, ["service", "signal"]).select(*keys, "n_distinct", "occurrences", "bytes", (F.col("n_distinct") / F.col("occurrences")).alias("ratio"), (F.col("bytes") / F.col("whole")).alias("share"), dominant.alias("class"))
+    rows = stats.join(signal_bytes(counts), ["service", "signal"])
+    return rows.select(*KEYS, "n_distinct", "occurrences", "bytes", (F.col("n_distinct") / F.col("occurrences")).alias("ratio"), (F.col("bytes") / F.col("whole")).alias("share"), dominant.alias("class"))
+
+
+def signal_bytes(counts: DataFrame) -> DataFrame:
+    """(service, signal, whole): bytes of all records, of a table of counted()."""
+    return counts.where("key is null").groupBy("service", "signal").agg(F.sum("bytes").alias("whole"))
 
 
 def distinct_growth(vals: DataFrame, width_ms: int) -> DataFrame:
@@ -116,11 +152,14 @@ def distinct_growth(vals: DataFrame, width_ms: int) -> DataFrame:
 
     With 4 or more closed buckets the last third's new values are compared with a half of the first third's.
     """
-    keys = ["service", "signal", "key"]
+    keys = KEYS
     rows = vals.withColumn("at", F.floor(F.col("first_ms") / width_ms)).groupBy(*keys, "at").agg(F.count("*").alias("new"))
     ends = rows.groupBy(*keys).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     # Between the cumulative counts of n buckets lie n - 1 steps; the first bucket's own values are no step.
-    rows = rows.join(ends, keys).withColumn("steps", F.col("hi") - F.col("lo"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}"))
+    rows = rows.alias("r").join(ends.alias("e"), same).select("r.*", "lo", "hi").withColumn("steps", F.col("hi") - F.col("lo"))
     third = F.greatest(F.lit(1), F.floor(F.col("steps") / 3))
     step = F.col("at") - F.col("lo") - 1
     sums = rows.groupBy(*keys, "steps").agg(F.sum(F.when((step >= 0) & (step < third), F.col("new")).otherwise(0)).alias("first"), F.sum(F.when((step >= 0) & (step >= F.col("steps") - third), F.col("new")).otherwise(0)).alias("last"))
@@ -142,12 +181,29 @@ def operation_stats(spans: DataFrame, n: int) -> DataFrame:
     return named.groupBy("service", "name").agg(*(F.sum(c).alias(c) for c in ("n_spans", "n_errors", "bytes")))
 
 
-def metric_series_stats(points: DataFrame) -> DataFrame:
-    """Distinct series of each metric and the label with the most distinct values (ties to the first by name)."""
+def series_of(points: DataFrame) -> DataFrame:
+    """A row for each series (metric, instance_id, labels in order): points, bytes, first_ms and last_ms; service kept where points have it."""
+    own = ["service"] if "service" in points.columns else []
+    keys = [*own, "metric", "instance_id", F.array_sort(F.map_entries("attrs")).alias("labels")]
+    return points.groupBy(*keys).agg(F.count("*").alias("n_points"), F.sum(point_bytes()).alias("bytes"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
+
+
+def active_series(series: DataFrame, by: list[str], stale_ms: float = 300_000.0) -> DataFrame:
+    """Per group: n_series, and peak_series, the most that were alive at once. A series lives from its first point to stale_ms after its last.
+
+    Starts and ends are summed by time and swept in order, across partitions; ends count after starts of the same time.
+    """
+    ends = F.array(F.struct(F.col("first_ms").alias("at"), F.lit(0).alias("is_end")), F.struct((F.col("last_ms") + stale_ms).alias("at"), F.lit(1).alias("is_end")))
+    events = series.select(*by, F.inline(ends)).groupBy(*by, "at", "is_end").agg(F.count("*").alias("n"))
+    swept = running(events, by, ["at", "is_end"], alive=F.when(F.col("is_end") == 0, F.col("n")).otherwise(-F.col("n")))
+    return swept.groupBy(*by).agg(F.sum(F.when(F.col("is_end") == 0, F.col("n")).otherwise(0)).alias("n_series"), F.max("alive").alias("peak_series"))
+
+
+def metric_series_stats(points: DataFrame, stale_ms: float = 300_000.0) -> DataFrame:
+    """Per metric: series, the most alive at once, and the label with the most distinct values (ties to the first by name)."""
     each = points.select("metric", F.explode("attrs").alias("label", "value")).groupBy("metric", "label").agg(F.count_distinct("value").alias("k"))
     driver = each.groupBy("metric").agg(F.min_by("label", F.struct(-F.col("k"), F.col("label"))).alias("driver"), F.max("k").alias("driver_distinct"))
-    series = points.select("metric", "instance_id", F.array_sort(F.map_entries("attrs")).alias("a")).distinct().groupBy("metric").agg(F.count("*").alias("n_series"))
-    return series.join(driver, "metric", "left")
+    return active_series(series_of(points), ["metric"], stale_ms).join(driver, "metric", "left")
 
 
 # Keys known to have many values, by what to do about them.
@@ -170,27 +226,92 @@ def remediation_hint(key: Column, value_class: Column) -> Column:
     return out
 
 
+#: Columns of a finding.
+FINDING = ("rule", "severity", *KEYS, "n_distinct", "occurrences", "bytes", "share", "class", "growth", "driver", "hint")
+
+
+def _finding(rows: DataFrame, rule: Column | str, level: Column, **more: Column) -> DataFrame:
+    """Findings of FINDING's columns; level 0 info, 1 warning, 2 critical, one up where values are still growing."""
+    rows = rows.withColumns(more)
+    for c in FINDING:
+        if c not in rows.columns and c not in ("rule", "severity"):
+            rows = rows.withColumn(c, F.lit(0).cast("bigint") if c in ("n_distinct", "occurrences", "bytes") else F.lit(0.0) if c == "share" else F.lit(None).cast("string"))
+    raised = F.least(F.lit(2), level + F.when(F.col("growth") == "growing", 1).otherwise(0))
+    severity = F.when(raised == 2, "critical").when(raised == 1, "warning").otherwise("info")
+    return rows.select((F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), severity.alias("severity"), *FINDING[2:])
+
+
 def attribute_findings(stats: DataFrame, growth: DataFrame, min_distinct: int = 100, min_ratio: float = 0.1, id_min: int = 20, critical: int = 10, critical_share: float = 0.2) -> DataFrame:
-    """R1 (many values) and R2 (id-like) findings with severity, raised one step where values are still growing."""
+    """Of spans, their events and logs R1 (many values) and R2 (id-like); of metric labels R2 only, which is critical."""
     known = [k for keys in KEY_HINTS.values() for k in keys]
-    high = (F.col("n_distinct") >= min_distinct) & (F.col("ratio") >= min_ratio)
+    point = F.col("scope") == "metric"
+    high = ~point & (F.col("n_distinct") >= min_distinct) & (F.col("ratio") >= min_ratio)
     id_like = (F.coalesce(F.col("class").isin(*ID_CLASSES), F.lit(False)) | F.col("key").isin(*known)) & (F.col("n_distinct") >= id_min)
-    rows = stats.join(growth, ["service", "signal", "key"], "left").where(high | id_like)
-    level = F.when((F.col("signal") == "metrics") & ~high, 2).when(high & (F.col("n_distinct") >= critical * min_distinct) & (F.col("share") >= critical_share), 2).otherwise(1)
-    level = F.when(F.col("growth") == "growing", F.least(F.lit(2), level + 1)).otherwise(level)
-    return rows.select(F.when(high, "R1").otherwise("R2").alias("rule"), "service", "signal", "key", "n_distinct", "growth", F.when(level == 2, "critical").otherwise("warning").alias("severity"), remediation_hint(F.col("key"), F.col("class")).alias("hint"))
+    same = F.lit(True)
+    for k in KEYS:
+        same &= F.col(f"s.{k}").eqNullSafe(F.col(f"g.{k}"))
+    rows = stats.where(high | id_like).alias("s").join(growth.alias("g"), same, "left").select("s.*", "growth")
+    level = F.when(point | (high & (F.col("n_distinct") >= critical * min_distinct) & (F.col("share") >= critical_share)), 2).otherwise(1)
+    return _finding(rows, F.when(high, "R1").otherwise("R2"), level, hint=remediation_hint(F.col("key"), F.col("class")))
+
+
+def series_findings(series: DataFrame, stats: DataFrame, counts: DataFrame, width_ms: int, max_series: int = 500, critical: int = 10) -> DataFrame:
+    """R3: metrics of a service with too many series; the label with the most values drives them.
+
+    series is series_of() with the service, stats attribute_stats(), counts counted(); growth is that of new series by buckets.
+    """
+    one = lambda v: F.lit(v).alias
+    firsts = series.select("service", one("metrics")("signal"), F.lit(None).cast("string").alias("scope"), F.col("metric").alias("key"), F.lit(None).cast("string").alias("metric"), "first_ms")
+    sums = series.groupBy("service", F.col("metric").alias("key")).agg(F.count("*").alias("n_distinct"), F.sum("n_points").alias("occurrences"), F.sum("bytes").alias("bytes"))
+    sums = sums.where(F.col("n_distinct") >= max_series)
+    growth = distinct_growth(firsts, width_ms).select("service", "key", "growth")
+    top = F.min_by(F.struct("key", "class"), F.struct(-F.col("n_distinct"), F.col("key"))).alias("top")
+    drivers = stats.where("scope = 'metric'").groupBy("service", F.col("metric").alias("_metric")).agg(top)
+    rows = sums.join(growth, ["service", "key"], "left").withColumn("_metric", F.col("key")).join(drivers, ["service", "_metric"], "left")
+    rows = rows.join(signal_bytes(counts).where("signal = 'metrics'"), "service", "left")
+    level = F.when(F.col("n_distinct") >= critical * max_series, 2).otherwise(1)
+    return _finding(rows, "R3", level, signal=F.lit("metrics"), driver=F.col("top.key"), share=F.col("bytes") / F.col("whole"), hint=remediation_hint(F.col("top.key"), F.col("top.class")))
 
 
 def name_findings(names: DataFrame, max_names: int = 100, id_share: float = 0.2, least: int = 5, critical: int = 10) -> DataFrame:
     """R4: too many span names, or names that hold ids."""
     many = F.col("n_names") >= max_names
     ids = (F.col("n_names") >= least) & (F.col("n_with_ids") / F.col("n_names") >= id_share)
-    return names.where(many | ids).select(F.lit("R4").alias("rule"), "service", F.lit("traces").alias("signal"), F.lit("span names").alias("key"), F.col("n_names").alias("n_distinct"), F.lit("insufficient").alias("growth"), F.when(F.col("n_names") >= critical * max_names, "critical").otherwise("warning").alias("severity"), F.lit("route").alias("hint"))
+    rows = names.where(many | ids).select("service", F.col("n_names").alias("n_distinct"), F.col("n_with_ids").alias("occurrences"), F.when(ids, "pathId").alias("class"))
+    level = F.when(F.col("n_distinct") >= critical * max_names, 2).otherwise(1)
+    return _finding(rows, "R4", level, signal=F.lit("traces"), key=F.lit("span names"), growth=F.lit("insufficient"), hint=F.lit("route"))
+
+
+def template_findings(templates: DataFrame, counts: DataFrame, share: float = 0.5, least: int = 100) -> DataFrame:
+    """R6: a template (a row of log_templates) that makes up half of a service's logs or more, if there are enough of them."""
+    whole = templates.groupBy("service").agg(F.sum("n_logs").alias("logs"))
+    rows = templates.where("template <> '(other)'").join(whole, "service").where((F.col("logs") >= least) & (F.col("n_logs") >= share * F.col("logs")))
+    rows = rows.select("service", F.col("template").alias("key"), F.lit(1).cast("bigint").alias("n_distinct"), F.col("n_logs").alias("occurrences"), "bytes")
+    rows = rows.join(signal_bytes(counts).where("signal = 'logs'").select("service", "whole"), "service", "left")
+    return _finding(rows, "R6", F.lit(0), signal=F.lit("logs"), growth=F.lit("insufficient"), share=F.col("bytes") / F.col("whole"), hint=F.lit("noisy"))
+
+
+def findings(records_: DataFrame, spans: DataFrame, points: DataFrame, templates: DataFrame, width_ms: int, max_series: int = 500, **limits) -> DataFrame:
+    """All findings of deduped spans, logs (by their templates) and points with their service, FINDING's columns."""
+    counts = counted(records_)
+    stats = stored(attribute_stats(None, counts))
+    found = attribute_findings(stats, distinct_growth(counts.where("key is not null"), width_ms), **limits)
+    found = found.unionByName(series_findings(stored(series_of(points)), stats, counts, width_ms, max_series))
+    return found.unionByName(name_findings(span_name_stats(spans))).unionByName(template_findings(templates, counts))
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:
-    """Findings by signal and severity with all totals (cube)."""
-    return findings.cube("signal", "severity").agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n_findings"))
+    """Findings per service, signal and severity with all totals (cube of signal and severity, of a service and of all)."""
+    sets = [[c for k, c in enumerate(("service", "signal", "severity")) if bits >> k & 1] for bits in range(8)]
+    counts = findings.groupingSets([[F.col(c) for c in s] for s in sets], "service", "signal", "severity")
+    return counts.agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n_findings"))
+
+
+def noisy_services(findings: DataFrame) -> DataFrame:
+    """Services by what is wrong with them: critical findings, then warnings, then all, then name."""
+    level = lambda s: F.count_if(F.col("severity") == s)
+    sums = findings.groupBy("service").agg(level("critical").alias("n_critical"), level("warning").alias("n_warning"), F.count("*").alias("n_findings"))
+    return sums.orderBy(F.desc("n_critical"), F.desc("n_warning"), F.desc("n_findings"), "service")
 
 
 def top_services(rows: DataFrame, n: int = 10) -> DataFrame:
@@ -251,7 +372,7 @@ def compare_usage(before: DataFrame, after: DataFrame, grown: float = 2.0, least
 
 def sample_values(vals: DataFrame, n: int = 3, size: int = 120) -> DataFrame:
     """The first n distinct values of each key by time of first appearance, then text; masked, cut to size signs."""
-    order = Window.partitionBy("service", "signal", "key").orderBy("first_ms", "value")
+    order = Window.partitionBy(*KEYS).orderBy("first_ms", "value")
     rows = vals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     safe = F.when(is_sensitive_key(F.col("key")), F.lit(REDACTED)).otherwise(redact_text(F.col("value")))
-    return rows.select("service", "signal", "key", "rank", F.left(safe, F.lit(size)).alias("sample"))
+    return rows.select(*KEYS, "rank", F.left(safe, F.lit(size)).alias("sample"))

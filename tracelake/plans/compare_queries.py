@@ -140,7 +140,7 @@ def critical_path_deep(spark, sf_dir):
 
 
 @query(f"""with logs as ({fixtures.duckdb(fixtures.LOGS)}), p as (select *, split_part(body, ' ', 1) || ' user=<NUM> value=<NUM>' as template from logs)
-select service, template, count(*) as n_logs, cast(sum(strlen(body)) as bigint) as bytes, cast(min(time_ms) as bigint) as first_ms, cast(max(time_ms) as bigint) as last_ms, arg_min(body, (time_ms, body)) as sample from p group by 1, 2""")
+select service, template, count(*) as n_logs, cast(sum(strlen(body)) as bigint) as bytes, cast(floor(min(time_ms)) as bigint) as first_ms, cast(floor(max(time_ms)) as bigint) as last_ms, arg_min(body, (time_ms, body)) as sample from p group by 1, 2""")
 def log_templates(spark, sf_dir):
     return templates.log_templates(fixtures.logs(spark, sf_dir)).withColumns(whole("first_ms", "last_ms"))
 

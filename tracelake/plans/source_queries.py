@@ -11,7 +11,7 @@ from tracelake.operators.store import shared_dir
 from tracelake.plans import fixtures
 from tracelake.plans.fixtures import LOGS, POINTS, SPANS, duckdb
 from tracelake.plans.span_queries import _CALLS, ONE, sql
-from tracelake.sources import logfiles, otlp
+from tracelake.sources import encode, logfiles, otlp
 from tracelake.streaming import operators as streams
 
 QUERIES: dict = {}
@@ -36,7 +36,7 @@ def _folder(spark) -> str:
 def otlp_round_trip(spark, sf_dir):
     """Spans written as export requests and read again."""
     path = _folder(spark)
-    otlp.write_session(traces.dedupe_spans(fixtures.spans(spark, sf_dir)), path)
+    encode.write_session(path, traces.dedupe_spans(fixtures.spans(spark, sf_dir)))
     back = otlp.read_otlp_spans(spark, path)
     return back.select("trace_id", "span_id", "parent_span_id", "service", "instance_id", "name", "kind", "status_code", F.round("duration_ms", 6).alias("duration_ms"))
 
@@ -44,8 +44,8 @@ def otlp_round_trip(spark, sf_dir):
 @query(sql(ONE, "select count(*) as n_spans, 0 as n_bad from one").replace("0 as n_bad", "cast(0 as bigint) as n_bad"))
 def otlp_jsonl(spark, sf_dir):
     path = _folder(spark)
-    otlp.write_session(traces.dedupe_spans(fixtures.spans(spark, sf_dir)), path)
-    spans, _, _, bad = otlp.read_otlp_jsonl(spark, path)
+    encode.write_session(path, traces.dedupe_spans(fixtures.spans(spark, sf_dir)))
+    spans, _, _, bad = encode.read_session(spark, path)
     one = spans.agg(F.count("*").alias("n_spans")).withColumn("k", F.lit(1))
     return one.join(bad.agg(F.count("*").alias("n_bad")).withColumn("k", F.lit(1)), "k").drop("k")
 
@@ -66,6 +66,48 @@ def logs_csv(spark, sf_dir):
     return logfiles.csv_table(fixtures.logs(spark, sf_dir), ["seq", "body"])
 
 
+@query(sql(f"logs as ({duckdb(LOGS)})", "select cast(floor(time_ms) as bigint) as time_ms, severity_number, body, service, instance_id, trace_id, span_id, attr_k as k, attr_user as user_id, 'app' as scope from logs"))
+def session_logs(spark, sf_dir):
+    """Logs saved as a session in lines of at most 64 KB and read again."""
+    path = _folder(spark)
+    encode.write_session(path, logs=fixtures.logs(spark, sf_dir).withColumn("scope", F.lit("app")), max_line=1 << 16)
+    back = encode.read_session(spark, path)[1]
+    return back.select(F.floor(F.round("time_ms", 3)).cast("bigint").alias("time_ms"), "severity_number", "body", "service", "instance_id", "trace_id", "span_id", F.element_at("attrs", "k").alias("k"), F.element_at("attrs", "user.id").alias("user_id"), "scope")
+
+
+@query(sql(f"points as ({duckdb(POINTS)})", "select metric, type, monotonic, split_part(instance_id, '::', 1) as service, event_type, shard, cast(floor(time_ms) as bigint) as time_ms, round(value, 6) as value from points"))
+def session_points(spark, sf_dir):
+    """Metric points saved as a session and read again."""
+    path = _folder(spark)
+    points = fixtures.points(spark, sf_dir).withColumn("service", F.split_part(F.col("instance_id"), F.lit("::"), F.lit(1)))
+    encode.write_session(path, points=points)
+    back = encode.read_session(spark, path)[2]
+    return back.select("metric", "type", F.coalesce("monotonic", F.lit(False)).alias("monotonic"), "service", F.element_at("attrs", "type").alias("event_type"), F.element_at("attrs", "shard").alias("shard"), F.floor(F.round("time_ms", 3)).cast("bigint").alias("time_ms"), F.round("value", 6).alias("value"))
+
+
+_SPAN_JSON = """'{"traceId":"' || trace_id || '","spanId":"' || span_id || '",' || coalesce('"parentSpanId":"' || parent_span_id || '",', '') || '"name":"' || name || '","kind":1,"startTimeUnixNano":"' || repeat('0', 18) || '","endTimeUnixNano":"' || repeat('0', 18) || '","attributes":[' ||
+  array_to_string(list_transform(list_filter([('http.route', http_route), ('http.request.method', http_method), ('user.id', user_id), ('url.full', url_full), ('db.system', db_system), ('db.namespace', db_namespace), ('db.operation.name', db_operation),
+    ('db.collection.name', db_collection), ('messaging.system', msg_system), ('messaging.destination.name', msg_destination), ('server.address', server_address)], lambda a: a[2] is not null), lambda a: '{"key":"' || a[1] || '","value":{"stringValue":"' || a[2] || '"}}'), ',') || '],"status":{"code":0}}'"""
+_LOG_JSON = """'{"timeUnixNano":"' || repeat('0', 19) || '","severityNumber":' || severity_number || ',"body":{"stringValue":"' || body || '"},"attributes":[{"key":"k","value":{"stringValue":"' || attr_k || '"}},{"key":"user.id","value":{"stringValue":"' || attr_user || '"}}],"traceId":"' || trace_id || '","spanId":"' || span_id || '"}'"""
+_JSON = f"{ONE}, logs as ({duckdb(LOGS)}), e as (select service, 'traces' as signal, instance_id, {_SPAN_JSON} as entry from one union all select service, 'logs', instance_id, {_LOG_JSON} from logs)"
+
+
+def _entries(spark, sf_dir):
+    return encode.entries(traces.dedupe_spans(fixtures.spans(spark, sf_dir)), fixtures.logs(spark, sf_dir))
+
+
+@query(sql(_JSON, "select service, signal, count(*) as n_records, cast(sum(strlen(entry)) as bigint) as json_bytes from e group by 1, 2"))
+def json_sizes(spark, sf_dir):
+    return encode.json_sizes(_entries(spark, sf_dir))
+
+
+@query(sql(_JSON, """select service, signal, count(*) as n_requests, count(*) as n_scopes, cast(sum(case signal when 'traces' then strlen('{"resourceSpans":[{"resource":,"scopeSpans":[{"scope":{},"spans":[]}]}]}') else strlen('{"resourceLogs":[{"resource":,"scopeLogs":[{"scope":{},"logRecords":[]}]}]}') end
+  + n - 1 + strlen('{"attributes":[{"key":"service.name","value":{"stringValue":"' || service || '"}},{"key":"service.instance.id","value":{"stringValue":"' || split_part(instance_id, '::', 2) || '"}}]}')) as bigint) as json_bytes
+  from (select service, signal, instance_id, count(*) as n from e group by 1, 2, 3) group by 1, 2"""))
+def request_overhead(spark, sf_dir):
+    return encode.request_overhead(_entries(spark, sf_dir))
+
+
 def _streamed(spark, folder: str, batch, make, mode: str = "append"):
     """Rows that a streaming operator gives over batch, read as a stream of files until all is taken.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import traces, usage
+from tracelake.operators import templates, traces, usage
 from tracelake.operators.store import stored
 from tracelake.plans import fixtures
 from tracelake.plans.fixtures import LOGS, POINTS, duckdb
@@ -36,14 +36,14 @@ _ATTR = _fr(f"{_fr('strlen(k)')} + {_fr(_fr('strlen(v)'))}")
 _SPAN_ATTRS = "[('http.route', http_route), ('http.request.method', http_method), ('user.id', user_id), ('url.full', url_full), ('db.system', db_system), ('db.namespace', db_namespace), ('db.operation.name', db_operation), ('db.collection.name', db_collection), ('messaging.system', msg_system), ('messaging.destination.name', msg_destination), ('server.address', server_address)]"
 
 
-def _each(source: str, id_: str, attrs: str) -> str:
-    return f"select service, signal, time_ms, id, a[1] as k, a[2] as v from (select {id_}, unnest({attrs}) as a from {source}) where a[2] is not null"
+def _each(source: str, id_: str, attrs: str, scope: str, metric: str = "cast(null as varchar)") -> str:
+    return f"select service, signal, scope, metric, time_ms, id, a[1] as k, a[2] as v from (select {id_}, '{scope}' as scope, {metric} as metric, unnest({attrs}) as a from {source}) where a[2] is not null"
 
 
 _RECORDS = f"""{ONE}, logs as ({duckdb(LOGS)}), points as ({duckdb(POINTS)}),
-sa as ({_each("one", "service, 'traces' as signal, end_ms as time_ms, span_id || trace_id as id", _SPAN_ATTRS)}),
-la as ({_each("logs", "service, 'logs' as signal, time_ms, cast(seq as varchar) as id", "[('k', attr_k), ('user.id', attr_user)]")}),
-pa as ({_each("points", "split_part(instance_id, '::', 1) as service, 'metrics' as signal, time_ms, metric || seq as id", "[('type', event_type), ('shard', shard)]")}),
+sa as ({_each("one", "service, 'traces' as signal, end_ms as time_ms, span_id || trace_id as id", _SPAN_ATTRS, "span")}),
+la as ({_each("logs", "service, 'logs' as signal, time_ms, cast(seq as varchar) as id", "[('k', attr_k), ('user.id', attr_user)]", "log")}),
+pa as ({_each("points", "split_part(instance_id, '::', 1) as service, 'metrics' as signal, time_ms, metric || seq as id", "[('type', event_type), ('shard', shard)]", "metric", "metric")}),
 attrs as (select *, {_ATTR} as b from (select * from sa union all select * from la union all select * from pa)),
 sums as (select signal, id, sum(b) as b from attrs group by 1, 2),
 flat as (
@@ -82,28 +82,34 @@ def rates_per_minute(spark, sf_dir):
     return usage.rates_per_minute(_records(spark, sf_dir)).withColumns(r6("minutes", "records_per_minute", "bytes_per_minute"))
 
 
-_VALUES = f"{_RECORDS}, vals as (select service, signal, k as key, v as value, count(*) as n, sum(b) as bytes, min(time_ms) as first_ms from attrs group by 1, 2, 3, 4)"
+_VALUES = f"{_RECORDS}, vals as (select service, signal, scope, metric, k as key, v as value, count(*) as n, sum(b) as bytes, min(time_ms) as first_ms from attrs group by 1, 2, 3, 4, 5, 6)"
 _STATS = f"""{_VALUES}, stats as (select s.*, n_distinct / occurrences as ratio, s.bytes / r.bytes as share from
-  (select service, signal, key, count(*) as n_distinct, cast(sum(n) as bigint) as occurrences, cast(sum(bytes) as bigint) as bytes from vals group by 1, 2, 3) s
+  (select service, signal, scope, metric, key, count(*) as n_distinct, cast(sum(n) as bigint) as occurrences, cast(sum(bytes) as bigint) as bytes from vals group by 1, 2, 3, 4, 5) s
   join (select service, signal, sum(bytes) as bytes from recs group by 1, 2) r using (service, signal))"""
 
 
-@query(sql(_STATS, "select service, signal, key, n_distinct, occurrences, bytes, round(ratio, 6) as ratio, round(share, 6) as share from stats"))
+@query(sql(_STATS, "select service, signal, scope, metric, key, n_distinct, occurrences, bytes, round(ratio, 6) as ratio, round(share, 6) as share from stats"))
 def attribute_stats(spark, sf_dir):
     return usage.attribute_stats(_records(spark, sf_dir)).drop("class").withColumns(r6("ratio", "share"))
 
 
-@query()
+#: Classes of the values that the views hold: numbers of six digits or more are ids, addresses with a query say so.
+_CLASSES = """kinds as (select *, case when regexp_matches(value, '^[0-9]{6,}$') then 'numericId' when value like 'https://%?%=%' then 'urlQuery' else 'other' end as class from vals),
+  class_counts as (select service, signal, scope, metric, key, class, count(*) as k from kinds group by all),
+  classes as (select service, signal, scope, metric, key, case when max(k) >= 0.8 * sum(k) then arg_max(class, (k, class)) end as class from class_counts group by 1, 2, 3, 4, 5)"""
+
+
+@query(sql(f"{_VALUES}, {_CLASSES}", "select * from classes"))
 def dominant_class(spark, sf_dir):
-    return usage.attribute_stats(_records(spark, sf_dir)).select("service", "signal", "key", "class")
+    return usage.attribute_stats(_records(spark, sf_dir)).select(*usage.KEYS, "class")
 
 
 WIDTH_MS = 60 * 86_400_000
-_GROWTH = f"""{_VALUES}, n as (select service, signal, key, floor(first_ms / {WIDTH_MS}) as slot, count(*) as new from vals group by all),
-  e as (select *, min(slot) over w as lo, max(slot) over w - min(slot) over w as steps from n window w as (partition by service, signal, key)),
+_GROWTH = f"""{_VALUES}, n as (select service, signal, scope, metric, key, floor(first_ms / {WIDTH_MS}) as slot, count(*) as new from vals group by all),
+  e as (select *, min(slot) over w as lo, max(slot) over w - min(slot) over w as steps from n window w as (partition by service, signal, scope, metric, key)),
   t as (select *, slot - lo - 1 as step, greatest(1, floor(steps / 3)) as third from e),
-  g as (select service, signal, key, case when steps < 3 then 'insufficient' when sum(case when step >= 0 and step >= steps - third then new else 0 end) > 0
-    and sum(case when step >= 0 and step >= steps - third then new else 0 end) >= 0.5 * sum(case when step >= 0 and step < third then new else 0 end) then 'growing' else 'saturated' end as growth from t group by service, signal, key, steps)"""
+  g as (select service, signal, scope, metric, key, case when steps < 3 then 'insufficient' when sum(case when step >= 0 and step >= steps - third then new else 0 end) > 0
+    and sum(case when step >= 0 and step >= steps - third then new else 0 end) >= 0.5 * sum(case when step >= 0 and step < third then new else 0 end) then 'growing' else 'saturated' end as growth from t group by service, signal, scope, metric, key, steps)"""
 
 
 @query(sql(_GROWTH, "select * from g"))
@@ -122,30 +128,83 @@ def operation_stats(spark, sf_dir):
     return usage.operation_stats(traces.dedupe_spans(fixtures.spans(spark, sf_dir)), 5).drop("bytes")
 
 
-@query(sql(f"points as ({duckdb(POINTS)})", """select metric, count(distinct (instance_id, event_type, shard)) as n_series, case when count(distinct shard) >= count(distinct event_type) then 'shard' else 'type' end as driver,
-  greatest(count(distinct shard), count(distinct event_type)) as driver_distinct from points group by 1"""))
+_SERIES = f"series as (select split_part(instance_id, '::', 1) as service, metric, instance_id, event_type, shard, count(*) as n_points, min(time_ms) as first_ms, max(time_ms) as last_ms from ({duckdb(POINTS)}) p group by all)"
+_ALIVE = """moves as (select metric, first_ms as t, 0 as is_end, 1 as d from series union all select metric, last_ms + 300000, 1, -1 from series),
+  alive as (select metric, sum(d) over (partition by metric order by t, is_end, d rows unbounded preceding) as n from moves), peaks as (select metric, max(n) as peak_series from alive group by 1)"""
+
+
+@query(sql(f"{_SERIES}, {_ALIVE}", """select metric, count(*) as n_series, cast(any_value(peak_series) as bigint) as peak_series, case when count(distinct shard) >= count(distinct event_type) then 'shard' else 'type' end as driver,
+  greatest(count(distinct shard), count(distinct event_type)) as driver_distinct from series join peaks using (metric) group by 1"""))
 def metric_series_stats(spark, sf_dir):
     return usage.metric_series_stats(fixtures.points(spark, sf_dir))
 
 
-def _findings(spark, sf_dir):
-    one = stored(traces.dedupe_spans(fixtures.spans(spark, sf_dir)))
-    rows = _records(spark, sf_dir, one)
-    vals = stored(usage.values(rows))
-    found = usage.attribute_findings(usage.attribute_stats(rows, vals), usage.distinct_growth(vals, WIDTH_MS))
-    return found.unionByName(usage.name_findings(usage.span_name_stats(one)))
+#: One series for each customer: the sum of his orders.
+_SPENT = "select concat('c', cast(o_custkey % 4 as string)) as service, concat('c', cast(o_custkey % 4 as string), '::i0') as instance_id, 'orders.spent' as metric, cast(o_custkey as string) as customer, MS(o_orderdate) as time_ms, o_orderkey as seq from {orders}"
+
 
+@query(sql(f"spent as ({duckdb(_SPENT)}), series as (select 'c' as metric, customer, service, min(time_ms) as first_ms, max(time_ms) as last_ms from spent group by all)",
+           """select service, count(*) as n_series, (select cast(max(n) as bigint) from (select sum(d) over (order by t, is_end, d rows unbounded preceding) as n from (
+  select first_ms as t, 0 as is_end, 1 as d from series i where i.service = o.service union all select last_ms + 300000, 1, -1 from series i where i.service = o.service))) as peak_series from series o group by 1"""))
+def active_series(spark, sf_dir):
+    """Customers between their first order and five minutes after their last."""
+    points = fixtures.view(spark, sf_dir, _SPENT).withColumn("attrs", F.create_map(F.lit("customer"), "customer"))
+    return usage.active_series(usage.series_of(points), ["service"])
 
-@query()
+
+def _points(spark, sf_dir):
+    return fixtures.points(spark, sf_dir).withColumn("service", F.split_part(F.col("instance_id"), F.lit("::"), F.lit(1)))
+
+
+def _findings(spark, sf_dir):
+    """Limits that the views reach: 3 series a metric, half of a service's logs of one template."""
+    one = stored(traces.dedupe_spans(fixtures.spans(spark, sf_dir)))
+    logs = fixtures.logs(spark, sf_dir)
+    found = templates.log_templates(logs.where("severity_number in (1, 5)").withColumn("body", F.regexp_replace("body", "^click", "view")))
+    return usage.findings(_records(spark, sf_dir, one), one, _points(spark, sf_dir), found, WIDTH_MS, max_series=3)
+
+
+_RULES = f"""{_GROWTH}, {_STATS.split(_VALUES + ", ")[1]}, {_CLASSES}, {_SERIES},
+  whole as (select service, signal, sum(bytes) as whole from recs group by 1, 2),
+  flags as (select s.*, c.class, g.growth, s.scope <> 'metric' and n_distinct >= 100 and ratio >= 0.1 as high,
+    (coalesce(c.class in ('uuid', 'hexId', 'numericId', 'token', 'email', 'ip', 'timestamp', 'urlQuery', 'pathId'), false) or s.key in ('url.full', 'user.id', 'messaging.destination.name')) and n_distinct >= 20 as id_like
+    from stats s join classes c on (s.service, s.signal, s.scope, s.key) = (c.service, c.signal, c.scope, c.key) and s.metric is not distinct from c.metric
+    join g on (s.service, s.signal, s.scope, s.key) = (g.service, g.signal, g.scope, g.key) and s.metric is not distinct from g.metric),
+  attr_rules as (select case when high then 'R1' else 'R2' end as rule, case when scope = 'metric' or (high and n_distinct >= 1000 and share >= 0.2) then 2 else 1 end as lev,
+    service, signal, scope, metric, key, n_distinct, occurrences, bytes, share, class, growth, null as driver, case key when 'url.full' then 'url' when 'user.id' then 'user' when 'messaging.destination.name' then 'destination' else class end as hint from flags where high or id_like),
+  series_slots as (select service, metric, floor(first_ms / {WIDTH_MS}) as slot, count(*) as new from series group by all),
+  series_steps as (select *, max(slot) over w - min(slot) over w as steps, slot - min(slot) over w - 1 as step from series_slots window w as (partition by service, metric)),
+  series_growth as (select service, metric, case when steps < 3 then 'insufficient' when sum(case when step >= 0 and step >= steps - greatest(1, floor(steps / 3)) then new else 0 end) > 0
+    and sum(case when step >= 0 and step >= steps - greatest(1, floor(steps / 3)) then new else 0 end) >= 0.5 * sum(case when step >= 0 and step < greatest(1, floor(steps / 3)) then new else 0 end) then 'growing' else 'saturated' end as growth from series_steps group by service, metric, steps),
+  metric_bytes as (select split_part(instance_id, '::', 1) as service, metric, sum({_fr("18 + " + _ATTR.replace("strlen(k)", "4").replace("strlen(v)", "strlen(event_type)") + " + " + _ATTR.replace("strlen(k)", "5").replace("strlen(v)", "strlen(shard)"))}) as bytes from points group by 1, 2),
+  series_rules as (select 'R3' as rule, case when count(*) >= 30 then 2 else 1 end as lev, service, 'metrics' as signal, null as scope, null as metric, metric as key, count(*) as n_distinct, cast(sum(n_points) as bigint) as occurrences,
+    cast(any_value(bytes) as bigint) as bytes, any_value(bytes) / any_value(whole) as share, null as class, any_value(growth) as growth, case when count(distinct shard) >= count(distinct event_type) then 'shard' else 'type' end as driver, null as hint
+    from series join metric_bytes using (service, metric) join series_growth using (service, metric) join whole w using (service) where w.signal = 'metrics' group by service, metric having count(*) >= 3),
+  names as (select service, count(*) as n, count(*) filter (regexp_matches(name, '(^|[/ ])[0-9]+($|[/ ])')) as ids from (select distinct service, name from one) group by 1),
+  name_rules as (select 'R4' as rule, case when n >= 1000 then 2 else 1 end as lev, service, 'traces' as signal, null as scope, null as metric, 'span names' as key, n as n_distinct, ids as occurrences, 0::bigint as bytes, 0.0 as share,
+    case when n >= 5 and ids / n >= 0.2 then 'pathId' end as class, 'insufficient' as growth, null as driver, 'route' as hint from names where n >= 100 or (n >= 5 and ids / n >= 0.2)),
+  noisy as (select service, count(*) as n, sum(strlen(body) - case when body like 'click%' then 1 else 0 end) as bytes from logs where severity_number in (1, 5) group by 1),
+  template_rules as (select 'R6' as rule, 0 as lev, service, 'logs' as signal, null as scope, null as metric, 'view user=<NUM> value=<NUM>' as key, 1::bigint as n_distinct, n as occurrences, cast(bytes as bigint) as bytes, bytes / whole as share,
+    null as class, 'insufficient' as growth, null as driver, 'noisy' as hint from noisy join whole using (service) where signal = 'logs' and n >= 100),
+  rules as (select *, least(2, lev + case when growth = 'growing' then 1 else 0 end) as lev2 from (select * from attr_rules union all select * from series_rules union all select * from name_rules union all select * from template_rules)),
+  found as (select rule, case lev2 when 2 then 'critical' when 1 then 'warning' else 'info' end as severity, service, signal, scope, metric, key, n_distinct, occurrences, bytes, round(share, 6) as share, class, growth, driver, hint from rules)"""
+
+
+@query(sql(_RULES, "select * from found"))
 def findings(spark, sf_dir):
-    return _findings(spark, sf_dir)
+    return _findings(spark, sf_dir).withColumns(r6("share"))
 
 
-@query()
+@query(sql(_RULES, "select service, signal, severity, cast(grouping(service, signal, severity) as bigint) as level, count(*) as n_findings from found group by cube (service, signal, severity)"))
 def finding_counts(spark, sf_dir):
     return usage.finding_counts(_findings(spark, sf_dir))
 
 
+@query(sql(_RULES, "select service, count(*) filter (severity = 'critical') as n_critical, count(*) filter (severity = 'warning') as n_warning, count(*) as n_findings from found group by 1"))
+def noisy_services(spark, sf_dir):
+    return usage.noisy_services(_findings(spark, sf_dir))
+
+
 @query(sql(_RECORDS, "select service, cast(sum(bytes) as bigint) as bytes, count(*) as n_records from recs group by 1 order by 2 desc, 1 limit 10"))
 def top_services(spark, sf_dir):
     return usage.top_services(_records(spark, sf_dir), 10)
@@ -207,12 +266,12 @@ def compare_usage(spark, sf_dir):
     return usage.compare_usage(before, after)
 
 
-@query(sql(_VALUES, "select service, signal, key, cast(row_number() over (partition by service, signal, key order by first_ms, value) as integer) as rank, left(value, 120) as sample from vals qualify rank <= 3"))
+@query(sql(_VALUES, "select service, signal, scope, metric, key, cast(row_number() over (partition by service, signal, scope, metric, key order by first_ms, value) as integer) as rank, left(value, 120) as sample from vals qualify rank <= 3"))
 def sample_values(spark, sf_dir):
     return usage.sample_values(usage.values(_records(spark, sf_dir)))
 
 
-@query()
+@query(sql(f"{_VALUES}, {_CLASSES}", "select service, signal, scope, metric, key, case key when 'url.full' then 'url' when 'user.id' then 'user' when 'messaging.destination.name' then 'destination' else nullif(class, 'other') end as hint from classes"))
 def remediation_hints(spark, sf_dir):
     stats = usage.attribute_stats(_records(spark, sf_dir))
-    return stats.select("service", "signal", "key", usage.remediation_hint(F.col("key"), F.col("class")).alias("hint"))
+    return stats.select(*usage.KEYS, usage.remediation_hint(F.col("key"), F.col("class")).alias("hint"))
