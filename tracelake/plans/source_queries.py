@@ -12,7 +12,7 @@ from tracelake.plans import fixtures
 from tracelake.plans.fixtures import LOGS, POINTS, SPANS, duckdb
 from tracelake.plans.span_queries import _CALLS, ONE, sql
 from tracelake.sources import encode, logfiles, otlp
-from tracelake.streaming import operators as streams
+from tracelake.streaming import operators as streams, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,7 +140,32 @@ _RAW = f"spans as ({duckdb(SPANS)})"
 @query(sql(_RAW, "select distinct trace_id, span_id from spans"))
 def stream_dedupe_spans(spark, sf_dir):
     rows = _spans_with_time(spark, sf_dir).select("trace_id", "span_id", "ts")
-    return _streamed(spark, _folder(spark), rows, lambda s: streams.stream_dedupe_spans(s, "20000 days").select("trace_id", "span_id"))
+    return _streamed(spark, _folder(spark), rows, lambda s: streams.stream_dedupe_spans(s, "3000 days").select("trace_id", "span_id"))
+
+
+def _files(spark, folder: str, rows, n: int = 3):
+    """rows as a stream of n files, each a batch."""
+    rows.repartition(n).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(sql(ONE, "select trace_id, span_id, service, name, kind, status_code, cast(floor(start_ms) as bigint) as start_ms, cast(floor(end_ms) as bigint) as end_ms from one"))
+def stream_latest_spans(spark, sf_dir):
+    """Copies of spans in three batches (each span, and once more with an earlier end): the last one that ends stays."""
+    rows = _spans_with_time(spark, sf_dir).select("trace_id", "span_id", "service", "name", "kind", "status_code", "start_ms", "end_ms", "ts")
+    rows = rows.unionByName(rows.withColumn("end_ms", F.col("end_ms") - 5))
+    folder = _folder(spark)
+    sinks.start_latest_spans(_files(spark, f"{folder}/in", rows), f"{folder}/out", f"{folder}/state", "3000 days", "30 days", once=True).awaitTermination()
+    return sinks.read_latest_spans(spark, f"{folder}/out").withColumns({c: F.floor(c).cast("bigint") for c in ("start_ms", "end_ms")})
+
+
+@query(sql(f"logs as ({duckdb(LOGS)})", "select service, 'logs' as signal, count(*) as n_records, cast(sum(strlen(body)) as bigint) as bytes from logs group by 1"))
+def stream_volume_totals(spark, sf_dir):
+    """Totals of three batches, in any of which records may be late."""
+    rows = fixtures.logs(spark, sf_dir).select("service", F.lit("logs").alias("signal"), "time_ms", F.octet_length("body").cast("bigint").alias("bytes"))
+    folder = _folder(spark)
+    sinks.start_volume(_files(spark, f"{folder}/in", rows), f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return sinks.read_volume(spark, f"{folder}/out")[1].drop("n_late")
 
 
 @query(sql(f"logs as ({duckdb(LOGS)})", "select service, 'logs' as signal, cast(floor(time_ms / 3600000) as bigint) * 3600000 as from_ms, count(*) as n_records, cast(sum(strlen(body)) as bigint) as bytes from logs group by 1, 2, 3"))
@@ -183,7 +208,8 @@ def stream_service_map(spark, sf_dir):
 
 @query(sql(f"logs as ({duckdb(LOGS)})", "select service as key, count(distinct attr_user) as n_distinct from logs group by 1"))
 def stream_distinct(spark, sf_dir):
-    """Two batches' sketches, merged; with so few values the sketch is exact."""
-    rows = fixtures.logs(spark, sf_dir).select(F.col("service").alias("key"), F.element_at("attrs", "user.id").alias("value"), "seq")
-    so_far = streams.merge_distinct(rows.where("seq % 2 = 0"), None)
-    return streams.merge_distinct(rows.where("seq % 2 = 1"), so_far).select("key", F.hll_sketch_estimate("sketch").alias("n_distinct"))
+    """Sketches of three batches by month, added up; with so few values a sketch is exact."""
+    rows = fixtures.logs(spark, sf_dir).select(F.col("service").alias("key"), F.element_at("attrs", "user.id").alias("value"), F.timestamp_micros((F.col("time_ms") * 1000).cast("bigint")).alias("ts"))
+    folder = _folder(spark)
+    sinks.start_distinct(_files(spark, f"{folder}/in", rows), f"{folder}/out", f"{folder}/state", "300 days", "30 days", once=True).awaitTermination()
+    return sinks.read_distinct(spark, f"{folder}/out")

@@ -18,13 +18,31 @@ def event_time(time_ms: Column, now_ms: Column) -> Column:
 
 
 def stream_volume(records: DataFrame, late: str = "60 minutes", width: str = "1 minute") -> DataFrame:
-    """Records and bytes per service, signal and window of ts; records later than late are left to a totals sink."""
+    """Records and bytes per service, signal and window of ts, for sinks that take windows; sinks.start_volume also keeps what comes late."""
     rows = records.withWatermark("ts", late).groupBy(F.window("ts", width), "service", "signal").agg(F.count("*").alias("n_records"), F.sum("bytes").alias("bytes"))
     return rows.select(F.col("window.start").alias("from_ts"), "service", "signal", "n_records", "bytes")
 
 
+#: Order in which one copy of a span wins: the greatest end, then fixed columns.
+COPY_ORDER = ("end_ms", "start_ms", "service", "name", "kind", "status_code")
+
+
+def latest_spans(spans: DataFrame, late: str = "60 minutes", width: str = "1 hour") -> DataFrame:
+    """Of the copies of each span in a window of ts the one that ends last; for output mode update, which gives it anew when it changes.
+
+    Spans without ids are dropped. State is one copy for each span and window, and goes when the watermark passes the window. Copies in
+    different windows are told apart by the sink.
+    """
+    known = spans.where((F.coalesce("trace_id", F.lit("")) != "") & (F.coalesce("span_id", F.lit("")) != ""))
+    columns = [c for c in spans.columns if c != "ts"]
+    rest = [c for c in columns if c not in COPY_ORDER]
+    best = F.max(F.struct(*COPY_ORDER, F.struct(*rest).alias("rest")))
+    rows = known.withWatermark("ts", late).groupBy(F.window("ts", width), F.col("trace_id").alias("_t"), F.col("span_id").alias("_s")).agg(best.alias("best"))
+    return rows.select(*(F.col(f"best.{c}" if c in COPY_ORDER else f"best.rest.{c}").alias(c) for c in columns))
+
+
 def stream_dedupe_spans(spans: DataFrame, late: str = "60 minutes") -> DataFrame:
-    """The first copy of each span; state is dropped behind the watermark."""
+    """The first copy of each span, for sinks that only append; state is dropped behind the watermark. See latest_spans for the last copy."""
     return spans.withWatermark("ts", late).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
 
 
@@ -55,10 +73,3 @@ def stream_series_points(points: DataFrame, keys: list[str]) -> DataFrame:
         state.update((last,))
 
     return points.select(*keys, "time_ms", "value").groupBy(*keys).applyInPandasWithState(fresh, schema, "last double", "append", "NoTimeout")
-
-
-def merge_distinct(batch: DataFrame, so_far: DataFrame | None) -> DataFrame:
-    """Running sketches of distinct values per key: a batch's (key, value) joined to the sketches (key, sketch) so far."""
-    new = batch.groupBy("key").agg(F.hll_sketch_agg("value", F.lit(11)).alias("sketch"))
-    both = new if so_far is None else new.unionByName(so_far)
-    return both.groupBy("key").agg(F.hll_union_agg("sketch").alias("sketch"))
