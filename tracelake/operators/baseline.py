@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from tracelake.operators.ordered import running
 from tracelake.operators.store import stored
 
 KEYS = ["source", "target", "operation"]
@@ -126,11 +127,18 @@ def proportion_test(df: DataFrame, k0: str, n0: str, k1: str, n1: str) -> DataFr
 
 
 def bh_adjust(df: DataFrame, p: str, to: str = "q") -> DataFrame:
-    """Benjamini-Hochberg: q is the least of p * n / rank among this and larger p. One row for each key tested."""
-    whole = Window.partitionBy()
-    rows = df.withColumn("_r", F.row_number().over(Window.orderBy(p))).withColumn("_n", F.count("*").over(whole))
-    later = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(to, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(later))).drop("_r", "_n")
+    """Benjamini-Hochberg: q is the least of p * n / rank among this and larger p. One row for each key tested; without p no q.
+
+    Equal p share the largest of their ranks, which the least then comes from anyway, so distinct p are ranked with their numbers, and
+    both sweeps run over partitions of the order: no task holds all keys.
+    """
+    sizes = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_same"))
+    ranked = running(sizes, [], ["_p"], _rank="_same")
+    ranked = stored(ranked)
+    whole = ranked.agg(F.max("_rank")).scalar()
+    scaled = ranked.select("_p", (-F.col("_p")).alias("_down"), (F.col("_p") * whole / F.col("_rank")).alias("_q"))
+    swept = running(scaled, [], ["_down"], least={"_least": F.col("_q")})
+    return df.join(swept.select(F.col("_p").alias(p), F.least(F.lit(1.0), "_least").alias(to)), p, "left").select(*df.columns, to)
 
 
 def _sign(c: Column) -> Column:

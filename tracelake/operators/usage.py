@@ -110,17 +110,18 @@ def rates_per_minute(rows: DataFrame, window_ms: int = 15 * 60_000, width_ms: in
 KEYS = ["service", "signal", "scope", "metric", "key"]
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(KEYS, value, n, bytes, first_ms), stored: each distinct value, so that hot keys are split; and the records' own bytes, key null.
+def counted(rows: DataFrame, *more: str) -> DataFrame:
+    """(KEYS, value, n, bytes, first_ms, last_ms), stored: each distinct value, so that hot keys are split; and the records' own bytes,
+    key null.
 
-    One pass over the records serves values, statistics and totals.
+    One pass over the records serves values, statistics and totals. more are columns of rows to group by besides.
     """
     pair = lambda scope, e: F.struct(scope.alias("scope"), e["key"].alias("key"), e["value"].alias("value"), attr_bytes(e["key"], e["value"]).alias("bytes"))
     own = lambda m, scope: F.transform(F.filter(F.map_entries(m), lambda e: e["value"].isNotNull()), lambda e: pair(scope, e))
     whole = F.array(F.struct(F.col("scope"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.col("bytes").cast("int").alias("bytes")))
     inner = F.when(F.size("events") > 0, F.flatten(F.transform("events", lambda m: own(m, F.lit("span.event"))))).otherwise(F.slice(whole, 2, 1))
-    each = rows.select("service", "signal", "metric", "time_ms", F.inline(F.concat(whole, own(F.col("attrs"), F.col("scope")), inner)))
-    return stored(each.groupBy(*KEYS, "value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("time_ms").alias("first_ms")))
+    each = rows.select(*more, "service", "signal", "metric", "time_ms", F.inline(F.concat(whole, own(F.col("attrs"), F.col("scope")), inner)))
+    return stored(each.groupBy(*more, *KEYS, "value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms")))
 
 
 def values(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tracelake.operators import templates, traces, usage
-from tracelake.operators.store import stored
+from tracelake.operators import summaries, templates, traces, usage
+from tracelake.operators.store import shared_dir, stored
 from tracelake.plans import fixtures
 from tracelake.plans.fixtures import LOGS, POINTS, duckdb
 from tracelake.plans.span_queries import ONE, r6, sql
@@ -275,3 +277,32 @@ def sample_values(spark, sf_dir):
 def remediation_hints(spark, sf_dir):
     stats = usage.attribute_stats(_records(spark, sf_dir))
     return stats.select(*usage.KEYS, usage.remediation_hint(F.col("key"), F.col("class")).alias("hint"))
+
+
+_SIDES = f"""{_RECORDS}, {_CLASSES.replace(" from vals)", " from side_vals)").replace("kinds as", "side_vals as (select side, service, signal, scope, metric, k as key, v as value, count(*) as n from (select *, time_ms >= 883612800000 as side from attrs where signal = 'traces') group by all),kinds as").replace("select service, signal, scope, metric, key, class, count(*) as k", "select side, service, signal, scope, metric, key, class, count(*) as k").replace("select service, signal, scope, metric, key, case when max(k)", "select side, service, signal, scope, metric, key, case when max(k)").replace("group by 1, 2, 3, 4, 5)", "group by 1, 2, 3, 4, 5, 6)")},
+  side_sums as (select side, service, signal, scope, key, count(*) as d, sum(n) as n from side_vals group by all),
+  flagged as (select side, service, signal, scope, key, d, class, (d >= 100 and d / n >= 0.1) or ((coalesce(class in ('numericId', 'urlQuery'), false) or key in ('url.full', 'user.id', 'messaging.destination.name')) and d >= 20) as flag
+    from side_sums join (select side, service, signal, scope, key, class from classes) using (side, service, signal, scope, key)),
+  pairs as (select service, signal, scope, key, b.flag as was, a.flag as now, b.d as base, a.d as current from (select * from flagged where not side) b full join (select * from flagged where side) a using (service, signal, scope, key)),
+  marked as (select service, signal, scope, key, case when coalesce(now, false) and not coalesce(was, false) then 'new' when now and was and current >= 2 * base and current - base >= 100 then 'grown' when coalesce(was, false) and not coalesce(now, false) then 'resolved' end as verdict from pairs),
+  own as (select *, time_ms >= 883612800000 as side from recs where signal = 'traces'),
+  spans_of as (select side, greatest(1.0, (max(time_ms) - min(time_ms)) / 60000) as minutes from own group by 1),
+  rates as (select side, service, signal, count(*) / any_value(minutes) as r from own join spans_of using (side) group by 1, 2, 3),
+  moved as (select service, signal, coalesce(b.r, 0) as base, coalesce(a.r, 0) as current from (select * from rates where not side) b full join (select * from rates where side) a using (service, signal)
+    where service in (select service from own where side) and service in (select service from own where not side)),
+  names as (select service, bool_or(side) as later, bool_or(not side) as earlier from own group by 1)"""
+
+
+@query(sql(_SIDES, """select 'attribute' as kind, verdict, service, signal, scope, key, null::double as base, null::double as current from marked where verdict is not null and service in (select service from own where side)
+  union all select 'volume', 'volume', service, signal, null, null, round(base, 6), round(current, 6) from moved where base = 0 or abs(current / base - 1) >= 0.25
+  union all select 'service', case when later then 'added' else 'missing' end, service, null, null, null, null, null from names where not (later and earlier)"""))
+def usage_changes(spark, sf_dir):
+    """Days before 1998 against those after, from a stored table of days."""
+    one = traces.dedupe_spans(fixtures.spans(spark, sf_dir))
+    rows = usage.records(one, fixtures.logs(spark, sf_dir).where("false"), _points(spark, sf_dir).where("false"))
+    path = f"{shared_dir(spark)}/usage/{uuid.uuid4().hex}"
+    summaries.save_usage(summaries.usage_days(rows, _points(spark, sf_dir).where("false")), path)
+    split = 883_612_800_000 // summaries.DAY_MS
+    found = summaries.usage_changes(summaries.load_usage(spark, path, 0, split - 1), summaries.load_usage(spark, path, split, 1 << 40)).drop("metric", "class")
+    exact = F.col("kind") == "volume"  # numbers of values are estimates
+    return found.withColumns({c: F.when(exact, F.round(c, 6)) for c in ("base", "current")})
