@@ -31,6 +31,7 @@ PROBES = 100
 RECALL = 0.96
 SALTS = 32
 SCORES = 1 << 21  # scores held at once
+MARGIN = 1e-9  # more than rounding can move a score
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -107,6 +108,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosines(x: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosine of rows u[i] and v[i] of x: sums over the entries in their order, so that it does not depend on the company; 1 at most."""
+    out = np.empty(len(u))
+    squares = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        squares += x[:, j] * x[:, j]
+    size = np.sqrt(squares)
+    for a in range(0, len(u), SCORES):
+        i, m = u[a : a + SCORES], v[a : a + SCORES]
+        dot = np.zeros(len(i))
+        for j in range(x.shape[1]):
+            dot += x[i, j] * x[m, j]
+        out[a : a + SCORES] = dot / (size[i] * size[m])
+    return np.minimum(out, 1.0)
+
+
 def fitted_window(classes: DataFrame, places: DataFrame, k: int, probes: int = PROBES, recall: float = RECALL) -> int:
     """Rank distance within which a share of recall of the probes' k nearest classes lie on some curve.
 
@@ -195,27 +212,29 @@ def nearest(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colu
         ask = group.column("ask").to_numpy(zero_copy_only=False)
         out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         if ask.any() and there.any():
-            x = _unit(_matrix(group.column("vector")))
+            own = _matrix(group.column("vector"))
+            x = _unit(own)
             t, q = np.flatnonzero(there), np.flatnonzero(ask)
-            t = t[np.argsort(rep[t])]
             parts, step, n = [], max(1, SCORES // len(t)), min(k + 1, len(t))
             for a in range(0, len(q), step):
                 score = x[q[a : a + step]] @ x[t].T
-                # Of equal scores at the end of the list any may stay here; classes of like direction are told apart below.
-                best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                parts.append((np.repeat(rep[q[a : a + step]], n), rep[t][best].ravel(), np.take_along_axis(score, best, axis=1).ravel()))
+                # All that may be among the best but for rounding are scored by the measure itself, whose ties go to the smaller id.
+                least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+                u, v = np.nonzero(score >= least[:, None] - MARGIN)
+                u, v = q[a : a + step][u], t[v]
+                exact = cosines(own, u, v)
+                order = np.lexsort((rep[v], -exact, rep[u]))
+                u, v, exact = u[order], v[order], exact[order]
+                new = np.r_[True, rep[u[1:]] != rep[u[:-1]]]
+                place = np.arange(len(u)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+                parts.append((rep[u[place < n]], rep[v[place < n]], exact[place < n]))
             out = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table({"query": out[0], "rep": out[1], "score": out[2]})
 
     found = spread.groupBy("curve", "block").applyInArrow(search, "query long, rep long, score double")
-    found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
+    found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))  # the same wherever a pair met
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
-    found = found.withColumn("n", best).where(F.col("n") <= k + 1).select("query", "rep")
-    # The few found are scored again, each by the same sums, so that a score does not depend on where a pair met.
-    one = lambda key, name: classes.select(F.col("rep").alias(key), F.col("vector").cast("array<double>").alias(name))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    found = found.join(one("query", "x"), "query").join(one("rep", "y"), "rep")
-    found = stored(found.select("query", "rep", (dot("x", "y") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y")))).alias("score")))
+    found = stored(found.withColumn("n", best).where(F.col("n") <= k + 1).select("query", "rep", "score"))
     # Each query of a class, against the ids of the classes found.
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"))
     pairs = asked.join(found, "query").join(members, "rep").where("query_id <> vec_id")
