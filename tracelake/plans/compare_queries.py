@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import baseline, servicemap, templates, traces, tree
+from tracelake.operators import baseline, detail, servicemap, templates, traces, tree
 from tracelake.operators.store import stored
 from tracelake.plans import fixtures
 from tracelake.plans.span_queries import _CALLS, ONE, r6, sql, whole
@@ -139,6 +139,30 @@ def critical_path_deep(spark, sf_dir):
     return tree.critical_path(fixtures.view(spark, sf_dir, fixtures.DEEP)).drop("duration_ms")
 
 
+_ONE_TRACE = "00000000000000000000000000000002"  # a deep one
+
+
+@query(f"""with recursive {_DEEP}, t as (select * from deep where trace_id = '{_ONE_TRACE}'), kid as (select k.*, p.start_ms as ps, p.end_ms as pe from t k join t p on k.parent_span_id = p.span_id and k.start_ms > 0),
+  cut as (select parent_span_id, greatest(start_ms, ps) as s, least(end_ms, pe) as e, span_id from kid), far as (select *, max(e) over (partition by parent_span_id order by s, e, span_id rows between unbounded preceding and 1 preceding) as far from cut where e > s),
+  covered as (select parent_span_id as span_id, sum(greatest(0.0, e - greatest(s, coalesce(far, s)))) as c from far group by 1),
+  selfs as (select t.*, greatest(0.0, duration_ms - coalesce(c, 0.0)) as self_ms from t left join covered using (span_id)),
+  nxt as (select * from (select parent_span_id, span_id, row_number() over (partition by parent_span_id order by end_ms desc, span_id) as n from kid where start_ms <= pe) where n = 1),
+  path as (select span_id, 0 as step from t where start_ms = 0 union all select n.span_id, p.step + 1 from path p join nxt n on n.parent_span_id = p.span_id),
+  ext as (select min(start_ms) as lo, max(end_ms) - min(start_ms) as total from t),
+  found as (
+    select 'trace' as section, 1 as rank, span_id, service, name, total as duration_ms, null as self_ms, null as share from t, ext where start_ms = 0
+    union all select 'criticalPath', step + 1, span_id, service, name, duration_ms, self_ms, duration_ms / total from path join selfs using (span_id), ext where step < 30
+    union all select * from (select 'topSelfTime', row_number() over (order by self_ms desc, span_id) as rank, span_id, service, name, duration_ms, self_ms, self_ms / total from selfs, ext) where rank <= 10
+    union all select 'byService', row_number() over (order by sum(self_ms) desc, service), null, service, null, null, sum(self_ms), sum(self_ms) / (select sum(self_ms) from selfs) from selfs group by service
+    union all select * from (select 'bottleneck', 1, span_id, service, name, duration_ms, self_ms, self_ms / total from path join selfs using (span_id), ext where step < 30 order by self_ms desc, step limit 1))
+select section, cast(rank as integer) as rank, span_id, service, name, round(coalesce(duration_ms, -1), 6) as duration_ms, round(coalesce(self_ms, -1), 6) as self_ms, round(coalesce(share, -1), 6) as share from found""")
+def trace_detail(spark, sf_dir):
+    """One deep trace explained; its errors are checked by a unit test."""
+    found = detail.trace_detail(fixtures.view(spark, sf_dir, fixtures.DEEP).withColumn("attrs", F.create_map().cast("map<string,string>")), _ONE_TRACE)
+    numbers = ("duration_ms", "self_ms", "share")
+    return found.where("section <> 'errors'").drop("detail").withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in numbers}).withColumns(r6(*numbers))
+
+
 @query(f"""with logs as ({fixtures.duckdb(fixtures.LOGS)}), p as (select *, split_part(body, ' ', 1) || ' user=<NUM> value=<NUM>' as template from logs)
 select service, template, count(*) as n_logs, cast(sum(strlen(body)) as bigint) as bytes, cast(floor(min(time_ms)) as bigint) as first_ms, cast(floor(max(time_ms)) as bigint) as last_ms, arg_min(body, (time_ms, body)) as sample from p group by 1, 2""")
 def log_templates(spark, sf_dir):

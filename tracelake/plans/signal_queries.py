@@ -249,6 +249,38 @@ def genai_calls(spark, sf_dir):
     return genai.genai_calls(_genai(spark, sf_dir))
 
 
+def _described(spark, sf_dir):
+    """The runs as spans with attributes: turns of the user are tool calls by a tool's name, every seventh call fails."""
+    rows = _genai(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    pairs = {"gen_ai.operation.name": F.when(F.col("role") != "user", F.col("operation")), "gen_ai.request.model": F.when(F.col("role") == "assistant", F.col("model")), "gen_ai.usage.prompt_tokens": text("input_tokens"),
+             "gen_ai.usage.output_tokens": text("output_tokens"), "gen_ai.tool.name": F.when(F.col("role") == "user", F.concat(F.lit("tool-"), text("turn"))), "error.type": F.when(F.col("turn") % 7 == 3, F.lit("timeout")), "gen_ai.prompt": F.repeat(F.lit("x"), (F.col("turn") + 1).cast("int"))}
+    attrs = F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    rows = rows.withColumn("attrs", attrs).select("trace_id", "span_id", F.lit("op").alias("name"), "start_ms", "end_ms", "duration_ms", F.when(F.col("turn") % 5 == 4, "ERROR").otherwise("OK").alias("status_code"), "attrs")
+    return genai.described(rows)
+
+
+_CALLED = f"{G}, d as (select *, case when role = 'user' then 'tool' when role = 'assistant' then 'llm' else 'agent' end as kind, turn % 7 = 3 as timed, turn % 5 = 4 as failed from gen)"
+
+
+@query(sql(_CALLED, """select trace_id, kind, cast(row_number() over (partition by trace_id, kind order by case when kind = 'llm' then start_ms else -duration_ms end, span_id) as integer) as rank, span_id, case when kind = 'llm' then model end as model,
+  case when kind = 'tool' then 'tool-' || turn end as tool_name, coalesce(input_tokens, -1) as input_tokens, coalesce(output_tokens, -1) as output_tokens, case when timed then 'timeout' end as error_type, timed or failed as is_failed, cast(turn + 1 as integer) as content from d where kind in ('llm', 'tool') qualify rank <= 3"""))
+def genai_call_report(spark, sf_dir):
+    found = genai.call_report(_described(spark, sf_dir), 3).withColumn("content", F.element_at("content_chars", "gen_ai.prompt"))
+    found = found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("input_tokens", "output_tokens")})
+    return found.select("trace_id", "kind", "rank", "span_id", "model", "tool_name", "input_tokens", "output_tokens", "error_type", "is_failed", "content")
+
+
+@query(sql(_CALLED, "select trace_id, kind, span_id, case when kind = 'tool' then 'tool-' || turn else model end as name, case when timed then 'timeout' end as error_type from d where kind in ('llm', 'tool') and (timed or failed)"))
+def genai_failed_calls(spark, sf_dir):
+    return genai.failed_calls(_described(spark, sf_dir))
+
+
+@query(sql(_CALLED, "select trace_id, model, count(*) as n_calls, cast(sum(coalesce(input_tokens, 0)) as bigint) as input_tokens, cast(sum(coalesce(output_tokens, 0)) as bigint) as output_tokens from d where kind = 'llm' group by 1, 2"))
+def genai_run_tokens(spark, sf_dir):
+    return genai.run_tokens(_described(spark, sf_dir))
+
+
 @query("""select page_id, case when regexp_matches(url, '\\?.*=') then 'urlQuery' when list_bool_or([regexp_full_match(p, '[0-9]+') or regexp_full_match(p, '(0[xX])?[0-9a-fA-F]{8,}') and regexp_matches(p, '[0-9]') for p in
   string_split(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/')]) then 'pathId' else 'other' end as class from pages""")
 def classify_urls(spark, sf_dir):
