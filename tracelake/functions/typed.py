@@ -57,3 +57,18 @@ def sort_key(value: Column) -> Column:
 def typed(value: Column, data_type: str) -> Column:
     """A column of any type as a typed value; texts are not parsed."""
     return value if data_type == "variant" else value.cast("variant")
+
+
+def attr_text(attrs: Column, key: str) -> Column:
+    """The text of a typed attribute; null if it is missing."""
+    return plain_text(F.try_element_at(attrs, F.lit(key)))
+
+
+def attr_number(attrs: Column, key: str) -> Column:
+    """The number that a typed attribute is, or that its text is."""
+    return number(F.try_element_at(attrs, F.lit(key)))
+
+
+def body_text(body: Column) -> Column:
+    """What a body shows: its text, or its JSON; empty if missing."""
+    return F.coalesce(plain_text(body), F.lit(""))
