@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.store import stored
+
 
 def attrs_key(attrs: Column) -> Column:
     """Text of a map's entries in key order: equal maps have equal keys."""
@@ -50,8 +52,18 @@ def newest_n(df: DataFrame, n: int, time: str = "time_ms", tie: str = "seq") ->
 
 
 def list_services(spans: DataFrame, logs: DataFrame, points: DataFrame) -> DataFrame:
-    """Per service and instance: counts of each signal and the times seen, with totals per service and of all (rollup)."""
-    part = lambda df, signal, time: df.select("service", "instance_id", F.col(time).alias("t"), *(F.lit(1 if s == signal else 0).alias(s) for s in ("n_spans", "n_logs", "n_points")))
-    rows = part(spans, "n_spans", "start_ms").unionByName(part(logs, "n_logs", "time_ms")).unionByName(part(points, "n_points", "time_ms"))
-    sums = [F.sum(c).alias(c) for c in ("n_spans", "n_logs", "n_points")]
-    return rows.rollup("service", "instance_id").agg(F.grouping_id().cast("long").alias("level"), *sums, F.min("t").alias("first_ms"), F.max("t").alias("last_ms"))
+    """Per service and instance: traces, counts of each signal and the times seen, with totals per service and of all (level, as of a rollup).
+
+    Spans are folded to one row for each trace and instance first; a trace of several instances or services counts once in each total.
+    """
+    counts = ("n_spans", "n_logs", "n_points")
+    part = lambda df, signal, time, *by: df.groupBy("service", "instance_id", *by).agg(*((F.count("*") if s == signal else F.lit(0).cast("long")).alias(s) for s in counts), F.min(time).alias("first_ms"), F.max(time).alias("last_ms"))
+    by_trace = stored(part(spans, "n_spans", "start_ms", "trace_id"))
+    rows = by_trace.drop("trace_id").unionByName(part(logs, "n_logs", "time_ms")).unionByName(part(points, "n_points", "time_ms"))
+    sums = rows.rollup("service", "instance_id").agg(F.grouping_id().cast("long").alias("level"), *(F.sum(c).alias(c) for c in counts), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+    own = by_trace.groupBy("service", "instance_id").agg(F.count("*").alias("n_traces"), F.lit(0).cast("long").alias("level"))
+    each = by_trace.select("service", "trace_id").distinct().groupBy("service", F.lit(None).cast("string").alias("instance_id")).agg(F.count("*").alias("n_traces"), F.lit(1).cast("long").alias("level"))
+    whole = by_trace.select("trace_id").distinct().agg(F.count("*").alias("n_traces"), F.lit(3).cast("long").alias("level")).select(F.lit(None).cast("string").alias("service"), F.lit(None).cast("string").alias("instance_id"), "n_traces", "level")
+    traces = own.unionByName(each).unionByName(whole)
+    same = (F.col("s.level") == F.col("t.level")) & F.col("s.service").eqNullSafe(F.col("t.service")) & F.col("s.instance_id").eqNullSafe(F.col("t.instance_id"))
+    return sums.alias("s").join(traces.alias("t"), same, "left").select("s.service", "s.instance_id", "s.level", F.coalesce("t.n_traces", F.lit(0)).alias("n_traces"), *(f"s.{c}" for c in counts), "s.first_ms", "s.last_ms")

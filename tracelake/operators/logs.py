@@ -67,10 +67,28 @@ def attach_logs_to_spans(logs: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.withColumn("place", place).withColumn("offset_ms", F.col("time_ms") - F.col("_s")).drop("_s", "_e", "_there")
 
 
-def log_markers(placed: DataFrame, spans: DataFrame, n: int = 200) -> DataFrame:
-    """Logs grouped on their span's bar in n equal buckets: count, highest severity, and whether one lay outside."""
-    one = spans.select("trace_id", "span_id", "duration_ms")
+#: Marks of a bar: buckets of the trace's duration in hundredths, doubled until a bar has so few of them.
+BUCKET, MARKS = 0.5, 50
+
+
+def log_markers(placed: DataFrame, spans: DataFrame) -> DataFrame:
+    """Logs grouped on their span's bar: trace_id, span_id, width, bucket, n_logs, pct, severity (highest), is_clamped.
+
+    A log's place is a share in hundredths of its trace's duration, held within its span. Buckets are BUCKET wide; a bar with over MARKS of
+    them takes buckets of twice the width, and so on. Logs are first counted by the narrowest, which wider ones are made of.
+    """
+    extents = spans.groupBy("trace_id").agg(F.min("start_ms").alias("_t0"), (F.max("end_ms") - F.min("start_ms")).alias("_total"))
+    one = spans.select("trace_id", "span_id", F.col("start_ms").alias("_s"), "duration_ms").join(extents, "trace_id")
     rows = placed.where("place <> 'trace'").join(one, ["trace_id", "span_id"])
-    share = F.when(F.col("duration_ms") > 0, F.col("offset_ms") / F.col("duration_ms")).otherwise(0.0)
-    bucket = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(share * n))).cast("int")
-    return rows.groupBy("trace_id", "span_id", bucket.alias("bucket")).agg(F.count("*").alias("n_logs"), F.max("severity_number").alias("severity"), F.max(F.col("place") != "within").alias("is_clamped"))
+    held = F.least(F.greatest(F.col("duration_ms"), F.lit(0.0)), F.greatest(F.lit(0.0), F.col("offset_ms")))
+    pct = F.when(F.col("_total") > 0, (F.col("_s") - F.col("_t0") + held) * 100 / F.col("_total")).otherwise(0.0)
+    rows = rows.select("trace_id", "span_id", pct.alias("pct"), "severity_number", (held != F.col("offset_ms")).alias("is_clamped"))
+    keys = ["trace_id", "span_id"]
+    fine = rows.groupBy(*keys, F.floor(F.col("pct") / BUCKET).cast("int").alias("fine")).agg(F.count("*").alias("n"), F.sum("pct").alias("pct"), F.max("severity_number").alias("severity"), F.max("is_clamped").alias("is_clamped"))
+    most = range(9)  # 0.5 * 2 ** 8 is over 100
+    used = fine.groupBy(*keys).agg(F.collect_set("fine").alias("used"))  # 201 at most
+    wide = lambda k: F.size(F.array_distinct(F.transform("used", lambda x: F.shiftright(x, k))))
+    fits = F.coalesce(*(F.when(wide(k) <= MARKS, k) for k in most), F.lit(most[-1]))
+    rows = fine.join(used.select(*keys, fits.alias("k")), keys).withColumn("bucket", F.expr("shiftright(fine, k)"))
+    sums = rows.groupBy(*keys, "k", "bucket").agg(F.sum("n").alias("n_logs"), (F.sum("pct") / F.sum("n")).alias("pct"), F.max("severity").alias("severity"), F.max("is_clamped").alias("is_clamped"))
+    return sums.select(*keys, (F.lit(BUCKET) * F.pow(F.lit(2.0), F.col("k"))).alias("width"), "bucket", "n_logs", "pct", "severity", "is_clamped")

@@ -122,3 +122,17 @@ def node_sources(spans: DataFrame, n: int = 10) -> DataFrame:
     rows = calls(spans).where("source is null and code_file is not null").groupBy("target", "code_file", "code_line").agg(F.count("*").alias("n_calls"))
     order = Window.partitionBy("target").orderBy(F.desc("n_calls"), "code_file", "code_line")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def node_edges(spans: DataFrame) -> DataFrame:
+    """For every node its edges in and out: target, way (inbound, outbound), peer, calls, errors, p95; the peer's calls count."""
+    edges = calls(spans).where("source is not null").groupBy("source", "target").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
+    numbers = ("n_calls", "n_errors", "p95_ms")
+    both = F.array(F.struct(F.col("target").alias("node"), F.lit("inbound").alias("way"), F.col("source").alias("peer")), F.struct(F.col("source").alias("node"), F.lit("outbound").alias("way"), F.col("target").alias("peer")))
+    return edges.select(F.inline(both), *numbers).withColumnRenamed("node", "target")
+
+
+def node_instances(spans: DataFrame) -> DataFrame:
+    """Of every service the instances that took its calls: target, instance_id, calls, errors, last seen."""
+    rows = calls(spans).where("source is null and type = 'service'")
+    return rows.groupBy("target", "instance_id").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), F.max("end_ms").alias("last_ms"))

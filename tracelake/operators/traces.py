@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.ordered import quantiles
 from tracelake.operators.store import stored
 
 #: Order in which one copy of a re-exported span wins: the greatest end, then fixed columns.
@@ -125,6 +126,14 @@ def group_spans(spans_with_self: DataFrame, *by: str) -> DataFrame:
     return stats.withColumn("self_share", F.when(whole > 0, F.col("self_ms") / whole).otherwise(0.0))
 
 
+def duration_quantiles(spans: DataFrame, *by: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """Exact quantiles of the duration of each group, whatever a group holds: durations are counted, then summed in order across tasks.
+
+    For groups too large for one task's memory; the statistics above hold a group's distinct durations in one.
+    """
+    return quantiles(spans, list(by), "duration_ms", shares or {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+
+
 def find_spans(spans_with_self: DataFrame, condition: Column, min_ms: float = 0.0, sort: str = "duration_ms", limit: int = 50) -> DataFrame:
     return spans_with_self.where(condition & (F.col("duration_ms") >= min_ms)).orderBy(F.desc(sort), "trace_id", "span_id").limit(limit)
 

@@ -90,10 +90,12 @@ def attach_logs_to_spans(spark, sf_dir):
     return _placed(spark, sf_dir)[0].select("seq", "trace_id", "span_id", "place", F.round("offset_ms", 6).alias("offset_ms"))
 
 
-@query(sql(_PLACED, """select trace_id, span_id, cast(least(199, greatest(0, floor(case when duration_ms > 0 then offset_ms / duration_ms else 0 end * 200))) as integer) as bucket,
-  count(*) as n_logs, max(severity_number) as severity, bool_or(place <> 'within') as is_clamped from placed where place <> 'trace' group by 1, 2, 3"""))
+@query(sql(f"""{_PLACED}, ext as (select trace_id, min(start_ms) as t0, max(end_ms) - min(start_ms) as total from one group by 1),
+  held as (select p.*, least(greatest(duration_ms, 0.0), greatest(0.0, offset_ms)) as h, t0, total from placed p join ext using (trace_id) where place <> 'trace'),
+  pcts as (select *, case when total > 0 then (s - t0 + h) * 100 / total else 0 end as pct from held)""",
+  "select trace_id, span_id, 0.5 as width, cast(floor(pct / 0.5) as integer) as bucket, count(*) as n_logs, round(avg(pct), 6) as pct, max(severity_number) as severity, bool_or(h <> offset_ms) as is_clamped from pcts group by 1, 2, 4"))
 def log_markers(spark, sf_dir):
-    return log_ops.log_markers(*_placed(spark, sf_dir))
+    return log_ops.log_markers(*_placed(spark, sf_dir)).withColumns(r6("pct"))
 
 
 @query(sql(P, "select instance_id, metric, any_value(type) as type, bool_or(monotonic) as monotonic, count(*) as n_points, count(distinct concat('shard=', shard, ',type=', event_type)) as n_series from points group by 1, 2"))
@@ -181,8 +183,8 @@ def newest_n(spark, sf_dir):
     return identity.newest_n(fixtures.logs(spark, sf_dir), 50).select("seq", "body")
 
 
-@query(sql(f"{ONE}, {L}, {P}, u as (select service, instance_id, 1 as a, 0 as b, 0 as c from one union all select service, instance_id, 0, 1, 0 from logs union all select split_part(instance_id, '::', 1), instance_id, 0, 0, 1 from points)",
-           "select service, instance_id, cast(grouping(service, instance_id) as bigint) as level, cast(sum(a) as bigint) as n_spans, cast(sum(b) as bigint) as n_logs, cast(sum(c) as bigint) as n_points from u group by rollup (service, instance_id)"))
+@query(sql(f"{ONE}, {L}, {P}, u as (select service, instance_id, 1 as a, 0 as b, 0 as c, trace_id as t from one union all select service, instance_id, 0, 1, 0, null from logs union all select split_part(instance_id, '::', 1), instance_id, 0, 0, 1, null from points)",
+           "select service, instance_id, cast(grouping(service, instance_id) as bigint) as level, count(distinct t) as n_traces, cast(sum(a) as bigint) as n_spans, cast(sum(b) as bigint) as n_logs, cast(sum(c) as bigint) as n_points from u group by rollup (service, instance_id)"))
 def list_services(spark, sf_dir):
     one = traces.dedupe_spans(fixtures.spans(spark, sf_dir))
     points = fixtures.points(spark, sf_dir).withColumn("service", F.split_part(F.col("instance_id"), F.lit("::"), F.lit(1)))

@@ -268,6 +268,22 @@ def node_traces(spark, sf_dir):
     return servicemap.node_traces(spans(spark, sf_dir)).withColumns(r6("ms"))
 
 
+@query(sql(f"{_CALLS}, e as (select source, target, count(*) as n_calls, count(*) filter (is_error) as n_errors, round(quantile_cont(ms, 0.95), 6) as p95_ms from calls where source is not null group by all)",
+           "select target, 'inbound' as way, source as peer, n_calls, n_errors, p95_ms from e union all select source, 'outbound', target, n_calls, n_errors, p95_ms from e"))
+def node_edges(spark, sf_dir):
+    return servicemap.node_edges(spans(spark, sf_dir)).withColumns(r6("p95_ms"))
+
+
+@query(sql(_CALLS, "select target, instance_id, count(*) as n_calls, count(*) filter (is_error) as n_errors, cast(floor(max(end_ms)) as bigint) as last_ms from calls where source is null and type = 'service' group by 1, 2"))
+def node_instances(spark, sf_dir):
+    return servicemap.node_instances(spans(spark, sf_dir)).withColumns(whole("last_ms"))
+
+
+@query(sql(ONE, "select service, round(quantile_cont(duration_ms, 0.5), 6) as p50_ms, round(quantile_cont(duration_ms, 0.95), 6) as p95_ms, round(quantile_cont(duration_ms, 0.99), 6) as p99_ms from one group by 1"))
+def duration_quantiles(spark, sf_dir):
+    return traces.duration_quantiles(traces.dedupe_spans(spans(spark, sf_dir)), "service").withColumns(r6("p50_ms", "p95_ms", "p99_ms"))
+
+
 @query(sql(f"{_CALLS}, s as (select target, code_file, code_line, count(*) as n_calls from calls where source is null and code_file is not null group by all)",
            "select * from (select *, cast(row_number() over (partition by target order by n_calls desc, code_file, code_line) as integer) as rank from s) where rank <= 10"))
 def node_sources(spark, sf_dir):
