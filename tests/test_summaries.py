@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from tracelake.operators import baseline, summaries
+from tracelake.operators import baseline, summaries, usage
 
 DAY = summaries.DAY_MS
 KIND = "service string, signal string, scope string, metric string, time_ms double, bytes long, attrs map<string,string>, events array<map<string,string>>"
@@ -59,3 +59,9 @@ def test_adjusted_p(spark):
         want[k] = least
     out = {x["k"]: x["q"] for x in got}
     assert len(got) == len(ps) and out[2000] is None and all(abs(out[k] - q) < 1e-12 for k, q in want.items())
+
+
+def test_attributes_of_events_are_apart(spark):
+    rows = [("a", "traces", "span", None, 1.0, 50, {"k": "x"}, [{"k": "y"}, {"k": "y", "m": None}]), ("a", "traces", "span", None, 2.0, 50, None, [])]
+    got = {(r["scope"], r["key"], r["value"]): r["n"] for r in usage.counted(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {("span", None, None): 2, ("span", "k", "x"): 1, ("span.event", "k", "y"): 2}

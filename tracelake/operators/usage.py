@@ -57,17 +57,19 @@ def point_bytes() -> Column:
 
 
 def records(spans: DataFrame, logs: DataFrame, points: DataFrame) -> DataFrame:
-    """(service, signal, scope, metric, time_ms, bytes, attrs, events) of all records of the three signals.
+    """(service, signal, scope, metric, time_ms, bytes, attrs) of all records of the three signals.
 
-    metric is null but for points; events has the attributes of a span's events, empty where spans come without events.
+    metric is null but for points. Where spans have events, their attributes are one more column, events.
     """
+    has = "events" in spans.columns
     none = F.array().cast("array<map<string,string>>")
-    events = F.coalesce(F.transform("events", lambda e: e["attrs"]), none) if "events" in spans.columns else none
 
     def part(df, signal, scope, time, size, metric, events=none):
-        return df.select("service", F.lit(signal).alias("signal"), F.lit(scope).alias("scope"), metric.alias("metric"), F.col(time).alias("time_ms"), size.alias("bytes"), "attrs", events.alias("events"))
+        columns = ["service", F.lit(signal).alias("signal"), F.lit(scope).alias("scope"), metric.alias("metric"), F.col(time).alias("time_ms"), size.alias("bytes"), "attrs"]
+        return df.select(*columns, *([events.alias("events")] if has else []))
 
     no_metric = F.lit(None).cast("string")
+    events = F.coalesce(F.transform("events", lambda e: e["attrs"]), none) if has else none
     out = part(spans, "traces", "span", "end_ms", span_bytes(), no_metric, events).unionByName(part(logs, "logs", "log", "time_ms", log_bytes(), no_metric))
     return out.unionByName(part(points, "metrics", "metric", "time_ms", point_bytes(), F.col("metric")))
 
@@ -116,11 +118,15 @@ def counted(rows: DataFrame, *more: str) -> DataFrame:
 
     One pass over the records serves values, statistics and totals. more are columns of rows to group by besides.
     """
-    pair = lambda scope, e: F.struct(scope.alias("scope"), e["key"].alias("key"), e["value"].alias("value"), attr_bytes(e["key"], e["value"]).alias("bytes"))
-    own = lambda m, scope: F.transform(F.filter(F.map_entries(m), lambda e: e["value"].isNotNull()), lambda e: pair(scope, e))
-    whole = F.array(F.struct(F.col("scope"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.col("bytes").cast("int").alias("bytes")))
-    inner = F.when(F.size("events") > 0, F.flatten(F.transform("events", lambda m: own(m, F.lit("span.event"))))).otherwise(F.slice(whole, 2, 1))
-    each = rows.select(*more, "service", "signal", "metric", "time_ms", F.inline(F.concat(whole, own(F.col("attrs"), F.col("scope")), inner)))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    own = F.coalesce(F.map_entries("attrs"), F.slice(whole, 2, 1))
+    fixed = [*more, "service", "signal", "metric", "time_ms", "bytes"]
+    each = rows.select(*fixed, "scope", F.explode(F.concat(whole, own)).alias("e")).select(*fixed, "scope", "e.key", "e.value")
+    if "events" in rows.columns:
+        inner = rows.where(F.size("events") > 0).select(*fixed, F.lit("span.event").alias("scope"), F.explode("events").alias("m"))
+        each = each.unionByName(inner.select(*fixed, "scope", F.explode("m").alias("key", "value")))
+    size = F.when(F.col("key").isNull(), F.col("bytes")).otherwise(attr_bytes(F.col("key"), F.col("value")))
+    each = each.where("key is null or value is not null").withColumn("bytes", size)
     return stored(each.groupBy(*more, *KEYS, "value").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms")))
 
 
