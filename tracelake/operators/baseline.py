@@ -190,17 +190,26 @@ def compare_baseline(before: DataFrame, after: DataFrame, min_calls: int = 20, m
         .when(F.col("a_n_calls").isNull(), F.when(F.col("b_n_calls") >= min_calls, "removed").otherwise("insufficient"))
         .when(F.least("a_n_calls", "b_n_calls") < min_calls, "insufficient").when(any_(1), "regressed").when(any_(-1), "improved").otherwise("unchanged")
     )
-    return rows.select(*KEYS, "b_n_calls", "a_n_calls", change("p50_ms").alias("p50_change"), change("p95_ms").alias("p95_change"), rate.alias("rate_change"), fan.alias("fanout_change"), "p50_q", "p95_q", "error_q", verdict.alias("verdict"))
+    return rows.select(*KEYS, "b_n_calls", "a_n_calls", "b_p50_ms", "b_p95_ms", change("p50_ms").alias("p50_change"), change("p95_ms").alias("p95_change"), rate.alias("rate_change"), fan.alias("fanout_change"), "p50_q", "p95_q", "error_q", verdict.alias("verdict"))
 
 
-def comparison_summary(compared: DataFrame) -> DataFrame:
-    return compared.groupBy("verdict").agg(F.count("*").alias("n_entries"))
+#: Parts of a comparison: nodes, edges, and the operations of either.
+SCOPES = {"services": "source is null and operation is null", "calls": "source is not null and operation is null", "operations": "operation is not null", "all": "true"}
 
 
-def ranked_changes(compared: DataFrame, limit: int = 20) -> DataFrame:
-    """Changed entries: regressed, new, removed, improved; within them by the size of the p95 change, then calls."""
-    order = F.array_position(F.array(*map(F.lit, ("regressed", "new", "removed", "improved"))), F.col("verdict"))
-    return compared.where(order > 0).orderBy(order, F.desc_nulls_last(F.abs("p95_change")), F.desc_nulls_last("a_n_calls"), *KEYS).limit(limit)
+def comparison_summary(compared: DataFrame, scope: str = "all") -> DataFrame:
+    return compared.where(SCOPES[scope]).groupBy("verdict").agg(F.count("*").alias("n_entries"))
+
+
+def ranked_changes(compared: DataFrame, limit: int = 20, scope: str = "all") -> DataFrame:
+    """Changed entries of a scope (one of SCOPES): by verdict, then the size of the p95 change relative to the earlier p95, then calls.
+
+    An earlier p95 of 0, or none, counts as 1.
+    """
+    order = F.array_position(F.array(*map(F.lit, ("regressed", "improved", "new", "removed"))), F.col("verdict"))
+    base = F.when(F.coalesce("b_p95_ms", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("b_p95_ms"))
+    relative = F.abs(F.coalesce("p95_change", F.lit(0.0)) / base)
+    return compared.where(SCOPES[scope]).where(order > 0).orderBy(order, F.desc(relative), F.desc(F.coalesce("a_n_calls", F.lit(0))), *KEYS).limit(limit)
 
 
 def fanout(entries: DataFrame) -> DataFrame:

@@ -213,17 +213,44 @@ def useful_attrs(attrs: Column, n: int = 10) -> Column:
     return F.map_from_entries(F.slice(F.array_sort(F.map_entries(keep)), 1, n))
 
 
-def compare_trace(spans_with_self: DataFrame, summaries: DataFrame, trace_id: str, peers: int = 50) -> DataFrame:
-    """Self time of one trace by service and name beside the median of its peers, the largest excess first.
+def comparison_peers(summaries: DataFrame, trace_id: str, peers: int = 50, baseline_id: str | None = None) -> DataFrame:
+    """(trace_id, duration_ms) of what a trace is compared with: baseline_id alone, or the newest traces of the same root.
 
-    Peers: the newest traces of the same root, those without errors first. A group that a peer lacks counts as 0.
+    Traces without errors are taken where there is one, those with errors only where there is none. At most peers rows.
     """
+    if baseline_id is not None:
+        if baseline_id == trace_id:
+            raise ValueError("a trace is not its own baseline")
+        return summaries.where(F.col("trace_id") == baseline_id).select("trace_id", "duration_ms")
     mine = summaries.where(F.col("trace_id") == trace_id).select(F.col("root_service").alias("_s"), F.col("root_name").alias("_n"))
     others = summaries.where(F.col("trace_id") != trace_id).join(F.broadcast(mine), (F.col("root_service") == F.col("_s")) & (F.col("root_name") == F.col("_n")))  # one row
-    others = others.orderBy(F.col("n_errors") > 0, F.desc("start_ms"), "trace_id").limit(peers).select("trace_id")
+    newest = others.orderBy(F.col("n_errors") > 0, F.desc("start_ms"), "trace_id").limit(peers).withColumn("_failed", F.col("n_errors") > 0)
+    any_healthy = ~F.bool_and("_failed").over(Window.partitionBy(F.lit(1)))  # of at most peers rows
+    return newest.withColumn("_healthy", any_healthy).where(~(F.col("_failed") & F.col("_healthy"))).select("trace_id", "duration_ms")
+
+
+def representative_peer(peers: DataFrame) -> DataFrame:
+    """One row of comparison_peers' rows: the trace whose duration is nearest to their median, ties to the smaller id.
+
+    With the median as baseline_ms and n_peers. No row without peers.
+    """
+    middle = peers.agg(F.percentile("duration_ms", F.lit(0.5)).alias("baseline_ms"), F.count("*").alias("n_peers"))
+    return peers.join(F.broadcast(middle)).orderBy(F.abs(F.col("duration_ms") - F.col("baseline_ms")), "trace_id").limit(1)  # middle is one row
+
+
+def compare_trace(spans_with_self: DataFrame, summaries: DataFrame, trace_id: str, peers: int = 50, baseline_id: str | None = None) -> DataFrame:
+    """Self time of one trace by service and name beside the median of comparison_peers, the largest excess first.
+
+    A group that a peer lacks counts as 0 there. state: new (no peer has the group), missing (the trace lacks it) or both.
+    is_newly_failing: the trace's group has failing spans (n_errors) and that of no peer has. top_span_id: the trace's
+    span of most self time in the group, ties to the smaller id. ratio is null where the median is 0.
+    """
+    others = stored(comparison_peers(summaries, trace_id, peers, baseline_id).select("trace_id"))
     number = others.agg(F.count("*").alias("_peers")).withColumn("_k", F.lit(1))
-    groups = lambda df: df.groupBy("trace_id", "service", "name").agg(F.sum("self_ms").alias("self_ms"))
-    theirs = groups(spans_with_self.join(others, "trace_id", "left_semi")).groupBy("service", "name").agg(F.array_sort(F.collect_list("self_ms")).alias("held"))  # at most peers values
+    failed = F.count_if(F.coalesce(F.col("status_code") == "ERROR", F.lit(False)))
+    groups = lambda df: df.groupBy("trace_id", "service", "name").agg(F.sum("self_ms").alias("self_ms"), failed.alias("n_errors"), F.min_by("span_id", F.struct(-F.col("self_ms"), "span_id")).alias("_top"))
+    theirs = groups(spans_with_self.join(F.broadcast(others), "trace_id", "left_semi"))  # at most peers ids
+    theirs = theirs.groupBy("service", "name").agg(F.array_sort(F.collect_list("self_ms")).alias("held"), F.sum("n_errors").alias("_failed"))  # at most peers values
     target = groups(spans_with_self.where(F.col("trace_id") == trace_id)).drop("trace_id")
     both = target.join(theirs, ["service", "name"], "full_outer").withColumn("_k", F.lit(1)).join(F.broadcast(number), "_k")
     held = F.coalesce("held", F.array().cast("array<double>"))
@@ -231,5 +258,10 @@ def compare_trace(spans_with_self: DataFrame, summaries: DataFrame, trace_id: st
     n = F.size(padded)
     middle = (F.get(padded, F.floor((n - 1) / 2).cast("int")) + F.get(padded, F.floor(n / 2).cast("int"))) / 2
     state = F.when(F.col("self_ms").isNull(), "missing").when(F.col("held").isNull(), "new").otherwise("both")
-    rows = both.select("service", "name", F.coalesce("self_ms", F.lit(0.0)).alias("self_ms"), F.coalesce(middle, F.lit(0.0)).alias("median_ms"), state.alias("state"))
-    return rows.withColumn("excess_ms", F.col("self_ms") - F.col("median_ms")).orderBy(F.desc("excess_ms"), "service", "name")
+    failing = (F.coalesce("n_errors", F.lit(0)) > 0) & (F.coalesce("_failed", F.lit(0)) == 0)
+    rows = both.select(
+        "service", "name", F.coalesce("self_ms", F.lit(0.0)).alias("self_ms"), F.coalesce(middle, F.lit(0.0)).alias("median_ms"), state.alias("state"),
+        F.coalesce("n_errors", F.lit(0)).alias("n_errors"), failing.alias("is_newly_failing"), F.col("_top").alias("top_span_id"),
+    )
+    rows = rows.withColumn("excess_ms", F.col("self_ms") - F.col("median_ms")).withColumn("ratio", F.when(F.col("median_ms") > 0, F.col("self_ms") / F.col("median_ms")))
+    return rows.orderBy(F.desc("excess_ms"), "service", "name")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.redact import REDACTED, is_sensitive_key, redact_text
 from tracelake.functions.scalars import ID_CLASSES, classify_value, has_id_part
+from tracelake.operators import templates
 from tracelake.operators.ordered import running
 from tracelake.operators.store import stored
 
@@ -338,6 +339,18 @@ def top_metrics(points: DataFrame, n: int = 10) -> DataFrame:
     return sums.orderBy(F.desc("n_series"), F.desc("bytes"), "metric").limit(n)
 
 
+def top_patterns(found: DataFrame, n: int = 5, chars: int = 200) -> DataFrame:
+    """The n templates of most logs (rows of log_templates) with their share of their service's logs in percent.
+
+    Ties to the first by service and text. What a service counts beyond its templates is one of them, as (other patterns);
+    a longer pattern is cut.
+    """
+    whole = found.groupBy("service").agg(F.sum("n_logs").alias("_all"))
+    text = F.when(F.col("template") == templates.OTHER, "(other patterns)").when(F.char_length("template") > chars, F.concat(F.left("template", F.lit(chars)), F.lit("…"))).otherwise(F.col("template"))
+    top = found.orderBy(F.desc("n_logs"), "service", "template").limit(n)  # n rows, so whole is what is joined to them
+    return top.join(whole, "service").select("service", text.alias("pattern"), "n_logs", "bytes", (F.col("n_logs") * 100 / F.col("_all")).alias("share_pct")).orderBy(F.desc("n_logs"), "service", "pattern")
+
+
 def daily_usage(rates: DataFrame, points: DataFrame) -> DataFrame:
     """One row of bytes, n_spans, n_logs a day at the rates of rates_per_minute, and n_series, all series of points."""
     of = lambda signal: F.coalesce(F.sum(F.when(F.col("signal") == signal, F.col("records_per_minute"))), F.lit(0.0)) * 1440

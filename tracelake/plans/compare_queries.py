@@ -53,6 +53,12 @@ def ranked_changes(spark, sf_dir):
     return baseline.ranked_changes(baseline.compare_baseline(*_sides(spark, sf_dir)), 20)
 
 
+@query()
+def ranked_calls(spark, sf_dir):
+    """Changed edges between services alone."""
+    return baseline.ranked_changes(baseline.compare_baseline(*_sides(spark, sf_dir)), 20, "calls")
+
+
 @query(sql(f"{_CALLS}, e as (select source, target, count(*) as n from calls where end_ms < {SPLIT_MS} group by 1, 2)",
            "select a.source, a.target, round(a.n / b.n, 6) as fanout from e a left join e b on b.source is null and b.target = a.source where a.source is not null"))
 def fanout(spark, sf_dir):

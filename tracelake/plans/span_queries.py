@@ -306,16 +306,28 @@ def filter_traces(spark, sf_dir):
 _TARGET = "0" * 30 + "0a"
 
 
-@query(sql(SELF + f""", {SUMMARY.removeprefix(ONE + ", ")}, t as (select * from summary where trace_id = '{_TARGET}'),
-  peers as (select s.trace_id from summary s join t on s.root_service = t.root_service and s.root_name = t.root_name and s.trace_id <> t.trace_id order by s.n_errors > 0, s.start_ms desc, s.trace_id limit 50),
-  g as (select trace_id, service, name, sum(self_ms) as v from selfs group by 1, 2, 3), k as (select distinct service, name from g where trace_id = '{_TARGET}' or trace_id in (select trace_id from peers)),
-  m as (select service, name, quantile_cont(coalesce(v, 0), 0.5) as m, count(v) as c from k cross join peers p left join g using (trace_id, service, name) group by 1, 2)""",
-  f"""select service, name, round(coalesce(v, 0), 6) as self_ms, round(coalesce(m, 0), 6) as median_ms, case when v is null then 'missing' when coalesce(c, 0) = 0 then 'new' else 'both' end as state
+_PEERS = f"""{SUMMARY.removeprefix(ONE + ", ")}, t as (select * from summary where trace_id = '{_TARGET}'),
+  same_root as (select s.* from summary s join t on s.root_service = t.root_service and s.root_name = t.root_name and s.trace_id <> t.trace_id),
+  peers as (select trace_id, duration_ms from same_root where n_errors = 0 or not exists (select 1 from same_root where n_errors = 0) order by start_ms desc, trace_id limit 50)"""
+
+
+@query(sql(SELF + f""", {_PEERS}, g as (select trace_id, service, name, sum(self_ms) as v, count(*) filter (status_code = 'ERROR') as e, arg_min(span_id, row(-self_ms, span_id)) as top from selfs group by 1, 2, 3),
+  k as (select distinct service, name from g where trace_id = '{_TARGET}' or trace_id in (select trace_id from peers)),
+  m as (select service, name, quantile_cont(coalesce(v, 0), 0.5) as m, count(v) as c, sum(e) as pe from k cross join peers p left join g using (trace_id, service, name) group by 1, 2)""",
+  f"""select service, name, round(coalesce(v, 0), 6) as self_ms, round(coalesce(m, 0), 6) as median_ms, case when v is null then 'missing' when coalesce(c, 0) = 0 then 'new' else 'both' end as state,
+  coalesce(e, 0) as n_errors, coalesce(e, 0) > 0 and coalesce(pe, 0) = 0 as is_newly_failing, top as top_span_id, round(case when m > 0 then coalesce(v, 0) / m end, 6) as ratio
   from k left join m using (service, name) left join (select * from g where trace_id = '{_TARGET}') x using (service, name)"""))
 def compare_trace(spark, sf_dir):
     rows = spans(spark, sf_dir)
     found = traces.compare_trace(traces.self_times(rows), traces.trace_summaries(rows), _TARGET)
-    return found.drop("excess_ms").withColumns(r6("self_ms", "median_ms"))
+    return found.drop("excess_ms").withColumns(r6("self_ms", "median_ms", "ratio"))
+
+
+@query(sql(f"{ONE}, {_PEERS}, m as (select quantile_cont(duration_ms, 0.5) as m, count(*) as n from peers)",
+           "select trace_id, round(duration_ms, 6) as duration_ms, round(m, 6) as baseline_ms, n as n_peers from peers cross join m order by abs(duration_ms - m), trace_id limit 1"))
+def representative_peer(spark, sf_dir):
+    peers = traces.comparison_peers(_summaries(spark, sf_dir), _TARGET)
+    return traces.representative_peer(peers).withColumns(r6("duration_ms", "baseline_ms"))
 
 
 @query("with recursive " + ONE + f""", t as (select trace_id, span_id, 0 as depth from one where trace_id = '{_TARGET}' and parent_span_id is null

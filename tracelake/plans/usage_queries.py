@@ -255,6 +255,12 @@ def top_metrics(spark, sf_dir):
     return usage.top_metrics(fixtures.points(spark, sf_dir), 10)
 
 
+@query(f"""with logs as ({duckdb(LOGS)}), p as (select service, split_part(body, ' ', 1) || ' user=<NUM> value=<NUM>' as pattern, strlen(body) as b from logs)
+select service, pattern, count(*) as n_logs, cast(sum(b) as bigint) as bytes, round(count(*) * 100 / sum(count(*)) over (partition by service), 6) as share_pct from p group by 1, 2 order by 3 desc, 1, 2 limit 5""")
+def top_patterns(spark, sf_dir):
+    return usage.top_patterns(templates.log_templates(fixtures.logs(spark, sf_dir))).withColumns(r6("share_pct"))
+
+
 _CMP = f"""{_RECORDS}, h as (select *, time_ms < 883612800000 as early from attrs where signal = 'traces'),
   c as (select service, signal, k as key, nullif(count(distinct v) filter (early), 0) as n_before, nullif(count(distinct v) filter (not early), 0) as n_after from h group by 1, 2, 3),
   d as (select *, case when n_before is null then 'new' when n_after is null then 'resolved' when n_after >= 2 * n_before and n_after >= 20 then 'grown' end as change from c)"""

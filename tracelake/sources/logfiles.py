@@ -96,17 +96,59 @@ def write_logs_csv(logs: DataFrame, path: str, columns: list[str]) -> None:
     csv_table(logs, columns).write.option("header", True).option("lineSep", "\r\n").csv(path)
 
 
-def write_logs_json(logs: DataFrame, path: str) -> None:
-    logs.select(F.to_json(F.struct(*logs.columns)).alias("value")).write.text(path)
+def json_lines(logs: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """(value): one JSON line for each log. Without columns all fields as they are, nulls left out; else {label: field} as a table
+    shows them: each as text under its label, empty where null."""
+    if columns is None:
+        return logs.select(F.to_json(F.struct(*logs.columns)).alias("value"))
+    return logs.select(F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(label) for label, c in columns.items()))).alias("value"))
+
+
+def write_logs_json(logs: DataFrame, path: str, columns: dict[str, str] | None = None) -> None:
+    json_lines(logs, columns).write.text(path)
 
 
 def save_baseline(entries: DataFrame, path: str) -> None:
     entries.write.parquet(path)
 
 
+# The longest node id and operation key of a baseline, most samples of an entry.
+MAX_NODE, MAX_OPERATION, MAX_SAMPLES = 2000, 200, 1000
+_NODE, _TRACE = "^(svc|db|queue|ext):", "^[0-9a-f]{32}$"
+
+
+def entry_faults(entries: DataFrame) -> DataFrame:
+    """Entries with faults, the names of what is wrong with each: empty for a good one.
+
+    target, source: no node, over MAX_NODE long, or (source) a node that is no entry's target of its own; operation: too long;
+    errors: more than calls, or either negative; samples: out of order, too many, null or not finite; example: no trace id;
+    key: it occurs twice (both rows have the fault).
+    """
+    nodes = entries.where("source is null and operation is null").select(F.col("target").alias("_node")).distinct().withColumn("_listed", F.lit(True))
+    twice = entries.groupBy("source", "target", "operation").agg((F.count("*") > 1).alias("_twice")).where("_twice")
+    match = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ("source", "target", "operation")]
+    rows = entries.alias("l").join(twice.alias("r"), match[0] & match[1] & match[2], "left").select("l.*", "_twice")
+    rows = rows.join(nodes, F.col("source") == F.col("_node"), "left")
+    bad_node = lambda c: ~F.coalesce(F.col(c).rlike(_NODE) & (F.char_length(c) <= MAX_NODE), F.lit(False))
+    broken = F.exists("samples", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    example = lambda c: F.coalesce(~F.col(c).rlike(_TRACE), F.lit(False))
+    checks = {
+        "target": bad_node("target"),
+        "source": F.col("source").isNotNull() & (bad_node("source") | F.col("_listed").isNull()),
+        "operation": F.char_length("operation") > MAX_OPERATION,
+        "errors": (F.col("n_errors") > F.col("n_calls")) | (F.least("n_errors", "n_calls") < 0) | F.col("n_calls").isNull(),
+        "samples": broken | (F.size("samples") > MAX_SAMPLES) | (F.array_sort("samples") != F.col("samples")),
+        "example": example("slowest") | example("last_error"),
+        "key": F.col("_twice").isNotNull(),
+    }
+    named = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items())))
+    return rows.withColumn("faults", named).drop("_twice", "_node", "_listed")
+
+
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Entries whose samples are in order and whose target is known; a key that occurs twice is an error."""
+    """Entries of a stored baseline. One with a fault (entry_faults) is an error that names the first few."""
     rows = spark.read.parquet(path)
-    if rows.groupBy("source", "target", "operation").count().where("count > 1").limit(1).count():
-        raise ValueError("a key occurs twice")
-    return rows.where(F.col("target").rlike("^(svc|db|queue|ext):") & (F.array_sort("samples") == F.col("samples")))
+    bad = entry_faults(rows).where(F.size("faults") > 0).select("source", "target", "operation", "faults").limit(5).collect()
+    if bad:
+        raise ValueError("faults in a baseline: " + "; ".join(f"{r['source']} -> {r['target']} {r['operation']}: {', '.join(r['faults'])}" for r in bad))
+    return rows
