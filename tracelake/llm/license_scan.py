@@ -4,8 +4,8 @@ Method, in DataFrame functions and Spark's own logistic regression (no Python ru
 alone, and so is each paragraph: a run of lines that all hold words of the templates, with the word pairs that cross
 line ends, since notices are often wrapped. Comment marks are no words, so they neither part nor hide a notice; a line
 without words parts paragraphs. Features are word bigrams and trigrams, of which only those of the known templates
-carry weight, so the classifier is sparse. It is trained on variants of the templates (words left out, text of the
-corpus around them) against lines of the corpus without a cue, at most NEGATIVES of them, chosen by hash of the text
+carry weight, so the classifier is sparse. Templates are notices, titles and SPDX identifiers. It is trained on variants
+of the templates (words left out of those of over three words, text of the corpus around them) against lines of the corpus without a cue, at most NEGATIVES of them, chosen by hash of the text
 whatever the input's size, and against lines that have a cue but state no licence. Notices of further licences are
 trained as the class "unknown", so a licence of no known family is still reported. A temperature fitted on variants held
 out of training calibrates the probabilities; what is likely a licence but whose family's calibrated probability is
@@ -53,6 +53,26 @@ TEMPLATES = [
     ("All-rights-reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission"),
 ]
 
+# Titles of the families' texts.
+TITLES = [
+    ("MIT", "MIT License"), ("MIT", "The MIT License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("Apache-2.0", "Apache License 2.0"),
+    ("GPL", "GNU General Public License Version 2, June 1991"), ("GPL", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL", "GNU Lesser General Public License Version 2.1, February 1999"), ("LGPL", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("BSD", "BSD 2-Clause License"), ("BSD", "BSD 3-Clause License"), ("BSD", "Licensed under the BSD license."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY", "Creative Commons Attribution 4.0 International"), ("CC-BY-SA", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC", "Creative Commons Attribution-NonCommercial 4.0 International"), ("CC0", "CC0 1.0 Universal"),
+]
+
+# SPDX identifiers of each family, and of some of no family.
+SPDX = {
+    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL": ["GPL-2.0", "GPL-3.0", "GPL-2.0-or-later", "GPL-3.0-only"], "LGPL": ["LGPL-2.1", "LGPL-3.0"], "AGPL": ["AGPL-3.0"],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "MPL-2.0": ["MPL-2.0"], "CC-BY": ["CC-BY-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC0": ["CC0-1.0"],
+    "unknown": ["ISC", "Zlib", "EPL-2.0", "BSL-1.0", "Unlicense", "OFL-1.1"],
+}
+
 NONE, UNKNOWN = "none", "unknown"
 
 # Notices of public licences outside the families above, trained as the unknown class.
@@ -67,6 +87,11 @@ OTHERS = [
     "Licensed under the European Union Public Licence, version 1.2.",
     "Licensed under the Artistic License 2.0.",
     "This file is licensed under the terms of a licence that accompanies it.",
+    "zlib License",
+    "Common Development and Distribution License (CDDL) Version 1.0",
+    "Microsoft Public License (Ms-PL)",
+    "Eclipse Public License version 1.0",
+    "Licensed under the Open Software License 3.0.",
 ]
 
 #: Lines with a cue that state no licence.
@@ -83,6 +108,12 @@ CUES = [
     "Under these conditions the following steps are met with or without help.",
     "The library is free to all; you can read it in any room.",
     "The authors have waived the fee and the creative commons room is open.",
+    "A driving license of version 2 was issued on 29 June 2007.",
+    "Version 2 of the plan was ready in June 1991, or later.",
+    "The general public was asked in January 2004 to license the hall.",
+    "An identifier is set for each license plate of the town.",
+    "The public license office of the town is open, and its 3 rooms are free.",
+    "The clause of the contract and its 2 versions are old.",
 ]
 
 FAMILIES = [NONE, *sorted({f for f, _ in TEMPLATES}), UNKNOWN]
@@ -113,7 +144,7 @@ def _local(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 def templates(spark: SparkSession) -> DataFrame:
     """(id, family, label, words, grams) of the known templates."""
-    known = TEMPLATES + [(UNKNOWN, t) for t in OTHERS]
+    known = TEMPLATES + TITLES + [(f, f"SPDX-License-Identifier: {i}") for f, ids in SPDX.items() for i in ids] + [(UNKNOWN, t) for t in OTHERS]
     rows = [{"id": i, "family": f, "label": FAMILIES.index(f), "text": t} for i, (f, t) in enumerate(known)]
     df = _local(spark, rows, "id:int,family:string,label:double,text:string").withColumn("words", _words(F.col("text")))
     return df.withColumn("grams", _grams("words")).drop("text")
@@ -134,7 +165,7 @@ def _examples(docs: DataFrame, known: DataFrame) -> DataFrame:
     some = stored(some.select(_words(F.col("text")).alias("around"), F.monotonically_increasing_id().alias("at")))
     number = max(1, some.count())
     v = F.col("variant")
-    left = F.filter("words", lambda w, i: (v % 3 == 0) | (F.pmod(F.xxhash64(v, i, F.col("id")), F.lit(10)) > 0))
+    left = F.filter("words", lambda w, i: (v % 3 == 0) | (F.size("words") <= 3) | (F.pmod(F.xxhash64(v, i, F.col("id")), F.lit(10)) > 0))
     variants = known.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))).withColumn("left", left)
     variants = variants.withColumn("at", F.pmod(F.xxhash64("id", "variant"), F.lit(number)))
     around = F.coalesce("around", F.array().cast("array<string>"))
