@@ -6,8 +6,8 @@ Method, in DataFrame functions only. A shingle is a run of SHINGLE UTF-16 units
 * Signature of a line of over RING characters: MinHash with one permutation. Each shingle's hash falls into one of
   BANDS * ROWS bins, and a bin keeps its smallest hash; ROWS bins make a band. Two lines of Jaccard similarity s share a
   band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.997 at 0.8, 0.9998 at 0.87. The shingles are exploded, hashed and
-  folded into their bins as plain columns, before anything is shuffled; equal lines share their rows of minima. Of a long
-  line only hashes small enough to be a minimum are folded: below a bound that leaves FULL for each bin on average. A bin
+  folded into their bins as plain columns in the task that has their line; equal lines are made one before. Of a long line
+  only hashes small enough to be a minimum are folded: below a bound that leaves FULL for each bin on average. A bin
   that gets none (probability exp(-FULL) = 0.0003) counts as empty; the chance of sharing a band falls by under 0.0005.
 * Lines of up to 1.25 * RING characters have too few shingles for as many bins. Their hashes are sorted into a ring; each
   of RING_BANDS fixed points of it gives a band: the RING_ROWS hashes that follow it. Points with no hash before the next
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import BROADCAST_ROWS, components, stored
+from tracelake.llm.common import BROADCAST_ROWS, components, semi_join_ids, stored
 
 SHINGLE = 8
 RING = 48  # characters
@@ -41,6 +41,7 @@ RING_BANDS = 12
 RING_ROWS = 4
 SHORT = 24
 PERCENT = 80
+TASK_LINES = 2000  # lines whose shingles one task tells apart
 BITS = 1024  # enough to tell 0.77 from 0.8 for lines of 600 characters
 
 _SHINGLES = "(?s)(?=(.{%d}))" % SHINGLE
@@ -72,9 +73,10 @@ def _exploded(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def _long_bands(lines: DataFrame) -> DataFrame:
-    """(h, band) of lines of over RING characters."""
+    """(h, band) of lines of over RING characters. They are dealt out by h, so their minima need not be."""
     bound = (F.lit(FULL * BANDS * ROWS << 44) / F.char_length("line")).cast("long")
-    rows = _exploded(lines.where(F.char_length("line") > RING).select(F.xxhash64("line").alias("h"), bound.alias("bound"), "line"), "h", "bound")
+    lines = lines.where(F.char_length("line") > RING).select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"])
+    rows = _exploded(lines.select("h", bound.alias("bound"), "line"), "h", "bound")
     rows = rows.where(F.shiftrightunsigned("x", 20) < F.col("bound"))
     row = F.shiftright(F.shiftright("x", 3).bitwiseAND(F.lit(0xFFFF)) * ROWS, 16)
     rows = rows.select("h", F.col("x").bitwiseAND(F.lit(BANDS - 1)).alias("b"), row.alias("r"), F.shiftrightunsigned("x", 20).alias("v"))
@@ -100,17 +102,17 @@ def _ring_bands(lines: DataFrame, percent: int) -> DataFrame:
     return lines.select("h", F.explode(F.array_distinct(F.concat(F.coalesce(long, none), F.coalesce(short, none)))).alias("band"))
 
 
-def _candidates(docs: DataFrame, firsts: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts (id, line) and bitmaps (id, size, m0, m1, ...) of the lines that share a band with another.
+def _candidates(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, line) and bitmaps (id, size, m0, m1, ...) of the lines of wanted (id and place).
 
-    Dealing out the texts by id serves all the groupings, so no shingle is shuffled.
+    Dealing out the texts by id serves all the groupings, so no shingle is shuffled. TASK_LINES keep a task's shingles in memory.
     """
-    wanted = stored(firsts.drop("copies").join(postings.select("id").distinct(), "id"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    n = wanted.count()
+    side = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
     texts = _lines(docs).join(side, _PLACE).where(F.xxhash64("line") == F.col("id"))
     texts = stored(texts.select("id", "line").dropDuplicates(["id"]))
     word = F.shiftright("x", 6).bitwiseAND(F.lit(BITS // 64 - 1)).cast("int").alias("w")
-    shingles = _exploded(texts.repartition("id"), "id").groupBy("id", "x").agg(F.lit(1).alias("one"))
+    shingles = _exploded(texts.repartition(1 + n // TASK_LINES, "id"), "id").groupBy("id", "x").agg(F.lit(1).alias("one"))
     parts = shingles.groupBy("id", word).agg(F.count("*").alias("k"), F.bit_xor(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits"))
     marks = [F.coalesce(F.max(F.when(F.col("w") == k, F.col("bits"))), F.lit(0)).alias(f"m{k}") for k in range(BITS // 64)]
     return texts, stored(parts.groupBy("id").agg(F.sum("k").alias("size"), *marks))
@@ -138,16 +140,18 @@ def _groups(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     by_class = ["h", "g"]
     classes = lines.groupBy(*by_class).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("copies"))
     classes = stored(classes.select(*by_class, "first.*", "copies"))
-    # A node is a line's first hash. Should two lines share it, the smaller one of them takes part.
-    firsts = classes.groupBy(F.col("h").alias("id")).agg(F.min(F.struct(*_PLACE, "copies")).alias("first")).select("id", "first.*")
     by_band = Window.partitionBy("band")
-    both = _lines(docs)
-    postings = _long_bands(both).union(_ring_bands(both, percent).distinct()).select("band", F.col("h").alias("id"))
+    short = lines.where("short is not null").select(F.col("short").alias("line"))
+    postings = _long_bands(_lines(docs)).union(_ring_bands(short, percent).distinct()).select("band", F.col("h").alias("id"))
     postings = postings.withColumn("many", F.min("id").over(by_band) != F.max("id").over(by_band))
     postings = stored(postings.where("many").select("band", "id"))
+    # A node is a line's first hash. Should two lines share it, the smaller one of them takes part.
+    wanted = semi_join_ids(classes.withColumnRenamed("h", "id"), stored(postings.select("id").distinct()), "id")
+    wanted = stored(wanted.groupBy("id").agg(F.min(F.struct(*_PLACE, "copies")).alias("first")).select("id", "first.*"))
     center = F.max(F.struct("copies", "id")).over(by_band)["id"]
-    postings = stored(postings.join(firsts.select("id", "copies"), "id").select("band", "id", center.alias("center")))
-    texts, bitmaps = _candidates(docs, firsts, postings)
+    postings = stored(postings.join(wanted.select("id", "copies"), "id").select("band", "id", center.alias("center")))
+    wanted = wanted.drop("copies")
+    texts, bitmaps = _candidates(docs, wanted)
     side = lambda key, p: bitmaps.select(F.col("id").alias(key), *(F.col(c).alias(f"{p}{c}") for c in bitmaps.columns if c != "id"))
     star = postings.where("center <> id").select(F.col("center").alias("c"), F.col("id").alias("m")).distinct()
     tested = stored(star.join(side("c", "x_"), "c").join(side("m", "y_"), "m").where(_may_link("x_", "y_", percent)).select("c", "m"))
@@ -164,7 +168,7 @@ def _groups(docs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     rest = stored(rest.join(known, ["c", "m"], "left_anti"))
     labels = components(links.union(_verified(texts, rest, percent)))
     # First line of each component, then back to the classes.
-    linked = stored(firsts.drop("copies").join(labels.withColumnRenamed("node", "id"), "id"))
+    linked = stored(wanted.join(labels.withColumnRenamed("node", "id"), "id"))
     least = linked.groupBy("label").agg(F.min(F.struct(*_PLACE)).alias("first"))
     linked = stored(linked.join(least, "label").select(*_PLACE, "first"))
     if linked.count() <= BROADCAST_ROWS:
@@ -181,7 +185,9 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, D
     of which a line is never dropped for the same line of a repeated row; rows that share only the id are documents of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs).select(*_PLACE, F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.char_length("line").alias("chars"))
+    chars = F.char_length("line")
+    short = F.when(chars <= RING * 100 // percent, F.col("line")).alias("short")  # what _ring_bands reads
+    lines = _lines(docs).select(*_PLACE, F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), chars.alias("chars"), short)
     lines = stored(lines)
     groups = _groups(docs, lines, percent)
     gone = lines.select(*_PLACE, "h", "g").join(groups, ["h", "g"]).where("first.doc_id <> doc_id or first.n <> n or first.t <> t").select(*_PLACE)
