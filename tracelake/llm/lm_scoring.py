@@ -187,7 +187,7 @@ def _forward(p, x, fresh, alive, h, keep=None):
     gx = (p["x"] + p["b"])[x]
     out = np.zeros((*x.shape, d), gx.dtype)
     if keep is not None:
-        keep["prev"], keep["un"], keep["n"], keep["zr"] = (np.zeros((*x.shape, k), gx.dtype) for k in (d, d, d, 2 * d))
+        keep |= {k: np.zeros((*x.shape, d), gx.dtype) for k in ("prev", "un", "n", "z", "r")}
     for t in range(len(x)):
         m = alive[t]
         if not m:
@@ -206,7 +206,7 @@ def _forward(p, x, fresh, alive, h, keep=None):
         now += n
         out[t, :m] = now
         if keep is not None:
-            keep["prev"][t, :m], keep["un"][t, :m], keep["n"][t, :m], keep["zr"][t, :m] = prev, u[:, 2 * d :], n, zr
+            keep["prev"][t, :m], keep["un"][t, :m], keep["n"][t, :m], keep["z"][t, :m], keep["r"][t, :m] = prev, u[:, 2 * d :], n, z, r
         h[:m] = now
     return out
 
@@ -218,6 +218,14 @@ def _by_class(c: np.ndarray):
     return [(g, order[ends[g] : ends[g + 1]]) for g in range(CLASSES) if ends[g] < ends[g + 1]]
 
 
+def _logits(s, w, b):
+    """Logits w @ s + b of states s, less each one's largest: a row for each output, so that sums and maxima run along the states."""
+    y = w @ s.T
+    y += b[:, None]
+    y -= y.max(axis=0)
+    return y
+
+
 def score_docs(lexicon: Lexicon, p, docs) -> np.ndarray:
     """log10 P(classes and core words) of each document; tail words' own share comes from their counts."""
     if not docs:
@@ -231,19 +239,15 @@ def score_docs(lexicon: Lexicon, p, docs) -> np.ndarray:
         states = _forward(p, x[a:b, :m], fresh[a:b, :m], alive[a:b], h)
         at = np.flatnonzero(doc[a:b, :m].ravel() >= 0)
         s, c, w, k = states.reshape(-1, HIDDEN)[at], klass[a:b, :m].ravel()[at], word[a:b, :m].ravel()[at], doc[a:b, :m].ravel()[at]
-        y = s @ p["o"]
-        y += p["ob"]
-        y -= y.max(axis=1, keepdims=True)
-        got = y[np.arange(len(c)), c].astype(np.float64)
-        got -= np.log(np.exp(y, out=y).sum(axis=1))
+        y = _logits(s, p["o"].T, p["ob"])
+        got = y[c, np.arange(len(c))].astype(np.float64)
+        got -= np.log(np.exp(y, out=y).sum(axis=0))
         for g, q in _by_class(c):
             lo, hi = lexicon.bounds[g], lexicon.bounds[g + 1]
             if hi - lo > 1:  # a class of one word says nothing more
-                y = s[q] @ p["i"][lo:hi].T
-                y += p["ib"][lo:hi]
-                y -= y.max(axis=1, keepdims=True)
-                own = y[np.arange(len(q)), w[q] - lo]
-                got[q] += own - np.log(np.exp(y, out=y).sum(axis=1))
+                y = _logits(s[q], p["i"][lo:hi], p["ib"][lo:hi])
+                own = y[w[q] - lo, np.arange(len(q))]
+                got[q] += own - np.log(np.exp(y, out=y).sum(axis=0))
         total += np.bincount(k, got, len(docs))
     return total / np.log(10)
 
@@ -260,60 +264,57 @@ def gradients(lexicon: Lexicon, p, x, klass, word, doc, fresh, alive, h):
     at = np.flatnonzero(doc.ravel() >= 0)
     s, c, w = states.reshape(-1, d)[at], klass.ravel()[at], word.ravel()[at]
     n, loss = len(c), 0.0
-    q = s @ p["o"]
-    q += p["ob"]
-    q -= q.max(axis=1, keepdims=True)
-    loss -= float(q[np.arange(n), c].sum())
+    q = _logits(s, p["o"].T, p["ob"])
+    loss -= float(q[c, np.arange(n)].sum())
     np.exp(q, out=q)
-    total = q.sum(axis=1, keepdims=True)
+    total = q.sum(axis=0)
     loss += float(np.log(total).sum())
     q /= total
-    q[np.arange(n), c] -= 1
+    q[c, np.arange(n)] -= 1
     q /= n
-    grad = {"o": s.T @ q, "ob": q.sum(axis=0), "i": np.zeros_like(p["i"]), "ib": np.zeros_like(p["ib"]), "u": np.zeros_like(p["u"])}
-    ds = q @ p["o"].T
+    grad = {"o": s.T @ q.T, "ob": q.sum(axis=1), "i": np.zeros_like(p["i"]), "ib": np.zeros_like(p["ib"]), "u": np.zeros_like(p["u"])}
+    ds = q.T @ p["o"].T
     for g, r in _by_class(c):
         lo, hi = lexicon.bounds[g], lexicon.bounds[g + 1]
         if hi - lo > 1:
             own = s[r]
-            y = own @ p["i"][lo:hi].T
-            y += p["ib"][lo:hi]
-            y -= y.max(axis=1, keepdims=True)
-            places = (np.arange(len(r)), w[r] - lo)
+            y = _logits(own, p["i"][lo:hi], p["ib"][lo:hi])
+            places = (w[r] - lo, np.arange(len(r)))
             loss -= float(y[places].sum())
             np.exp(y, out=y)
-            total = y.sum(axis=1, keepdims=True)
+            total = y.sum(axis=0)
             loss += float(np.log(total).sum())
             y /= total
             y[places] -= 1
             y /= n
-            grad["i"][lo:hi], grad["ib"][lo:hi] = y.T @ own, y.sum(axis=0)
-            ds[r] += y @ p["i"][lo:hi]
+            grad["i"][lo:hi], grad["ib"][lo:hi] = y @ own, y.sum(axis=1)
+            ds[r] += y.T @ p["i"][lo:hi]
     dstates = np.zeros((states.shape[0] * m, d), states.dtype)
     dstates[at] = ds
     dstates = dstates.reshape(-1, m, d)
     # What a state's gradient is multiplied by, for all steps at once; the loop only carries it from step to step.
-    z, r, new = kept["zr"][..., :d], kept["zr"][..., d:], kept["n"]
-    to = np.empty((*x.shape, 3, d), states.dtype)
-    to[..., 0, :] = (kept["prev"] - new) * z * (1 - z)
-    to[..., 2, :] = (1 - z) * (1 - new * new)
-    to[..., 1, :] = to[..., 2, :] * kept["un"] * r * (1 - r)
-    to_u = to.copy()
-    to_u[..., 2, :] *= r
+    z, r, new = kept["z"], kept["r"], kept["n"]
+    to_z = (kept["prev"] - new) * z * (1 - z)
+    to_n = (1 - z) * (1 - new * new)
+    to_r = to_n * kept["un"] * r * (1 - r)
+    to_nu = to_n * r
     back = np.zeros((m, d), states.dtype)
-    ut = np.ascontiguousarray(p["u"].T)
+    uz, ur, un = (np.ascontiguousarray(p["u"][:, k * d : (k + 1) * d].T) for k in range(3))
     for t in range(len(x) - 1, -1, -1):
         k = int(alive[t])
         dh = dstates[t, :k]
         dh += back[:k]
-        more = (to_u[t, :k] * dh[:, None, :]).reshape(k, 3 * d) @ ut
+        more = (to_z[t, :k] * dh) @ uz
+        more += (to_r[t, :k] * dh) @ ur
+        more += (to_nu[t, :k] * dh) @ un
         more += dh * z[t, :k]
         more[fresh[t, :k]] = 0
         back[:k] = more
-    grad["u"] = kept["prev"].reshape(-1, d).T @ (to_u * dstates[:, :, None, :]).reshape(-1, 3 * d)
-    dgx = to
-    dgx *= dstates[:, :, None, :]
-    flat = dgx.reshape(-1, 3 * d)
+    for v in (to_z, to_r, to_n, to_nu):
+        v *= dstates
+    prev, to_z, to_r, to_n, to_nu = (v.reshape(-1, d) for v in (kept["prev"], to_z, to_r, to_n, to_nu))
+    grad["u"] = np.concatenate([prev.T @ v for v in (to_z, to_r, to_nu)], axis=1)
+    flat = np.concatenate([to_z, to_r, to_n], axis=1)
     grad["b"] = flat.sum(axis=0)
     ids = x.ravel()
     order = np.argsort(ids, kind="stable")
