@@ -81,3 +81,12 @@ def test_newer_version(spark, tmp_path):
     (tmp_path / "plain.jsonl").write_text('{"resourceSpans":[]}\nno json\n')
     assert [r["reason"] for r in encode.read_session(spark, str(tmp_path / "plain.jsonl"))[3].collect()] == ["no JSON"]
     assert otlp.read_otlp_spans(spark, str(tmp_path / "plain.jsonl")).count() == 0
+
+
+def test_points_of_a_long_line_are_read_one_by_one(spark, tmp_path):
+    """No column beside an exploded point holds its metric's other points: with them a line costs the square of its points."""
+    encode.write_session(str(tmp_path / "s"), points=tables(spark)[2])
+    plan = encode.read_session(spark, str(tmp_path / "s"))[2]._jdf.queryExecution().executedPlan().toString()
+    exploded = [x for x in plan.split("\n") if "Generate explode" in x and "dataPoints" in x]
+    assert len(exploded) == 1 and "_extract_gauge" in exploded[0]
+    assert not any(f"_extract_{k}" in exploded[0][exploded[0].rindex("), [") :] for k in otlp._KINDS)
