@@ -90,3 +90,18 @@ def test_points_of_a_long_line_are_read_one_by_one(spark, tmp_path):
     exploded = [x for x in plan.split("\n") if "Generate explode" in x and "dataPoints" in x]
     assert len(exploded) == 1 and "_extract_gauge" in exploded[0]
     assert not any(f"_extract_{k}" in exploded[0][exploded[0].rindex("), [") :] for k in otlp._KINDS)
+
+
+def test_a_session_is_written_without_a_shuffle(spark, tmp_path):
+    """Each task fills lines from its own rows, whatever its batches hold; compressed files are read by their names."""
+    at = F.col("id")
+    rows = spark.range(30_000, numPartitions=2).select(F.lit(1e12).alias("time_ms"), F.concat(F.lit("s"), at % 3).alias("service"), F.concat(F.lit("s"), at % 3, F.lit("::1")).alias("instance_id"), F.lit(9).alias("severity_number"),
+                                                       F.concat(F.repeat(F.lit("é"), (at % 100).cast("int")), at.cast("string")).alias("body"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(T).alias("trace_id"), F.lit(S).alias("span_id"))
+    lines = encode.packed(encode.entries(logs=rows), 20_000, gather=False)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    sizes = sorted(r[0] for r in lines.select(F.octet_length("value")).collect())
+    assert sizes[-1] <= 20_000 and sum(x > 19_000 for x in sizes) >= len(sizes) - 6
+    encode.write_session(str(tmp_path / "s"), logs=rows, max_line=20_000, compression="gzip")
+    assert all(x.name.endswith(".gz") for x in (tmp_path / "s").glob("part-*"))
+    _, logs, _, bad = encode.read_session(spark, str(tmp_path / "s"))
+    assert bad.count() == 0 and logs.count() == 30_000 and logs.select("service", "body").exceptAll(rows.select("service", "body")).count() == 0
