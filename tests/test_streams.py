@@ -99,3 +99,13 @@ def test_distinct_over_batches(spark, tmp_path):
 def test_latest_spans_as_a_batch(spark):
     rows = spark.createDataFrame([span(1, 5), span(1, 8, "b"), span(2, 1)], SPAN)
     assert {(r["span_id"], r["name"]) for r in streams.latest_spans(rows).collect()} == {("1", "b"), ("2", "n")}
+
+
+def test_copies_of_spans_need_no_state(spark, tmp_path):
+    """However late a copy is and however many spans there are: all are kept, and the one that ends last is read."""
+    parts = [[span(1, 5), span(2, 9, "first"), (None, "x", "s", "n", "SERVER", "OK", 0.0, 1.0, at(T0))], [span(1, 7, "longer", T0 + 900 * HOUR), span(2, 3, "shorter")], [span(1, 6, "between"), span(3, 1), span(2, 20, "late")]]
+    query = sinks.start_span_copies(batches(spark, f"{tmp_path}/in", SPAN, parts), f"{tmp_path}/out", f"{tmp_path}/state", once=True)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 3 and not any(p["stateOperators"] for p in query.recentProgress)
+    got = {r["span_id"]: (r["name"], r["end_ms"] - T0) for r in sinks.read_latest_spans(spark, f"{tmp_path}/out").collect()}
+    assert got == {"1": ("longer", 7), "2": ("late", 20), "3": ("n", 1)}

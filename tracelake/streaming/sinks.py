@@ -6,7 +6,7 @@ Tables grow by one folder a batch; compact() folds the closed ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -36,10 +36,20 @@ def start_latest_spans(spans: DataFrame, path: str, checkpoint: str, late: str =
     return _started(latest_spans(spans, late, width).writeStream.outputMode("update").foreachBatch(lambda rows, k: _write(path, rows, k)), checkpoint, once)
 
 
+def start_span_copies(spans: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep all copies of spans with ids at path as they come, for read_latest_spans(): no state, no shuffle, and nothing is late.
+
+    For streams whose spans are too many for a state; start_latest_spans() keeps a smaller table where most copies are worse ones.
+    """
+    known = spans.where((F.coalesce("trace_id", F.lit("")) != "") & (F.coalesce("span_id", F.lit("")) != "")).drop("ts")
+    return _started(known.writeStream.outputMode("append").foreachBatch(lambda rows, k: _write(path, rows, k)), checkpoint, once)
+
+
 def read_latest_spans(spark: SparkSession, path: str) -> DataFrame:
-    rows = _read(spark, path).drop("batch")
-    best = F.max_by(F.struct(*rows.columns), F.struct(*COPY_ORDER))
-    return rows.groupBy("trace_id", "span_id").agg(best.alias("best")).select("best.*")
+    """Of all copies at path that of each span that ends last. Rows are sorted once, after the shuffle, by a hash before the long ids."""
+    rows = _read(spark, path).drop("batch").withColumn("_h", F.xxhash64("trace_id", "span_id")).repartition("_h")
+    best = Window.partitionBy("_h", "trace_id", "span_id").orderBy(*(F.col(c).desc_nulls_last() for c in COPY_ORDER))
+    return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_h")
 
 
 def start_volume(records: DataFrame, path: str, checkpoint: str, width_ms: int = 60_000, keep: int = 60, once: bool = False) -> StreamingQuery:
