@@ -109,3 +109,13 @@ def test_copies_of_spans_need_no_state(spark, tmp_path):
     assert len(query.recentProgress) >= 3 and not any(p["stateOperators"] for p in query.recentProgress)
     got = {r["span_id"]: (r["name"], r["end_ms"] - T0) for r in sinks.read_latest_spans(spark, f"{tmp_path}/out").collect()}
     assert got == {"1": ("longer", 7), "2": ("late", 20), "3": ("n", 1)}
+
+
+def test_points_of_a_series_in_several_frames(spark, tmp_path):
+    """A batch of more points than a frame holds, newest first: all are kept, each time once; the next batch's older ones are not."""
+    n, schema = 25_000, "k string, time_ms double, value double"
+    parts = [[("a", float(n - i), 1.0) for i in range(n)] + [("a", float(n - i), 2.0) for i in range(0, n, 100)], [("a", float(n + 1), 3.0), ("a", 5.5, 3.0), ("b", 1.0, 3.0)]]
+    points = streams.stream_series_points(batches(spark, f"{tmp_path}/in", schema, parts), ["k"])
+    points.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("time_ms").alias("times"), F.max("time_ms").alias("last"))
+    assert {tuple(r) for r in rows.collect()} == {("a", n + 1, n + 1, n + 1.0), ("b", 1, 1, 1.0)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,17 +59,39 @@ def stream_trace_sessions(spans: DataFrame, gap: str = "30 seconds", late: str =
     return rows.drop("session_window")
 
 
+class _Times:
+    """Times of one series and batch, as sorted runs of which each is over twice as long as the next."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def add(self, times: np.ndarray) -> np.ndarray:
+        """Which of times (each there once) are new; they are known from now on."""
+        new = np.ones(len(times), bool)
+        for run in self.runs:
+            new &= run[np.minimum(np.searchsorted(run, times), len(run) - 1)] != times
+        if new.any():
+            self.runs.append(np.sort(times[new]))
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]))]
+        return new
+
+
 def stream_series_points(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points (keys, time_ms, value) without those that are not newer than all that their series had before."""
+    """Points (keys, time_ms, value) without those that are not newer than all that their series had in earlier batches; of equal times one.
+
+    The points of a batch come in any order and in several frames, so each is held against the batches before, not against other frames.
+    """
     schema = points.select(*keys, "time_ms", "value").schema
 
     def fresh(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else float("-inf")
+        before = last = state.get[0] if state.exists else float("-inf")
+        seen = _Times()
         for frame in frames:
-            frame = frame.sort_values("time_ms", kind="stable").drop_duplicates("time_ms")
-            frame = frame[frame["time_ms"] > last]
+            frame = frame[frame["time_ms"] > before].drop_duplicates("time_ms")
+            frame = frame[seen.add(frame["time_ms"].to_numpy(float))]
             if len(frame):
-                last = float(frame["time_ms"].max())
+                last = max(last, float(frame["time_ms"].max()))
                 yield frame[schema.names]
         state.update((last,))
 
