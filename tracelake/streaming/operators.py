@@ -59,24 +59,6 @@ def stream_trace_sessions(spans: DataFrame, gap: str = "30 seconds", late: str =
     return rows.drop("session_window")
 
 
-class _Times:
-    """Times of one series and batch, as sorted runs of which each is over twice as long as the next."""
-
-    def __init__(self) -> None:
-        self.runs: list[np.ndarray] = []
-
-    def add(self, times: np.ndarray) -> np.ndarray:
-        """Which of times (each there once) are new; they are known from now on."""
-        new = np.ones(len(times), bool)
-        for run in self.runs:
-            new &= run[np.minimum(np.searchsorted(run, times), len(run) - 1)] != times
-        if new.any():
-            self.runs.append(np.sort(times[new]))
-        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
-            self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]))]
-        return new
-
-
 def stream_series_points(points: DataFrame, keys: list[str]) -> DataFrame:
     """Points (keys, time_ms, value) without those that are not newer than all that their series had in earlier batches; of equal times one.
 
@@ -84,12 +66,23 @@ def stream_series_points(points: DataFrame, keys: list[str]) -> DataFrame:
     """
     schema = points.select(*keys, "time_ms", "value").schema
 
+    def unseen(runs: list[np.ndarray], times: np.ndarray) -> np.ndarray:
+        """Which of times (each there once) are in none of runs, to which they are added: sorted, and each over twice as long as the next."""
+        new = np.ones(len(times), bool)
+        for run in runs:
+            new &= run[np.minimum(np.searchsorted(run, times), len(run) - 1)] != times
+        if new.any():
+            runs.append(np.sort(times[new]))
+        while len(runs) > 1 and len(runs[-2]) <= 2 * len(runs[-1]):
+            runs[-2:] = [np.sort(np.concatenate(runs[-2:]))]
+        return new
+
     def fresh(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         before = last = state.get[0] if state.exists else float("-inf")
-        seen = _Times()
+        seen: list[np.ndarray] = []
         for frame in frames:
             frame = frame[frame["time_ms"] > before].drop_duplicates("time_ms")
-            frame = frame[seen.add(frame["time_ms"].to_numpy(float))]
+            frame = frame[unseen(seen, frame["time_ms"].to_numpy(float))]
             if len(frame):
                 last = max(last, float(frame["time_ms"].max()))
                 yield frame[schema.names]
