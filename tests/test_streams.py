@@ -119,3 +119,13 @@ def test_points_of_a_series_in_several_frames(spark, tmp_path):
     points.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/out").groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("time_ms").alias("times"), F.max("time_ms").alias("last"))
     assert {tuple(r) for r in rows.collect()} == {("a", n + 1, n + 1, n + 1.0), ("b", 1, 1, 1.0)}
+
+
+def test_distinct_values_are_exact(spark, tmp_path):
+    """Far more values than a sketch tells apart, over batches and windows; a fold keeps them."""
+    n, schema = 20_000, "key string, value string, ts timestamp"
+    parts = [[("a", str(k), at(T0)) for k in range(n)], [("a", str(k), at(T0 + 30 * HOUR)) for k in range(n // 2, n + 5)] + [("b", None, at(T0))]]
+    sinks.start_distinct_values(batches(spark, f"{tmp_path}/in", schema, parts), f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
+    counts = lambda *where: {r["key"]: r["n_distinct"] for r in sinks.read_distinct_values(spark, f"{tmp_path}/out", *where).collect()}
+    assert counts() == {"a": n + 5, "b": 0} and counts(F.col("from_ts") > F.lit(at(T0))) == {"a": n // 2 + 5}
+    assert sinks.compact(spark, f"{tmp_path}/out", lambda rows: rows.distinct(), 100) == 2 and counts() == {"a": n + 5, "b": 0}

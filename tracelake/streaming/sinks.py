@@ -96,6 +96,23 @@ def read_distinct(spark: SparkSession, path: str, where: Column | None = None) -
     return rows.groupBy("key").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
 
 
+def start_distinct_values(rows: DataFrame, path: str, checkpoint: str, width: str = "1 day", once: bool = False) -> StreamingQuery:
+    """The distinct values themselves of each batch of (key, value, ts), by key and window of ts: exact for any number, without state, and
+    nothing is late. Tables are as large as the values of each batch; compact() with distinct() folds them. start_distinct() keeps sketches.
+    """
+
+    def add(batch: DataFrame, k: int) -> None:
+        _write(path, batch.select(F.window("ts", width)["start"].alias("from_ts"), "key", "value").distinct(), k)
+
+    return _started(rows.writeStream.outputMode("append").foreachBatch(add), checkpoint, once)
+
+
+def read_distinct_values(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """(key, n_distinct), exact, over all windows or those of where (a condition on from_ts); missing values don't count."""
+    rows = _read(spark, path) if where is None else _read(spark, path).where(where)
+    return rows.groupBy("key").agg(F.count_distinct("value").alias("n_distinct"))
+
+
 def compact(spark: SparkSession, path: str, fold, before: int) -> int:
     """Fold the batches below before (closed ones) into one table, batch -1; fold gets their rows. Returns how many were folded.
 
