@@ -13,24 +13,31 @@ MIN_RATE_MS = 10_000
 TYPE_ORDER = {"service": 0, "database": 1, "queue": 2, "external": 3}
 
 
-def with_target(spans: DataFrame) -> DataFrame:
-    """Deduped spans with the database, queue or external node they call; a peer that is a service is not external."""
-    names = spans.select(F.col("service").alias("_peer")).distinct()
-    rows = spans.withColumn("_peer", peer_of(F.col("attrs"))).join(names.withColumn("_known", F.lit(True)), "_peer", "left")
-    return rows.withColumn("target", classify_target(F.col("kind"), F.col("attrs"), F.col("_known"))).drop("_peer", "_known")
+#: Columns of calls() beside source, target and type; each is stored and shuffled only where it is asked for.
+CALL_COLUMNS = ("trace_id", "span_id", "end_ms", "instance_id", "code_file", "code_line", "is_error", "operation", "ms")
 
 
-def calls(spans: DataFrame) -> DataFrame:
+def calls(spans: DataFrame, *columns: str) -> DataFrame:
     """One row for each call: into a service (source null, or the calling service), and to each classified target.
 
-    An edge between services takes the parent's duration if the parent is a CLIENT or PRODUCER, else the span's own.
+    An edge between services takes the parent's duration if the parent is a CLIENT or PRODUCER, else the span's own. columns: those of
+    CALL_COLUMNS that are needed, all by default. What attributes say is worked out of them first, so they are not shuffled.
     """
-    one = dedupe_spans(spans).select("trace_id", "span_id", "parent_span_id", "service", "instance_id", "name", "kind", "duration_ms", "end_ms", "status_code", "attrs", "code_file", "code_line")
-    one = with_target(stored(one))  # read for peers, parents and calls
+    columns = columns or CALL_COLUMNS
+    node, attrs = classify_target(F.col("kind"), F.col("attrs")), F.col("attrs")
+    rows = spans.withColumns({"_node": node, "_op": operation_key(F.col("name"), attrs)}).withColumn("_peer", F.when(F.col("_node.type") == "external", peer_of(attrs)))
+    own = [c for c in CALL_COLUMNS[2:6] if c in columns]
+    one = dedupe_spans(rows.withColumns({"_id": F.col("_node.id"), "_type": F.col("_node.type")}).drop("attrs", "_node"))
+    one = one.select("trace_id", "span_id", "parent_span_id", "service", "kind", "duration_ms", *own, *(["_op"] if "operation" in columns else []), (F.col("status_code") == "ERROR").alias("is_error"), "_id", "_type", "_peer")
+    one = stored(one)  # read for peers, parents and calls
+    # A peer that is a service is not external; spans without an external peer stay where they are.
+    names = one.select(F.col("service").alias("_peer")).distinct().withColumn("_known", F.lit(True))
+    target = F.when(F.col("_id").isNotNull(), F.struct(F.col("_id").alias("id"), F.col("_type").alias("type")))
+    named = one.where("_peer is not null").join(names, "_peer", "left").withColumn("target", F.when(F.col("_known").isNull(), target)).drop("_known")
+    known = one.where("_peer is null").withColumn("target", target).unionByName(named).drop("_peer", "_id", "_type")
     parent = one.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("p_service"), F.col("kind").alias("p_kind"), F.col("duration_ms").alias("p_ms"))
-    rows = one.join(parent, ["trace_id", "parent_span_id"], "left")
+    rows = known.join(parent, ["trace_id", "parent_span_id"], "left")
     me, none = F.concat(F.lit("svc:"), F.col("service")), F.lit(None).cast("string")
-    error, op = F.col("status_code") == "ERROR", operation_key(F.col("name"), F.col("attrs"))
     call = lambda source, target, kind, ms: F.struct(source.alias("source"), target.alias("target"), kind.alias("type"), ms.alias("ms"))
     crossing = F.col("p_service").isNotNull() & (F.col("p_service") != F.col("service"))
     waited = F.when(F.col("p_kind").isin("CLIENT", "PRODUCER"), F.col("p_ms")).otherwise(F.col("duration_ms"))
@@ -41,13 +48,14 @@ def calls(spans: DataFrame) -> DataFrame:
         F.when(F.col("target").isNotNull(), call(none, F.col("target.id"), F.col("target.type"), F.col("duration_ms"))),
         F.when(F.col("target").isNotNull(), call(me, F.col("target.id"), F.col("target.type"), F.col("duration_ms"))),
     )
-    rows = rows.select("trace_id", "span_id", "end_ms", "instance_id", "code_file", "code_line", error.alias("is_error"), op.alias("operation"), F.explode(F.filter(all_, lambda c: c.isNotNull())).alias("c"))
-    return rows.select("trace_id", "span_id", "end_ms", "instance_id", "code_file", "code_line", "is_error", "operation", "c.*")
+    named = [F.col("_op").alias(c) if c == "operation" else F.col(c) for c in CALL_COLUMNS[:-1] if c in columns]
+    rows = rows.select(*named, F.explode(F.filter(all_, lambda c: c.isNotNull())).alias("c"))
+    return rows.select(*(c for c in CALL_COLUMNS[:-1] if c in columns), "c.source", "c.target", "c.type", *(["c.ms"] if "ms" in columns else []))
 
 
 def service_graph(spans: DataFrame) -> DataFrame:
     """Edges with calls and failing calls: dependency calls, and parent to child across services."""
-    return calls(spans).where("source is not null").groupBy("source", "target").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"))
+    return calls(spans, "is_error").where("source is not null").groupBy("source", "target").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"))
 
 
 def window_bounds(spans: DataFrame, range_ms: float | None) -> DataFrame:
@@ -66,7 +74,7 @@ def service_map(spans: DataFrame, range_ms: float | None = None) -> DataFrame:
     """
     # One row of bounds, joined on a constant, so it goes to every task.
     bounds = F.broadcast(window_bounds(spans, range_ms).withColumn("_k", F.lit(1)))
-    rows = calls(spans).withColumn("_k", F.lit(1)).join(bounds, "_k")
+    rows = calls(spans, "end_ms", "is_error", "ms").withColumn("_k", F.lit(1)).join(bounds, "_k")
     inside = F.col("end_ms") >= F.col("from_ms")
     ms = F.when(inside, F.col("ms"))
     found = rows.groupBy("source", "target", "type").agg(
@@ -87,7 +95,7 @@ def health(n_calls: Column, error_rate: Column, p95_ms: Column, warn_rate: float
 def sparklines(spans: DataFrame, range_ms: float | None = None, n: int = 30) -> DataFrame:
     """Calls and errors of each node in n equal buckets of the window, zeros included."""
     bounds = F.broadcast(window_bounds(spans, range_ms).withColumn("_k", F.lit(1)))
-    rows = calls(spans).where("source is null").withColumn("_k", F.lit(1)).join(bounds, "_k").where("end_ms >= from_ms")
+    rows = calls(spans, "end_ms", "is_error").where("source is null").withColumn("_k", F.lit(1)).join(bounds, "_k").where("end_ms >= from_ms")
     width = (F.col("anchor_ms") - F.col("from_ms")) / n
     bucket = F.when(width > 0, F.least(F.lit(n - 1), F.floor((F.col("end_ms") - F.col("from_ms")) / width))).otherwise(0).cast("int")
     counts = rows.groupBy("target", bucket.alias("bucket")).agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"))
@@ -103,14 +111,14 @@ def cap_nodes(nodes: DataFrame, limit: int = 250) -> DataFrame:
 
 def node_operations(spans: DataFrame, n: int = 10) -> DataFrame:
     """The n most called operations of every node, with errors and p95."""
-    rows = calls(spans).where("source is null").groupBy("target", "operation").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
+    rows = calls(spans, "is_error", "operation", "ms").where("source is null").groupBy("target", "operation").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
     order = Window.partitionBy("target").orderBy(F.desc("n_calls"), "operation")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def node_traces(spans: DataFrame, n: int = 5) -> DataFrame:
     """For every node its n newest failing traces and n slowest traces, each trace once a list."""
-    rows = calls(spans).where("source is null").groupBy("target", "trace_id").agg(F.max("ms").alias("ms"), F.max(F.when(F.col("is_error"), F.col("end_ms"))).alias("failed_ms"))
+    rows = calls(spans, "trace_id", "end_ms", "is_error", "ms").where("source is null").groupBy("target", "trace_id").agg(F.max("ms").alias("ms"), F.max(F.when(F.col("is_error"), F.col("end_ms"))).alias("failed_ms"))
     by = lambda c: Window.partitionBy("target").orderBy(F.desc_nulls_last(c), "trace_id")
     failing = rows.where("failed_ms is not null").withColumn("rank", F.row_number().over(by("failed_ms"))).withColumn("list", F.lit("failing"))
     slow = rows.withColumn("rank", F.row_number().over(by("ms"))).withColumn("list", F.lit("slowest"))
@@ -119,14 +127,14 @@ def node_traces(spans: DataFrame, n: int = 5) -> DataFrame:
 
 def node_sources(spans: DataFrame, n: int = 10) -> DataFrame:
     """The n source lines that most calls of every node come from."""
-    rows = calls(spans).where("source is null and code_file is not null").groupBy("target", "code_file", "code_line").agg(F.count("*").alias("n_calls"))
+    rows = calls(spans, "code_file", "code_line").where("source is null and code_file is not null").groupBy("target", "code_file", "code_line").agg(F.count("*").alias("n_calls"))
     order = Window.partitionBy("target").orderBy(F.desc("n_calls"), "code_file", "code_line")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def node_edges(spans: DataFrame) -> DataFrame:
     """For every node its edges in and out: target, way (inbound, outbound), peer, calls, errors, p95; the peer's calls count."""
-    edges = calls(spans).where("source is not null").groupBy("source", "target").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
+    edges = calls(spans, "is_error", "ms").where("source is not null").groupBy("source", "target").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), F.percentile("ms", F.lit(0.95)).alias("p95_ms"))
     numbers = ("n_calls", "n_errors", "p95_ms")
     both = F.array(F.struct(F.col("target").alias("node"), F.lit("inbound").alias("way"), F.col("source").alias("peer")), F.struct(F.col("source").alias("node"), F.lit("outbound").alias("way"), F.col("target").alias("peer")))
     return edges.select(F.inline(both), *numbers).withColumnRenamed("node", "target")
@@ -134,5 +142,5 @@ def node_edges(spans: DataFrame) -> DataFrame:
 
 def node_instances(spans: DataFrame) -> DataFrame:
     """Of every service the instances that took its calls: target, instance_id, calls, errors, last seen."""
-    rows = calls(spans).where("source is null and type = 'service'")
+    rows = calls(spans, "end_ms", "instance_id", "is_error").where("source is null and type = 'service'")
     return rows.groupBy("target", "instance_id").agg(F.count("*").alias("n_calls"), F.count_if("is_error").alias("n_errors"), F.max("end_ms").alias("last_ms"))
