@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import redact, scalars
 from tracelake.operators import baseline, metrics, servicemap, templates, traces, tree
+from tracelake.plans import fixtures
 from tracelake.sources import logfiles, otlp
 
 SPAN = "trace_id string, span_id string, parent_span_id string, service string, instance_id string, name string, kind string, start_ms double, end_ms double, duration_ms double, status_code string, attrs map<string,string>, code_file string, code_line bigint"
@@ -269,3 +270,24 @@ def test_trace_summaries_extents_of_all_copies(spark):
     rows = [("t", "a", None, "s", "n", "SERVER", 5.0, 9.0, "OK", {}), ("t", "a", None, "s", "n", "SERVER", 4.0, 8.0, "OK", {}), ("t", None, None, "s", "n", "SERVER", 1.0, 20.0, "OK", {}), (None, "b", None, "s", "n", "SERVER", 0.0, 1.0, "OK", {})]
     got = traces.trace_summaries(spark.createDataFrame(rows, schema)).select("trace_id", "start_ms", "end_ms", "n_spans").collect()
     assert [tuple(r) for r in got] == [("t", 1.0, 20.0, 1)]
+
+
+def test_calls_of_few_columns(spark):
+    """Columns are those asked for, rows the same; attributes are not shuffled, and an external peer that is a service is none."""
+    rows = fixtures.spans(spark, "/root/testdata/sf0.001")
+    rows = rows.withColumn("attrs", F.when(F.col("kind") == "CLIENT", F.map_concat(F.map_filter("attrs", lambda k, v: k != "server.address"), F.create_map(F.lit("server.address"), F.when(F.col("duration_ms") % 2 == 0, "inventory").otherwise("away")))).otherwise(F.col("attrs")))
+    few = servicemap.calls(rows, "ms")
+    assert few.columns == ["source", "target", "type", "ms"]
+    every = servicemap.calls(rows)
+    assert every.columns == ["trace_id", "span_id", "end_ms", "instance_id", "code_file", "code_line", "is_error", "operation", "source", "target", "type", "ms"]
+    assert few.exceptAll(every.select(few.columns)).count() == 0 == every.select(few.columns).exceptAll(few).count()
+    found = {r[0] for r in few.where("type = 'external'").select("target").distinct().collect()}
+    assert found == {"ext:away"}
+
+
+def test_scope_counts_are_a_captures_own(spark):
+    calls = servicemap.calls(fixtures.spans(spark, "/root/testdata/sf0.001"), "trace_id", "end_ms", "is_error", "operation", "ms")
+    split = F.lit(calls.agg(F.percentile("end_ms", 0.5)).first()[0])
+    whole, few = baseline.capture_baseline(calls, until_ms=split), baseline.scope_counts(calls, until_ms=split)
+    key = lambda df: {tuple(r) for r in df.where("operation is null").select("source", "target", "n_calls").collect()}
+    assert key(whole) == key(few) and len(key(few)) > 5

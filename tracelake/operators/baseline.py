@@ -68,6 +68,13 @@ def capture_baseline(calls: DataFrame, since_ms: Column | None = None, until_ms:
     return found.alias("l").join(samples.alias("r"), match[0] & match[1] & match[2], "left").select("l.*", "r.samples")
 
 
+def scope_counts(calls: DataFrame, since_ms: Column | None = None, until_ms: Column | None = None) -> DataFrame:
+    """A capture's own entries of nodes and edges (operation null) with their calls: all that fanout() and coverage() read of one."""
+    rows = calls if since_ms is None else calls.where(F.col("end_ms") >= since_ms)
+    rows = rows if until_ms is None else rows.where(F.col("end_ms") < until_ms)
+    return rows.groupBy("source", "target").agg(F.count("*").alias("n_calls")).withColumn("operation", F.lit(None).cast("string"))
+
+
 def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
     """U test per key on rows (keys, side 0 or 1, x): z with tie and continuity correction, positive if side 1 is larger."""
     pool = Window.partitionBy(*keys)
